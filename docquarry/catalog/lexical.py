@@ -10,7 +10,7 @@ from docquarry.functions.text import tokenize
 from docquarry.operators.lexical import (
     bm25_search, corpus_stats as collection_stats, expand_terms, index_of, merge_hits, postings, write_index,
 )
-from docquarry.session import scratch_path, spread
+from docquarry.session import materialise, scratch_path, spread
 
 
 def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,33 +44,33 @@ lexical AS (
 """
 
 
-def _rounded(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+def tidy(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM lexical")
+@query(f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, rank, doc_id, score FROM lexical")
 def bm25_topk(spark, folder):
     """Ten best documents of every benchmark text."""
-    return _rounded(bm25_search(benchmark_queries(spark, folder), document_index(spark, folder)))
+    return tidy(bm25_search(benchmark_queries(spark, folder), document_index(spark, folder)))
 
 
-@query(f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM lexical")
+@query(f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT query_id, rank, doc_id, score FROM lexical")
 def bm25_stored_index(spark, folder):
     """The same search on an index that is written to the shared folder first."""
     documents = spread(table(spark, folder, "documents"))
     index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"))
-    return _rounded(bm25_search(benchmark_queries(spark, folder), index))
+    return tidy(bm25_search(benchmark_queries(spark, folder), index))
 
 
 @query(f"""
 WITH {TOKENS_SQL}, {BM25_SQL}
-SELECT doc_id, query_id, rank, round(score, 6) AS score FROM lexical
+SELECT doc_id, query_id, rank, score FROM lexical
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY query_id, rank) = 1
 """)
 def bm25_multi_query_merge(spark, folder):
     """Hits of all queries without repeats; the first query that found a document keeps it."""
     hits = bm25_search(benchmark_queries(spark, folder), document_index(spark, folder))
-    return _rounded(merge_hits(hits, ["doc_id"]).select("doc_id", "query_id", "rank", "score"))
+    return tidy(merge_hits(hits, ["doc_id"]).select("doc_id", "query_id", "rank", "score"))
 
 
 # DuckDB's levenshtein counts bytes: accented letters are mapped to unused one-byte letters first.
@@ -95,7 +95,7 @@ SELECT term, match, edits::bigint AS edits, round(weight, 6) AS weight FROM expa
 def fuzzy_terms(spark, folder):
     """Vocabulary terms within the automatic edit distance of every query term."""
     documents = spread(table(spark, folder, "documents"))
-    vocabulary = documents.select(F.explode(tokenize("text")).alias("term")).distinct()
+    vocabulary = materialise(documents.select(F.explode(tokenize("text")).alias("term")).distinct(), "vocabulary")
     wanted = benchmark_queries(spark, folder).select(F.explode(tokenize("text")).alias("term")).distinct()
     near = expand_terms(wanted, vocabulary)
     return near.withColumn("edits", F.col("edits").cast("long")).withColumn("weight", F.round("weight", 6))
@@ -110,14 +110,14 @@ scored AS (
         / (tf + 1.3::double * (0.4::double + 0.6::double * dl / avg_dl))), 9) AS score
     FROM fq JOIN terms USING (term) JOIN post USING (term) JOIN lens USING (doc_id), stat
     GROUP BY ALL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id,
-    round(score, 6) AS score
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
 FROM scored QUALIFY rank <= 10
 """)
 def bm25_fuzzy(spark, folder):
-    """Search in which query terms also match near terms."""
-    index = document_index(spark, folder)
-    return _rounded(bm25_search(benchmark_queries(spark, folder), index, fuzzy=True))
+    """Search in which query terms also match near terms; the vocabulary is read several times, so it is stored."""
+    documents = spread(table(spark, folder, "documents"))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"))
+    return tidy(bm25_search(benchmark_queries(spark, folder), index, fuzzy=True))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT n_docs, round(avg_dl, 6) AS avg_dl FROM stat")

@@ -28,7 +28,7 @@ def search(spark, folder, metric, k=3, where=None, normalize=True):
 
 
 def tidy(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 6))
+    return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
 def hashed_sql(name: str, id_col: str, source: str) -> str:
@@ -52,8 +52,7 @@ def knn_sql(score: str, direction: str = "DESC", where: str = "TRUE") -> str:
 WITH {Q_SQL},
 scored AS (SELECT item_id AS query_id, vec_id, round({score}, 9) AS score
     FROM q, (SELECT vec_id, embedding::double[] AS e FROM embeddings WHERE {where}))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, vec_id) AS rank, vec_id,
-    round(score, 6) AS score
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, vec_id) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 3
 """
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType
 from docquarry.functions.text import term_counts, tokenize
 from docquarry.operators.common import rounded, top_k
 from docquarry.params import LEXICAL_TOP_K, Bm25Params, read_params, write_params
-from docquarry.session import broadcast_if_small, fits_broadcast
+from docquarry.session import broadcast_if_small, fits_broadcast, materialise
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,8 @@ def bm25_search(
             .select("query_id", F.col("match").alias("term"), (F.col("qtf") * F.col("weight")).alias("qtf"))
             .groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
         )
+        # Used to size the join, to weigh the terms and to score: compute the expansion once.
+        wanted = materialise(wanted, "expanded-terms")
     small = fits_broadcast(wanted)
     hint = F.broadcast if small else (lambda df: df)
 
@@ -251,19 +253,20 @@ def expand_terms(wanted: DataFrame, vocabulary: DataFrame, transpositions: bool
     long_words = words.filter(F.length("match") > NEIGHBOURHOOD_MAX - _MAX_EDITS).select(
         "match", F.explode(_windows(F.col("match"))).alias("key")
     )
+    limit = allowed_edits(F.col("term"))
     candidates = (
         short_words.join(broadcast_if_small(short), "key").select("term", "match")
         .unionByName(long_words.join(broadcast_if_small(long), "key").select("term", "match"))
-        .filter(F.abs(F.length("term") - F.length("match")) <= allowed_edits(F.col("term")))
-        .distinct()
-        .filter(F.col("term") != F.col("match"))
+        .filter((F.abs(F.length("term") - F.length("match")) <= limit) & (F.col("term") != F.col("match")))
     )
-    limit = allowed_edits(F.col("term"))
     if transpositions:
-        edits = _alignment_distance("term", "match")
+        # The Python distance is the dear part: remove repeats first.
+        measured = candidates.distinct().withColumn("edits", _alignment_distance("term", "match"))
     else:
-        edits = F.levenshtein("term", "match", _MAX_EDITS)
-    verified = candidates.withColumn("edits", edits).filter((F.col("edits") >= 0) & (F.col("edits") <= limit))
+        measured = candidates.withColumn("edits", F.levenshtein("term", "match", _MAX_EDITS))
+    verified = measured.filter((F.col("edits") >= 0) & (F.col("edits") <= limit))
+    if not transpositions:
+        verified = verified.distinct()
     everything = verified.unionByName(exact.withColumn("edits", F.lit(0)))
     shorter = F.least(F.length("term"), F.length("match"))
     return everything.withColumn("weight", F.lit(1.0) - F.col("edits") / shorter)
