@@ -95,7 +95,7 @@ SELECT term, match, edits::bigint AS edits, round(weight, 6) AS weight FROM expa
 def fuzzy_terms(spark, folder):
     """Vocabulary terms within the automatic edit distance of every query term."""
     documents = spread(table(spark, folder, "documents"))
-    vocabulary = materialise(documents.select(F.explode(tokenize("text")).alias("term")).distinct(), "vocabulary")
+    vocabulary = spread(materialise(documents.select(F.explode(tokenize("text")).alias("term")).distinct(), "vocabulary"))
     wanted = benchmark_queries(spark, folder).select(F.explode(tokenize("text")).alias("term")).distinct()
     near = expand_terms(wanted, vocabulary)
     return near.withColumn("edits", F.col("edits").cast("long")).withColumn("weight", F.round("weight", 6))

@@ -14,10 +14,10 @@ from docquarry.operators.fusion import history_prompt
 
 _BODIES_SQL = """
 bodies AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'embeddings' ELSE 'rerank' END AS endpoint,
-    CASE turn WHEN 0 THEN to_json({'input': text, 'query': text, 'documents': [text, role]})
-        WHEN 1 THEN to_json({'input': [text], 'query': text, 'documents': role})
-        WHEN 2 THEN to_json({'model': role}) WHEN 3 THEN '{}' WHEN 4 THEN text WHEN 5 THEN ''
-        WHEN 6 THEN to_json({'input': 5, 'query': text, 'documents': []}) ELSE to_json({'input': '', 'query': ''}) END AS body
+    CASE turn WHEN 0 THEN to_json({'input': text, 'query': text, 'documents': [text, role]})::varchar
+        WHEN 1 THEN to_json({'input': [text], 'query': text, 'documents': role})::varchar
+        WHEN 2 THEN to_json({'model': role})::varchar WHEN 3 THEN '{}' WHEN 4 THEN text WHEN 5 THEN ''
+        WHEN 6 THEN to_json({'input': 5, 'query': text, 'documents': []})::varchar ELSE to_json({'input': '', 'query': ''})::varchar END AS body
     FROM conversations)
 """
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.catalog.base import query, table
 from docquarry.operators import boxes as B
 from docquarry.operators import runs
+from docquarry.session import spread
 
 _RUNS_SQL = """
 runs AS (SELECT user_id, ts, event_id, event_type, value FROM (
@@ -33,7 +34,8 @@ SELECT user_id, pos // 1000 AS piece, count(*) AS n_symbols, string_agg(event_ty
 FROM placed GROUP BY ALL
 """)
 def decode_text(spark, folder):
-    text = runs.decode_text(kept(spark, folder)[1], ["user_id"], ["ts", "event_id"], "event_type", separator=" ")
+    events, starts = kept(spark, folder)
+    text = runs.decode_text(starts, ["user_id"], ["ts", "event_id"], "event_type", separator=" ", probe=events)
     return text.withColumn("n_symbols", F.col("n_symbols").cast("long"))
 
 
@@ -78,8 +80,9 @@ FROM starts GROUP BY user_id
 """)
 def ctc_decode(spark, folder):
     """Best class per step, runs collapsed, class 0 as blank, symbols joined."""
-    starts = runs.collapse_runs(best_steps(spark, folder), ["user_id"], ["step"], "cls", 0)
-    return runs.decode_text(starts, ["user_id"], ["step"], "cls").withColumn("n_symbols", F.col("n_symbols").cast("long"))
+    events = table(spark, folder, "events")
+    starts = runs.collapse_runs(best_steps(spark, folder), ["user_id"], ["step"], "cls", 0, probe=events)
+    return runs.decode_text(starts, ["user_id"], ["step"], "cls", probe=events).withColumn("n_symbols", F.col("n_symbols").cast("long"))
 
 
 WIDTH, HEIGHT = 800, 120
@@ -103,7 +106,8 @@ def boxes(spark, folder):
     x, y = (F.col("l_partkey") % 500) * F.lit(2.0), (F.col("l_suppkey") % 40) * F.lit(4.0)
     w, h = F.col("l_quantity") * 2, 2 + F.col("l_tax") * 200
     corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    return table(spark, folder, "lineitem").select(
+    columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount", "l_extendedprice", "l_returnflag", "l_linestatus")
+    return spread(table(spark, folder, "lineitem").select(*columns)).select(
         F.col("l_orderkey").alias("page_id"),
         (F.col("l_partkey") * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("box_id"),
         F.array(corner(x + w, y + h), corner(x, y), corner(x + w, y), corner(x, y + h)).alias("points"),
@@ -123,7 +127,8 @@ def clean_boxes(spark, folder):
 
 @query(f"WITH {_BOX_SQL} SELECT page_id, box_id, line_no::bigint AS line_no, read_pos FROM ordered")
 def box_reading_order(spark, folder):
-    ordered = B.reading_order(B.clean_boxes(boxes(spark, folder), WIDTH, HEIGHT))
+    raw = boxes(spark, folder)
+    ordered = B.reading_order(B.clean_boxes(raw, WIDTH, HEIGHT), probe=raw)
     return ordered.select("page_id", "box_id", "line_no", "read_pos")
 
 

@@ -107,9 +107,14 @@ def ivf_recall(spark, folder):
 
 def _elements(df: DataFrame, column: str) -> DataFrame:
     """One row per value: list columns are compared value by value."""
-    return df.select("vec_id", F.posexplode(column).alias("pos", "value")).select(
-        "vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value")
-    )
+    return _exploded(df, "vec_id", column)
+
+
+def _exploded(df: DataFrame, key: str, column: str) -> DataFrame:
+    # Exploding an expression, not a plain column: for a column Spark adds a size filter and pushes
+    # it below, which would compute the vectors twice.
+    values = F.transform(column, lambda x: F.round(x.cast("double"), 6))
+    return df.select(key, F.posexplode(values).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _elements_sql(vector: str, source: str = "embeddings") -> str:
@@ -182,6 +187,4 @@ def hash_embed(spark, folder):
     """Hashed vectors of whole documents, one row per value."""
     documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
     vectors = embedding.hash_embed(documents, "text", dimensions=DIMENSIONS)
-    return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).select(
-        "doc_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value")
-    )
+    return _exploded(vectors, "doc_id", "embedding")

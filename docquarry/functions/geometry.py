@@ -8,48 +8,50 @@ from pyspark.sql import functions as F
 from docquarry.functions.common import as_column, let
 
 
+def corners(points: str | Column) -> list[Column]:
+    return [F.get(as_column(points), F.lit(i)) for i in range(4)]
+
+
 def order_corners(points: str | Column) -> Column:
     """Corners clockwise from the top left: smallest x+y, then smaller y-x, largest x+y, larger y-x.
 
     Ties take the earlier point, and the two picked by the sum are removed by position.
     """
 
-    def with_keys(pts: Column) -> Column:
-        return F.transform(
-            pts,
-            lambda p, i: F.struct(
-                (p["x"] + p["y"]).alias("total"), (p["y"] - p["x"]).alias("diff"), i.alias("pos"), p.alias("p")
-            ),
-        )
+    def keyed(value, take) -> Column:
+        return F.array(*[F.struct(value(p).alias("v"), F.lit(i).alias("i")) for i, p in take])
+
+    def pick(pts: Column) -> Column:
+        four = list(enumerate(corners(pts)))
+        low = F.array_min(keyed(lambda p: p["x"] + p["y"], four))["i"]
+        high = F.array_min(keyed(lambda p: -(p["x"] + p["y"]), four))["i"]
+        return let(F.struct(low.alias("low"), high.alias("high")), lambda ends: rest(pts, four, ends))
 
-    def pick(keyed: Column) -> Column:
-        # Struct ordering compares fields left to right.
-        low = F.array_min(F.transform(keyed, lambda k: F.struct(k["total"], k["pos"], k["p"])))
-        high = F.array_min(F.transform(keyed, lambda k: F.struct((-k["total"]).alias("t"), k["pos"], k["p"])))
-        return let(F.struct(low.alias("low"), high.alias("high")), lambda ends: rest(keyed, ends))
+    def rest(pts: Column, four, ends: Column) -> Column:
+        def between(i: int, value: Column) -> Column:
+            # A point taken by its sum gets the largest key, so that it is never picked again.
+            taken = (ends["low"] == i) | (ends["high"] == i)
+            return F.struct(F.when(~taken, value).otherwise(F.lit(float("inf"))).alias("v"), F.lit(i).alias("i"))
 
-    def rest(keyed: Column, ends: Column) -> Column:
-        middle = F.filter(
-            keyed, lambda k: (k["pos"] != ends["low"]["pos"]) & (k["pos"] != ends["high"]["pos"])
-        )
-        right = F.array_min(F.transform(middle, lambda k: F.struct(k["diff"], k["pos"], k["p"])))
-        left = F.array_min(F.transform(middle, lambda k: F.struct((-k["diff"]).alias("d"), k["pos"], k["p"])))
-        return F.array(ends["low"]["p"], right["p"], ends["high"]["p"], left["p"])
+        right = F.array_min(F.array(*[between(i, p["y"] - p["x"]) for i, p in four]))["i"]
+        left = F.array_min(F.array(*[between(i, p["x"] - p["y"]) for i, p in four]))["i"]
+        return F.array(*[F.get(pts, i) for i in (ends["low"], right, ends["high"], left)])
 
-    return let(as_column(points), lambda pts: let(with_keys(pts), pick))
+    return let(as_column(points), pick)
 
 
-def clip_points(points: str | Column, width: int | Column, height: int | Column) -> Column:
+def clip_points(points: Column, width: int, height: int) -> Column:
     """Points moved into the page and truncated to whole pixels."""
-    width = F.lit(width) if isinstance(width, int) else width
-    height = F.lit(height) if isinstance(height, int) else height
-    return F.transform(
-        as_column(points),
-        lambda p: F.struct(
-            F.least(F.greatest(p["x"], F.lit(0.0)), (width - 1).cast("double")).cast("int").cast("double").alias("x"),
-            F.least(F.greatest(p["y"], F.lit(0.0)), (height - 1).cast("double")).cast("int").cast("double").alias("y"),
-        ),
-    )
+
+    def clip(value: Column, size: int) -> Column:
+        return F.least(F.greatest(value, F.lit(0.0)), F.lit(float(size - 1))).cast("int").cast("double")
+
+    def inside(pts: Column) -> Column:
+        return F.array(*[
+            F.struct(clip(p["x"], width).alias("x"), clip(p["y"], height).alias("y")) for p in corners(pts)
+        ])
+
+    return let(points, inside)
 
 
 def side_length(points: Column, i: int, j: int) -> Column:

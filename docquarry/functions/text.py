@@ -21,7 +21,7 @@ def tokenize(text: str | Column, han_bigrams: bool = False) -> Column:
     """
     lowered = F.lower(as_column(text))
     if not han_bigrams:
-        return F.filter(F.split(lowered, NON_WORD), lambda t: t != "")
+        return F.array_remove(F.split(lowered, NON_WORD), "")
     pieces = F.regexp_extract_all(
         lowered, F.lit(r"[一-鿿]+|[\p{L}\p{N}&&[^一-鿿]]+"), F.lit(0)
     )
@@ -63,7 +63,7 @@ def term_counts(tokens: Column) -> Column:
 
 def whitespace_tokens(text: str | Column) -> Column:
     """Number of whitespace-separated tokens (the usage measure)."""
-    return F.size(F.filter(F.split(as_column(text), r"\s+"), lambda t: t != ""))
+    return F.size(F.array_remove(F.split(as_column(text), r"\s+"), ""))
 
 
 def has_han(text: str | Column) -> Column:

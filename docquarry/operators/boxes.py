@@ -21,14 +21,16 @@ def min_score(df: DataFrame, threshold: float = DROP_SCORE, score: str = "score"
 
 def clean_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """Corners in order, moved into the page; boxes with a side of at most three pixels are left out."""
-    clipped = boxes.withColumn("points", clip_points(order_corners("points"), width, height))
-    points = F.col("points")
-    return clipped.filter((side_length(points, 0, 1) > MIN_SIDE) & (side_length(points, 0, 3) > MIN_SIDE))
+    clipped = F.array(clip_points(order_corners("points"), width, height))
+    large = F.filter(clipped, lambda p: (side_length(p, 0, 1) > MIN_SIDE) & (side_length(p, 0, 3) > MIN_SIDE))
+    # Exploding none or one box computes the corners once; a filter would compute them again per use.
+    keep = [c for c in boxes.columns if c != "points"]
+    return boxes.select(*keep, F.explode(large).alias("points"))
 
 
 def reading_order(
     boxes: DataFrame, page: str = "page_id", box: str = "box_id", tolerance: float = LINE_TOLERANCE,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``line_no`` and ``read_pos`` (from 0): lines from top to bottom, boxes of a line from left to right.
 
@@ -36,12 +38,13 @@ def reading_order(
     """
     corner = F.get("points", F.lit(0))
     placed = boxes.withColumn("__x", corner["x"]).withColumn("__y", corner["y"])
-    down = Ordered.of(placed, [page], ["__y", "__x", box], max_group_rows).previous("__y", "__above")
+    down = Ordered.of(placed, [page], ["__y", "__x", box], max_group_rows, probe).previous("__y", "__above")
     breaks = F.col("__above").isNull() | (F.col("__y") - F.col("__above") >= tolerance)
     opened = Ordered(down.df.withColumn("__new", breaks.cast("long")), down.by, down.order, down.split)
     lines = opened.running_sum("__new", "line_no").result()
     lines = lines.withColumn("line_no", F.col("line_no") - 1)
-    across = Ordered.of(lines, [page], ["line_no", "__x", box], max_group_rows).position("read_pos")
+    across = Ordered.of(lines, [page], ["line_no", "__x", box], max_group_rows, boxes if probe is None else probe)
+    across = across.position("read_pos")
     return across.result().drop("__x", "__y", "__above", "__new")
 
 
@@ -54,5 +57,5 @@ def box_text(
     Order is fixed over all clean boxes first and low scores are dropped after, so a dropped box
     still takes part in forming lines.
     """
-    ordered = reading_order(clean_boxes(boxes, width, height), page, max_group_rows=max_group_rows)
+    ordered = reading_order(clean_boxes(boxes, width, height), page, max_group_rows=max_group_rows, probe=boxes)
     return min_score(ordered, threshold).select(page, "line_no", "read_pos", "box_id", "text", "score")

@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType
 from docquarry.functions.text import term_counts, tokenize
 from docquarry.operators.common import rounded, top_k
 from docquarry.params import LEXICAL_TOP_K, Bm25Params, read_params, write_params
-from docquarry.session import broadcast_if_small, fits_broadcast, materialise
+from docquarry.session import broadcast_if_small, fits_broadcast, materialise, spread
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,9 @@ def index_of(docs: DataFrame, id_col: str, text_col: str, params: Bm25Params = B
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """Number of documents that have a term, and their mean length in terms."""
-    lengths = docs.select(F.size(tokenize(text_col)).alias("dl")).filter("dl > 0")
-    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    # A filter on the length would tokenise twice: empty documents become null instead.
+    length = F.nullif(F.size(tokenize(text_col)), F.lit(0))
+    return docs.select(length.alias("dl")).agg(F.count("dl").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, params: Bm25Params = Bm25Params()) -> TextIndex:
@@ -73,7 +74,7 @@ def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, params:
 def open_index(spark: SparkSession, path: str, id_col: str) -> TextIndex:
     read = spark.read.parquet
     return TextIndex(
-        read(f"{path}/postings"), read(f"{path}/terms"), read(f"{path}/collection"),
+        read(f"{path}/postings"), spread(read(f"{path}/terms")), read(f"{path}/collection"),
         id_col, read_params(spark, Bm25Params, f"{path}/params"),
     )
 

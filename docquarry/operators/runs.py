@@ -21,26 +21,26 @@ def best_class(probabilities: DataFrame, by: list[str], cls: str = "cls", prob:
 
 def collapse_runs(
     steps: DataFrame, by: list[str], order: list[str], symbol: str, blank=None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, probe: DataFrame | None = None,
 ) -> DataFrame:
     """First row of every run of equal symbols, without the blank symbol.
 
     A run is broken by any other symbol, the blank included: the run test comes before the blank filter.
     """
-    seen = Ordered.of(steps, by, order, max_group_rows).previous(symbol, "__before").result()
+    seen = Ordered.of(steps, by, order, max_group_rows, probe).previous(symbol, "__before").result()
     starts = seen.filter(F.col("__before").isNull() | (F.col("__before") != F.col(symbol))).drop("__before")
     return starts if blank is None else starts.filter(F.col(symbol) != F.lit(blank))
 
 
 def decode_text(
     kept: DataFrame, by: list[str], order: list[str], symbol: str, piece_symbols: int = PIECE_SYMBOLS,
-    separator: str = "", max_group_rows: int = MAX_GROUP_ROWS,
+    separator: str = "", max_group_rows: int = MAX_GROUP_ROWS, probe: DataFrame | None = None,
 ) -> DataFrame:
     """Kept symbols as text: ``(…, piece, n_symbols, text)``.
 
     A sequence of up to ``piece_symbols`` symbols is one row; a longer one continues in the next pieces.
     """
-    placed = Ordered.of(kept, by, order, max_group_rows).position("__pos").result()
+    placed = Ordered.of(kept, by, order, max_group_rows, probe).position("__pos").result()
     entry = F.struct(F.col("__pos"), F.col(symbol).cast("string").alias("s"))
     return (
         placed.groupBy(*by, F.floor(F.col("__pos") / piece_symbols).cast("long").alias("piece"))

@@ -27,9 +27,16 @@ class Ordered:
     split: bool
 
     @staticmethod
-    def of(df: DataFrame, by: list[str], order: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> Ordered:
-        """``order`` must be unique inside a group (end it with an id)."""
-        largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    def of(
+        df: DataFrame, by: list[str], order: list[str], max_group_rows: int = MAX_GROUP_ROWS,
+        probe: DataFrame | None = None,
+    ) -> Ordered:
+        """``order`` must be unique inside a group (end it with an id).
+
+        ``probe`` is a cheaper frame with at least as many rows in every group, to count instead of ``df``.
+        """
+        sizes = (df if probe is None else probe).groupBy(*by).agg(F.count("*").alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
         if largest <= max_group_rows:
             return Ordered(df, tuple(by), tuple(order), False)
         # The bounds of a range partitioning are sampled anew in every job: store the result,

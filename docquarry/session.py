@@ -83,6 +83,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Repartition a source that has fewer splits than the cluster has cores, else leave it alone.
 
     For CPU-heavy work on a small file. A large table has more splits than cores and is not shuffled.
+    Only for frames that are plain scans: counting the partitions of a shuffled frame would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
