@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.vectors import as_doubles, norm
 from docquarry.operators.knn import (
-    _matrix, _merge, _result_schema, _unit, best_pairs, block_search, bounded_rows, pair_scores, rank_found,
+    _matrix, merge_pairs, _result_schema, _unit, best_pairs, block_search, bounded_rows, pair_scores, rank_found,
 )
 from docquarry.params import VECTOR_TOP_K, IvfParams, read_params, write_params
 
@@ -149,7 +149,7 @@ def _probe_scan(rows, queries, index, k, nprobe, query_id, query_vector) -> Data
                 mine = np.nonzero((table == cell).any(axis=1))[0]
                 scores = pair_scores(_matrix(group[vector_col], all_queries.shape[1]), all_queries[mine], metric)
                 found = best_pairs(group[id_col], scores, query_ids[mine], k, descending)
-                best = found if best is None else _merge([best, found], k, descending)
+                best = found if best is None else merge_pairs([best, found], k, descending)
         if best is not None:
             yield best
 

@@ -131,14 +131,14 @@ def _scan(rows, queries, vectors, k, metric, query_id, query_vector, id_col, vec
         for batch in batches:
             scores = pair_scores(_matrix(batch[vector_col], matrix.shape[1]), matrix, metric)
             found = best_pairs(batch[id_col], scores, query_ids, k, descending)
-            best = found if best is None else _merge([best, found], k, descending)
+            best = found if best is None else merge_pairs([best, found], k, descending)
         if best is not None:
             yield best
 
     return vectors.mapInPandas(search, _result_schema(queries, vectors, query_id, id_col))
 
 
-def _merge(parts: list[pd.DataFrame], k: int, descending: bool) -> pd.DataFrame:
+def merge_pairs(parts: list[pd.DataFrame], k: int, descending: bool) -> pd.DataFrame:
     both = pd.concat(parts, ignore_index=True)
     both = both.sort_values(["score", "id"], ascending=[not descending, True], kind="stable")
     return both.groupby("query_id", sort=False).head(k)

@@ -4,30 +4,51 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from docquarry.functions.text import term_counts, tokenize
-from docquarry.operators.common import rounded, top_k
+from docquarry.operators.common import SCORE_DIGITS, rounded, top_k
+from docquarry.operators.knn import best_pairs, merge_pairs
 from docquarry.params import LEXICAL_TOP_K, Bm25Params, read_params, write_params
 from docquarry.session import broadcast_if_small, fits_broadcast, materialise, spread
 
 
+# A search that scans documents broadcasts a weight per query and term; larger tables are joined.
+SCAN_MAX_WEIGHTS = 4_000_000
+# Values of one block of the score sum in a scan task.
+_BLOCK_VALUES = 4_000_000
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings`` (id, dl, term, tf), ``terms`` (term, df), ``collection`` (n_docs, avg_dl; one row)."""
+    """``postings`` (id, dl, term, tf), ``terms`` (term, df), ``collection`` (n_docs, avg_dl; one row).
+
+    ``forward`` (id, dl, counts) has a document's terms in one row; an index that is not stored has it.
+    """
 
     postings: DataFrame
     terms: DataFrame
     collection: DataFrame
     id_col: str
     params: Bm25Params = Bm25Params()
+    forward: DataFrame | None = None
+
+
+def forward_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document with its length and term counts. Needs no shuffle: counts are taken inside the row."""
+    tokens = docs.select(id_col, tokenize(text_col).alias("tokens"))
+    return tokens.select(id_col, F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("counts"))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document and term. Needs no shuffle: counts are taken inside the row."""
+    """One row per document and term, without a shuffle."""
     tokens = docs.select(id_col, tokenize(text_col).alias("tokens"))
     return tokens.select(id_col, F.size("tokens").alias("dl"), F.inline(term_counts(F.col("tokens"))))
 
@@ -41,6 +62,7 @@ def index_of(docs: DataFrame, id_col: str, text_col: str, params: Bm25Params = B
         collection=corpus_stats(docs, text_col),
         id_col=id_col,
         params=params,
+        forward=forward_rows(docs, id_col, text_col),
     )
 
 
@@ -105,27 +127,103 @@ def bm25_search(
         # Used to size the join, to weigh the terms and to score: compute the expansion once.
         wanted = materialise(wanted, "expanded-terms")
     small = fits_broadcast(wanted)
-    hint = F.broadcast if small else (lambda df: df)
+    scored = _scan_scores(index, wanted, k) if small and index.forward is not None else None
+    if scored is None:
+        scored = _join_scores(index, wanted, F.broadcast if small else (lambda df: df))
+    ranked = top_k(scored, ["query_id"], [F.desc("score"), F.asc(index.id_col)], k)
+    return ranked.select("query_id", "rank", index.id_col, "score")
 
+
+def _join_scores(index: TextIndex, wanted: DataFrame, hint) -> DataFrame:
+    """Score of every query and document that share a term, by joining postings and adding up."""
     n_docs = index.collection.select("n_docs").scalar()
     avg_dl = index.collection.select("avg_dl").scalar()
     k1, b = F.lit(index.params.k1), F.lit(index.params.b)
-    df = F.col("df")
+    df, tf, dl = F.col("df"), F.col("tf"), F.col("dl")
     idf = F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
     weights = (
         index.terms.join(hint(wanted), "term")
         .select("query_id", "term", (F.col("qtf") * idf * (k1 + F.lit(1.0))).alias("weight"))
     )
-    tf, dl = F.col("tf"), F.col("dl")
     gain = F.col("weight") * tf / (tf + k1 * (F.lit(1.0) - b + b * dl / avg_dl))
-    scored = (
+    return (
         index.postings.join(hint(weights), "term")
         .groupBy("query_id", index.id_col)
-        .agg(F.sum(gain).alias("score"))
-        .withColumn("score", rounded(F.col("score")))
+        .agg(rounded(F.sum(gain)).alias("score"))
     )
-    ranked = top_k(scored, ["query_id"], [F.desc("score"), F.asc(index.id_col)], k)
-    return ranked.select("query_id", "rank", index.id_col, "score")
+
+
+def _wanted_stats(forward: DataFrame, wanted: DataFrame) -> pd.DataFrame:
+    """Document frequency of the wanted terms, and in the row of the empty term the number of
+    documents and their total length: one pass over the documents."""
+    whole = F.array(F.struct(F.lit("").alias("term"), F.col("dl").alias("tf")))
+    counted = forward.select(F.inline(F.concat(whole, "counts"))).filter("tf > 0")
+    names = wanted.select("term").unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    stats = counted.join(F.broadcast(names), "term", "left_semi").groupBy("term")
+    return stats.agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).toPandas().set_index("term")
+
+
+def _scan_scores(index: TextIndex, wanted: DataFrame, k: int) -> DataFrame | None:
+    """Best ``k`` per query and scan task, by two passes over the documents: statistics, then scores.
+
+    A document's terms are in one row, so its scores are complete inside the task, and no pair of
+    query and document is shuffled except the few that can still win. ``wanted`` was checked to be
+    small; None when its weights, as a matrix of terms and queries, are over the bound.
+    """
+    table = wanted.toPandas()
+    vocabulary, term_of = np.unique(table["term"].to_numpy(dtype=object), return_inverse=True)
+    query_ids, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
+    if not len(table) or vocabulary.size * query_ids.size > SCAN_MAX_WEIGHTS:
+        return None
+    stats = _wanted_stats(index.forward, wanted)
+    n_docs, total = (stats.loc[""] if "" in stats.index else (0, 0))
+    average = total / n_docs if n_docs else 1.0
+    k1, b, id_col = index.params.k1, index.params.b, index.id_col
+    df = stats["df"].reindex(vocabulary).fillna(0).to_numpy()
+    idf = np.where(df > 0, np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0)
+    matrix = np.zeros((vocabulary.size, query_ids.size))
+    matrix[term_of, query_of] = table["qtf"].to_numpy() * idf[term_of] * (k1 + 1.0)
+    shared = wanted.sparkSession.sparkContext.broadcast((vocabulary.tolist(), query_ids, matrix))
+
+    def score(batches):
+        vocabulary, query_ids, weight = shared.value
+        lookup = pa.array(vocabulary, pa.string())
+        best = None
+        for batch in batches:
+            lists = batch.column("terms")
+            sizes = np.asarray(lists.value_lengths())
+            found = pc.index_in(lists.flatten(), lookup)
+            hit = np.asarray(found.is_valid())
+            term = np.asarray(found.drop_null())
+            doc = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            tf = np.asarray(batch.column("tfs").flatten(), dtype=float)[hit]
+            dl = np.asarray(batch.column("dl"), dtype=float)[doc]
+            gain = tf / (tf + k1 * (1.0 - b + b * dl / average))
+            docs, starts = np.unique(doc, return_index=True)
+            ids = batch.column(id_col).to_pandas()
+            step = max(1, _BLOCK_VALUES // weight.shape[1])
+            first = 0
+            while first < len(docs):
+                # Whole documents, about ``step`` postings at a time.
+                last = max(first + 1, int(np.searchsorted(starts, starts[first] + step)))
+                stop = starts[last] if last < len(docs) else len(doc)
+                part = slice(starts[first], stop)
+                sums = np.add.reduceat(weight[term[part]] * gain[part, None], starts[first:last] - starts[first], axis=0)
+                top = best_pairs(ids.iloc[docs[first:last]], np.round(sums, SCORE_DIGITS), query_ids, k, True)
+                top = top[top["score"] > 0]
+                best = top if best is None else merge_pairs([best, top], k, True)
+                first = last
+        if best is not None and len(best):
+            yield pa.RecordBatch.from_pandas(best, schema=arrow_schema, preserve_index=False)
+
+    id_type = index.forward.schema[id_col].dataType
+    query_type = wanted.schema["query_id"].dataType
+    schema = StructType([
+        StructField("query_id", query_type), StructField("id", id_type), StructField("score", DoubleType())
+    ])
+    arrow_schema = to_arrow_schema(schema)
+    rows = index.forward.select(id_col, "dl", F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tfs"))
+    return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
 def merge_hits(hits: DataFrame, key: list[str], query_pos: str = "query_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,23 @@ BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: UDFs refer to its modules."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="docquarry-"), "docquarry"), "zip",
+        root_dir=os.path.dirname(package), base_dir=os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def build_session(app_name: str = "docquarry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for."""
     builder = SparkSession.builder.appName(app_name)
@@ -28,7 +47,9 @@ def build_session(app_name: str = "docquarry", master: str | None = None, **conf
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:
