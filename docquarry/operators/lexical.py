@@ -23,7 +23,7 @@ from docquarry.session import broadcast_if_small, fits_broadcast, materialise, s
 # A search that scans documents broadcasts a weight per query and term; larger tables are joined.
 SCAN_MAX_WEIGHTS = 4_000_000
 # Values of one block of the score sum in a scan task.
-_BLOCK_VALUES = 4_000_000
+_BLOCK_VALUES = 8_000_000
 
 
 @dataclass(frozen=True)
