@@ -120,5 +120,5 @@ def text_layer(html: str | Column) -> Column:
 
 def route_pages(pages: DataFrame, html: str = "html", min_chars: int = TEXT_LAYER_CHARS) -> DataFrame:
     """Adds ``text_chars`` and ``route``: ``txt`` where the page has a text layer, else ``ocr``."""
-    routed = pages.withColumn("text_chars", F.length(text_layer(html)))
+    routed = pages.withColumn("text_chars", F.coalesce(F.length(text_layer(html)), F.lit(0)))
     return routed.withColumn("route", F.when(F.col("text_chars") < min_chars, "ocr").otherwise("txt"))
