@@ -70,7 +70,7 @@ vector AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 """
 FUSED_SQL = """
 fused AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id,
-    l.rank AS lexical_rank, v.rank AS vector_rank,
+    coalesce(l.rank, 0) AS lexical_rank, coalesce(v.rank, 0) AS vector_rank,
     round(coalesce(1 / (60 + l.rank)::double, 0) + coalesce(1 / (60 + v.rank)::double, 0), 9) AS score
     FROM lexical l FULL JOIN vector v ON l.query_id = v.query_id AND l.doc_id = v.doc_id)
 """
@@ -99,9 +99,11 @@ def hybrid_rrf(spark, folder):
     vectors = document_vectors(spark, folder).select("doc_id", "embedding")
     vector = knn_exact(query_vectors(spark, folder), vectors, 10, id_col="doc_id")
     fused = fusion.fuse_rrf(lexical, vector, "doc_id", top_n=10)
-    for c in ("rank", "lexical_rank", "vector_rank"):
-        fused = fused.withColumn(c, F.col(c).cast("long"))
-    return fused
+    # 0 stands for "not in this list".
+    return fused.select(
+        "query_id", "doc_id", "score",
+        *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("rank", "lexical_rank", "vector_rank")],
+    )
 
 
 @query(f"""

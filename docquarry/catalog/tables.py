@@ -96,7 +96,8 @@ paths AS (SELECT o_orderkey AS file_key, '/data/' || o_orderkey AS file_path FRO
 
 @query(f"""
 WITH {_UPLOADS}
-SELECT file_key, file_name, file_url, file_path, file_url IS NULL OR file_path IS NULL AS failed
+SELECT file_key, file_name, coalesce(file_url, '') AS file_url, coalesce(file_path, '') AS file_path,
+    file_url IS NULL OR file_path IS NULL AS failed
 FROM names LEFT JOIN urls USING (file_key) LEFT JOIN paths USING (file_key)
 """)
 def align_uploads(spark, folder):
@@ -107,7 +108,8 @@ def align_uploads(spark, folder):
         orders.filter("o_orderstatus <> 'P'").select("file_key", F.concat(F.lit("bucket/"), "file_key").alias("file_url")),
         orders.filter("o_totalprice > 100000").select("file_key", F.concat(F.lit("/data/"), "file_key").alias("file_path")),
     )
-    return done.withColumn("failed", F.lit(False)).unionByName(failed.withColumn("failed", F.lit(True)))
+    both = done.withColumn("failed", F.lit(False)).unionByName(failed.withColumn("failed", F.lit(True)))
+    return both.fillna("", ["file_url", "file_path"])
 
 
 _CLEAN_SQL = r"replace(regexp_replace(url_decode(replace(url, '/en/', '%2F%EF%BC%81en%20')), '[\x{FF01}-\x{FF5E}\x{3000}-\x{303F}]', '', 'g'), '/', '_')"
@@ -129,7 +131,7 @@ def clean_filename(spark, folder):
 
 @query(r"""
 SELECT page_id, b AS base_name, split_part(b, '.', 1) AS stem,
-    CASE WHEN regexp_matches(b, '[^.]\.html$') THEN 'text/html' END AS media_type,
+    CASE WHEN regexp_matches(b, '[^.]\.html$') THEN 'text/html' ELSE 'unknown' END AS media_type,
     replace(url || ' copy', ' ', '%20') AS escaped
 FROM (SELECT *, list_extract(string_split(url, '/'), -1) AS b FROM pages)
 """)
@@ -137,7 +139,7 @@ def file_names(spark, folder):
     """Base name, stem, media type and escaped address."""
     return table(spark, folder, "pages").select(
         "page_id", names.base_name("url").alias("base_name"), names.stem("url").alias("stem"),
-        names.media_type("url").alias("media_type"),
+        F.coalesce(names.media_type("url"), F.lit("unknown")).alias("media_type"),
         names.escape_spaces(F.concat("url", F.lit(" copy"))).alias("escaped"),
     )
 

@@ -163,6 +163,8 @@ def block_search(
             F.ceil(F.col("nv") / block_vectors).cast("int").alias("v_blocks"),
         )
     )
+    # One row per cell: bounded by the number of lists of the index.
+    sizes = F.broadcast(sizes)
     descending = metric != "l2"
     keys = ["cell", "q_block", "v_block"]
 

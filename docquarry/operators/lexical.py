@@ -21,7 +21,7 @@ from docquarry.session import broadcast_if_small, fits_broadcast, materialise, s
 
 
 # A search that scans documents broadcasts a weight per query and term; larger tables are joined.
-SCAN_MAX_WEIGHTS = 4_000_000
+SCAN_MAX_WEIGHTS = 16_000_000
 # Values of one block of the score sum in a scan task.
 _BLOCK_VALUES = 8_000_000
 
@@ -73,31 +73,43 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(length.alias("dl")).agg(F.count("dl").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, params: Bm25Params = Bm25Params()) -> TextIndex:
-    """Store the index and open it.
+def write_index(
+    docs: DataFrame, id_col: str, text_col: str, path: str, params: Bm25Params = Bm25Params(), mode: str = "overwrite"
+) -> TextIndex:
+    """Store the index and open it; mode ``append`` adds documents that are not in it yet.
 
     Postings are range-partitioned and sorted by (term, id): a search reads only the row groups
-    of its terms, and a term of very many documents is spread over several files.
+    of its terms, and a term of very many documents is spread over several files. Term and
+    collection counts are stored per batch and added up when the index is opened, so that adding
+    documents rewrites nothing.
     """
-    posted = postings(docs, id_col, text_col)
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"unknown mode {mode!r}")
+    # Tokenise once: sampling the range bounds, writing and counting all start from the stored rows.
+    rows = materialise(forward_rows(docs, id_col, text_col), "forward-rows")
+    posted = rows.select(id_col, "dl", F.inline("counts"))
     (
         posted.repartitionByRange("term", id_col)
         .sortWithinPartitions("term", id_col)
-        .write.mode("overwrite").parquet(f"{path}/postings")
+        .write.mode(mode).parquet(f"{path}/postings")
     )
-    spark = docs.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_stats(docs, text_col).coalesce(1).write.mode("overwrite").parquet(f"{path}/collection")
-    write_params(spark, params, f"{path}/params")
-    return open_index(spark, path, id_col)
+    counted = posted.groupBy("term").agg(F.count("*").alias("df"))
+    counted.write.mode(mode).parquet(f"{path}/terms")
+    lengths = rows.agg(F.count(F.nullif("dl", F.lit(0))).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_terms"))
+    lengths.write.mode(mode).parquet(f"{path}/collection")
+    write_params(docs.sparkSession, params, f"{path}/params")
+    return open_index(docs.sparkSession, path, id_col)
 
 
 def open_index(spark: SparkSession, path: str, id_col: str) -> TextIndex:
     read = spark.read.parquet
+    sums = read(f"{path}/collection").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_terms").alias("n_terms"))
     return TextIndex(
-        read(f"{path}/postings"), spread(read(f"{path}/terms")), read(f"{path}/collection"),
-        id_col, read_params(spark, Bm25Params, f"{path}/params"),
+        postings=read(f"{path}/postings"),
+        terms=read(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df")),
+        collection=sums.select("n_docs", F.try_divide("n_terms", "n_docs").alias("avg_dl")),
+        id_col=id_col,
+        params=read_params(spark, Bm25Params, f"{path}/params"),
     )
 
 
@@ -118,7 +130,9 @@ def bm25_search(
     """
     wanted = query_terms(queries, query_id, text_col)
     if fuzzy:
-        near = expand_terms(wanted.select("term").distinct(), index.terms, transpositions)
+        # The vocabulary is read several times: count its terms once.
+        vocabulary = spread(materialise(index.terms.select("term"), "vocabulary"))
+        near = expand_terms(wanted.select("term").distinct(), vocabulary, transpositions)
         wanted = (
             wanted.join(near, "term")
             .select("query_id", F.col("match").alias("term"), (F.col("qtf") * F.col("weight")).alias("qtf"))

@@ -66,6 +66,16 @@ def test_scan_join_and_stored_search_equal_brute_force(spark, tmp_path, corpus):
     assert read_params(spark, Bm25Params, str(tmp_path / "index/params")) == Bm25Params()
 
 
+def test_appended_index_equals_whole_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs, queries = frames(spark)
+    lexical.write_index(docs.filter("doc_id <= 3"), "doc_id", "text", path)
+    index = lexical.write_index(docs.filter("doc_id > 3"), "doc_id", "text", path, mode="append")
+    assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(DOCS, QUERIES, 3)
+    with pytest.raises(ValueError):
+        lexical.write_index(docs, "doc_id", "text", path, mode="merge")
+
+
 def test_search_beyond_the_bounds(spark, monkeypatch):
     docs, queries = frames(spark)
     monkeypatch.setattr(lexical, "SCAN_MAX_WEIGHTS", 1)
