@@ -49,7 +49,7 @@ SELECT query_id, doc_id, index, relevance_score,
 FROM overlap
 """)
 def rerank_overlap(spark, folder):
-    return ranked(rerank(candidates(spark, folder)))
+    return ranked(rerank(candidates(spark, folder), max_candidates=10))
 
 
 @query(f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,8 @@ _BLOCK_VALUES = 8_000_000
 class TextIndex:
     """``postings`` (id, dl, term, tf), ``terms`` (term, df), ``collection`` (n_docs, avg_dl; one row).
 
-    ``forward`` (id, dl, counts) has a document's terms in one row; an index that is not stored has it.
+    ``forward`` (id, dl, counts) has a document's terms in one row. Of a ``stored`` index the
+    tables are read from files, otherwise they are computed from the documents when used.
     """
 
     postings: DataFrame
@@ -39,6 +41,7 @@ class TextIndex:
     id_col: str
     params: Bm25Params = Bm25Params()
     forward: DataFrame | None = None
+    stored: bool = False
 
 
 def forward_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,7 +89,11 @@ def write_index(
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
     # Tokenise once: sampling the range bounds, writing and counting all start from the stored rows.
-    rows = materialise(forward_rows(docs, id_col, text_col), "forward-rows")
+    batch = uuid.uuid4().hex
+    fresh = forward_rows(docs, id_col, text_col).withColumn("batch", F.lit(batch))
+    fresh.write.mode(mode).partitionBy("batch").parquet(f"{path}/forward")
+    stored = docs.sparkSession.read.parquet(f"{path}/forward")
+    rows = stored.filter(F.col("batch") == batch).drop("batch")
     posted = rows.select(id_col, "dl", F.inline("counts"))
     (
         posted.repartitionByRange("term", id_col)
@@ -110,6 +117,8 @@ def open_index(spark: SparkSession, path: str, id_col: str) -> TextIndex:
         collection=sums.select("n_docs", F.try_divide("n_terms", "n_docs").alias("avg_dl")),
         id_col=id_col,
         params=read_params(spark, Bm25Params, f"{path}/params"),
+        forward=read(f"{path}/forward").drop("batch"),
+        stored=True,
     )
 
 
@@ -141,7 +150,9 @@ def bm25_search(
         # Used to size the join, to weigh the terms and to score: compute the expansion once.
         wanted = materialise(wanted, "expanded-terms")
     small = fits_broadcast(wanted)
-    scored = _scan_scores(index, wanted, k) if small and index.forward is not None else None
+    scored = None
+    if small and index.forward is not None and not (index.stored and _selective(index, wanted)):
+        scored = _scan_scores(index, wanted, k)
     if scored is None:
         scored = _join_scores(index, wanted, F.broadcast if small else (lambda df: df))
     ranked = top_k(scored, ["query_id"], [F.desc("score"), F.asc(index.id_col)], k)
@@ -167,9 +178,30 @@ def _join_scores(index: TextIndex, wanted: DataFrame, hint) -> DataFrame:
     )
 
 
-def _wanted_stats(forward: DataFrame, wanted: DataFrame) -> pd.DataFrame:
+# A stored index is joined by term while the join touches less than this share of the postings.
+SELECTIVE_SHARE = 0.25
+
+
+def _selective(index: TextIndex, wanted: DataFrame) -> bool:
+    """Whether the postings of the wanted terms, once per query, are a small part of the index."""
+    uses = wanted.groupBy("term").agg(F.count("*").alias("uses"))
+    df = F.col("df")
+    touched, total = index.terms.join(F.broadcast(uses), "term", "left").agg(
+        F.sum(F.coalesce("uses", F.lit(0)) * df), F.sum(df)
+    ).first()
+    return (touched or 0) <= SELECTIVE_SHARE * (total or 0)
+
+
+def _wanted_stats(index: TextIndex, wanted: DataFrame) -> pd.DataFrame:
     """Document frequency of the wanted terms, and in the row of the empty term the number of
-    documents and their total length: one pass over the documents."""
+    documents and their total length. Without a stored index: one pass over the documents."""
+    if index.stored:
+        names = wanted.select("term").distinct()
+        known = index.terms.join(F.broadcast(names), "term", "left_semi").withColumn("cf", F.lit(0))
+        n_docs, average = index.collection.select("n_docs", "avg_dl").first()
+        whole = pd.DataFrame({"term": [""], "df": [n_docs or 0], "cf": [(n_docs or 0) * (average or 0.0)]})
+        return pd.concat([known.select("term", "df", "cf").toPandas(), whole]).set_index("term")
+    forward = index.forward
     whole = F.array(F.struct(F.lit("").alias("term"), F.col("dl").alias("tf")))
     counted = forward.select(F.inline(F.concat(whole, "counts"))).filter("tf > 0")
     names = wanted.select("term").unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
@@ -189,8 +221,8 @@ def _scan_scores(index: TextIndex, wanted: DataFrame, k: int) -> DataFrame | Non
     query_ids, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
     if not len(table) or vocabulary.size * query_ids.size > SCAN_MAX_WEIGHTS:
         return None
-    stats = _wanted_stats(index.forward, wanted)
-    n_docs, total = (stats.loc[""] if "" in stats.index else (0, 0))
+    stats = _wanted_stats(index, wanted)
+    n_docs, total = stats.loc[""] if "" in stats.index else (0, 0)
     average = total / n_docs if n_docs else 1.0
     k1, b, id_col = index.params.k1, index.params.b, index.id_col
     df = stats["df"].reindex(vocabulary).fillna(0).to_numpy()

@@ -55,14 +55,16 @@ def random_corpus(seed=1, n=120):
 
 
 @pytest.mark.parametrize("corpus", [(DOCS, QUERIES), random_corpus()])
-def test_scan_join_and_stored_search_equal_brute_force(spark, tmp_path, corpus):
+def test_scan_join_and_stored_search_equal_brute_force(spark, tmp_path, monkeypatch, corpus):
     docs, queries = frames(spark, *corpus)
     want = brute_bm25(*corpus, k=3)
     index = lexical.index_of(docs, "doc_id", "text")
     assert found(lexical.bm25_search(queries, index, 3)) == want
     assert found(lexical.bm25_search(queries, replace(index, forward=None), 3)) == want
     stored = lexical.write_index(docs, "doc_id", "text", str(tmp_path / "index"))
-    assert found(lexical.bm25_search(queries, stored, 3)) == want
+    for share in (0.0, 1e9):  # always by scan, always by join
+        monkeypatch.setattr(lexical, "SELECTIVE_SHARE", share)
+        assert found(lexical.bm25_search(queries, stored, 3)) == want
     assert read_params(spark, Bm25Params, str(tmp_path / "index/params")) == Bm25Params()
 
 
