@@ -1,4 +1,4 @@
-"""Headline timings. Prints one JSON line; one warm-up, then the median of three runs per query."""
+"""Headline timings. Prints one JSON line; one warm-up, then the median of BENCH_REPEATS (2) runs per query."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]",
