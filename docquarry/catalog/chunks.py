@@ -12,7 +12,7 @@ from docquarry.operators.maintenance import list_indexes as index_list
 from docquarry.operators.validate import validate_lengths
 from docquarry.plans.ingest import Store, ingest
 from docquarry.session import scratch_path, spread
-from docquarry.sources.chunks import scan_index, write_chunks
+from docquarry.sources.chunks import delete_chunks, scan_index, upsert_chunks, write_chunks
 
 
 def fixed(spark, folder, *columns):
@@ -99,6 +99,29 @@ def full_scan(spark, folder):
     )
 
 
+@query(f"""
+WITH {CHUNKS_SQL}
+SELECT source AS collection, lang AS partition_name, doc_id AS file_id, chunk_pos,
+    CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'v2 ' || content ELSE content END AS content
+FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+""")
+def store_maintenance(spark, folder):
+    """A stored chunk table after an upsert (chunks of labelled documents) and a delete (toxic ones)."""
+    rows = fixed(spark, folder, "source", "lang").select(
+        F.col("source").alias("collection"), F.col("lang").alias("partition_name"), F.col("doc_id").alias("file_id"),
+        "chunk_pos", "content", chunk_key("source", "lang", "doc_id", "chunk_pos").alias("chunk_id"),
+    )
+    labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "file_id")
+    path = scratch_path(spark, "chunks")
+    write_chunks(rows, path)
+    changed = rows.join(labels.select("file_id").distinct(), "file_id", "left_semi")
+    upsert_chunks(changed.withColumn("content", F.concat(F.lit("v2 "), "content")), path)
+    delete_chunks(rows.join(labels.filter("toxic = 1"), "file_id", "left_semi").select("chunk_id"), path)
+    return scan_index(spark, path).select(
+        "collection", "partition_name", "file_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), "content"
+    )
+
+
 @query("""
 SELECT doc_id, CASE WHEN length(source) > 50 THEN 'source_too_long' WHEN length(text) > 4000 THEN 'text_too_long'
     ELSE 'ok' END AS error_code

@@ -8,6 +8,9 @@ from docquarry.catalog.base import query, table
 from docquarry.functions import names
 from docquarry.functions.keys import display_time, ingest_date
 from docquarry.operators import maintenance, validate
+from docquarry.session import scratch_path
+from docquarry.sources.files import file_manifest as manifest
+from docquarry.sources.registry import add_absent, init_registry, read_registry
 
 
 @query("""
@@ -202,6 +205,25 @@ def validate_rows(spark, folder):
     return validate.validate_users(users)
 
 
+@query("SELECT c_custkey AS user_id, c_name AS user_name, 1::int AS user_status FROM customer")
+def registry_users(spark, folder):
+    """Customers registered as users; sending them again adds nobody."""
+    root = scratch_path(spark, "registry")
+    init_registry(spark, root)
+    users = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name"), F.lit(1).alias("user_status")
+    )
+    for _ in range(2):
+        add_absent(users, root, "user", ["user_id"])
+    return read_registry(spark, root, "user").select("user_id", "user_name", "user_status")
+
+
+@query()
+def file_manifest(spark, folder):
+    """Name, type and size of the files that hold the given tables."""
+    return manifest(spark, folder).select("file_name", "media_type", "n_bytes")
+
+
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS ingest_date,
     strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS display_time
