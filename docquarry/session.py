@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -55,13 +56,13 @@ def build_session(app_name: str = "docquarry", master: str | None = None, **conf
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Where it is unset a temporary folder stands in, but only in local mode: on a cluster a
+    Where it is unset a temporary folder stands in, but only in single-machine mode: on a cluster a
     machine-local folder would lose data with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="docquarry-")
     spark.conf.set("spark.checkpoint.dir", root)
@@ -84,11 +85,9 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
 ) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; reads one row past the bound."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    rows, total = (
-        df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    )
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes, by partial sums in every task."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return rows <= max_rows and total <= max_bytes
 
 
