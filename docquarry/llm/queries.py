@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm import bpe, sharding
 from docquarry.llm import host_quality as hq
-from docquarry.llm import sharding
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 
 SHARDS = 24
+BPE_FILE = "byte_bpe_50k.json"
 
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -103,3 +105,19 @@ def op6_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Per document: number of ids, digest of the ids, digest of the text decoded from them."""
+    ids = docs.select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    return ids.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("decoded")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@register()
+def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return encoded_documents(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE))
