@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docquarry.llm import bpe, sharding
 from docquarry.llm import host_quality as hq
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
+from docquarry.llm.jaccard_join import jaccard_groups
 
 SHARDS = 24
 BPE_FILE = "byte_bpe_50k.json"
@@ -121,3 +122,25 @@ def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
 def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again."""
     return encoded_documents(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE))
+
+
+@register(f"""
+WITH texts AS (
+  SELECT doc_id, {SQL_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM texts
+), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  WITH RECURSIVE walk AS (
+    SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT walk.a, links.b FROM walk JOIN links ON links.a = walk.b
+  ) SELECT a, min(b) AS component_id FROM walk GROUP BY a
+)
+SELECT doc_id, len(s)::bigint AS n_shingles, component_id FROM sets JOIN reach ON a = doc_id
+""")
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word n-gram sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard_groups(table(spark, folder, "documents"))
