@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, sharding
+from docquarry.llm import bpe, decontaminate, sharding
 from docquarry.llm import host_quality as hq
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docquarry.llm.jaccard_join import jaccard_groups
@@ -144,3 +144,48 @@ SELECT doc_id, len(s)::bigint AS n_shingles, component_id FROM sets JOIN reach O
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 3-word n-gram sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_groups(table(spark, folder, "documents"))
+
+
+def _seed_sql(ids: str, words: str, source: str, full: bool) -> str:
+    """Words under each mask at each place, joined by a blank; past the end there is no word."""
+    parts = []
+    for m, mask in enumerate(decontaminate.MASKS):
+        text = ", ".join(f"{words}[i + {o}]" for o in mask)
+        span = f"AND i + {max(mask)} <= len({words})" if full else ""
+        parts.append(
+            f"SELECT {ids}, {m} AS mask, i, concat_ws(' ', {text}) AS seed FROM "
+            f"(SELECT *, unnest(range(1, len({words}) + 1)) AS i FROM {source}) WHERE true {span}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register(f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS.format(text=_LOWER)} AS w FROM documents),
+b AS (SELECT item_id, {SQL_WORDS.format(text=_LOWER)} AS v FROM benchmark),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, x.i - y.i AS shift FROM ({_seed_sql('doc_id', 'w', 'd', False)}) x
+  JOIN ({_seed_sql('item_id', 'v', 'b', True)}) y USING (mask, seed)
+), same AS (
+  SELECT doc_id, item_id, shift, j, CASE WHEN shift + j >= 1 AND w[shift + j] = v[j] THEN 1 ELSE 0 END AS hit
+  FROM (SELECT doc_id, item_id, shift, w, v, unnest(range(1, len(v) + 1)) AS j FROM hits JOIN d USING (doc_id) JOIN b USING (item_id))
+), summed AS (
+  SELECT *, sum(hit) OVER w AS hits, sum(CASE hit WHEN 1 THEN 1 ELSE -3 END) OVER w AS score FROM same
+  WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY j)
+), edges AS (
+  SELECT doc_id, item_id, shift, j, hits, score FROM summed UNION ALL SELECT doc_id, item_id, shift, 0, 0, 0 FROM hits
+), stretch AS (
+  SELECT e.doc_id, e.item_id, e.shift, s.j AS first, e.j - s.j AS span, e.hits - s.hits AS matched,
+    row_number() OVER (PARTITION BY e.doc_id, e.item_id, e.shift ORDER BY e.score - s.score DESC, e.j, s.j DESC) AS rank
+  FROM edges e JOIN edges s ON e.doc_id = s.doc_id AND e.item_id = s.item_id AND e.shift = s.shift AND s.j < e.j
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, span, shift + first) AS best
+  FROM stretch WHERE rank = 1 AND matched >= 10
+)
+SELECT doc_id, item_id, matched::bigint AS n_matched, span::bigint AS n_span, (shift + first)::bigint AS start FROM ranked WHERE best = 1
+""")
+def op2_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, replaced words tolerated."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
