@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, decontaminate, sharding
+from docquarry.llm import bpe, decontaminate, secrets, sharding
 from docquarry.llm import host_quality as hq
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docquarry.llm.jaccard_join import jaccard_groups
@@ -189,3 +189,13 @@ SELECT doc_id, item_id, matched::bigint AS n_matched, span::bigint AS n_span, (s
 def op2_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, replaced words tolerated."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register()
+def op10_secret_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of credentials in every document: those of the base patterns and those the inferred formats add."""
+    spans = secrets.secret_spans(table(spark, folder, "documents"))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return spans.select(
+        "doc_id", *count, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+    )
