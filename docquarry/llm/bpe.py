@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from docquarry.llm.common import lists
 
-KEPT_PIECES = 300_000  # per Python worker; beyond it the store is emptied
+KEPT_PIECES = 100_000  # per Python worker, pieces and pairs each; beyond it the store is emptied
 GROUP_CHARS = 1_000_000  # texts whose pieces are looked up together
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE.
@@ -44,21 +44,42 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _tables(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
+    """Vocabulary, merges and special tokens of a vocabulary file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model = spec["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return model["vocab"], merges, {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+
+
+def _token_bytes(ids: dict[str, int], specials: dict[str, int]) -> list[bytes]:
+    alphabet, table = byte_alphabet(), [b""] * (max([*ids.values(), *specials.values()]) + 1)
+    for token, i in ids.items():
+        table[i] = bytes(alphabet[c] for c in token)
+    for token, i in specials.items():
+        table[i] = token.encode()
+    return table
+
+
+class Decoder:
+    """The bytes of every token."""
+
+    def __init__(self, path: str):
+        ids, _, specials = _tables(path)
+        self.bytes_of = _token_bytes(ids, specials)
+
+    def decode(self, ids: np.ndarray) -> str:
+        table, end = self.bytes_of, len(self.bytes_of)
+        return b"".join([table[i] for i in ids.tolist() if 0 <= i < end]).decode("utf-8", "replace")
+
+
 class PairEncoder:
     """Tables of one vocabulary file and the pieces encoded so far."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model, alphabet = spec["model"], byte_alphabet()
-        ids: dict[str, int] = model["vocab"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        specials = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        self.bytes_of: list[bytes] = [b""] * (max([*ids.values(), *specials.values()]) + 1)
-        for token, i in ids.items():
-            self.bytes_of[i] = bytes(alphabet[c] for c in token)
-        for token, i in specials.items():
-            self.bytes_of[i] = token.encode()
+        ids, merges, specials = _tables(path)
+        bytes_of = _token_bytes(ids, specials)
         # A token's rank is the place of its merge; single bytes come before all merges.
         self.rank = {ids[c]: -1 for c in ids if len(c) == 1}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -70,10 +91,10 @@ class PairEncoder:
         self.ends: dict = {}  # tokens spelled backwards: byte -> node, None -> token
         for i in self.rank:
             node = self.ends
-            for b in reversed(self.bytes_of[i]):
+            for b in reversed(bytes_of[i]):
                 node = node.setdefault(b, {})
             node[None] = i
-        self.size = {i: len(self.bytes_of[i]) for i in self.rank}
+        self.size = {i: len(bytes_of[i]) for i in self.rank}
         self.special = specials
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.pieces = regex.compile(PIECES)
@@ -85,7 +106,7 @@ class PairEncoder:
         pair = (left, right)
         known = self.together.get(pair)
         if known is None:
-            if len(self.together) > 4 * KEPT_PIECES:
+            if len(self.together) > KEPT_PIECES:
                 self.together.clear()
             known = self.together[pair] = self._stands(left, right)
         return known
@@ -162,10 +183,6 @@ class PairEncoder:
             parts.extend([np.array([self.special[stretch]], np.int32).tobytes()] if i % 2 else self.pieces.findall(stretch))
         return parts
 
-    def decode(self, ids: np.ndarray) -> str:
-        table, end = self.bytes_of, len(self.bytes_of)
-        return b"".join([table[i] for i in ids.tolist() if 0 <= i < end]).decode("utf-8", "replace")
-
 
 def _groups(texts: list[str]):
     """Ranges of texts of about GROUP_CHARS together; a longer text is a range of its own."""
@@ -185,6 +202,11 @@ def encoder(path: str) -> PairEncoder:
     return PairEncoder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(text: Column, path: str) -> Column:
     """The ids of each whole text, as ``array<int>``."""
 
@@ -201,7 +223,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf(T.StringType())
     def bpe_decode(rows: pa.Array) -> pa.Array:
-        model, flat = encoder(path), rows.values.to_numpy(zero_copy_only=False)
+        model, flat = decoder(path), rows.values.to_numpy(zero_copy_only=False)
         offsets = rows.offsets.to_numpy()
         return pa.array([model.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
 
