@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docquarry.llm import bpe, decontaminate, secrets, sharding
 from docquarry.llm import host_quality as hq
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
+from docquarry.llm.html_text import main_texts
 from docquarry.llm.jaccard_join import jaccard_groups
 
 SHARDS = 24
@@ -199,3 +200,10 @@ def op10_secret_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return spans.select(
         "doc_id", *count, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
     )
+
+
+@register()
+def op7_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The article text of every page."""
+    text = table(spark, folder, "pages").select("page_id", "url", main_texts(F.col("html")).alias("text"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
