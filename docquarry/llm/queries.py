@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, decontaminate, secrets, sharding
 from docquarry.llm import host_quality as hq
+from docquarry.llm.backoff import backoff_scores
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docquarry.llm.html_text import main_texts
 from docquarry.llm.jaccard_join import jaccard_groups
@@ -207,3 +208,26 @@ def op7_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The article text of every page."""
     text = table(spark, folder, "pages").select("page_id", "url", main_texts(F.col("html")).alias("text"))
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@register(f"""
+WITH w AS (SELECT doc_id, {SQL_WORDS.format(text=_LOWER)} AS w FROM documents
+), t AS (SELECT doc_id, i, w[i] AS v, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)
+), c1 AS (SELECT v, count(*) AS n FROM t GROUP BY v
+), c2 AS (SELECT u, v, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY u, v
+), s AS (
+  SELECT doc_id, sum(CASE WHEN t.u IS NULL THEN ln(c1.n) - ln(total) WHEN c2.n IS NULL THEN ln(0.4) + ln(c1.n) - ln(total) ELSE ln(c2.n) - ln(cu.n) END) AS score
+  FROM t JOIN c1 ON c1.v = t.v LEFT JOIN c1 cu ON cu.v = t.u LEFT JOIN c2 ON c2.u = t.u AND c2.v = t.v, (SELECT sum(n) AS total FROM c1)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w)::bigint AS n_words, round(coalesce(score, 0), 4) + 0.0 AS score,
+  round(coalesce(score, 0) / greatest(len(w), 1), 5) + 0.0 AS score_per_word
+FROM w LEFT JOIN s USING (doc_id)
+""")
+def op8_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document under the bigram counts of all documents."""
+    scores = backoff_scores(table(spark, folder, "documents"))
+    return scores.select(
+        "doc_id", "n_words", (F.round("score", 4) + 0.0).alias("score"),
+        (F.round(F.col("score") / F.greatest("n_words", F.lit(1)), 5) + 0.0).alias("score_per_word"),
+    )
