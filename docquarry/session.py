@@ -69,16 +69,44 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_scratch: list[tuple[str, str]] = []
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_root(spark)}/docquarry/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, kept until ``release_scratch``."""
+    path = f"{shared_root(spark)}/docquarry/{purpose}-{uuid.uuid4().hex}"
+    _scratch.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def scratch_mark() -> int:
+    """How many scratch paths there are; paths made later can be released by this mark."""
+    return len(_scratch)
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def release_scratch(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the scratch paths made since ``mark``, when all that was derived from them has been written elsewhere."""
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for application, path in _scratch[mark:]:
+        if application == spark.sparkContext.applicationId:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(configuration).delete(target, True)
+    del _scratch[mark:]
+
+
+def materialise(df: DataFrame, purpose: str, release_since: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With ``release_since`` (a ``scratch_mark``) the scratch paths made from there on, from which ``df`` was
+    derived, are deleted once it is written.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
     df.write.parquet(path)
+    if release_since is not None:
+        own = _scratch.pop()
+        release_scratch(spark, release_since)
+        _scratch.append(own)
     return spark.read.schema(df.schema).parquet(path)
 
 
