@@ -77,8 +77,9 @@ class Decoder:
 class PairEncoder:
     """Tables of one vocabulary file and the pieces encoded so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, with_specials: bool = True):
         ids, merges, specials = _tables(path)
+        specials = specials if with_specials else {}
         bytes_of = _token_bytes(ids, specials)
         # A token's rank is the place of its merge; single bytes come before all merges.
         self.rank = {ids[c]: -1 for c in ids if len(c) == 1}
@@ -197,9 +198,12 @@ def _groups(texts: list[str]):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PairEncoder:
-    """The encoder of a vocabulary file, once per process. The file is installed on every machine."""
-    return PairEncoder(path)
+def encoder(path: str, with_specials: bool = True) -> PairEncoder:
+    """The encoder of a vocabulary file, once per process. The file is installed on every machine.
+
+    Without specials their strings in a text are ordinary text.
+    """
+    return PairEncoder(path, with_specials)
 
 
 @lru_cache(maxsize=2)

@@ -6,15 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, decontaminate, secrets, sharding
+from docquarry.llm import bpe, decontaminate, secrets, sharding, warc
 from docquarry.llm import host_quality as hq
 from docquarry.llm.backoff import backoff_scores
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docquarry.llm.html_text import main_texts
 from docquarry.llm.jaccard_join import jaccard_groups
+from docquarry.llm.token_scan import document_token_counts
 
 SHARDS = 24
 BPE_FILE = "byte_bpe_50k.json"
+EOD = 50256
 
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -231,3 +233,18 @@ def op8_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", (F.round("score", 4) + 0.0).alias("score"),
         (F.round(F.col("score") / F.greatest("n_words", F.lit(1)), 5) + 0.0).alias("score_per_word"),
     )
+
+
+@register()
+def op3_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of the response record of every page."""
+    pages = table(spark, folder, "pages")
+    records = pages.select("page_id", warc.responses(F.col("url"), F.col("html")).alias("record"))
+    return warc.derivatives(records, keep=("page_id",)).withColumn("record", F.col("record").cast("string"))
+
+
+@register()
+def op4_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count of every document, found again in flat token files written from all documents."""
+    counts = document_token_counts(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE), EOD)
+    return counts.select("doc_id", "n_tokens", "closed")
