@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.catalog.base import query, sql_fixed_chunks, table
 from docquarry.functions.keys import chunk_key
 from docquarry.operators import chunking
-from docquarry.operators.common import top_k
+from docquarry.operators.maintenance import by_file
 from docquarry.operators.maintenance import list_indexes as index_list
 from docquarry.operators.validate import validate_lengths
 from docquarry.plans.ingest import Store, ingest
@@ -62,16 +62,12 @@ def chunk_key_check(spark, folder):
 
 @query(f"""
 WITH {CHUNKS_SQL}
-SELECT doc_id, chunk_pos, content, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_pos) AS rank FROM chunk
-    WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE rank <= 10
+SELECT doc_id, chunk_pos, content FROM chunk WHERE doc_id IN (SELECT doc_id FROM labels)
 """)
 def by_file_term(spark, folder):
-    """Term lookup of every labelled document: first ten chunks (the store's page) of each."""
-    listed = table(spark, folder, "labels").select("doc_id").distinct()
-    found = fixed(spark, folder).join(listed, "doc_id", "left_semi")
-    page = top_k(found, ["doc_id"], [F.asc("chunk_pos")], 10)
-    return page.withColumn("rank", F.col("rank").cast("long")).withColumn("chunk_pos", F.col("chunk_pos").cast("long"))
+    """Term lookup of every labelled document: all its chunks."""
+    found = by_file(fixed(spark, folder), table(spark, folder, "labels"), "doc_id")
+    return found.select("doc_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), "content")
 
 
 @query("""

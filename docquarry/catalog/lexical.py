@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from docquarry.catalog.base import query, sql_tokens, table
 from docquarry.functions.text import tokenize
 from docquarry.operators.lexical import (
-    bm25_search, corpus_stats as collection_stats, expand_terms, index_of, merge_hits, postings, write_index,
+    bm25_search, corpus_stats as collection_stats, delete_from_index, expand_terms, index_of, merge_hits, postings, write_index,
 )
+from docquarry.params import Bm25Params
 from docquarry.session import materialise, scratch_path, spread
 
 
@@ -44,6 +45,14 @@ lexical AS (
 """
 
 
+def bm25_over(documents: str, queries: str = "benchmark", tokens: str = "") -> str:
+    """The BM25 statements over a sub-query in place of ``documents``, and other queries."""
+    text = TOKENS_SQL.replace("FROM documents", f"FROM ({documents})").replace("FROM benchmark", f"FROM ({queries})")
+    if tokens:
+        text = text.replace(sql_tokens("text"), tokens)
+    return f"{text}, {BM25_SQL}"
+
+
 def tidy(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
@@ -62,6 +71,72 @@ def bm25_stored_index(spark, folder):
     return tidy(bm25_search(benchmark_queries(spark, folder), index))
 
 
+@query(f"WITH {bm25_over('SELECT * FROM documents WHERE source = ' + repr('src3'))} SELECT query_id, rank, doc_id, score FROM lexical")
+def bm25_by_collection(spark, folder):
+    """Search inside one collection of a stored index: counts and lengths are the collection's own."""
+    documents = spread(table(spark, folder, "documents"))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("source", "lang"))
+    return tidy(bm25_search(benchmark_queries(spark, folder), index, where=F.col("source") == "src3"))
+
+
+_SHORT = "SELECT item_id, list_max(" + sql_tokens("text") + ") AS text FROM benchmark"
+
+
+@query(f"WITH {bm25_over('SELECT * FROM documents', _SHORT)} SELECT query_id, rank, doc_id, score FROM lexical")
+def bm25_short_queries(spark, folder):
+    """One rare word per query: the stored postings of these words are joined, the documents are not read."""
+    documents = spread(table(spark, folder, "documents"))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"))
+    short = benchmark_queries(spark, folder).select("query_id", F.array_max(tokenize("text")).alias("text"))
+    return tidy(bm25_search(short, index))
+
+
+_KEPT = """
+    SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN text || ' ' || lang ELSE text END AS text
+    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+"""
+
+
+@query(f"WITH {bm25_over(_KEPT)} SELECT query_id, rank, doc_id, score FROM lexical")
+def text_index_maintenance(spark, folder):
+    """A stored index after an append in two parts, a change of some documents and a delete of others, each sent twice."""
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    labels = table(spark, folder, "labels")
+    path = scratch_path(spark, "text-index")
+    write_index(documents.filter("doc_id % 2 = 0"), "doc_id", "text", path)
+    changed = documents.join(labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    changed = changed.withColumn("text", F.concat_ws(" ", "text", "lang"))
+    toxic = labels.filter("toxic = 1").select("doc_id")
+    for _ in range(2):
+        write_index(documents, "doc_id", "text", path, mode="append")
+        write_index(changed, "doc_id", "text", path, mode="upsert")
+        index = delete_from_index(toxic, path, "doc_id")
+        documents = documents.join(toxic, "doc_id", "left_anti")
+        changed = changed.join(toxic, "doc_id", "left_anti")
+    return tidy(bm25_search(benchmark_queries(spark, folder), index))
+
+
+# Han characters that stand for the letters a to z in this query.
+HAN_LETTERS = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+_HAN_TEXT = f"translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{HAN_LETTERS}')"
+_HAN_TOKENS = (
+    "flatten(list_transform(regexp_extract_all(text, '[一-鿿]+|[^一-鿿\\P{L}]+|\\p{N}+'), lambda w: CASE WHEN regexp_matches(w, '[一-鿿]') "
+    "AND length(w) > 1 THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END))"
+)
+_HAN_WORDS = f"SELECT *, regexp_replace({_HAN_TEXT}, '[^一-鿿 ]', '', 'g') AS han FROM"
+
+
+@query(f"""WITH {bm25_over('SELECT doc_id, han AS text FROM (' + _HAN_WORDS + ' documents)', 'SELECT item_id, han AS text FROM (' + _HAN_WORDS + ' benchmark)', _HAN_TOKENS)}
+SELECT query_id, rank, doc_id, score FROM lexical""")
+def bm25_han(spark, folder):
+    """Search over Han text (the letters of all words written as Han characters): pairs of characters are the terms."""
+    text = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", HAN_LETTERS), "[^一-鿿 ]", "")
+    documents = spread(table(spark, folder, "documents")).select("doc_id", text.alias("text"))
+    path = scratch_path(spark, "text-index")
+    index = write_index(documents, "doc_id", "text", path, Bm25Params(han_bigrams=True))
+    return tidy(bm25_search(benchmark_queries(spark, folder).withColumn("text", text), index))
+
+
 @query(f"""
 WITH {TOKENS_SQL}, {BM25_SQL}
 SELECT doc_id, query_id, rank, score FROM lexical

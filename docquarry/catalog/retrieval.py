@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.catalog.base import query, sql_tokens, table
-from docquarry.catalog.lexical import BM25_SQL, TOKENS_SQL, benchmark_queries, document_index, tidy
+from docquarry.catalog.lexical import BM25_SQL, TOKENS_SQL, benchmark_queries, bm25_over, document_index, tidy
 from docquarry.catalog.vectors import D_SQL, DIMENSIONS, Q_SQL, query_vectors
 from docquarry.functions.text import query_prompt, rerank_prompt
-from docquarry.operators import fusion, generation
+from docquarry.operators import fusion
 from docquarry.operators.embedding import hash_embed
 from docquarry.operators.knn import knn_exact
 from docquarry.operators.lexical import bm25_search, write_index
@@ -139,16 +139,37 @@ def retrieve(spark, folder):
     index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"))
     vectors = materialise(hash_embed(documents, "text", dimensions=DIMENSIONS), "document-vectors")
     queries = benchmark_queries(spark, folder).join(query_vectors(spark, folder), "query_id")
-    return tidy(plan.retrieve(queries, index, vectors.withColumnRenamed("text", "content")))
+    return tidy(plan.retrieve(queries, index, vectors.withColumnRenamed("text", "content"), fuzzy=False))
+
+
+_EN = "SELECT * FROM documents WHERE lang = 'en'"
+
+
+@query(f"""
+WITH {bm25_over(_EN)}, {VECTOR_SQL.replace('FROM documents', 'FROM (' + _EN + ')')}, {FUSED_SQL}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, source, score, text AS content
+FROM fused JOIN documents USING (doc_id) QUALIFY rank <= 10
+""")
+def retrieve_filtered(spark, folder):
+    """Both searches restricted to one language, fused; nothing of other languages is scored, counted or returned."""
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("lang",))
+    vectors = materialise(hash_embed(documents, "text", dimensions=DIMENSIONS), "document-vectors")
+    queries = benchmark_queries(spark, folder).join(query_vectors(spark, folder), "query_id")
+    hits = plan.retrieve(
+        queries, index, vectors.withColumnRenamed("text", "content"), reranked=False, fuzzy=False,
+        where=F.col("lang") == "en", fields=("source",),
+    )
+    return tidy(hits).select("query_id", "rank", "doc_id", "source", "score", "content")
 
 
 @query("""
-SELECT conv_id, turn // 1000 AS piece, count(*) AS n_turns,
+SELECT conv_id, turn // 2 AS piece, count(*) AS n_turns,
     string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt
 FROM conversations GROUP BY ALL
 """)
 def chat_prompt(spark, folder):
-    prompts = fusion.chat_prompt(table(spark, folder, "conversations"))
+    prompts = fusion.chat_prompt(table(spark, folder, "conversations"), piece_turns=2)
     return prompts.withColumn("n_turns", F.col("n_turns").cast("long"))
 
 
@@ -166,11 +187,3 @@ def prompt_templates(spark, folder):
         "conv_id", "turn", rerank_prompt("role", "text", instruction).alias("pair_prompt"),
         query_prompt("text", instruction).alias("query_prompt"),
     )
-
-
-@query("SELECT conv_id, turn, 'echo: ' || text AS response FROM conversations")
-def generate(spark, folder):
-    """Batch generation with a stand-in generator that echoes the prompt."""
-    turns = table(spark, folder, "conversations")
-    answers = generation.generate(turns, lambda: lambda prompts, temperature: ["echo: " + p for p in prompts], "text")
-    return answers.select("conv_id", "turn", "response")

@@ -30,12 +30,12 @@ def collapse_runs(spark, folder):
 @query(f"""
 WITH {_RUNS_SQL},
 placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM runs)
-SELECT user_id, pos // 1000 AS piece, count(*) AS n_symbols, string_agg(event_type, ' ' ORDER BY pos) AS text
+SELECT user_id, pos // 10 AS piece, count(*) AS n_symbols, string_agg(event_type, ' ' ORDER BY pos) AS text
 FROM placed GROUP BY ALL
 """)
 def decode_text(spark, folder):
     events, starts = kept(spark, folder)
-    text = runs.decode_text(starts, ["user_id"], ["ts", "event_id"], "event_type", separator=" ", probe=events)
+    text = runs.decode_text(starts, ["user_id"], ["ts", "event_id"], "event_type", 10, separator=" ", probe=events)
     return text.withColumn("n_symbols", F.col("n_symbols").cast("long"))
 
 
@@ -74,15 +74,16 @@ def ctc_argmax(spark, folder):
 @query(f"""
 WITH {_STEPS_SQL},
 starts AS (SELECT * FROM (SELECT *, lag(cls) OVER (PARTITION BY user_id ORDER BY step) AS before FROM steps)
-    WHERE before IS DISTINCT FROM cls AND cls <> 0)
-SELECT user_id, 0::bigint AS piece, count(*) AS n_symbols, string_agg(cls::varchar, '' ORDER BY step) AS text
-FROM starts GROUP BY user_id
+    WHERE before IS DISTINCT FROM cls AND cls <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step) - 1 AS pos FROM starts)
+SELECT user_id, pos // 10 AS piece, count(*) AS n_symbols, string_agg(cls::varchar, '' ORDER BY step) AS text
+FROM placed GROUP BY ALL
 """)
 def ctc_decode(spark, folder):
     """Best class per step, runs collapsed, class 0 as blank, symbols joined."""
     events = table(spark, folder, "events")
     starts = runs.collapse_runs(best_steps(spark, folder), ["user_id"], ["step"], "cls", 0, probe=events)
-    return runs.decode_text(starts, ["user_id"], ["step"], "cls", probe=events).withColumn("n_symbols", F.col("n_symbols").cast("long"))
+    return runs.decode_text(starts, ["user_id"], ["step"], "cls", 10, probe=events).withColumn("n_symbols", F.col("n_symbols").cast("long"))
 
 
 WIDTH, HEIGHT = 800, 120

@@ -9,7 +9,6 @@ from docquarry.functions import names
 from docquarry.functions.keys import display_time, ingest_date
 from docquarry.operators import maintenance, validate
 from docquarry.session import scratch_path
-from docquarry.sources.files import file_manifest as manifest
 from docquarry.sources.registry import add_absent, init_registry, read_registry
 
 
@@ -148,8 +147,8 @@ def file_names(spark, folder):
 
 
 @query("""
-SELECT c_custkey, 'knowledge_name_' || c_custkey AS collection, 'complex-rag-' || c_custkey AS bucket,
-    'complex-rag-' || c_custkey || '/' || c_name AS object_path, lower(c_name) AS index_name,
+SELECT c_custkey, 'knowledge_name_' || c_custkey AS collection, 'documents-' || c_custkey AS bucket,
+    'documents-' || c_custkey || '/' || c_name AS object_path, lower(c_name) AS index_name,
     trim('  ' || c_mktsegment || ' ') AS partition_name
 FROM customer
 """)
@@ -218,12 +217,6 @@ def registry_users(spark, folder):
     return read_registry(spark, root, "user").select("user_id", "user_name", "user_status")
 
 
-@query()
-def file_manifest(spark, folder):
-    """Name, type and size of the files that hold the given tables."""
-    return manifest(spark, folder).select("file_name", "media_type", "n_bytes")
-
-
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS ingest_date,
     strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS display_time

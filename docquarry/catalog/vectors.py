@@ -79,7 +79,7 @@ def knn_filtered(spark, folder):
     return search(spark, folder, "cosine", where=F.col("label") == 3)
 
 
-def _index(spark, folder, nlist=2048):
+def _index(spark, folder, nlist=64):
     vectors = table(spark, folder, "embeddings")
     return ivf.build_ivf(vectors, scratch_path(spark, "ivf"), "vec_id", params=IvfParams(nlist=nlist))
 

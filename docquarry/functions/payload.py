@@ -62,7 +62,8 @@ def decode_embedding_payloads(df: DataFrame, payload: str = "payload") -> DataFr
     """Rows ``(index, embedding, size_ok)`` of stored embedding responses, beside the other columns.
 
     Both response shapes are read: a ``data`` list whose vectors are float lists or base64, and
-    one base64 block with an ``original_shape`` of ``(rows, dimensions)``.
+    one base64 block with an ``original_shape`` of ``(rows, dimensions)``. A body without vectors (broken
+    JSON, an error, an empty list, no rows) stays as one row with null index and vector, not ``size_ok``.
     """
     parsed = df.withColumn("__r", F.from_json(F.col(payload), _RESPONSE)).drop(payload)
     shape = F.transform(F.regexp_extract_all("__r.original_shape", F.lit(r"\d+"), F.lit(0)), lambda s: s.cast("int"))
@@ -82,15 +83,21 @@ def decode_embedding_payloads(df: DataFrame, payload: str = "payload") -> DataFr
     whole = parsed.filter(F.col("__r.data").isNull() & F.col("__r.embeddings").isNotNull()).select(
         *keep, shape.alias("__shape"), unpack_floats(F.unbase64("__r.embeddings")).alias("__flat")
     )
-    width = F.element_at("__shape", -1)
+    width = F.try_element_at("__shape", F.lit(-1))
     count = F.when(F.size("__shape") > 1, F.get("__shape", F.lit(0))).otherwise(F.lit(1))
     pieces = F.transform(
         F.sequence(F.lit(0), count - 1), lambda i: F.slice(F.col("__flat"), i * width + 1, width)
     )
     whole = whole.select(
-        *keep, (F.size("__flat") == count * width).alias("size_ok"), F.posexplode(pieces).alias("index", "embedding")
+        *keep, F.coalesce(F.size("__flat") == count * width, F.lit(False)).alias("size_ok"),
+        F.posexplode_outer(F.when(count > 0, pieces)).alias("index", "embedding"),
     )
-    return listed.unionByName(whole)
+    # An empty list of vectors has no row in ``listed``.
+    listless = F.coalesce(F.size("__r.data"), F.lit(0)) <= 0
+    nothing = parsed.filter(listless & (F.col("__r.data").isNotNull() | F.col("__r.embeddings").isNull())).select(
+        *keep, F.lit(None).cast("int").alias("index"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(False).alias("size_ok")
+    )
+    return listed.unionByName(whole).unionByName(nothing)
 
 
 _REQUEST = "struct<input:string, query:string, documents:string, model:string, top_n:int, dimensions:int>"
@@ -127,9 +134,15 @@ def classify_requests(df: DataFrame, endpoint: str = "endpoint", body: str = "bo
     def text(path: str) -> Column:
         return F.coalesce(F.try_variant_get(fields, path, "string"), F.lit(""))
 
-    falsy = ["", "0", "false", "[]", "{}", "null"]
-    missing_input = (kind("$.input") == "VOID") | text("$.input").isin(falsy)
-    missing_query = (kind("$.query") == "VOID") | text("$.query").isin(falsy)
+    def absent(path: str) -> Column:
+        """Missing, null, or empty by its type: a string counts by its length, whatever it spells."""
+        is_text = kind(path) == "STRING"
+        nothing = F.when(is_text, text(path) == "").otherwise(
+            text(path).isin("false", "[]", "{}") | (F.try_variant_get(fields, path, "double") == 0)
+        )
+        return (kind(path) == "VOID") | F.coalesce(nothing, F.lit(False))
+
+    missing_input, missing_query = absent("$.input"), absent("$.query")
     bad_input = ~(kind("$.input").startswith("ARRAY") | (kind("$.input") == "STRING"))
     bad_documents = ~kind("$.documents").startswith("ARRAY") | (text("$.documents") == "[]")
     embeds, reranks = F.col(endpoint) == "embeddings", F.col(endpoint) == "rerank"

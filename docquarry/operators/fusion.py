@@ -51,18 +51,13 @@ def assemble_context(hits: DataFrame, top_n: int, content: str = "content", sepa
     )
 
 
-# Turns per prompt piece: bounds what one group collects, however long a conversation is.
-PIECE_TURNS = 1_000
-
-
 def chat_prompt(
-    turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    piece_turns: int = PIECE_TURNS,
+    turns: DataFrame, piece_turns: int, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
     """Conversation history as ``role: text`` lines in turn order.
 
-    Rows ``(key, piece, n_turns, prompt)``: a conversation of up to ``piece_turns`` turns is one
-    row, a longer one continues in the next pieces, and nothing is left out.
+    Rows ``(key, piece, n_turns, prompt)``, keyed by conversation and piece: piece i holds the turns from
+    i * ``piece_turns`` on, so what one row collects is bounded by the caller's choice, and nothing is left out.
     """
     line = F.struct(F.col(turn).alias("turn"), F.concat(F.col(role), F.lit(": "), F.col(text)).alias("line"))
     return (

@@ -17,11 +17,6 @@ from docquarry.operators.knn import (
 )
 from docquarry.params import VECTOR_TOP_K, IvfParams, read_params, write_params
 
-# A cell should hold at least this many vectors, or probing saves nothing.
-MIN_CELL_ROWS = 32
-# Rows per centroid used to place the centroids; every row is still assigned and searched.
-TRAIN_ROWS_PER_CELL = 256
-
 
 @dataclass(frozen=True)
 class IvfIndex:
@@ -34,24 +29,13 @@ class IvfIndex:
     vector_col: str
 
 
-def effective_nlist(rows: int, nlist: int) -> int:
-    return max(1, min(nlist, rows // MIN_CELL_ROWS))
-
-
 def train_centroids(vectors: DataFrame, vector_col: str, nlist: int, seed: int = 42) -> np.ndarray:
-    """Unit centroids by k-means with cosine distance. Their number is bounded by ``nlist``.
-
-    Tables of more than ``TRAIN_ROWS_PER_CELL`` rows per centroid train on a uniform sample.
-    """
+    """Unit centroids by distributed k-means with cosine distance over all vectors; at most ``nlist``."""
     usable = vectors.select(as_doubles(vector_col).alias("v")).filter(norm("v") > 0)
     total = usable.count()
     if not total:
         raise ValueError("no vector to cluster")
-    cells = effective_nlist(total, nlist)
-    fraction = TRAIN_ROWS_PER_CELL * cells / total
-    if fraction < 1.0:
-        usable = usable.sample(fraction=fraction, seed=seed)
-    model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, featuresCol="features").fit(
+    model = KMeans(k=min(nlist, total), distanceMeasure="cosine", seed=seed, featuresCol="features").fit(
         usable.select(array_to_vector("v").alias("features"))
     )
     return _unit(np.array(model.clusterCenters()))
@@ -79,6 +63,7 @@ def build_ivf(
     The rebalance hint lets Spark write a hot cell from several tasks and put small ones together.
     """
     spark = vectors.sparkSession
+    vectors = vectors.filter(F.col(vector_col).isNotNull())
     centroids = train_centroids(vectors, vector_col, params.nlist, seed)
     assigned = assign_cells(vectors, centroids, vector_col)
     assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
@@ -111,7 +96,7 @@ def knn_ivf(
     """Best ``k`` vectors among the ``nprobe`` cells nearest to each query."""
     nprobe = min(nprobe or index.params.nprobe, len(index.centroids))
     metric, id_col, vector_col = index.params.metric, index.id_col, index.vector_col
-    queries = queries.select(query_id, query_vector)
+    queries = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
     rows = bounded_rows(queries, query_vector)
     if rows is not None:
         found = _probe_scan(rows, queries, index, k, nprobe, query_id, query_vector)

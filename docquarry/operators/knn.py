@@ -91,14 +91,14 @@ def knn_exact(
 ) -> DataFrame:
     """Best ``k`` vectors of each query: ``(query_id, rank, <id>, score)``.
 
-    ``where`` restricts the vectors before scoring. For ``l2`` the score is a distance and small is good.
+    ``where`` restricts the vectors before scoring. Null vectors are no neighbours, null queries have none. For ``l2`` the score is a distance and small is good.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     if where is not None:
         vectors = vectors.filter(where)
-    queries = queries.select(query_id, query_vector)
-    vectors = vectors.select(id_col, vector_col)
+    queries = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
+    vectors = vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull())
     rows = bounded_rows(queries, query_vector)
     if rows is not None:
         found = _scan(rows, queries, vectors, k, metric, query_id, query_vector, id_col, vector_col)

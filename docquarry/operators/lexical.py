@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from docquarry.functions.text import term_counts, tokenize
 from docquarry.operators.common import SCORE_DIGITS, rounded, top_k
-from docquarry.operators.knn import best_pairs, merge_pairs
+from docquarry.operators.knn import merge_pairs
 from docquarry.params import LEXICAL_TOP_K, Bm25Params, read_params, write_params
-from docquarry.session import broadcast_if_small, fits_broadcast, materialise, spread
+from docquarry.session import broadcast_if_small, fits_broadcast, has_files, materialise, spread
 
 
 # A search that scans documents broadcasts a weight per query and term; larger tables are joined.
-SCAN_MAX_WEIGHTS = 16_000_000
-# Values of one block of the score sum in a scan task.
-_BLOCK_VALUES = 8_000_000
+SCAN_MAX_WEIGHTS = 2_000_000
+# Products of weight and gain in one block of a scan task.
+_BLOCK_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,9 @@ class TextIndex:
     """``postings`` (id, dl, term, tf), ``terms`` (term, df), ``collection`` (n_docs, avg_dl; one row).
 
     ``forward`` (id, dl, counts) has a document's terms in one row. Of a ``stored`` index the
-    tables are read from files, otherwise they are computed from the documents when used.
+    tables are read from files, otherwise they are computed from the documents when used. Columns
+    that were kept beside the id (collection, partition, file) are in ``postings`` and ``forward``,
+    and a search can be restricted by them.
     """
 
     postings: DataFrame
@@ -44,100 +47,214 @@ class TextIndex:
     stored: bool = False
 
 
-def forward_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _tokens(text_col: str, params: Bm25Params):
+    return tokenize(text_col, params.han_bigrams)
+
+
+def forward_rows(
+    docs: DataFrame, id_col: str, text_col: str, params: Bm25Params = Bm25Params(), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per document with its length and term counts. Needs no shuffle: counts are taken inside the row."""
-    tokens = docs.select(id_col, tokenize(text_col).alias("tokens"))
-    return tokens.select(id_col, F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("counts"))
+    tokens = docs.select(id_col, *keep, _tokens(text_col, params).alias("tokens"))
+    return tokens.select(id_col, *keep, F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("counts"))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def postings(
+    docs: DataFrame, id_col: str, text_col: str, params: Bm25Params = Bm25Params(), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per document and term, without a shuffle."""
-    tokens = docs.select(id_col, tokenize(text_col).alias("tokens"))
-    return tokens.select(id_col, F.size("tokens").alias("dl"), F.inline(term_counts(F.col("tokens"))))
+    tokens = docs.select(id_col, *keep, _tokens(text_col, params).alias("tokens"))
+    return tokens.select(id_col, *keep, F.size("tokens").alias("dl"), F.inline(term_counts(F.col("tokens"))))
 
 
-def index_of(docs: DataFrame, id_col: str, text_col: str, params: Bm25Params = Bm25Params()) -> TextIndex:
+def index_of(
+    docs: DataFrame, id_col: str, text_col: str, params: Bm25Params = Bm25Params(), keep: tuple[str, ...] = ()
+) -> TextIndex:
     """Index computed on the fly, for one search over a table that has no stored index."""
-    posted = postings(docs, id_col, text_col)
+    posted = postings(docs, id_col, text_col, params, keep)
     return TextIndex(
         postings=posted,
         terms=posted.groupBy("term").agg(F.count("*").alias("df")),
-        collection=corpus_stats(docs, text_col),
+        collection=corpus_stats(docs, text_col, params),
         id_col=id_col,
         params=params,
-        forward=forward_rows(docs, id_col, text_col),
+        forward=forward_rows(docs, id_col, text_col, params, keep),
     )
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
+def corpus_stats(docs: DataFrame, text_col: str, params: Bm25Params = Bm25Params()) -> DataFrame:
     """Number of documents that have a term, and their mean length in terms."""
     # A filter on the length would tokenise twice: empty documents become null instead.
-    length = F.nullif(F.size(tokenize(text_col)), F.lit(0))
+    length = F.nullif(F.size(_tokens(text_col, params)), F.lit(0))
     return docs.select(length.alias("dl")).agg(F.count("dl").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
+def restrict(index: TextIndex, where: Column) -> TextIndex:
+    """The index of the documents that satisfy ``where``: counts and lengths are those of these documents alone."""
+    forward, posted = index.forward.filter(where), index.postings.filter(where)
+    length = F.nullif("dl", F.lit(0))
+    return replace(
+        index, forward=forward, postings=posted, terms=posted.groupBy("term").agg(F.count("*").alias("df")),
+        collection=forward.agg(F.count(length).alias("n_docs"), F.avg(length).alias("avg_dl")), stored=False,
+    )
+
+
+# --- the stored index ------------------------------------------------------------------------
+#
+# Every change is a step. Its rows lie in partitions ``step=...`` of forward, postings, terms,
+# collection and tombstones; a line in ``commits``, written last, makes them valid, so a step that
+# broke off is never seen. Counts are stored per step and added up when the index is opened, those of
+# removed documents negative: no step rewrites what others wrote.
+
+_TABLES = ("forward", "postings", "terms", "collection", "tombstones")
+
+
+def _write_step(
+    spark: SparkSession, path: str, id_col: str, docs: DataFrame | None, dead: DataFrame | None, mode: str = "append"
+) -> None:
+    """``docs``: forward rows to add. ``dead``: (id, born, dl, counts) of rows to remove."""
+    step = f"s{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, table: str) -> None:
+        rows.write.mode("append").parquet(f"{path}/{table}/step={step}")
+
+    counts, sizes, removed = [], [], 0
+    length = F.nullif("dl", F.lit(0))
+    if docs is not None:
+        # Tokenise once: sampling the range bounds, writing and counting all start from the stored rows.
+        put(docs, "forward")
+        rows = spark.read.schema(docs.schema).parquet(f"{path}/forward/step={step}")
+        posted = rows.select(*[c for c in rows.columns if c != "counts"], F.inline("counts"))
+        put(posted.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col), "postings")
+        counts.append(posted.select("term", F.lit(1).alias("df")))
+        sizes.append(rows.agg(F.count(length).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_terms")))
+    if dead is not None:
+        dead = materialise(dead, "removed-documents")
+        removed = dead.count()
+        put(dead.select(id_col, "born"), "tombstones")
+        counts.append(dead.select(F.inline("counts")).select("term", F.lit(-1).alias("df")))
+        sizes.append(dead.agg((-F.count(length)).alias("n_docs"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("n_terms")))
+    put(reduce(DataFrame.unionByName, counts).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), "terms")
+    put(reduce(DataFrame.unionByName, sizes), "collection")
+    commit = spark.createDataFrame([(step, removed)], "step string, removed long").coalesce(1)
+    commit.write.mode(mode).parquet(f"{path}/commits")
+
+
+def _steps(spark: SparkSession, path: str) -> dict[str, int]:
+    """Valid steps and how many rows each removed; one line per change ever made."""
+    return {r["step"]: r["removed"] for r in spark.read.parquet(f"{path}/commits").collect()}
+
+
+def _table(spark: SparkSession, path: str, table: str, steps: dict[str, int]) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/{table}").parquet(*[f"{path}/{table}/step={s}" for s in steps])
+
+
+def _live(spark: SparkSession, path: str, id_col: str, table: str, steps: dict[str, int]) -> DataFrame:
+    """Rows of forward or postings that no later step removed, with the step they were ``born`` in."""
+    added = {s: 0 for s in steps if has_files(spark, f"{path}/{table}/step={s}")}
+    rows = _table(spark, path, table, added).withColumnRenamed("step", "born")
+    removals = {s: n for s, n in steps.items() if n}
+    if not removals:
+        return rows
+    gone = _table(spark, path, "tombstones", removals).select(id_col, "born")
+    return rows.join(broadcast_if_small(gone), [id_col, "born"], "left_anti")
+
+
+def _stored_params(spark: SparkSession, path: str, params: Bm25Params | None) -> Bm25Params:
+    stored = read_params(spark, Bm25Params, f"{path}/params")
+    if params is not None and params != stored:
+        raise ValueError(f"the index has {stored}, not {params}")
+    return stored
+
+
 def write_index(
-    docs: DataFrame, id_col: str, text_col: str, path: str, params: Bm25Params = Bm25Params(), mode: str = "overwrite"
+    docs: DataFrame, id_col: str, text_col: str, path: str, params: Bm25Params | None = None, mode: str = "overwrite",
+    keep: tuple[str, ...] = (),
 ) -> TextIndex:
-    """Store the index and open it; mode ``append`` adds documents that are not in it yet.
+    """Store documents in the index and open it.
+
+    ``overwrite`` starts anew, ``append`` adds documents whose id the index does not hold, ``upsert`` also
+    replaces those it holds. The parameters, the analyzer among them, are set by the first write; later writes
+    use them and refuse others. Repeating a step changes nothing.
 
     Postings are range-partitioned and sorted by (term, id): a search reads only the row groups
-    of its terms, and a term of very many documents is spread over several files. Term and
-    collection counts are stored per batch and added up when the index is opened, so that adding
-    documents rewrites nothing.
+    of its terms, and a term of very many documents is spread over several files.
     """
-    if mode not in ("append", "overwrite"):
+    spark = docs.sparkSession
+    if mode not in ("append", "overwrite", "upsert"):
         raise ValueError(f"unknown mode {mode!r}")
-    # Tokenise once: sampling the range bounds, writing and counting all start from the stored rows.
-    batch = uuid.uuid4().hex
-    fresh = forward_rows(docs, id_col, text_col).withColumn("batch", F.lit(batch))
-    fresh.write.mode(mode).partitionBy("batch").parquet(f"{path}/forward")
-    stored = docs.sparkSession.read.parquet(f"{path}/forward")
-    rows = stored.filter(F.col("batch") == batch).drop("batch")
-    posted = rows.select(id_col, "dl", F.inline("counts"))
-    (
-        posted.repartitionByRange("term", id_col)
-        .sortWithinPartitions("term", id_col)
-        .write.mode(mode).parquet(f"{path}/postings")
-    )
-    counted = posted.groupBy("term").agg(F.count("*").alias("df"))
-    counted.write.mode(mode).parquet(f"{path}/terms")
-    lengths = rows.agg(F.count(F.nullif("dl", F.lit(0))).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_terms"))
-    lengths.write.mode(mode).parquet(f"{path}/collection")
-    write_params(docs.sparkSession, params, f"{path}/params")
-    return open_index(docs.sparkSession, path, id_col)
+    if mode == "overwrite":
+        old = _steps(spark, path) if has_files(spark, f"{path}/commits") else {}
+        write_params(spark, params or Bm25Params(), f"{path}/params")
+        _write_step(spark, path, id_col, forward_rows(docs, id_col, text_col, params or Bm25Params(), keep), None, "overwrite")
+        for step in old:
+            for table in _TABLES:
+                target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/step={step}")
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        return open_index(spark, path, id_col)
+    params = _stored_params(spark, path, params)
+    held = _live(spark, path, id_col, "forward", _steps(spark, path))
+    fresh = forward_rows(docs, id_col, text_col, params, keep)
+    if mode == "append":
+        _write_step(spark, path, id_col, fresh.join(held.select(id_col), id_col, "left_anti"), None)
+    else:
+        fresh = materialise(fresh, "indexed-documents")
+        same = fresh.select(id_col, *keep, "dl", "counts").exceptAll(held.select(id_col, *keep, "dl", "counts"))
+        changed = materialise(same.select(id_col).distinct(), "changed-ids")
+        if not changed.isEmpty():
+            ids = broadcast_if_small(changed)
+            _write_step(
+                spark, path, id_col, fresh.join(ids, id_col, "left_semi"),
+                held.join(ids, id_col, "left_semi").select(id_col, "born", "dl", "counts"),
+            )
+    return open_index(spark, path, id_col)
+
+
+def delete_from_index(ids: DataFrame, path: str, id_col: str) -> TextIndex:
+    """Remove documents by id; unknown ids do no harm."""
+    spark = ids.sparkSession
+    held = _live(spark, path, id_col, "forward", _steps(spark, path))
+    dead = held.join(broadcast_if_small(ids.select(id_col).distinct()), id_col, "left_semi")
+    dead = materialise(dead.select(id_col, "born", "dl", "counts"), "removed-documents")
+    if not dead.isEmpty():
+        _write_step(spark, path, id_col, None, dead)
+    return open_index(spark, path, id_col)
 
 
 def open_index(spark: SparkSession, path: str, id_col: str) -> TextIndex:
-    read = spark.read.parquet
-    sums = read(f"{path}/collection").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_terms").alias("n_terms"))
+    steps = _steps(spark, path)
+    sums = _table(spark, path, "collection", steps).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_terms").alias("n_terms"))
     return TextIndex(
-        postings=read(f"{path}/postings"),
-        terms=read(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df")),
+        postings=_live(spark, path, id_col, "postings", steps).drop("born"),
+        terms=_table(spark, path, "terms", steps).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"),
         collection=sums.select("n_docs", F.try_divide("n_terms", "n_docs").alias("avg_dl")),
         id_col=id_col,
         params=read_params(spark, Bm25Params, f"{path}/params"),
-        forward=read(f"{path}/forward").drop("batch"),
+        forward=_live(spark, path, id_col, "forward", steps).drop("born"),
         stored=True,
     )
 
 
-def query_terms(queries: DataFrame, query_id: str, text_col: str) -> DataFrame:
+def query_terms(queries: DataFrame, query_id: str, text_col: str, params: Bm25Params = Bm25Params()) -> DataFrame:
     """``(query_id, term, qtf)``; a repeated term counts once per occurrence."""
-    counts = queries.select(F.col(query_id).alias("query_id"), F.inline(term_counts(tokenize(text_col))))
+    counts = queries.select(F.col(query_id).alias("query_id"), F.inline(term_counts(_tokens(text_col, params))))
     return counts.select("query_id", "term", F.col("tf").cast("double").alias("qtf"))
 
 
 def bm25_search(
     queries: DataFrame, index: TextIndex, k: int = LEXICAL_TOP_K,
     query_id: str = "query_id", text_col: str = "text", fuzzy: bool = False, transpositions: bool = False,
+    where: Column | None = None,
 ) -> DataFrame:
     """Best ``k`` documents of each query: ``(query_id, rank, <id>, score)``.
 
     Terms are alternatives (any may match). With ``fuzzy`` a query term also matches vocabulary
-    terms within the automatic edit distance, weighted down by the share of edits.
+    terms within the automatic edit distance, weighted down by the share of edits. ``where``
+    restricts the documents by columns kept in the index; the statistics are theirs alone.
     """
-    wanted = query_terms(queries, query_id, text_col)
+    if where is not None:
+        index = restrict(index, where)
+    wanted = query_terms(queries, query_id, text_col, index.params)
     if fuzzy:
         # The vocabulary is read several times: count its terms once.
         vocabulary = spread(materialise(index.terms.select("term"), "vocabulary"))
@@ -214,26 +331,29 @@ def _scan_scores(index: TextIndex, wanted: DataFrame, k: int) -> DataFrame | Non
 
     A document's terms are in one row, so its scores are complete inside the task, and no pair of
     query and document is shuffled except the few that can still win. ``wanted`` was checked to be
-    small; None when its weights, as a matrix of terms and queries, are over the bound.
+    small; None when its weights are more than the bound.
     """
     table = wanted.toPandas()
+    if not len(table) or len(table) > SCAN_MAX_WEIGHTS:
+        return None
     vocabulary, term_of = np.unique(table["term"].to_numpy(dtype=object), return_inverse=True)
     query_ids, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
-    if not len(table) or vocabulary.size * query_ids.size > SCAN_MAX_WEIGHTS:
-        return None
     stats = _wanted_stats(index, wanted)
     n_docs, total = stats.loc[""] if "" in stats.index else (0, 0)
     average = total / n_docs if n_docs else 1.0
     k1, b, id_col = index.params.k1, index.params.b, index.id_col
     df = stats["df"].reindex(vocabulary).fillna(0).to_numpy()
     idf = np.where(df > 0, np.log1p((n_docs - df + 0.5) / (df + 0.5)), 0.0)
-    matrix = np.zeros((vocabulary.size, query_ids.size))
-    matrix[term_of, query_of] = table["qtf"].to_numpy() * idf[term_of] * (k1 + 1.0)
-    shared = wanted.sparkSession.sparkContext.broadcast((vocabulary.tolist(), query_ids, matrix))
+    # Weights by term: the entries of term t are those from starts[t] up to starts[t + 1].
+    order = np.argsort(term_of, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term_of, minlength=len(vocabulary)))])
+    values = table["qtf"].to_numpy()[order] * idf[term_of[order]] * (k1 + 1.0)
+    shared = wanted.sparkSession.sparkContext.broadcast((vocabulary.tolist(), query_ids, starts, query_of[order], values))
 
     def score(batches):
-        vocabulary, query_ids, weight = shared.value
+        vocabulary, query_ids, starts, query_of, values = shared.value
         lookup = pa.array(vocabulary, pa.string())
+        fanout = np.diff(starts)
         best = None
         for batch in batches:
             lists = batch.column("terms")
@@ -245,20 +365,28 @@ def _scan_scores(index: TextIndex, wanted: DataFrame, k: int) -> DataFrame | Non
             tf = np.asarray(batch.column("tfs").flatten(), dtype=float)[hit]
             dl = np.asarray(batch.column("dl"), dtype=float)[doc]
             gain = tf / (tf + k1 * (1.0 - b + b * dl / average))
-            docs, starts = np.unique(doc, return_index=True)
             ids = batch.column(id_col).to_pandas()
-            step = max(1, _BLOCK_VALUES // weight.shape[1])
+            # Whole documents, about _BLOCK_VALUES products at a time.
+            products = np.cumsum(fanout[term])
             first = 0
-            while first < len(docs):
-                # Whole documents, about ``step`` postings at a time.
-                last = max(first + 1, int(np.searchsorted(starts, starts[first] + step)))
-                stop = starts[last] if last < len(docs) else len(doc)
-                part = slice(starts[first], stop)
-                sums = np.add.reduceat(weight[term[part]] * gain[part, None], starts[first:last] - starts[first], axis=0)
-                top = best_pairs(ids.iloc[docs[first:last]], np.round(sums, SCORE_DIGITS), query_ids, k, True)
-                top = top[top["score"] > 0]
-                best = top if best is None else merge_pairs([best, top], k, True)
-                first = last
+            while first < len(doc):
+                done = products[first - 1] if first else 0
+                stop = int(np.searchsorted(products, done + _BLOCK_VALUES, side="right"))
+                stop = max(stop, first + 1)
+                stop = int(np.searchsorted(doc, doc[stop - 1], side="right")) if stop < len(doc) else stop
+                part = slice(first, stop)
+                times = fanout[term[part]]
+                at = np.arange(times.sum()) + np.repeat(starts[term[part]] - (np.cumsum(times) - times), times)
+                pair = np.repeat(doc[part], times) * len(query_ids) + query_of[at]
+                keys, place = np.unique(pair, return_inverse=True)
+                sums = np.bincount(place, weights=values[at] * np.repeat(gain[part], times), minlength=len(keys))
+                scaled = 10.0 ** SCORE_DIGITS
+                top = pd.DataFrame({
+                    "query_id": query_ids[keys % len(query_ids)], "id": ids.to_numpy()[keys // len(query_ids)],
+                    "score": np.floor(sums * scaled + 0.5) / scaled,
+                })
+                best = merge_pairs([top] if best is None else [best, top], k, True)
+                first = stop
         if best is not None and len(best):
             yield pa.RecordBatch.from_pandas(best, schema=arrow_schema, preserve_index=False)
 

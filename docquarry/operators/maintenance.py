@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.params import TERM_LOOKUP_LIMIT
+from docquarry.operators.common import top_k
+from docquarry.session import broadcast_if_small
 
 
 def latest(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:
@@ -18,9 +19,13 @@ def latest(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], version: list[str]) -> DataFrame:
-    """Incoming rows replace existing rows of the same key; repeats inside the batch resolve to the latest."""
-    both = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    return latest(both, key, ["__new", *version]).drop("__new")
+    """Incoming rows replace existing rows of the same key; repeats inside the batch resolve to the latest.
+
+    Existing keys are taken to be unique. The existing side is not shuffled while the keys of the batch are
+    counted and found small.
+    """
+    keys = incoming.select(*key).distinct()
+    return existing.join(broadcast_if_small(keys), key, "left_anti").unionByName(latest(incoming, key, version))
 
 
 def upsert_report(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
@@ -52,9 +57,15 @@ def present(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(keys.select(*key).distinct(), key, "left_semi")
 
 
-def by_file(chunks: DataFrame, file_id, limit: int = TERM_LOOKUP_LIMIT, column: str = "file_id", order: str = "chunk_id") -> DataFrame:
-    """Exact lookup, at most ``limit`` rows in key order (the store's page size)."""
-    return chunks.filter(F.col(column) == F.lit(file_id)).orderBy(order).limit(limit)
+def by_file(
+    chunks: DataFrame, files: DataFrame | list, column: str = "file_id", page: int | None = None, order: str = "chunk_id"
+) -> DataFrame:
+    """Exact lookup: the rows of all listed files. A ``page`` keeps the first rows of each file in key order."""
+    if isinstance(files, DataFrame):
+        found = chunks.join(files.select(column).distinct(), column, "left_semi")
+    else:
+        found = chunks.filter(F.col(column).isin(files))
+    return found if page is None else top_k(found, [column], [F.asc(order)], page).drop("rank")
 
 
 def active_only(df: DataFrame, flag: str) -> DataFrame:

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.segments import MAX_GROUP_ROWS, Ordered
 
-# Symbols per text piece: bounds what one group collects.
-PIECE_SYMBOLS = 1_000
-
 
 def best_class(probabilities: DataFrame, by: list[str], cls: str = "cls", prob: str = "prob") -> DataFrame:
     """Most probable class of each step and its probability; ties go to the lower class."""
@@ -33,12 +30,12 @@ def collapse_runs(
 
 
 def decode_text(
-    kept: DataFrame, by: list[str], order: list[str], symbol: str, piece_symbols: int = PIECE_SYMBOLS,
+    kept: DataFrame, by: list[str], order: list[str], symbol: str, piece_symbols: int,
     separator: str = "", max_group_rows: int = MAX_GROUP_ROWS, probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Kept symbols as text: ``(…, piece, n_symbols, text)``.
+    """Kept symbols as text: ``(…, piece, n_symbols, text)``, keyed by sequence and piece.
 
-    A sequence of up to ``piece_symbols`` symbols is one row; a longer one continues in the next pieces.
+    Piece i holds the symbols from i * ``piece_symbols`` on: the caller bounds what one row collects.
     """
     placed = Ordered.of(kept, by, order, max_group_rows, probe).position("__pos").result()
     entry = F.struct(F.col("__pos"), F.col(symbol).cast("string").alias("s"))

@@ -20,6 +20,8 @@ RRF_K = 60
 class Bm25Params:
     k1: float = 1.3
     b: float = 0.6
+    # The analyzer: whether runs of Han characters are indexed and asked as pairs.
+    han_bigrams: bool = False
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,3 @@ def write_params(spark: SparkSession, params: Bm25Params | IvfParams, path: str)
 
 def read_params(spark: SparkSession, kind: type, path: str):
     return kind(**spark.read.parquet(path).first().asDict())
-
-
-def params_frame(spark: SparkSession, params: Bm25Params | IvfParams) -> DataFrame:
-    return spark.createDataFrame([Row(**asdict(params))])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.operators.fusion import assemble_context, fuse_rrf
+from docquarry.operators.ivf import IvfIndex, knn_ivf
 from docquarry.operators.knn import knn_exact
 from docquarry.operators.lexical import TextIndex, bm25_search
 from docquarry.operators.rerank import rerank
@@ -18,28 +19,38 @@ from docquarry.session import BROADCAST_MAX_ROWS, fits_broadcast
 
 def retrieve(
     queries: DataFrame, index: TextIndex, chunks: DataFrame, k: int = LEXICAL_TOP_K, top_n: int = LEXICAL_TOP_K,
-    reranked: bool = True, score: Column | None = None, fuzzy: bool = False, where: Column | None = None,
+    reranked: bool = True, score: Column | None = None, fuzzy: bool = True, where: Column | None = None,
+    cells: IvfIndex | None = None, fields: tuple[str, ...] = (),
 ) -> DataFrame:
     """``queries`` has (query_id, text, query_vector); ``chunks`` has the index's id, content, embedding.
 
-    Returns ``(query_id, rank, <id>, score, content)``: lexical and vector hits fused, then with
-    ``reranked`` put in the order of the pair score.
+    Returns ``(query_id, rank, <id>, score, content, *fields)``: lexical and vector hits fused, then with
+    ``reranked`` put in the order of the pair score; ``fields`` are further columns of ``chunks``. Query
+    terms match near terms too (``fuzzy``). ``where`` restricts both halves by columns that the chunks
+    and the text index have in common; nothing outside it is scored, counted or returned. With
+    ``cells``, a cluster index of the vectors, only the cells nearest to a query are searched, unless
+    ``where`` asks for a part of the vectors, which is scanned.
     """
     id_col = index.id_col
-    lexical = bm25_search(queries, index, k, fuzzy=fuzzy)
-    vector = knn_exact(queries, chunks, k, id_col=id_col, where=where)
+    if where is not None:
+        chunks = chunks.filter(where)
+    lexical = bm25_search(queries, index, k, fuzzy=fuzzy, where=where)
+    if cells is not None and where is None:
+        vector = knn_ivf(queries, cells, k)
+    else:
+        vector = knn_exact(queries, chunks, k, id_col=id_col)
     fused = fuse_rrf(lexical, vector, id_col, top_n=2 * k)
     # There are at most 2k fused rows per query, so counting the queries bounds them.
     few = fits_broadcast(queries.select("query_id"), BROADCAST_MAX_ROWS // (2 * k))
-    hits = chunks.select(id_col, "content").join(F.broadcast(fused) if few else fused, id_col)
+    hits = chunks.select(id_col, "content", *fields).join(F.broadcast(fused) if few else fused, id_col)
     if not reranked:
-        return hits.filter(F.col("rank") <= top_n).select("query_id", "rank", id_col, "score", "content")
+        return hits.filter(F.col("rank") <= top_n).select("query_id", "rank", id_col, "score", "content", *fields)
     pairs = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id").select(
-        "query_id", id_col, "query", F.col("content").alias("document"), (F.col("rank") - 1).alias("index")
+        "query_id", id_col, "query", F.col("content").alias("document"), (F.col("rank") - 1).alias("index"), *fields
     )
     best = rerank(pairs, score, top_n)
     return best.select(
-        "query_id", "rank", id_col, F.col("relevance_score").alias("score"), F.col("document").alias("content")
+        "query_id", "rank", id_col, F.col("relevance_score").alias("score"), F.col("document").alias("content"), *fields
     )
 
 

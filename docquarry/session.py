@@ -94,6 +94,11 @@ def release_scratch(spark: SparkSession, mark: int = 0) -> None:
     del _scratch[mark:]
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
 def materialise(df: DataFrame, purpose: str, release_since: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from docquarry.operators.maintenance import latest
-
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, **options: str) -> DataFrame:
     """Stream over the parquet file or folder ``<folder>/<name>.parquet``."""
@@ -40,37 +38,46 @@ def ingest_stream(
     )
 
 
-def dedup_stream(source: DataFrame, key: list[str], time_col: str, delay: str) -> DataFrame:
-    """First row per key; the state is bounded by the watermark, older repeats are left to the upsert."""
-    return source.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(key)
+def dedup_stream(source: DataFrame, key: list[str], path: str, checkpoint: str, columns: list[str]) -> StreamingQuery:
+    """Append each key's first row to ``path``, however late a repeat comes.
 
+    A batch is reduced to one row per key and joined against the keys that other batches stored: there is no
+    state to lose and no watermark behind which rows are dropped.
+    """
 
-def windowed_counts(
-    source: DataFrame, time_col: str, by: list[str], width: str = "1 hour", delay: str = "10 minutes"
-) -> DataFrame:
-    """Rows per time window and group; state of windows older than the watermark is dropped."""
-    window = F.window(time_col, width)
-    return (
-        source.withWatermark(time_col, delay)
-        .groupBy(window.alias("w"), *by)
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"), *by, "n")
-    )
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(key)
+        stored = _stored(batch.sparkSession, path, batch_id)
+        if stored is not None:
+            fresh = fresh.join(stored.select(*key), key, "left_anti")
+        fresh.select(*columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def write_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Store every change of a count with its batch number (update mode)."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the other batches wrote; none before the first. A batch that is run again does not see its own rows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    others = [s for s in (files.listStatus(target) if files.exists(target) else []) if s.getPath().getName() != f"batch_id={batch_id}"]
+    if not [s for s in others if s.getPath().getName().startswith("batch_id=")]:
+        return None
+    return spark.read.parquet(path).filter(F.col("batch_id") != batch_id)
 
-    return (
-        counts.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+
+def windowed_counts(batch: DataFrame, time_col: str, by: list[str], width: str = "1 hour") -> DataFrame:
+    """Rows per time window and group."""
+    counts = batch.groupBy(F.window(time_col, width).alias("w"), *by).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("window_start"), *by, "n")
+
+
+def count_stream(
+    source: DataFrame, time_col: str, by: list[str], path: str, checkpoint: str, width: str = "1 hour"
+) -> StreamingQuery:
+    """Store the window counts of each batch; ``read_counts`` adds them up, so late rows count like others."""
+    return ingest_stream(source, lambda batch: windowed_counts(batch, time_col, by, width), path, checkpoint)
 
 
-def read_updates(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """Latest count per key."""
-    return latest(spark.read.parquet(path), key, ["batch_id"]).drop("batch_id")
+def read_counts(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """Counts over all batches so far."""
+    return spark.read.parquet(path).groupBy(*key).agg(F.sum("n").alias("n"))

@@ -34,7 +34,7 @@ def test_truncated_names_fit_keep_extension_and_differ(spark):
 
 def test_small_name_functions(spark):
     assert one(spark, names.collection_name("u"), u=8) == "knowledge_name_8"
-    assert one(spark, names.object_path("u", F.lit("f.txt")), u=1) == "complex-rag-1/f.txt"
+    assert one(spark, names.object_path("u", F.lit("f.txt")), u=1) == "documents-1/f.txt"
     assert one(spark, names.stem("p"), p="a/b/c.tar.gz") == "c"
     assert one(spark, names.media_type("p"), p="a/B.PDF") == "application/pdf"
     assert one(spark, names.media_type("p"), p="a/none") is None
@@ -47,6 +47,8 @@ def test_transliterate_only_rows_with_han(spark, rows):
     df = spark.createDataFrame([(1, "你好,x"), (2, "plain"), (3, "世"), (4, None)], "id int, name string")
     got = dict(names.transliterate(df, "name", mapping).collect())
     assert got == {1: "nihao,x", 2: "plain", 3: "世", 4: None}
+    twice = spark.createDataFrame([("一", "yi"), ("丁", "ding"), ("一", "Yi"), ("七", "qi")], "character string, reading string")
+    assert dict(names.transliterate(spark.createDataFrame([(1, "一丁七")], "id int, name string"), "name", twice).collect()) == {1: "Yidingqi"}
 
 
 def test_tokens_and_counts(spark):

@@ -7,7 +7,7 @@ from docquarry.functions import payload
 from docquarry.operators import blocks
 from docquarry.operators.chunking import chunk_fixed
 from docquarry.operators.steps import run_steps
-from docquarry.plans.ingest import Store, ingest, load_text_index, refresh_text_index
+from docquarry.plans.ingest import Store, ingest, load_text_index
 from docquarry.operators.lexical import bm25_search
 from docquarry.sources.chunks import scan_index
 from docquarry.sources.files import file_manifest, read_documents
@@ -45,17 +45,32 @@ def test_ingest_all_files_and_search(spark, folder, tmp_path):
     assert rows.filter(F.length("content") > 100).count() == 0
     assert {len(r.embedding) for r in rows.collect()} == {16}
     assert {r.object_path for r in read_registry(spark, store.registry, "file").collect()} == {
-        "complex-rag-7/a b.txt", "complex-rag-7/c.txt"
+        "documents-7/a b.txt", "documents-7/c.txt"
     }
-    refresh_text_index(spark, store)
     queries = spark.createDataFrame([(1, "füchse")], "query_id int, text string")
     hit = bm25_search(queries, load_text_index(spark, store)).first()
     assert rows.filter(F.col("chunk_id") == hit.chunk_id).first().file_name == "c.txt"
-    # A second run in overwrite mode replaces, in append mode it would repeat.
-    ingest(spark, str(folder), store, 7, "manual", mode="overwrite", dimensions=16)
-    assert scan_index(spark, store.chunks).count() == sum(r.written for r in report)
-    assert read_registry(spark, store.registry, "file").count() == 2
-    assert read_registry(spark, store.registry, "knowledge").count() == 1
+    # A repeated run changes nothing, in either mode.
+    keys = sorted(r.chunk_id for r in rows.collect())
+    for mode in ("append", "overwrite"):
+        ingest(spark, str(folder), store, 7, "manual", mode=mode, dimensions=16)
+        assert sorted(r.chunk_id for r in scan_index(spark, store.chunks).collect()) == keys
+        assert sorted(r.chunk_id for r in load_text_index(spark, store).forward.collect()) == keys
+    # A changed file replaces its chunks in both stores; other files and other bases stay.
+    ingest(spark, str(folder), store, 8, "manual", dimensions=16)
+    (folder / "a b.txt").write_text("only hedgehogs", encoding="utf-8")
+    ingest(spark, str(folder), store, 7, "manual", dimensions=16)
+    mine = scan_index(spark, store.chunks, "knowledge_name_7", "manual")
+    assert {r.content for r in mine.collect()} == {"only hedgehogs", "zweite Datei über Füchse"}
+    index = load_text_index(spark, store)
+    foxes = spark.createDataFrame([(1, "foxes")], "query_id int, text string")
+    own = F.col("collection") == "knowledge_name_7"
+    assert bm25_search(foxes, index, where=own).count() == 0 and bm25_search(foxes, index).count() == 1
+    # An empty batch changes nothing and says so.
+    none = ingest(spark, spark.createDataFrame([], "path string, text string"), store, 7, "manual", dimensions=16).collect()
+    assert [(r.file_id, r.written, r.errors) for r in none] == [(None, 0, 0)] and mine.count() == 2
+    assert read_registry(spark, store.registry, "file").count() == 4
+    assert read_registry(spark, store.registry, "knowledge").count() == 2
 
 
 REQUESTS = [
@@ -71,6 +86,14 @@ REQUESTS = [
     ("rerank", '{"query": "q"}', "invalid_documents"),
     ("rerank", '{"query": "q", "documents": "a"}', "invalid_documents"),
     ("rerank", '{"query": "q", "documents": []}', "invalid_documents"),
+    ("embeddings", '{"input": "0"}', "ok"),
+    ("embeddings", '{"input": "null"}', "ok"),
+    ("embeddings", '{"input": ["[]"]}', "ok"),
+    ("embeddings", '{"input": "[]"}', "ok"),
+    ("embeddings", '{"input": 0}', "missing_input"),
+    ("embeddings", '{"input": null}', "missing_input"),
+    ("embeddings", '{"input": false}', "missing_input"),
+    ("rerank", '{"query": "false", "documents": ["a"]}', "ok"),
     ("rerank", "invalid json", "invalid_json"),
     ("rerank", "[1]", "invalid_json"),
     ("embeddings", "{}", "missing_body"),
@@ -113,6 +136,13 @@ def test_block_payload_with_shape(spark):
     assert all(r.size_ok for r in got if r.id == 1) and not any(r.size_ok for r in got if r.id == 2)
 
 
+def test_payloads_without_vectors_stay(spark):
+    bodies = [(1, "{broken"), (2, '{"error": {"code": "x"}}'), (3, '{"data": []}'), (4, None), (5, '{"embeddings": "AAAAAA==", "original_shape": "(0, 4)"}')]
+    got = payload.decode_embedding_payloads(spark.createDataFrame(bodies, "id int, payload string")).collect()
+    assert sorted(r.id for r in got) == [1, 2, 3, 4, 5]
+    assert all(r.embedding is None and r["index"] is None and not r.size_ok for r in got)
+
+
 HTML = (
     "<html><head><title>T &amp; t</title><style>p{}</style><script>var a='</p>';</script></head><body><h2>Head</h2>"
     "<p>One <b>bold</b><br>two</p><ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr></table>"
@@ -162,15 +192,21 @@ def test_stream_ingest_reads_each_file_once(spark, tmp_path, rows):
 
 
 def test_stream_windows_and_repeats(spark, tmp_path, rows):
+    """Files arrive latest first, one per batch, and every file repeats rows of the one before."""
     source = str(tmp_path / "events")
-    data = [(i, f"2024-01-01 0{i % 3}:00:00", "view") for i in range(9)]
-    df = spark.createDataFrame(data + data, "event_id long, ts string, event_type string")
-    df.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
-    stream = lambda: spark.readStream.schema("event_id long, ts timestamp, event_type string").parquet(source)
-    once = streaming.dedup_stream(stream(), ["event_id"], "ts", "1 day")
-    streaming.ingest_stream(once, lambda b: b, str(tmp_path / "once"), str(tmp_path / "s1")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "once")).count() == 9
-    counts = streaming.windowed_counts(stream(), "ts", ["event_type"])
-    streaming.write_updates(counts, str(tmp_path / "w"), str(tmp_path / "s2")).awaitTermination()
-    final = streaming.read_updates(spark, str(tmp_path / "w"), ["window_start", "event_type"])
-    assert sorted(r.n for r in final.collect()) == [6, 6, 6]
+    data = [(i, f"2024-01-0{1 + i // 10} 0{i % 3}:00:00", "view") for i in range(30)]
+    for first in (20, 10, 0):
+        df = spark.createDataFrame(data[first : first + 12], "event_id long, ts string, event_type string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+
+    def stream():
+        reader = spark.readStream.schema("event_id long, ts timestamp, event_type string")
+        return reader.option("maxFilesPerTrigger", 1).parquet(source)
+
+    columns = ["event_id", "event_type"]
+    for _ in range(2):
+        streaming.dedup_stream(stream(), ["event_id"], str(tmp_path / "once"), str(tmp_path / "s1"), columns).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "once")).collect()) == list(range(30))
+    streaming.count_stream(stream(), "ts", ["event_type"], str(tmp_path / "w"), str(tmp_path / "s2")).awaitTermination()
+    final = streaming.read_counts(spark, str(tmp_path / "w"), ["window_start", "event_type"])
+    assert sum(r.n for r in final.collect()) == 34 and final.count() == 9

@@ -5,6 +5,7 @@ from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.operators import lexical
 from docquarry.params import Bm25Params, read_params
@@ -78,6 +79,64 @@ def test_appended_index_equals_whole_index(spark, tmp_path):
         lexical.write_index(docs, "doc_id", "text", path, mode="merge")
 
 
+def test_append_changes_nothing_when_repeated_and_keeps_the_parameters(spark, tmp_path):
+    path, params = str(tmp_path / "index"), Bm25Params(2.0, 0.1)
+    docs, queries = frames(spark)
+    lexical.write_index(docs, "doc_id", "text", path, params)
+    index = lexical.write_index(docs, "doc_id", "text", path, mode="append")
+    assert index.params == params and index.collection.first().n_docs == 5
+    assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(DOCS, QUERIES, 3, 2.0, 0.1)
+    with pytest.raises(ValueError):
+        lexical.write_index(docs, "doc_id", "text", path, Bm25Params(), mode="append")
+
+
+@pytest.mark.parametrize("share", [0.0, 1e9])
+def test_upsert_and_delete_equal_a_new_index(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(lexical, "SELECTIVE_SHARE", share)
+    path = str(tmp_path / "index")
+    docs, queries = frames(spark)
+    lexical.write_index(docs, "doc_id", "text", path)
+    changed = [(3, "cat dog"), (5, "a bird and a cat"), (8, "the bird sat")]
+    left = [(1, DOCS[0][1]), (3, "cat dog"), (5, "a bird and a cat"), (6, "the dog sat"), (8, "the bird sat"), (4, "")]
+    for _ in range(2):
+        lexical.write_index(spark.createDataFrame(changed, "doc_id long, text string"), "doc_id", "text", path, mode="upsert")
+        index = lexical.delete_from_index(spark.createDataFrame([(2,), (7,), (99,)], "doc_id long"), path, "doc_id")
+        assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(left, QUERIES, 3)
+    assert {r.term: r.df for r in index.terms.collect()}["cat"] == 3
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_restricted_search_counts_its_part_alone(spark, tmp_path, stored):
+    docs, queries = frames(spark)
+    docs = docs.selectExpr("*", "CASE WHEN doc_id IN (3, 6, 7) THEN 'A' ELSE 'B' END AS base")
+    if stored:
+        index = lexical.write_index(docs, "doc_id", "text", str(tmp_path / "index"), keep=("base",))
+    else:
+        index = lexical.index_of(docs, "doc_id", "text", keep=("base",))
+    part = [d for d in DOCS if d[0] not in (3, 6, 7)]
+    assert found(lexical.bm25_search(queries, index, 3, where=F.col("base") == "B")) == brute_bm25(part, QUERIES, 3)
+    assert lexical.bm25_search(queries, index, 3, where=F.col("base") == "C").count() == 0
+
+
+def test_han_text_is_found(spark, tmp_path):
+    docs = [(1, "今天天气怎么样"), (2, "我们明天去北京"), (3, "hello 北京 world")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "北京"), (2, "天气"), (3, "京")], "query_id long, text string")
+    index = lexical.write_index(frame, "doc_id", "text", str(tmp_path / "index"), Bm25Params(han_bigrams=True))
+    hits = {(r.query_id, r.doc_id) for r in lexical.bm25_search(queries, index).collect()}
+    assert hits == {(1, 2), (1, 3), (2, 1)}
+
+
+def test_a_term_of_all_documents_is_kept_by_both_paths(spark, monkeypatch):
+    docs = [(i, "same " + "word " * (i % 3)) for i in range(50)]
+    frame, queries = frames(spark, docs, [(1, "same")])
+    index = lexical.index_of(frame, "doc_id", "text")
+    monkeypatch.setattr(lexical, "SCORE_DIGITS", 1)
+    monkeypatch.setattr("docquarry.operators.common.SCORE_DIGITS", 1)
+    both = [found(lexical.bm25_search(queries, i, 40)) for i in (index, replace(index, forward=None))]
+    assert both[0] == both[1] and len(both[0]) == 40 and {r[3] for r in both[0]} == {0.0}
+
+
 def test_search_beyond_the_bounds(spark, monkeypatch):
     docs, queries = frames(spark)
     monkeypatch.setattr(lexical, "SCAN_MAX_WEIGHTS", 1)

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from docquarry.operators.embedding import hash_embed
 from docquarry.operators.fusion import assemble_context, chat_prompt, fuse_rrf, history_prompt
 from docquarry.operators.generation import generate
+from docquarry.operators.ivf import build_ivf
 from docquarry.operators.lexical import write_index
 from docquarry.operators.rerank import model_scorer, pair_documents, rerank
+from docquarry.params import IvfParams
 from docquarry.plans.retrieve import retrieve, retrieve_context
 
 
@@ -58,7 +60,7 @@ def test_long_conversations_continue_in_pieces(spark, rows):
     assert rows(chat_prompt(turns, piece_turns=2)) == [
         (1, 0, 2, "user: 0\nuser: 1"), (1, 1, 2, "user: 2\nuser: 3"), (1, 2, 1, "user: 4")
     ]
-    assert len(rows(chat_prompt(turns))) == 1
+    assert len(rows(chat_prompt(turns, 1000))) == 1
 
 
 def test_history_and_generation(spark):
@@ -81,5 +83,14 @@ def test_retrieve_end_to_end(spark, tmp_path):
     assert best == {1: 0, 2: 1}
     plain = retrieve(queries, index, chunks, k=3, top_n=2, reranked=False)
     assert plain.groupBy("query_id").count().filter("count = 2").count() == 2
+    # A better hit outside the restriction is neither scored nor returned, by either half.
+    kept = write_index(chunks.withColumn("base", chunks.chunk_id % 2), "chunk_id", "content", str(tmp_path / "kept"), keep=("base",))
+    part = retrieve(
+        queries, kept, chunks.withColumn("base", chunks.chunk_id % 2), k=3, top_n=3, where=F.col("base") == 1, fields=("base",)
+    )
+    assert {r.chunk_id for r in part.collect()} <= {1, 3} and {r.base for r in part.collect()} == {1}
+    cells = build_ivf(chunks, str(tmp_path / "cells"), params=IvfParams(nlist=4, nprobe=4))
+    clustered = {r.query_id: r.chunk_id for r in retrieve(queries, index, chunks, k=3, top_n=1, cells=cells).collect()}
+    assert clustered == best
     contexts = {r.query_id: r.context for r in retrieve_context(queries, index, chunks, top_n=1, k=3).collect()}
     assert contexts == {1: texts[0], 2: texts[1]}

@@ -62,7 +62,7 @@ def test_ctc_example(spark, rows):
     steps += [(2, t, 0, 0.5) for t in range(3)]
     df = spark.createDataFrame(steps, "seq int, t int, cls int, prob double")
     kept = runs.collapse_runs(df, ["seq"], ["t"], "cls", 0)
-    assert rows(runs.decode_text(kept, ["seq"], ["t"], "cls"), "seq", "text") == [(1, "112")]
+    assert rows(runs.decode_text(kept, ["seq"], ["t"], "cls", 1000), "seq", "text") == [(1, "112")]
     confidence = {r.seq: (r.n_symbols, round(r.confidence, 9)) for r in runs.sequence_confidence(df, kept, ["seq"]).collect()}
     assert confidence == {1: (3, 0.6), 2: (0, 0.0)}
 

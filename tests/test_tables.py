@@ -104,7 +104,8 @@ def test_maintenance(spark, rows):
     assert maintenance.has_index(spark.createDataFrame([("KB",)], "collection string"), "collection", "kb")
     assert not maintenance.has_index(spark.createDataFrame([("KB",)], "collection string"), "collection", "k")
     many = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 99)], "file_id int, chunk_id int")
-    assert rows(maintenance.by_file(many, 1), "chunk_id") == [(i,) for i in range(10)]
+    assert rows(maintenance.by_file(many, [1], page=10), "chunk_id") == [(i,) for i in range(10)]
+    assert maintenance.by_file(many, [1]).count() == many.filter("file_id = 1").count()
 
 
 def test_uploads_pair_by_key(spark, rows):

@@ -101,10 +101,22 @@ def test_ivf_few_probes(data, index, monkeypatch):
     assert found(ivf.knn_ivf(queries, index, 4, nprobe=2)) == got
 
 
-def test_nlist_is_capped():
-    assert ivf.effective_nlist(10, 2048) == 1
-    assert ivf.effective_nlist(64_000, 2048) == 2000
-    assert ivf.effective_nlist(10**9, 2048) == 2048
+def test_every_row_is_clustered_and_the_number_of_cells_is_the_callers(spark, tmp_path):
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(VECTORS[200:260])], "chunk_id long, embedding array<double>")
+    assert len(ivf.train_centroids(vectors, "embedding", 20)) == 20
+    assert len(ivf.train_centroids(vectors, "embedding", 1000)) <= 60
+    index = ivf.build_ivf(vectors, str(tmp_path / "ivf"), params=IvfParams(nlist=20))
+    assert index.rows.count() == 60 and index.rows.select("cell").distinct().count() > 10
+
+
+def test_null_vectors_are_no_neighbours(spark, tmp_path):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, None), (2, [1.0, 0.1])], "query_id long, query_vector array<double>")
+    want = [(2, 1, 1), (2, 2, 3)]
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in knn_exact(queries, vectors, 3).collect()) == want
+    index = ivf.build_ivf(vectors, str(tmp_path / "ivf"), params=IvfParams(nlist=2, nprobe=2))
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in ivf.knn_ivf(queries, index, 3).collect()) == want
 
 
 def test_hash_embed_is_unit_and_empty_is_zero(spark):
