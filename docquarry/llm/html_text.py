@@ -62,6 +62,7 @@ _TOKEN = re.compile(
     r"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
     re.DOTALL,
 )
+_OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SMOOTHING = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
@@ -143,12 +144,12 @@ def blocks_of(html: str) -> list[_Block]:
 
     while True:
         token = _TOKEN.search(html, at)
-        if token is None:
-            rest = html[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)  # an unfinished tag
-            say(rest[: cut.start()] if cut else rest)
+        stretch = html[at : token.start()] if token else html[at:]
+        open_tag = _OPEN_TAG.search(stretch)  # a tag that never ends takes the rest of the page
+        if token is None or open_tag:
+            say(stretch[: open_tag.start()] if open_tag else stretch)
             break
-        say(html[at : token.start()])
+        say(stretch)
         at = token.end()
         tag = token["tag"] and token["tag"].lower()
         if not tag:
