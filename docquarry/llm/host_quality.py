@@ -27,6 +27,7 @@ from docquarry.session import broadcast_if_small, materialise
 
 WINDOW_WORDS = 8
 RULES = ("short", "repeated", "symbols", "lines")
+MIN_PRIOR_WEIGHT = 10  # documents
 
 
 @dataclass(frozen=True)
@@ -136,7 +137,7 @@ def host_rates(measured: DataFrame, host: str = "host", m: str = "m", rules: Hos
         mean = means[r]
         within = mean * (1 - mean)
         rho = (spread[r] / within - (totals["k"] - 1)) / spread["room"] if within > 0 and spread["room"] > 0 else 0.0
-        rho = min(max(rho, 1e-6), 0.5)  # neither an infinite prior nor one below a single document
+        rho = min(max(rho, 1e-6), 1 / (1 + MIN_PRIOR_WEIGHT))  # neither an infinite prior nor one that a few documents outweigh
         weight = (1 - rho) / rho
         shrunk.append(((F.col(f"f_{r}") + mean * weight) / (n + weight)).alias(f"rate_{r}"))
     return counts.select("*", *shrunk)

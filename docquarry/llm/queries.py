@@ -51,7 +51,7 @@ WITH texts AS (
     SELECT *, sum(f) OVER (PARTITION BY rule) / sum(n) OVER (PARTITION BY rule) AS m, sum(n) OVER (PARTITION BY rule) AS total FROM tall)
   GROUP BY rule
 ), prior AS (
-  SELECT rule, m, least(greatest(CASE WHEN m > 0 AND m < 1 AND room > 0 THEN (s / (m * (1 - m)) - (k - 1)) / room ELSE 0 END, 1e-6), 0.5) AS rho
+  SELECT rule, m, least(greatest(CASE WHEN m > 0 AND m < 1 AND room > 0 THEN (s / (m * (1 - m)) - (k - 1)) / room ELSE 0 END, 1e-6), 1 / 11.0::double) AS rho
   FROM fitted
 ), rejected AS (
   SELECT DISTINCT source FROM tall JOIN prior USING (rule) WHERE (f + m * (1 - rho) / rho) / (n + (1 - rho) / rho) > 0.5
@@ -114,8 +114,7 @@ def op6_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the text decoded from them."""
-    ids = docs.select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    return ids.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("decoded")).select(
+    return docs.select("doc_id", bpe.round_trip(F.col("text"), path).alias("t")).select("doc_id", "t.*").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
