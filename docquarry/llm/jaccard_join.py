@@ -5,21 +5,22 @@ A document's n-grams are cut at the same places. Fragments are worked on apart f
 counts the n-grams two documents share inside it, and the sum of these partial counts per pair is
 the whole overlap that decides.
 
-The first fragments (a quarter of the order) also nominate the pairs. Inside them n-grams are reordered
+The first fragments (for a threshold of 0.9 a quarter of the order) also nominate the pairs. Inside them n-grams are reordered
 by the number of documents that have them, rarest first; two documents that link must share an n-gram
 among the first n - ceil(t n) + 1 of each (prefix filter), at places and with sizes that leave enough
 room (position and length filters). A document whose rare n-grams fill its prefix needs no partner
 search at all. Where a document has fewer n-grams in the first fragments than its prefix needs, the
 prefix goes on in hash order.
 
-An n-gram in few prefixes nominates all its pairs. One in many (near copies by the thousand) nominates
-only the pairs with one leader, the document with the fewest rarer n-grams; members that turn out to
-link with the leader are in its component already, and only the others are paired with the list, under
-the same filters. Nothing is capped.
-
 Before the overlaps are counted, pairs meet a bound that is always right: documents carry the parity
 of the number of their n-grams in each of 512 hash cells, and as many cells as differ, n-grams differ.
 
+An n-gram in few prefixes nominates all its pairs. One in many (near copies by the thousand) nominates
+only the pairs with two leaders: the document with the fewest rarer n-grams, and the one nearest to it
+by the parity cells, which in a group of altered copies is the text they were made from. The components
+of the links found so far then tell which pairs can still matter: those of different components, not
+both in the leaders' one, that pass the same filters and the parity bound. Nothing is capped.
+
 Exact copies (same word sequence) are one class and enter the join once, by their smallest id.
 
 Defined results: null and blank texts have no n-grams and link with nothing; a text with fewer
@@ -42,11 +43,9 @@ from pyspark.sql import types as T
 
 from docquarry.llm.common import lists, utf8
 from docquarry.llm.components import components
-from docquarry.session import broadcast_if_small, materialise
+from docquarry.session import broadcast_if_small, materialise, scratch_mark
 
 FRAGMENTS = 8
-LEADING = 2  # fragments that nominate pairs
-LEADING_END = LEADING * (1 << 64) // FRAGMENTS
 CELLS = 512
 
 
@@ -58,6 +57,12 @@ class JaccardJoin:
     percent: int = 90
     few: int = 32
 
+    @property
+    def leading_end(self) -> int:
+        """Where the fragments that nominate pairs end: they hold some 1.75 times the n-grams of a prefix."""
+        leading = max(2, -(-FRAGMENTS * 7 * (100 - self.percent) // 400))
+        return min(leading * (1 << 64) // FRAGMENTS, (1 << 64) - 1)
+
     def prefix(self, size: Column) -> Column:
         return size - F.ceil(size * self.percent / F.lit(100)) + 1
 
@@ -81,7 +86,7 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
 
 def _sketch(texts: Column, join: JaccardJoin) -> Column:
     """Per text: class key, number of n-grams, number in the leading fragments, the head of the order, parities."""
-    n, percent = join.n, join.percent
+    n, percent, end = join.n, join.percent, np.uint64(join.leading_end)
     kind = T.StructType([
         T.StructField("key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("leading", T.LongType()),
         T.StructField("head", T.ArrayType(T.LongType(), False)), T.StructField("parity", T.ArrayType(T.LongType(), False)),
@@ -96,7 +101,7 @@ def _sketch(texts: Column, join: JaccardJoin) -> Column:
             size = len(grams)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if size else None)
             sizes.append(size)
-            leading.append(int(np.searchsorted(grams, np.uint64(LEADING_END))))
+            leading.append(int(np.searchsorted(grams, end)))
             prefix = size - -(-size * percent // 100) + 1 if size else 0
             heads.append(grams[: max(leading[-1], prefix)].view(np.int64))
             cells = np.bincount((grams >> np.uint64(7)).astype(np.int64) & (CELLS - 1), minlength=CELLS) & 1
@@ -167,16 +172,20 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, join: JaccardJoin) -> DataFrame:
+def _near(join: JaccardJoin, size_a: Column, size_b: Column, cells: Column) -> Column:
+    """False only for pairs that cannot link: |a| + |b| - 2 overlap is at least the number of cells that differ."""
+    return join.linked(F.floor((size_a + size_b - cells) / 2), size_a, size_b)
+
+
+def _cells_apart(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, CELLS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, join: JaccardJoin) -> DataFrame:
     """The pairs (a, b) that link, by partial overlaps of the fragments."""
-    facts = nodes.select("id", "size", "parity")
     known = pairs.join(facts.toDF("a", "size_a", "parity_a"), "a").join(facts.toDF("b", "size_b", "parity_b"), "b")
-    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(CELLS // 64)), F.lit(0))
-    # |a| + |b| - 2 overlap is at least the number of cells that differ.
-    left = F.floor((F.col("size_a") + F.col("size_b") - apart) / 2)
-    possible = materialise(
-        known.filter(join.linked(left, F.col("size_a"), F.col("size_b"))).select("a", "b", "size_a", "size_b"), "pairs"
-    )
+    near = _near(join, F.col("size_a"), F.col("size_b"), _cells_apart(F.col("parity_a"), F.col("parity_b")))
+    possible = materialise(known.filter(near).select("a", "b", "size_a", "size_b"), "pairs")
     wanted = possible.select(F.col("a").alias("id")).union(possible.select(F.col("b").alias("id"))).distinct()
     members = texts.join(broadcast_if_small(wanted), "id", "left_semi").dropDuplicates(["id"])
     segments = materialise(
@@ -192,26 +201,48 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, join: Jaccar
     return summed.filter(join.linked(F.col("overlap"), F.col("size_a"), F.col("size_b"))).select("a", "b", "overlap")
 
 
+def _led(long: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the members of long lists with their list's two leaders, and (gram, second) leaders."""
+    first = long.groupBy("gram").agg(F.min(F.struct("place", "id")).alias("least")).select("gram", F.col("least.id").alias("leader"))
+    leaders = first.join(facts.select(F.col("id").alias("leader"), F.col("parity").alias("theirs")), "leader")
+    beside = long.join(broadcast_if_small(leaders), "gram").filter(F.col("id") != F.col("leader"))
+    apart = F.struct(_cells_apart(F.col("parity"), F.col("theirs")).alias("cells"), "place", "id")
+    second = materialise(beside.groupBy("gram").agg(F.min(apart).alias("least")).select("gram", F.col("least.id").alias("leader")), "leaders")
+    both = long.select("gram", "id").join(broadcast_if_small(first.union(second)), "gram").filter(F.col("id") != F.col("leader"))
+    return both.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), second
+
+
+def _left_over(long: DataFrame, second: DataFrame, found: DataFrame, join: JaccardJoin) -> DataFrame:
+    """Pairs (a, b) of long lists that may join different components of the links found so far."""
+    labels = components(found.select("a", "b"))
+    placed = long.join(broadcast_if_small(labels.withColumnRenamed("node", "id")), "id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    homes = second.join(labels.withColumnRenamed("node", "leader"), "leader", "left").select(
+        "gram", F.coalesce("component", "leader").alias("home")
+    )
+    placed = materialise(placed.join(broadcast_if_small(homes), "gram"), "long-lists")
+    away = placed.filter(F.col("component") != F.col("home")).alias("x")
+    open_pair = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
+    near = _near(join, F.col("x.size"), F.col("y.size"), _cells_apart(F.col("x.parity"), F.col("y.parity")))
+    met = away.join(placed.alias("y"), (F.col("x.gram") == F.col("y.gram")) & open_pair & _may_link(join, "x", "y") & near)
+    return met.select(*_pair("x", "y")).distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
     """Links (a, b, overlap) whose components are those of all links; ``nodes`` are class representatives.
 
-    Among documents that link with the leader of a frequent n-gram only the links with the leader are listed.
+    Of the links inside a component that a frequent n-gram's leaders hold together not all are listed.
     """
+    facts = nodes.select("id", "size", "parity")
     prefixes = materialise(_prefixes(nodes, join), "prefixes")
-    heads = prefixes.groupBy("gram").agg(F.count("*").alias("members"), F.min(F.struct("place", "id")).alias("leader"))
-    heads = materialise(heads.filter("members > 1"), "heads")
-    listed = prefixes.join(broadcast_if_small(heads.select("gram", "members", F.col("leader.id").alias("leader"))), "gram")
-    short, long = listed.filter(F.col("members") <= join.few), listed.filter(F.col("members") > join.few)
+    lists_of = materialise(prefixes.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1"), "lists")
+    listed = prefixes.join(broadcast_if_small(lists_of), "gram")
+    short = listed.filter(F.col("members") <= join.few)
     near = short.alias("x").join(short.alias("y"), "gram").filter((F.col("x.id") < F.col("y.id")) & _may_link(join, "x", "y"))
-    star = long.filter(F.col("id") != F.col("leader")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    first = materialise(_verified(near.select(*_pair("x", "y")).union(star).distinct(), nodes, texts, join), "links")
-    absorbed = first.select(F.col("a").alias("leader"), F.col("b").alias("id")).union(first.select(F.col("b").alias("leader"), F.col("a").alias("id")))
-    away = materialise(
-        long.filter(F.col("id") != F.col("leader")).join(broadcast_if_small(absorbed), ["leader", "id"], "left_anti"), "away"
-    )
-    rest = away.alias("x").join(long.alias("y"), "gram").filter((F.col("x.id") != F.col("y.id")) & _may_link(join, "x", "y"))
-    fresh = rest.select(*_pair("x", "y")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return first.union(materialise(_verified(fresh, nodes, texts, join), "links"))
+    long = materialise(listed.filter(F.col("members") > join.few).join(facts.select("id", "parity"), "id"), "long-lists")
+    led, second = _led(long, facts)
+    first = materialise(_verified(near.select(*_pair("x", "y")).union(led).distinct(), facts, texts, join), "links")
+    return first.union(materialise(_verified(_left_over(long, second, first, join), facts, texts, join), "links"))
 
 
 def jaccard_groups(
@@ -226,7 +257,7 @@ def jaccard_groups(
         one_text = ids
     classes = materialise(one_text.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     single = full.join(broadcast_if_small(classes.select("key", F.col("rep").alias("id"))), ["key", "id"], "left_semi")
-    nodes = materialise(single.dropDuplicates(["key"]) if full.count() > ids.count() else single, "nodes")
+    nodes = single.dropDuplicates(["key"]) if full.count() > ids.count() else single
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = components(links(nodes, texts, join).select("a", "b"))
     labels = classes.join(found, F.col("rep") == F.col("node"), "left").select(
@@ -240,6 +271,7 @@ def jaccard_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: JaccardJoin = JaccardJoin()) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without id stay."""
-    groups = materialise(jaccard_groups(docs, id_col, text_col, join), "groups")
+    mark = scratch_mark()
+    groups = materialise(jaccard_groups(docs, id_col, text_col, join), "groups", release_since=mark)
     dropped = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(broadcast_if_small(dropped), id_col, "left_anti").select(*docs.columns)
