@@ -1,0 +1,370 @@
+"""The corpus operators against brute force, round trips and the libraries they must equal."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+import public_tokenizers
+from docquarry.llm import backoff, bpe, decontaminate, host_quality, html_text, jaccard_join, secrets, sharding, token_scan, warc
+from docquarry.llm.components import components
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+FOLDER = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def table(spark, rows, schema="doc_id bigint, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+# --- quality rules
+
+
+def measures(text):
+    w = WORD.findall(text)
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {i + k for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(hit)
+
+
+def test_measures(spark):
+    random.seed(1)
+    texts = [" ".join(random.choice("ab é  | <\n \x1c \x85".split(" ")) for _ in range(random.randint(0, 60))) for _ in range(80)]
+    texts += ["a b c d e f g h " * 3, "x\n\nx\n x\n", "\x0b\x0cq\r\n" * 4]
+    got = table(spark, list(enumerate(texts))).select("doc_id", host_quality.measures(F.col("text")).alias("m")).select("doc_id", "m.*").collect()
+    for row in got:
+        assert tuple(row)[1:] == measures(texts[row.doc_id])
+
+
+def test_bad_host_is_rejected_and_small_hosts_are_shrunk(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    symbols = " ".join("*" * 12 + str(i) for i in range(30)) + " " + good
+    rows = [(i, good, "fine") for i in range(300)] + [(1000 + i, symbols, "noisy") for i in range(300)]
+    rows += [(2000 + i, good, f"h{i % 10}") for i in range(200)] + [(3000, symbols, "single"), (3001, symbols, None)]
+    got = {r.doc_id: r for r in host_quality.host_quality(table(spark, rows, "doc_id bigint, text string, source string")).collect()}
+    assert got[0].kept and not got[1000].base_failed and not got[1000].kept
+    assert got[3000].kept and got[3001].kept  # one document is no verdict on a host
+
+
+# --- spaced seeds
+
+
+def test_replaced_words_are_tolerated(spark):
+    random.seed(2)
+    pool = [f"v{i}" for i in range(5000)]
+    items = [[random.choice(pool) for _ in range(random.randint(15, 50))] for _ in range(60)]
+    rows, leaked = [], set()
+    for i in range(400):
+        body = [random.choice(pool) for _ in range(200)]
+        if i % 4 == 0:
+            item = list(items[i % 60])
+            for _ in range(len(item) // 10):
+                item[random.randrange(len(item))] = "other"
+            body[50:50] = [w.upper() for w in item]
+            leaked.add((i, i % 60))
+        rows.append((i, "\n".join(" ".join(body[k : k + 9]) for k in range(0, len(body), 9))))
+    bench = table(spark, [(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = decontaminate.contaminated(table(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaked
+    assert all(50 <= r.start <= 75 for r in got)
+
+
+# --- WARC
+
+
+def test_derivatives_link_to_their_source(spark, tmp_path):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    records = pages.select("page_id", warc.responses(F.col("url"), F.col("html"), F.lit("2024-05-01T00:00:00Z")).alias("record"))
+    warc.write_records(records, str(tmp_path / "crawl"))
+    again = warc.read_records(spark, str(tmp_path / "crawl"))
+    assert sorted(bytes(r.record).rstrip(b"\r\n") for r in again.collect()) == sorted(bytes(r.record).rstrip(b"\r\n") for r in records.collect())
+    sources = {}
+    for r in records.collect():
+        headers, block = warc.parse_record(bytes(r.record))
+        sources[dict(headers)["WARC-Record-ID"]] = (dict(headers), block)
+    got = warc.derivatives(again).collect()
+    assert len(got) == 2 * len(sources)
+    for r in got:
+        headers, block = warc.parse_record(bytes(r.record))
+        named, (source, response) = dict(headers), sources[r.refers_to]
+        assert named["WARC-Refers-To"] == r.refers_to and named["WARC-Target-URI"] == source["WARC-Target-URI"]
+        assert named["WARC-Date"] == "2024-05-01T00:00:00Z" and r.payload_digest == source["WARC-Payload-Digest"]
+        assert named["WARC-Block-Digest"] == warc.sha1_digest(block) == r.block_digest
+        assert r.payload_digest == warc.sha1_digest(response.partition(b"\r\n\r\n")[2])
+    assert len({r.record_id for r in got} | set(sources)) == 3 * len(sources)
+
+
+# --- separator scan
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_scan_stitches_blocks(spark, block):
+    random.seed(block)
+    rows, want = [], []
+    for file in range(4):
+        ids = [random.choice([9, 9, 1, 2, 3]) for _ in range(random.randint(0, 300))]
+        start, ordinal = 0, 0
+        for i, x in enumerate(ids + ([] if not ids or ids[-1] == 9 else [None])):
+            if x in (9, None):
+                want.append((file, ordinal, start, i - start, x == 9))
+                start, ordinal = i + 1, ordinal + 1
+        for b in range(0, len(ids), block):
+            data = b"".join(x.to_bytes(2, "little") for x in ids[b : b + block])
+            rows.append((file, b // block, bytearray(data)))
+    blocks = table(spark, rows, "file int, block bigint, data binary")
+    got = sorted(tuple(r) for r in token_scan.separator_scan(blocks, 9).select("file", "ordinal", "start", "n_tokens", "closed").collect())
+    assert got == sorted(want)
+
+
+def test_counts_of_documents(spark, documents, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    docs = documents.unionByName(documents.limit(1).withColumn("text", F.lit("a <|endoftext|> b")).withColumn("doc_id", F.lit(-1).cast("long")))
+    want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
+    path = str(tmp_path / "flat")
+    token_scan.write_flat(docs, PATH, 50256, path, block_tokens=500)
+    got = token_scan.separator_scan(spark.read.parquet(path), 50256, keep=("ended",)).collect()
+    assert {r.ended: r.n_tokens for r in got} == want and len(got) == len(want)
+
+
+def test_flat_files_of_other_tools(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"".join(x.to_bytes(2, "little") for x in [5, 6, 9, 9, 7]))
+    got = token_scan.separator_scan(token_scan.read_flat_files(spark, str(tmp_path), 2), 9).collect()
+    assert sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in got) == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
+
+
+# --- BPE
+
+
+def test_encoding_equals_the_library(spark, documents):
+    library = Tokenizer.from_file(PATH)
+    random.seed(5)
+    odd = "aeiou bcst'ré́ßñ中文字  \x1c\x85\n\t\r 019٣²½_-+=<|>endoftext!!??..​\U0001f600﻿　\x0b\x0c\x1f\x00"
+    texts = ["".join(random.choice(odd) for _ in range(random.randint(0, 60))) for _ in range(1500)]
+    texts += ["<|endoftext|>", "a <|endoftext|><|endoftext|>b", "a" * 3000, "ab" * 2000, " " * 2000, "I've we'll don'T"]
+    texts += [r.text for r in documents.collect()]
+    ids, sizes = bpe.PairEncoder(PATH).encode(texts)
+    model, at = bpe.Decoder(PATH), 0
+    for text, size, want in zip(texts, sizes, library.encode_batch(texts, add_special_tokens=False)):
+        mine = ids[at : at + size]
+        at += size
+        assert mine.tolist() == want.ids
+        assert model.decode(mine) == library.decode(want.ids, skip_special_tokens=False) == text
+
+
+# --- jump hash
+
+
+def jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_and_slots(spark):
+    ids = [0, 1, -1, 2**62, -(2**63), *range(100, 600)]
+    docs = table(spark, [(i, f"téxt {i}") for i in ids])
+    got = sharding.assign_shards(docs, 24).collect()
+    for r in got:
+        assert (r.shard, r.grown_shard) == (jump(r.doc_id % 2**64, 24), jump(r.doc_id % 2**64, 25))
+        assert r.grown_shard in (r.shard, 24)
+        text = f"téxt {r.doc_id}".encode()
+        assert (r["size"], r.text_crc32) == (len(text) + 8, zlib.crc32(text))
+    for shard in range(24):
+        assert [r.slot for r in sorted((r for r in got if r.shard == shard), key=lambda r: r.doc_id)] == list(range(sum(r.shard == shard for r in got)))
+
+
+# --- HTML
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><div id="siteHeader"><p>Site, with words. And more words, here.</p></div>
+<ul class="main-nav"><li><a href="/">Home</a><li><a href="/a">All</a></ul><div class="cookie-notice">We use cookies, really. Accept them, please.</div>
+<div class="content"><h2>Title</h2><p>One &amp; two,<br>three <i>fo</i>ur. More text here, with marks.</p><ul><li>item a<li>item b</ul><script>var x = "<p>no</p>";</script>
+<div class="ad">Buy, now. Buy, again.</div><p>Last, of all.</div><section id="comments"><p>Nice article, thanks a lot, really good. Yes, it is.</p></section>
+<form><label>Mail</label><input></form><footer>&copy; us, all rights reserved.</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == "Title One & two, three four. More text here, with marks. item a item b Last, of all."
+
+
+def test_articles_of_the_pages(spark):
+    import html
+
+    for page in spark.read.parquet(f"{FOLDER}/pages.parquet").collect():
+        body = re.search(r"<article>(.*?)(</article>|\Z)", page.html, re.DOTALL)[1]
+        body = re.sub(r"</?(p|h1|br)[^>]*>", " ", re.sub(r"<[^>]*\Z", "", body)).replace("<b>", "").replace("</b>", "")
+        assert html_text.main_text(page.html) == " ".join(html.unescape(body).split())
+
+
+# --- stupid backoff
+
+
+def brute_scores(docs, train):
+    one, two = Counter(), Counter()
+    for t in train:
+        w = words(t)
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    total, out = sum(one.values()), {}
+    for i, t in docs:
+        w, score = words(t), 0.0
+        for k, v in enumerate(w):
+            if k and two[w[k - 1], v]:
+                score += math.log(two[w[k - 1], v] / one[w[k - 1]])
+            else:
+                score += math.log(max(one[v], 1) / total) + (math.log(0.4) if k else 0)
+        out[i] = (len(w), score)
+    return out
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("share", [1000, 3])
+def test_backoff_equals_brute_force(spark, documents, monkeypatch, own, share):
+    monkeypatch.setattr(backoff, "HOT_SHARE", share)
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(-1, "a"), (-2, "the the the"), (-3, "unseen words only"), (-4, "")]
+    train = [t for i, t in rows if i % 2 == 0]
+    docs = table(spark, rows)
+    got = backoff.backoff_scores(docs, None if own else table(spark, list(enumerate(train))), bucket_entries=5000).collect()
+    want = brute_scores(rows, [t for _, t in rows] if own else train)
+    assert len(got) == len(want)
+    for r in got:
+        assert r.n_words == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-6 * max(1, abs(r.score))
+
+
+# --- Jaccard join
+
+
+def brute_groups(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("n, percent, few", [(3, 90, 2), (5, 80, 3), (2, 60, 4)])
+def test_groups_equal_brute_force(spark, n, percent, few):
+    random.seed(n * percent + few)
+    pool, rows = [f"v{i}" for i in range(400)], []
+    bases = [[random.choice(pool) for _ in range(random.choice([2, 5, 12, 40, 120]))] for _ in range(25)]
+    passage = [random.choice(pool) for _ in range(60)]
+    for i in range(360):
+        body = list(random.choice(bases[:3] if i % 2 else bases))
+        for _ in range(random.choice([0, 0, 1, 1, 2, 3, 8])):
+            body[random.randrange(len(body))] = random.choice(pool)
+        if i % 9 == 0:
+            body = passage + body[: random.randint(1, 10)]
+        rows.append((i * 7 % 1009, " ".join(body)))
+    rows += [(2001, ""), (2002, "A"), (2003, "a"), (2004, "a  B"), (2005, "A b")]
+    got = jaccard_join.jaccard_groups(table(spark, rows), join=jaccard_join.JaccardJoin(n, percent, few)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, n, percent)
+
+
+def test_components_of_a_long_path(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000), (500, 501), (501, 502), (502, 500)]
+    got = {r.node: r.component for r in components(table(spark, edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500, 502: 500}
+
+
+# --- secrets
+
+
+def brute_base(text):
+    kinds = [("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+             ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)]
+    spans = [(m.start(), k, m.end()) for k, (_, p, n) in enumerate(kinds) for m in re.finditer(p, text) if len(m[2] if k == 0 else m[0]) >= n]
+    return [(kinds[k][0], a, b) for a, k, b in sorted(spans)]
+
+
+def test_base_spans(documents):
+    random.seed(8)
+    bits = ["token", "Secret", "api_key", "APIKEY", "=", ":", " ", '"', "abcdef0123456789ab", "AKIA", "ABCDEFGHIJKLMN", "x.y=z", "passwd", "ſ", "K", "é"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(1, 14))) for _ in range(3000)]
+    for text in texts + [r.text for r in documents.collect()]:
+        assert [(secrets.KINDS[k], a, b) for k, a, b, _ in secrets.base_spans(text)] == brute_base(text)
+
+
+def test_formats_on_held_out_credentials(spark):
+    random.seed(9)
+    hexes = ["".join(random.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    keys = ["".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(700)]
+    plain = ["internationally", "understanding,", "straightforward", "misunderstandings", "10.200.30.4", "mail-2024.example.com", "chapter-12-section-3"]
+    rows = [(i, f"see token = {hexes[i]} or password: {keys[i]} " + " ".join(random.choice(plain) for _ in range(40))) for i in range(300)]
+    rows += [(1000 + i, "here it is " + keys[300 + i] + " and " + " ".join(random.choice(plain) for _ in range(40))) for i in range(400)]
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(table(spark, rows)).collect()}
+    found = sum(any(s.kind == 3 and (s.start, s.end) == (11, 43) for s in got[1000 + i]) for i in range(400))
+    wrong = sum(s.kind == 3 and not (i >= 1000 and (s.start, s.end) == (11, 43)) for i, spans in got.items() for s in spans)
+    assert found >= 360 and wrong == 0
+
+
+def test_merging_finds_a_loop():
+    random.seed(3)
+    machine = secrets.Automaton.infer(["dh" * (1 + next(k for k in range(99) if random.random() < 0.3)) for _ in range(500)], 0.05)
+    assert len(machine.visits) <= 4 and machine.bits("dhdhdh") > machine.bits("hhhhhh") + 20
+
+
+# --- pipeline
+
+
+def test_pipeline_equals_brute_force(spark, documents):
+    rows = {r.doc_id: (r.text, r.source) for r in documents.collect()}
+    kept = {}
+    for i, (text, _) in rows.items():
+        m = measures(text)
+        if m[0] >= 20 and 100 * m[5] <= 30 * m[0]:
+            kept[i] = text
+    groups = brute_groups(list(kept.items()), 5, 80)
+    kept = {i: t for i, t in kept.items() if groups[i][1] == i}
+    items = [words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    runs = {tuple(w[k : k + 10]) for w in items for k in range(len(w) - 9)}
+    kept = {i: t for i, t in kept.items() if not any(tuple(words(t)[k : k + 10]) in runs for k in range(len(words(t)) - 9))}
+    library, want = Tokenizer.from_file(PATH), {}
+    for i, text in kept.items():
+        covered = sorted((a, b) for _, a, b in brute_base(text))
+        out, at = "", 0
+        for a, b in covered:
+            if a >= at:
+                out += text[at:a] + "[secret]"
+            at = max(at, b)
+        out += text[at:]
+        ids = library.encode(out, add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(out.encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, FOLDER).collect()}
+    assert got == want
