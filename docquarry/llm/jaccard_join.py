@@ -143,14 +143,17 @@ def _prefixes(nodes: DataFrame, join: JaccardJoin) -> DataFrame:
 
     ``place`` counts the document's n-grams that come earlier in its order.
     """
-    spelled = nodes.select("id", "size", "leading", F.posexplode("head").alias("at", "gram"))
+    # Only beyond the leading fragments the place is known yet; -1 stands for the rest.
+    spelled = nodes.select("id", "leading", F.posexplode("head").alias("at", "gram")).select(
+        "id", "gram", F.when(F.col("at") < F.col("leading"), -1).otherwise(F.col("at")).cast("long").alias("place")
+    )
     shared = nodes.select(F.explode("head").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     common = spelled.join(shared, "gram")
-    inside = F.col("at") < F.col("leading")
-    grouped = common.groupBy("id", "size", "leading").agg(
+    inside = F.col("place") < 0
+    grouped = common.groupBy("id").agg(
         F.sort_array(F.collect_list(F.when(inside, F.struct("df", "gram")))).alias("inside"),
-        F.collect_list(F.when(~inside, F.struct(F.col("at").cast("long").alias("place"), "gram"))).alias("beyond"),
-    )
+        F.collect_list(F.when(~inside, F.struct("place", "gram"))).alias("beyond"),
+    ).join(nodes.select("id", "size", "leading"), "id")
     # Within the leading fragments the n-grams of this document alone come first.
     alone = F.col("leading") - F.size("inside")
     placed = F.transform("inside", lambda x, i: F.struct((alone + i).alias("place"), x["gram"].alias("gram")))
