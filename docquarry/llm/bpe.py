@@ -19,6 +19,8 @@ are held once per Python worker, the pieces kept between batches are bounded in
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +32,31 @@ from pyspark.sql import types as T
 
 from docquarry.llm.common import lists
 
-KEPT_PIECES = 100_000  # per Python worker, pieces and pairs each; beyond it the store is emptied
+KEPT_PIECES = 150_000  # per Python worker; beyond it the pieces not met since the store was last full are dropped
+KEPT_PAIRS = 100_000
 GROUP_CHARS = 1_000_000  # texts whose pieces are looked up together
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The same for the standard library's faster matcher. Its classes differ from the pattern's for a few characters:
+# numbers that are no digits, and separators that Unicode does not count as white space. Texts with one of these, with
+# unassigned characters or with any beyond the basic plane take the pattern itself. Only alternatives that cannot begin
+# alike have changed places.
+_PLAIN_PIECES = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_SPECIAL_CASES = re.compile(
+    "[\x1c-\x1f" + "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No", "Cn", "Cs"))
+    + "\U00010000-\U0010ffff]"
+)
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pattern's pieces, which make up the text."""
+    return _FULL_PIECES.findall(text) if _SPECIAL_CASES.search(text) else _PLAIN_PIECES.findall(text)
+
+
+_FULL_PIECES = regex.compile(PIECES)
+
 
 def byte_alphabet() -> dict[str, int]:
     """Characters that stand for bytes in vocabulary files: printable ones for themselves, the rest from U+0100 on."""
@@ -65,9 +86,11 @@ def _token_bytes(ids: dict[str, int], specials: dict[str, int]) -> list[bytes]:
 class Decoder:
     """The bytes of every token."""
 
-    def __init__(self, path: str):
-        ids, _, specials = _tables(path)
-        self.bytes_of = _token_bytes(ids, specials)
+    def __init__(self, path: str, bytes_of: list[bytes] | None = None):
+        if bytes_of is None:
+            ids, _, specials = _tables(path)
+            bytes_of = _token_bytes(ids, specials)
+        self.bytes_of = bytes_of
 
     def decode(self, ids: np.ndarray) -> str:
         table, end = self.bytes_of, len(self.bytes_of)
@@ -98,21 +121,14 @@ class PairEncoder:
         self.size = {i: len(bytes_of[i]) for i in self.rank}
         self.special = specials
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        self.pieces = regex.compile(PIECES)
-        self.together: dict[tuple[int, int], bool] = {}
+        self.together: dict[int, bool] = {}  # by left * width + right
+        self.width = len(bytes_of)
+        self.decoder = Decoder(path, bytes_of)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the store before it was last full
 
     def may_follow(self, left: int, right: int) -> bool:
         """True when encoding the bytes of both gives these two tokens."""
-        pair = (left, right)
-        known = self.together.get(pair)
-        if known is None:
-            if len(self.together) > KEPT_PIECES:
-                self.together.clear()
-            known = self.together[pair] = self._stands(left, right)
-        return known
-
-    def _stands(self, left: int, right: int) -> bool:
         rank, halves, merged = self.rank, self.halves, self.merged
         # Merges made on each side at or after these places are undone so far. A merge across the border of
         # the opened tokens would have happened if it came before both of the merges undone last; at the
@@ -133,7 +149,9 @@ class PairEncoder:
 
     def encode_pieces(self, fresh: list[str]) -> None:
         """Encode pieces that are not known yet, in the depth-first order of their trie."""
-        ends, size, may_follow = self.ends, self.size, self.may_follow
+        ends, size, width, together, may_follow = self.ends, self.size, self.width, self.together, self.may_follow
+        if len(together) > KEPT_PAIRS:
+            together.clear()
         path, before = [None], b""  # path[i]: last token of the encoding of the first i bytes
         coded = sorted((piece.encode(), piece) for piece in fresh)
         for word, piece in coded:
@@ -151,7 +169,15 @@ class PairEncoder:
                     if node is None:
                         raise ValueError(f"no token ends at byte {end} of a piece")
                     token = node.get(None)
-                    if token is not None and (start == 0 or may_follow(path[start], token)):
+                    if token is None:
+                        continue
+                    if start == 0:
+                        break
+                    pair = path[start] * width + token
+                    stands = together.get(pair)
+                    if stands is None:
+                        stands = together[pair] = may_follow(path[start], token)
+                    if stands:
                         break
                 path.append(token)
             before = word
@@ -165,23 +191,26 @@ class PairEncoder:
         """All ids one after the other, and the number of ids of each text."""
         flat: list[bytes] = []
         for first, last in _groups(texts):
-            parts: list[list[str | bytes]] = [self._parts(text) for text in texts[first:last]]
+            parts = [self._parts(text) for text in texts[first:last]]
             if len(self.known) > KEPT_PIECES:
-                self.known.clear()
-            fresh = {p for part in parts for p in part if p.__class__ is str} - self.known.keys()
-            self.encode_pieces(list(fresh))
-            known = self.known
-            for part in parts:
-                flat.append(b"".join([known[p] if p.__class__ is str else p for p in part]))
+                self.known, self.before = {}, self.known
+            known, before = self.known, self.before
+            fresh = set().union(*parts) - known.keys()
+            for piece in fresh & before.keys():
+                known[piece] = before[piece]
+            self.encode_pieces(list(fresh - before.keys() - self.special.keys()))
+            for token in fresh & self.special.keys():
+                known[token] = np.array([self.special[token]], np.int32).tobytes()
+            flat += [b"".join(map(known.__getitem__, part)) for part in parts]
         return np.frombuffer(b"".join(flat), np.int32), [len(ids) // 4 for ids in flat]
 
-    def _parts(self, text: str) -> list:
-        """Pieces as strings, special tokens as their id's bytes."""
+    def _parts(self, text: str) -> list[str]:
+        """Pieces and special tokens. No piece spells a special token: those have letters and other signs, pieces one kind."""
         if self.cut is None or not self.cut.search(text):
-            return self.pieces.findall(text)
-        parts: list = []
+            return pieces_of(text)
+        parts: list[str] = []
         for i, stretch in enumerate(self.cut.split(text)):
-            parts.extend([np.array([self.special[stretch]], np.int32).tobytes()] if i % 2 else self.pieces.findall(stretch))
+            parts.extend([stretch] if i % 2 else pieces_of(stretch))
         return parts
 
 
@@ -211,13 +240,26 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def _arrow_ids(model: PairEncoder, texts: pa.Array) -> pa.Array:
+    ids, sizes = [np.zeros(0, np.int32)], []
+    for start in range(0, len(texts), 1000):
+        some, lengths = model.encode([t or "" for t in texts.slice(start, 1000).to_pylist()])
+        ids.append(some)
+        sizes += lengths
+    return lists(np.concatenate(ids), sizes, pa.int32())
+
+
+def _arrow_texts(model: Decoder, rows: pa.Array) -> pa.Array:
+    flat, offsets = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+    return pa.array((model.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])), pa.string(), size=len(rows))
+
+
 def encode(text: Column, path: str) -> Column:
     """The ids of each whole text, as ``array<int>``."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        ids, sizes = encoder(path).encode([t or "" for t in texts.to_pylist()])
-        return lists(ids, sizes, pa.int32())
+        return _arrow_ids(encoder(path), texts)
 
     return bpe_encode(text)
 
@@ -227,8 +269,18 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf(T.StringType())
     def bpe_decode(rows: pa.Array) -> pa.Array:
-        model, flat = decoder(path), rows.values.to_numpy(zero_copy_only=False)
-        offsets = rows.offsets.to_numpy()
-        return pa.array([model.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+        return _arrow_texts(decoder(path), rows)
 
     return bpe_decode(F.coalesce(ids, F.array().cast("array<int>")))
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """A struct of the ``ids`` of each whole text and the text ``decoded`` from them, in one Python worker."""
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]))
+    def bpe_round_trip(texts: pa.Array) -> pa.Array:
+        model = encoder(path)
+        ids = _arrow_ids(model, texts)
+        return pa.StructArray.from_arrays([ids, _arrow_texts(model.decoder, ids)], ["ids", "decoded"])
+
+    return bpe_round_trip(text)
