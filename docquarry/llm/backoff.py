@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import lists, utf8
+from docquarry.llm.common import lists, text_slices, utf8
 from docquarry.session import materialise
 
 ALPHA = 0.4
 HOT_SHARE = 1000
-BUCKET_ENTRIES = 4_000_000
+BUCKET_ENTRIES = 2_000_000
+PART_ROWS = 20_000
 
 _ENTRIES = "bucket int, grams array<bigint>, rows array<bigint>, places array<int>, signs array<tinyint>"
 
@@ -65,12 +66,17 @@ def _same_text(sizes: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches, grams_of):
-    """Partial counts, one row per batch and n-gram."""
-    for batch in batches:
+    """Partial counts, one row per slice and n-gram."""
+    for batch in _sliced(batches):
         grams, counts = np.unique(grams_of(*_words(batch.column(0))), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
 
 
+def _sliced(batches):
+    for batch in batches:
+        yield from text_slices(batch)
+
+
 def _lookup(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
     """Counts from a sorted table, 0 where it lacks the n-gram."""
     keys, counts = table
@@ -113,45 +119,68 @@ def _sums(sums: dict[int, float]):
     )
 
 
-def _join_bucket(frame: pa.Table, backoff: bool) -> pa.Table:
+_PARTS = "part int, rows array<bigint>, totals array<double>, lacking array<bigint>, places array<int>"
+
+
+def _flat(frame: pa.Table, name: str, kind: type) -> np.ndarray:
+    """All values of a list column."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in frame.column(name).chunks]
+    return np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+
+
+def _in_parts(rows: np.ndarray, totals: np.ndarray, lacking: np.ndarray, places: np.ndarray, parts: int) -> pa.Table:
+    """Sums and missing places dealt by document: one output row per part."""
+
+    def dealt(keys: np.ndarray, values: np.ndarray, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
+        part = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % parts
+        order, sizes = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
+        return lists(keys[order], sizes, pa.int64()), lists(values[order], sizes, kind)
+
+    sums, missing = dealt(rows, totals, pa.float64()), dealt(lacking, places, pa.int32())
+    return pa.table([pa.array(np.arange(parts), pa.int32()), *sums, *missing], ["part", "rows", "totals", "lacking", "places"])
+
+
+def _join_bucket(frame: pa.Table, backoff: bool, parts: int) -> pa.Table:
     """Join the entries of one bucket to its count table.
 
     Signs: 0 counts in training only, +1 and -1 add or subtract the logarithm of the count; entries with sign
-    5 or 6 do both, 5 counting and adding, 6 counting and subtracting. Returns (row, total, places not found).
+    5 or 6 do both, 5 counting and adding, 6 counting and subtracting. Returns sums and places not found, by part.
     """
-    flat = [np.concatenate([c.values.to_numpy() for c in frame.column(name).chunks] or [np.zeros(0)]) for name in ("grams", "rows", "places", "signs")]
-    grams, rows, places, signs = flat[0].astype(np.int64), flat[1].astype(np.int64), flat[2].astype(np.int32), flat[3].astype(np.int8)
+    grams, signs = _flat(frame, "grams", np.int64), _flat(frame, "signs", np.int8)
     table = np.unique(grams[(signs == 0) | (signs >= 5)], return_counts=True)
     asked = signs != 0
-    grams, rows, places, signs = grams[asked], rows[asked], places[asked], signs[asked]
-    counts = _lookup(table, grams)
+    counts = _lookup(table, grams[asked])
+    rows, places, signs = _flat(frame, "rows", np.int64)[asked], _flat(frame, "places", np.int32)[asked], signs[asked]
     weight = np.where((signs == 1) | (signs == 5), 1.0, -1.0)
     known = counts > 0 if backoff else np.ones(len(counts), bool)
     part = np.where(known, weight * np.log(np.maximum(counts, 1)), 0.0)
     ids, place = np.unique(rows, return_inverse=True)
     totals = np.bincount(place, weights=part, minlength=len(ids))
-    missing = np.flatnonzero(~known)
-    missing = missing[np.argsort(place[missing], kind="stable")]
-    return pa.table({
-        "row": pa.array(ids, pa.int64()), "total": pa.array(totals, pa.float64()),
-        "missing": lists(places[missing], np.bincount(place[missing], minlength=len(ids)), pa.int32()),
-    })
+    return _in_parts(ids, totals, rows[~known], places[~known], parts)
+
+
+def _add_part(frame: pa.Table) -> pa.Table:
+    """(row, total, missing) of the documents of one part."""
+    rows, lacking, places = _flat(frame, "rows", np.int64), _flat(frame, "lacking", np.int64), _flat(frame, "places", np.int32)
+    ids, place = np.unique(rows, return_inverse=True)
+    totals = np.bincount(place, weights=_flat(frame, "totals", np.float64), minlength=len(ids))
+    order = np.argsort(lacking, kind="stable")
+    sizes = np.bincount(np.searchsorted(ids, lacking), minlength=len(ids))
+    return pa.table({"row": pa.array(ids, pa.int64()), "total": pa.array(totals), "missing": lists(places[order], sizes, pa.int32())})
 
 
-def _joined(entries: DataFrame, backoff: bool) -> DataFrame:
-    """Sums per row and bucket: (row, total, missing)."""
-    schema = "row bigint, total double, missing array<int>"
-    local = entries.filter("bucket IS NULL").select(F.arrays_zip("rows", "grams").alias("z")).select(F.explode("z").alias("z"))
+def _joined(entries: DataFrame, backoff: bool, parts: int) -> DataFrame:
+    """Sums per row: (row, total, missing). Buckets hand their sums on in parts of the documents, not row by row."""
 
-    def as_double(batches):
+    def local(batches):
         for b in batches:
-            bits = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(bits.view(np.float64)), lists(np.zeros(0, np.int32), [0] * len(bits), pa.int32())], ["row", "total", "missing"]
-            )
+            frame = pa.Table.from_batches([b])
+            totals, none = _flat(frame, "grams", np.int64).view(np.float64), np.zeros(0, np.int64)
+            yield from _in_parts(_flat(frame, "rows", np.int64), totals, none, none.astype(np.int32), parts).to_batches()
 
-    dealt = entries.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda t: _join_bucket(t, backoff), schema)
-    return dealt.union(local.select("z.rows", "z.grams").mapInArrow(as_double, schema))
+    dealt = entries.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda t: _join_bucket(t, backoff, parts), _PARTS)
+    both = dealt.union(entries.filter("bucket IS NULL").mapInArrow(local, _PARTS))
+    return both.groupBy("part").applyInArrow(_add_part, "row bigint, total double, missing array<int>")
 
 
 def _merge(sums: dict[int, float], rows: np.ndarray, part: np.ndarray) -> None:
@@ -187,6 +216,7 @@ def backoff_scores(
     hot_pairs = train_texts.mapInArrow(hot_counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     hot_bigrams = _sorted_table(hot_pairs.collect())  # at most HOT_SHARE ** 2 rows
     buckets = max(1, ceil(total / bucket_entries))
+    parts = max(1, ceil(docs.count() / PART_ROWS))
 
     def train_entries(words, sizes, order: int):
         if order == 2:
@@ -198,7 +228,7 @@ def backoff_scores(
 
     def bigram_entries(batches):
         sums: dict[int, float] = {}
-        for batch in batches:
+        for batch in _sliced(batches):
             words, sizes = _words(batch.column(0))
             row = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)[:-1]
             place = (np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[1:]  # of the bigram's second word
@@ -214,14 +244,14 @@ def backoff_scores(
     def word_entries(batches):
         """Contexts of found bigrams are subtracted; first words and second words of missing ones added."""
         sums: dict[int, float] = {}
-        for batch in batches:
+        for batch in _sliced(batches):
             words, sizes = _words(batch.column(0))
             owner = np.repeat(np.arange(len(sizes)), sizes)
             first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(words) else np.zeros(0, bool)
             starts = np.cumsum(sizes) - sizes
             lacking = np.zeros(len(words) + 1, bool)
             missing = batch.column(2)
-            held = missing.values.to_numpy(zero_copy_only=False)[missing.offsets[0].as_py() : missing.offsets[-1].as_py()] if len(missing) else np.zeros(0, np.int64)
+            held = missing.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             lacking[np.repeat(starts, np.diff(missing.offsets.to_numpy())) + held] = True
             lacking = lacking[: len(words)]
             added = first | lacking  # scored by C(v) / N
@@ -250,7 +280,7 @@ def backoff_scores(
 
     def training(order: int):
         def entries(batches):
-            for batch in batches:
+            for batch in _sliced(batches):
                 yield train_entries(*_words(batch.column(0)), order)
         return entries
 
@@ -259,16 +289,15 @@ def backoff_scores(
     dealt = known.mapInArrow(bigram_entries, _ENTRIES)
     if not same:
         dealt = dealt.union(train_texts.mapInArrow(training(2), _ENTRIES))
-    bigrams = materialise(_joined(dealt, backoff=True), "bigram-sums")
-    gaps = bigrams.filter(F.size("missing") > 0).groupBy("row").agg(F.flatten(F.collect_list("missing")).alias("missing"))
-    gaps = materialise(gaps, "unseen-bigrams")
+    bigrams = materialise(_joined(dealt, True, parts), "bigram-sums")
+    gaps = bigrams.filter(F.size("missing") > 0).select("row", "missing")
     seen = known.withColumn("missing", F.array().cast("array<int>")) if gaps.isEmpty() else (
         known.join(gaps, "row", "left").select("text", "row", F.coalesce("missing", F.array().cast("array<int>")).alias("missing"))
     )
     dealt = seen.select("text", "row", "missing").mapInArrow(word_entries, _ENTRIES)
     if not same:
         dealt = dealt.union(train_texts.mapInArrow(training(1), _ENTRIES))
-    sums = bigrams.select("row", "total").union(_joined(dealt, backoff=False).select("row", "total"))
+    sums = bigrams.select("row", "total").union(_joined(dealt, False, parts).select("row", "total"))
     length = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
     lengths = known.select("row", length.alias("n"))
     both = sums.select("row", "total", F.lit(0).cast("long").alias("n")).union(lengths.select("row", F.lit(0.0).alias("total"), "n"))

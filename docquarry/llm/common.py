@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +60,19 @@ def lists(values: np.ndarray, sizes: list[int] | np.ndarray, kind: pa.DataType)
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+SLICE_BYTES = 4_000_000
+
+
+def text_slices(batch: pa.RecordBatch, column: int = 0):
+    """Consecutive slices of a batch with about SLICE_BYTES of text each; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and held + size > SLICE_BYTES:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < batch.num_rows:
+        yield batch.slice(first)
