@@ -58,8 +58,11 @@ ASIDE_WORDS = frozenset(
 )
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
+# Attributes as browsers read them: a quote opens a value only after the "=" of a name; elsewhere it is a character like others,
+# and the tag ends at the next ">". Only quotes in place of a name with "<" right behind them leave the tag unfinished.
+_ATTRIBUTES = r"""(?:[\s/]+|(?!["']+<)[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*|(?=>)))?)*+"""
 _TOKEN = re.compile(
-    r"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
+    rf"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{_ATTRIBUTES})>|<[!?/][^>]*>""",
     re.DOTALL,
 )
 _OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
@@ -143,13 +146,11 @@ def blocks_of(html: str) -> list[_Block]:
         return 0
 
     while True:
-        token = _TOKEN.search(html, at)
-        stretch = html[at : token.start()] if token else html[at:]
-        open_tag = _OPEN_TAG.search(stretch)  # a tag that never ends takes the rest of the page
-        if token is None or open_tag:
-            say(stretch[: open_tag.start()] if open_tag else stretch)
-            break
-        say(stretch)
+        start = _OPEN_TAG.search(html, at)
+        say(html[at : start.start()] if start else html[at:])
+        token = start and _TOKEN.match(html, start.start())
+        if token is None:
+            break  # a tag that never ends takes the rest of the page
         at = token.end()
         tag = token["tag"] and token["tag"].lower()
         if not tag:

@@ -128,3 +128,9 @@ def test_pipeline_on_an_empty_table(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     benchmark(spark, []).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_html_stray_quotes():
+    assert html_text.main_text("<article><p>one</p><a title=don't href=x>two</a><p>three</p></article>") == "one two three"
+    assert html_text.main_text('<p>one</p><img alt="5" screen" src="x.png"><p>two</p><p class="k">three</p>') == "one two three"
+    assert html_text.main_text("<p>one</p><p title=\"x>y\" id='>'>two</p><p lang=\"never closed>three</p><p>four</p>") == "one two three four"
