@@ -6,8 +6,12 @@ divided by the number of blocks on the path. Both ratios are laid along the page
 smoothed with a Gaussian, and fused by multiplication; blocks whose fused ratio reaches the threshold
 (the standard deviation over the page, the mean at most) are content. The content element is the
 deepest one that holds nearly all text of content blocks; its blocks are the text, so that headings
-and short paragraphs of an article come along. Blocks in elements that by their tag, role or class
-are navigation, headers, footers, asides, notices, adverts, forms, scripts or comments never count.
+and short paragraphs of an article come along. Blocks in elements that by their tag or role are
+navigation, headers, footers, asides, forms or scripts never count. Words of class and id that name such
+things (comments, adverts, notices) are only a mark, which is weighed against the text: a marked element
+counts after all when its ratio is far above that of the text with fewer marks, or when it holds most of
+the page's text by ratio and no article, main element or heading is outside. Inside an article, words
+that sections are also called by count for little.
 
 Defined results: null or empty html gives an empty text; unclosed elements end with their parent, an
 unfinished tag at the end is left out; white space inside a block becomes one space; repeated rows are
@@ -56,6 +60,11 @@ ASIDE_WORDS = frozenset(
     "overlay newsletter subscribe subscription signup login comment comments respond reply replies disqus discussion related "
     "recommended share sharing social pagination pager toolbar copyright legal disclaimer".split()
 )
+# Words that sections of an article are called by as well.
+SECTION_WORDS = frozenset(
+    "notice notification alert menu navigation promotion banner consent subscription discussion related social legal disclaimer copyright "
+    "overlay widget".split()
+)
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 # Attributes as browsers read them: a quote opens a value only after the "=" of a name; elsewhere it is a character like others,
@@ -69,14 +78,18 @@ _OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SMOOTHING = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
+MARKED_RATIO, SECTION_RATIO = 10.0, 0.5  # times the ratio of the other text, for a marked element to count
 HELD_SHARE = 0.9  # of the text of content blocks that the content element holds
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "aside", "depth")
+    __slots__ = ("tag", "path", "parent", "aside", "depth", "least", "marked", "n_marks")
 
-    def __init__(self, tag: str, label: str, parent: _Element | None, aside: bool):
+    def __init__(self, tag: str, label: str, parent: _Element | None, aside: bool, least: float = 0.0):
         self.tag, self.parent, self.aside = tag, parent, aside
+        self.least = least  # of a marked element: times the ratio of other text that makes it content
+        self.marked = self if least else parent and parent.marked  # the innermost marked element around
+        self.n_marks = (parent.n_marks if parent else 0) + (least > 0)
         self.path = (parent.path if parent else "") + "/" + label
         self.depth = parent.depth + 1 if parent else 0
 
@@ -88,9 +101,9 @@ class _Block:
         self.owner, self.text, self.linked = owner, text, linked
 
 
-def _marks(tag: str, rest: str, within: _Element | None) -> tuple[str, bool]:
-    """The element's label in paths, and whether it is beside the article."""
-    aside, label = tag in ASIDE_TAGS, tag
+def _marks(tag: str, rest: str, within: _Element | None) -> tuple[str, bool, float]:
+    """The element's label in paths, whether it is beside the article, and what its class and id ask of its ratio."""
+    aside, label, least = tag in ASIDE_TAGS, tag, 0.0
     inside = within is not None and bool({"article", "main"} & set(within.path.split("/")))
     if tag == "header":
         aside = not inside  # the head of an article holds its title
@@ -100,13 +113,13 @@ def _marks(tag: str, rest: str, within: _Element | None) -> tuple[str, bool]:
             words = {w.lower() for w in _WORDS.findall(value)}
             label += "." + ".".join(sorted(words)[:3])
             beside = words & ASIDE_WORDS
-            if beside - {"header"} or beside and not inside:
-                aside = tag not in ("html", "body", "article", "main") or aside
+            if (beside - {"header"} or beside and not inside) and tag not in ("html", "body", "article", "main"):
+                least = max(least, SECTION_RATIO if inside and not beside - SECTION_WORDS - {"header"} else MARKED_RATIO)
         elif name == "role":
             aside = aside or value.strip().lower() in ASIDE_ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             aside = aside or tag not in ("html", "body")
-    return label, aside
+    return label, aside, least
 
 
 def blocks_of(html: str) -> list[_Block]:
@@ -179,18 +192,18 @@ def blocks_of(html: str) -> list[_Block]:
         flush()
         if tag in VOID:
             continue
-        label, aside = _marks(tag, token["rest"], stack[-1])
+        label, aside, least = _marks(tag, token["rest"], stack[-1])
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
             continue
-        stack.append(_Element(tag, label, stack[-1], aside or stack[-1].aside))
+        stack.append(_Element(tag, label, stack[-1], aside or stack[-1].aside, least))
     flush()
     return blocks
 
 
-def _content(blocks: list[_Block]) -> list[_Block]:
-    """Blocks on content paths, by fused ratios."""
+def _ratios(blocks: list[_Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Per block: text length outside links and punctuation marks (and one) per block on its path."""
     text: dict[str, int] = defaultdict(int)
     marks: dict[str, int] = defaultdict(int)
     count: dict[str, int] = defaultdict(int)
@@ -201,6 +214,52 @@ def _content(blocks: list[_Block]) -> list[_Block]:
         count[path] += 1
     lengths = np.array([text[b.owner.path] / count[b.owner.path] for b in blocks])
     points = np.array([1 + marks[b.owner.path] / count[b.owner.path] for b in blocks])
+    return lengths, points
+
+
+def _around(element: _Element | None) -> list[_Element]:
+    """The element and those around it."""
+    found = []
+    while element is not None:
+        found.append(element)
+        element = element.parent
+    return found
+
+
+def _unmarked(blocks: list[_Block]) -> list[_Block]:
+    """The blocks outside marked elements and those in marked elements whose text outweighs the mark."""
+    groups: dict[_Element, list[int]] = defaultdict(list)  # by the innermost marked element
+    free: list[int] = []
+    for i, b in enumerate(blocks):
+        (free if b.owner.marked is None else groups[b.owner.marked]).append(i)
+    if not groups:
+        return blocks
+    lengths, points = _ratios(blocks)
+    ratio, size = lengths * points, np.array([len(b.text) for b in blocks])
+    held: dict[_Element, float] = defaultdict(float)
+    heads: dict[_Element, int] = defaultdict(int)  # blocks in articles and headings
+    n_heads = 0
+    for b, value in zip(blocks, ratio * size):
+        around = _around(b.owner)
+        head = any(e.tag in ("article", "main", "h1", "h2") for e in around)
+        n_heads += head
+        for e in around:
+            held[e] += float(value)
+            heads[e] += head
+    total, kept = float((ratio * size).sum()), list(free)
+    for n_marks in sorted({e.n_marks for e in groups}):
+        usual = float((ratio[kept] * size[kept]).sum() / size[kept].sum()) if kept else 0.0
+        for e in (e for e in groups if e.n_marks == n_marks):
+            own = groups[e]
+            most = 2 * held[e] > total and heads[e] == n_heads
+            if most or float((ratio[own] * size[own]).sum() / size[own].sum()) >= e.least * usual:
+                kept += own
+    return [blocks[i] for i in sorted(kept)]
+
+
+def _content(blocks: list[_Block]) -> list[_Block]:
+    """Blocks on content paths, by fused ratios."""
+    lengths, points = _ratios(blocks)
     weight = np.convolve(np.ones(len(blocks)), SMOOTHING, "full")[2:-2]
     fused = np.convolve(lengths, SMOOTHING, "full")[2:-2] / weight * (np.convolve(points, SMOOTHING, "full")[2:-2] / weight)
     fused = np.where(lengths > 0, fused, 0.0)  # nothing but links
@@ -210,7 +269,7 @@ def _content(blocks: list[_Block]) -> list[_Block]:
 
 def main_text(html: str | None) -> str:
     """The text of the content element, blocks joined by one space."""
-    blocks = [b for b in blocks_of(html or "") if not b.owner.aside]
+    blocks = _unmarked([b for b in blocks_of(html or "") if not b.owner.aside])
     content = _content(blocks) if blocks else []
     if not content:
         return ""

@@ -134,3 +134,17 @@ def test_html_stray_quotes():
     assert html_text.main_text("<article><p>one</p><a title=don't href=x>two</a><p>three</p></article>") == "one two three"
     assert html_text.main_text('<p>one</p><img alt="5" screen" src="x.png"><p>two</p><p class="k">three</p>') == "one two three"
     assert html_text.main_text("<p>one</p><p title=\"x>y\" id='>'>two</p><p lang=\"never closed>three</p><p>four</p>") == "one two three four"
+
+
+def test_html_marks_are_weighed():
+    part = "".join(f"<p>A paragraph of the article, number {i}, with commas and a full stop. It goes on, as they do.</p>" for i in range(5))
+    comments = '<div class="comment"><p>I like this, very much. Thank you, it was good.</p></div>' * 12
+    for wrapper in ("content-sidebar-wrap", "has-sidebar", "elementor-widget post-content", "with-header nav-fixed"):
+        got = html_text.main_text(f'<div class="{wrapper}"><article><h1>Title</h1>{part}</article><div class="comments">{comments}</div></div>')
+        assert got.startswith("Title A paragraph") and got.count("A paragraph") == 5 and "I like" not in got
+        assert html_text.main_text(f'<div class="{wrapper}">{part}</div><div>Site, all.</div>').count("A paragraph") == 5
+    got = html_text.main_text(
+        f'<article>{part}<section id="discussion"><h2>Discussion</h2>{part}</section><div class="related-work">{part}</div><div class="ad">Buy, now.</div>'
+        f'<div class="comments">{comments}</div></article>'
+    )
+    assert got.count("A paragraph") == 15 and "Discussion" in got and "Buy" not in got and "I like" not in got
