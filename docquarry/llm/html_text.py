@@ -5,8 +5,9 @@ of tags from the root to a block, text length outside links and punctuation mark
 divided by the number of blocks on the path. Both ratios are laid along the page in block order,
 smoothed with a Gaussian, and fused by multiplication; blocks whose fused ratio reaches the threshold
 (the standard deviation over the page, the mean at most) are content. The content element is the
-deepest one that holds nearly all text of content blocks; its blocks are the text, so that headings
-and short paragraphs of an article come along. Blocks in elements that by their tag or role are
+deepest one that holds nearly all text of content blocks, or the article around it; its blocks, content
+blocks elsewhere and headings right before them are the text, so that headings and short paragraphs of
+an article come along. Blocks in elements that by their tag or role are
 navigation, headers, footers, asides, forms or scripts never count. Words of class and id that name such
 things (comments, adverts, notices) are only a mark, which is weighed against the text: a marked element
 counts after all when its ratio is far above that of the text with fewer marks, or when it holds most of
@@ -80,14 +81,18 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SMOOTHING = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 MARKED_RATIO, SECTION_RATIO = 10.0, 0.5  # times the ratio of the other text, for a marked element to count
 HELD_SHARE = 0.9  # of the text of content blocks that the content element holds
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_TAGS = HEADINGS | frozenset(  # with those of lists and tables, which are no content element either
+    "p pre blockquote li ul ol dd dt dl td th tr tbody thead tfoot table figure figcaption caption summary address".split()
+)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "aside", "depth", "least", "marked", "n_marks")
+    __slots__ = ("tag", "path", "parent", "aside", "depth", "least", "words", "marked", "n_marks")
 
-    def __init__(self, tag: str, label: str, parent: _Element | None, aside: bool, least: float = 0.0):
+    def __init__(self, tag: str, label: str, parent: _Element | None, aside: bool, least: float = 0.0, words: frozenset[str] = frozenset()):
         self.tag, self.parent, self.aside = tag, parent, aside
-        self.least = least  # of a marked element: times the ratio of other text that makes it content
+        self.least, self.words = least, words  # of a marked element: times the ratio of other text that makes it content; why
         self.marked = self if least else parent and parent.marked  # the innermost marked element around
         self.n_marks = (parent.n_marks if parent else 0) + (least > 0)
         self.path = (parent.path if parent else "") + "/" + label
@@ -101,9 +106,9 @@ class _Block:
         self.owner, self.text, self.linked = owner, text, linked
 
 
-def _marks(tag: str, rest: str, within: _Element | None) -> tuple[str, bool, float]:
-    """The element's label in paths, whether it is beside the article, and what its class and id ask of its ratio."""
-    aside, label, least = tag in ASIDE_TAGS, tag, 0.0
+def _marks(tag: str, rest: str, within: _Element | None) -> tuple[str, bool, float, frozenset[str]]:
+    """The element's label in paths, whether it is beside the article, what its class and id ask of its ratio, and why."""
+    aside, label, least, why = tag in ASIDE_TAGS, tag, 0.0, frozenset()
     inside = within is not None and bool({"article", "main"} & set(within.path.split("/")))
     if tag == "header":
         aside = not inside  # the head of an article holds its title
@@ -115,11 +120,12 @@ def _marks(tag: str, rest: str, within: _Element | None) -> tuple[str, bool, flo
             beside = words & ASIDE_WORDS
             if (beside - {"header"} or beside and not inside) and tag not in ("html", "body", "article", "main"):
                 least = max(least, SECTION_RATIO if inside and not beside - SECTION_WORDS - {"header"} else MARKED_RATIO)
+                why |= beside
         elif name == "role":
             aside = aside or value.strip().lower() in ASIDE_ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             aside = aside or tag not in ("html", "body")
-    return label, aside, least
+    return label, aside, least, why
 
 
 def blocks_of(html: str) -> list[_Block]:
@@ -192,12 +198,12 @@ def blocks_of(html: str) -> list[_Block]:
         flush()
         if tag in VOID:
             continue
-        label, aside, least = _marks(tag, token["rest"], stack[-1])
+        label, aside, least, why = _marks(tag, token["rest"], stack[-1])
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
             continue
-        stack.append(_Element(tag, label, stack[-1], aside or stack[-1].aside, least))
+        stack.append(_Element(tag, label, stack[-1], aside or stack[-1].aside, least, why))
     flush()
     return blocks
 
@@ -246,13 +252,22 @@ def _unmarked(blocks: list[_Block]) -> list[_Block]:
         for e in around:
             held[e] += float(value)
             heads[e] += head
+
+    def mean(at: list[int]) -> float:
+        return float((ratio[at] * size[at]).sum() / size[at].sum())
+
     total, kept = float((ratio * size).sum()), list(free)
     for n_marks in sorted({e.n_marks for e in groups}):
-        usual = float((ratio[kept] * size[kept]).sum() / size[kept].sum()) if kept else 0.0
-        for e in (e for e in groups if e.n_marks == n_marks):
-            own = groups[e]
-            most = 2 * held[e] > total and heads[e] == n_heads
-            if most or float((ratio[own] * size[own]).sum() / size[own].sum()) >= e.least * usual:
+        alike: dict[tuple, list[_Element]] = defaultdict(list)
+        for e in groups:
+            if e.n_marks == n_marks:
+                alike[e.least, e.words].append(e)
+        # Where nothing has fewer marks, the groups are held against each other.
+        usual, bare = (mean(kept), False) if kept else (mean([i for es in alike.values() for e in es for i in groups[e]]), True)
+        for (least, _), es in alike.items():
+            own = [i for e in es for i in groups[e]]
+            most = any(2 * held[e] > total and heads[e] == n_heads for e in es)
+            if most or mean(own) >= (SECTION_RATIO if bare else least) * usual:
                 kept += own
     return [blocks[i] for i in sorted(kept)]
 
@@ -283,8 +298,9 @@ def main_text(html: str | None) -> str:
             element = element.parent
     total = sum(len(b.text) for b in content)
     home = max((elements[i] for i, n in held.items() if n >= HELD_SHARE * total), key=lambda e: e.depth)
-    while home.tag == "p" and home.parent is not None:
-        home = home.parent  # a single paragraph: its heading is beside it
+    while home.tag in TEXT_TAGS and home.parent is not None:
+        home = home.parent  # a single paragraph or list: its heading is beside it
+    home = next((e for e in _around(home) if e.tag == "article"), home)
 
     def inside(element: _Element | None) -> bool:
         while element is not None and element is not home:
@@ -293,10 +309,10 @@ def main_text(html: str | None) -> str:
 
     chosen = {id(b) for b in content}
     whole = home.tag not in ("", "html", "body")
-    return " ".join(
-        b.text for b in blocks
-        if inside(b.owner) and (id(b) in chosen or b.owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p") or whole)
-    )
+    kept = [id(b) in chosen or inside(b.owner) and (whole or b.owner.tag == "p" or b.owner.tag in HEADINGS) for b in blocks]
+    for i in range(len(blocks) - 2, -1, -1):  # the headings of what is kept
+        kept[i] = kept[i] or kept[i + 1] and blocks[i].owner.tag in HEADINGS
+    return " ".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
 def main_texts(html: Column) -> Column:

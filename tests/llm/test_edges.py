@@ -148,3 +148,16 @@ def test_html_marks_are_weighed():
         f'<div class="comments">{comments}</div></article>'
     )
     assert got.count("A paragraph") == 15 and "Discussion" in got and "Buy" not in got and "I like" not in got
+
+
+def test_html_chosen_blocks_are_kept():
+    line = "Words of the text, with commas, and a full stop. "
+    want = "Title A lead, which is short. " + line * 20 + "A closing paragraph, with its words, and its stop."
+    for tag in ("div", "li", "blockquote", "pre", "td"):
+        page = f"<h1>Title</h1><p>A lead, which is short.</p><{tag} class=\"body\">{line * 20}</{tag}><p>A closing paragraph, with its words, and its stop.</p>"
+        assert html_text.main_text(f"<article>{page}</article>") == want
+        assert html_text.main_text(f"<body><div><ul><li><a href=/>Home</a></ul></div><article>{page}</article></body>") == want
+    part = "".join(f"<p>{line * 3}</p>" for _ in range(12))
+    got = html_text.main_text(f"<div><h1>Title</h1><div>{part}</div><p>{line * 2}</p></div>")
+    assert got == "Title " + (line * 38).strip()
+    assert html_text.main_text(f"<div><h1>{line * 3}</h1><p>Short, so.</p></div>") == (line * 3).strip() + " Short, so."
