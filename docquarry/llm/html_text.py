@@ -88,12 +88,13 @@ TEXT_TAGS = HEADINGS | frozenset(  # with those of lists and tables, which are n
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "aside", "depth", "least", "words", "marked", "n_marks")
+    __slots__ = ("tag", "path", "parent", "aside", "depth", "least", "words", "marked", "n_marks", "head")
 
     def __init__(self, tag: str, label: str, parent: _Element | None, aside: bool, least: float = 0.0, words: frozenset[str] = frozenset()):
         self.tag, self.parent, self.aside = tag, parent, aside
         self.least, self.words = least, words  # of a marked element: times the ratio of other text that makes it content; why
         self.marked = self if least else parent and parent.marked  # the innermost marked element around
+        self.head = tag in ("article", "main", "h1", "h2") or parent is not None and parent.head
         self.n_marks = (parent.n_marks if parent else 0) + (least > 0)
         self.path = (parent.path if parent else "") + "/" + label
         self.depth = parent.depth + 1 if parent else 0
@@ -241,22 +242,21 @@ def _unmarked(blocks: list[_Block]) -> list[_Block]:
     if not groups:
         return blocks
     lengths, points = _ratios(blocks)
-    ratio, size = lengths * points, np.array([len(b.text) for b in blocks])
+    size = [len(b.text) for b in blocks]
+    worth = [n * r for n, r in zip(size, (lengths * points).tolist())]
     held: dict[_Element, float] = defaultdict(float)
     heads: dict[_Element, int] = defaultdict(int)  # blocks in articles and headings
-    n_heads = 0
-    for b, value in zip(blocks, ratio * size):
-        around = _around(b.owner)
-        head = any(e.tag in ("article", "main", "h1", "h2") for e in around)
-        n_heads += head
-        for e in around:
-            held[e] += float(value)
-            heads[e] += head
+    for b, value in zip(blocks, worth):
+        e = b.owner.marked
+        while e is not None:
+            held[e] += value
+            heads[e] += b.owner.head
+            e = e.parent.marked
+    n_heads, total, kept = sum(b.owner.head for b in blocks), sum(worth), list(free)
 
     def mean(at: list[int]) -> float:
-        return float((ratio[at] * size[at]).sum() / size[at].sum())
+        return sum(worth[i] for i in at) / sum(size[i] for i in at)
 
-    total, kept = float((ratio * size).sum()), list(free)
     for n_marks in sorted({e.n_marks for e in groups}):
         alike: dict[tuple, list[_Element]] = defaultdict(list)
         for e in groups:
