@@ -5,9 +5,12 @@ to a few classes, and for every kind of credential a prefix tree with counts is
 sample of distinct examples. States whose outgoing and ending frequencies do not differ significantly
 (Hoeffding bound, down to all common descendants) are merged, breadth first, into a probabilistic
 automaton: the grammar of the format. Every other candidate (a run of credential characters of enough
-length) is scored by the logarithm of its likelihood under the best automaton over its likelihood under
-a background chain, whose class pairs are counted over the candidates of all texts. Candidates far
-enough above the background that mix letters and digits are reported as kind ``format``.
+length, or a part of it between such examples) is scored by the logarithm of its likelihood under the
+best automaton over its likelihood under a background chain. Candidates far enough above the background
+that mix letters and digits are reported as kind ``format``. The chain's class pairs are counted over the
+distinct candidates of all texts, each once however often it occurs, in two steps: first over those made
+of ordinary words and numbers, then also over the others that no automaton favours over the first count,
+so that credentials do not become background by their number.
 
 Defined results: null text is scanned as empty and has no spans; repeated rows are scanned each; without
 examples (or without rows) there is no automaton and no ``format`` span; offsets are code points, ends
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from math import log, log2, sqrt
 
@@ -40,6 +43,9 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_LENGTH)  # the runs of HEX that are long enough
 
+# Words in lower case, upper case or with a capital, and numbers, between other signs.
+_ORDINARY = re.compile(r"[+/=_.-]*(?:(?:[a-z]++|[A-Z][a-z]++|[A-Z]++|[0-9]++)(?:[+/=_.-]++|\Z))+")
+
 
 @dataclass(frozen=True)
 class SecretRules:
@@ -74,17 +80,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple], min_length: int) -> list[tuple[int, int, str]]:
-    """(start, end, run) of maximal runs of credential characters that touch no base span."""
+    """(start, end, run) of maximal runs of credential characters outside base spans."""
     runs = re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % min_length, text)
     if not base:
         return [(*m.span(), m[0]) for m in runs]
-    free, at, reach = [], 0, 0
+    free, i, reach = [], 0, 0
     for m in runs:
-        while at < len(base) and base[at][1] < m.end():
-            reach = max(reach, base[at][2])
-            at += 1
-        if reach <= m.start():
-            free.append((*m.span(), m[0]))
+        start = max(m.start(), reach)
+        while i < len(base) and base[i][1] < m.end():
+            if base[i][1] - start >= min_length:
+                free.append((start, base[i][1], text[start : base[i][1]]))
+            reach = max(reach, base[i][2])
+            start = max(start, reach)
+            i += 1
+        if m.end() - start >= min_length:
+            free.append((start, m.end(), text[start : m.end()]))
     return free
 
 
@@ -203,12 +213,16 @@ class SecretModel:
         }
         object.__setattr__(self, "_chain", chain)
 
+    def gain(self, word: str) -> float:
+        """Bits that the best automaton saves over the background, for a word of classes."""
+        usual = sum(self._chain[a + b] for a, b in zip("^" + word, word + "$"))
+        return max((machine.bits(word) for machine in self.automata), default=usual) - usual
+
     def is_credential(self, run: str, rules: SecretRules) -> bool:
         word = run.translate(_TO_CLASS)
         if not self.automata or "d" not in word or not ({"h", "l", "U"} & set(word)):
             return False
-        usual = sum(self._chain[a + b] for a, b in zip("^" + word, word + "$"))
-        gain = max(machine.bits(word) for machine in self.automata) - usual
+        gain = self.gain(word)
         return gain >= rules.min_bits and gain >= rules.min_bits_per_char * len(word)
 
 
@@ -239,7 +253,7 @@ def scanned(text: Column, rules: SecretRules = SecretRules()) -> Column:
 
 
 def learn(found: DataFrame, rules: SecretRules = SecretRules()) -> SecretModel:
-    """Automata from a bounded sample of the labelled secrets, the background from all candidates.
+    """Automata from a bounded sample of the labelled secrets, the background from all distinct candidates.
 
     ``found`` has the columns ``base`` and ``rest`` of ``scanned``. To the driver come ``max_labels`` strings per kind
     and one count per pair of classes.
@@ -252,18 +266,23 @@ def learn(found: DataFrame, rules: SecretRules = SecretRules()) -> SecretModel:
         words.setdefault(kind, []).append(secret.translate(_TO_CLASS))
     automata = tuple(Automaton.infer(words[kind], rules.alpha) for kind in sorted(words))
 
-    def count_pairs(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for runs in batch.column(0).to_pylist():
-                for run in runs or ():
-                    word = run.translate(_TO_CLASS)
-                    counts.update(map(str.__add__, "^" + word, word + "$"))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
-
-    pairs = found.select(F.col("rest.run").alias("runs")).mapInArrow(count_pairs, "pair string, n bigint")
-    background = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
-    return SecretModel(automata, background)
+    runs = materialise(found.select(F.explode("rest.run").alias("run")).distinct(), "secret-runs")
+
+    def background(ordinary: Callable[[str], bool]) -> dict[str, int]:
+        def count_pairs(batches):
+            counts: Counter = Counter()
+            for batch in batches:
+                for run in batch.column(0).to_pylist():
+                    if ordinary(run):
+                        word = run.translate(_TO_CLASS)
+                        counts.update(map(str.__add__, "^" + word, word + "$"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
+
+        pairs = runs.mapInArrow(count_pairs, "pair string, n bigint")
+        return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+
+    first = SecretModel(automata, background(lambda run: bool(_ORDINARY.fullmatch(run))))
+    return SecretModel(automata, background(lambda run: bool(_ORDINARY.fullmatch(run)) or first.gain(run.translate(_TO_CLASS)) <= 0))
 
 
 def scored(rest: Column, model: SecretModel, rules: SecretRules = SecretRules()) -> Column:

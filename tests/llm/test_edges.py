@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names, for every operator."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -161,3 +162,26 @@ def test_html_chosen_blocks_are_kept():
     got = html_text.main_text(f"<div><h1>Title</h1><div>{part}</div><p>{line * 2}</p></div>")
     assert got == "Title " + (line * 38).strip()
     assert html_text.main_text(f"<div><h1>{line * 3}</h1><p>Short, so.</p></div>") == (line * 3).strip() + " Short, so."
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+@pytest.mark.parametrize("n_plain", [3, 0])
+def test_many_keys_are_no_background(spark, copies, n_plain):
+    random.seed(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(random.choice(letters) for _ in range(32)) for _ in range(500)]
+    plain = ["internationally", "understanding,", "straightforward", "10.200.30.4", "mail-2024.example.com", "chapter-12-section-3"]
+    texts = [f"password: {k} here" for k in keys[:100]]
+    texts += [f"see {k} " + " ".join(random.choice(plain) for _ in range(n_plain)) for k in keys[100:]]
+    texts += [f"see {keys[100]} again {keys[101]}"] * (300 * (copies - 1) // 29)
+    rows = secrets.secret_spans(frame(spark, list(enumerate(texts)))).collect()
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == 3} for r in rows}
+    assert sum((4, 36) in found[i] for i in range(100, 500)) >= 380
+    assert all(spans <= {(4, 36), (43, 75)} for i, spans in found.items() if i >= 100)
+
+
+def test_parts_of_runs_outside_base_spans():
+    key = "Zq7Xw2Lk9Pv4Rt8Ym3Bn"
+    text = f"{key}/0123456789abcdef0123/{key} x password={key}"
+    base = secrets.base_spans(text)
+    assert [c[2] for c in secrets.candidates(text, base, 12)] == [key + "/", "/" + key]
