@@ -12,6 +12,7 @@ from docquarry.llm.backoff import backoff_scores
 from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docquarry.llm.html_text import main_texts
 from docquarry.llm.jaccard_join import jaccard_groups
+from docquarry.llm.repeats import strip_repeats
 from docquarry.llm.token_scan import document_token_counts
 
 SHARDS = 24
@@ -247,3 +248,33 @@ def op4_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Token count of every document, found again in flat token files written from all documents."""
     counts = document_token_counts(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE), EOD)
     return counts.select("doc_id", "n_tokens", "closed")
+
+
+@register("""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS p FROM d)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+      SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM later))
+  GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM runs
+  UNION ALL SELECT doc_id, 0, min(a) FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS x FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), removed AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+  sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op11_run_index(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the strings of 100 bytes that also begin earlier."""
+    kept = strip_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
