@@ -13,7 +13,9 @@ from docquarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docquarry.llm.html_text import main_texts
 from docquarry.llm.jaccard_join import jaccard_groups
 from docquarry.llm.repeats import strip_repeats
+from docquarry.llm.spelling import spelling_groups
 from docquarry.llm.token_scan import document_token_counts
+from docquarry.llm.vector_codes import VectorCode, code_vectors
 
 SHARDS = 24
 BPE_FILE = "byte_bpe_50k.json"
@@ -278,3 +280,78 @@ def op11_run_index(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@register(f"""
+WITH runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run
+), summed AS (SELECT run, c, {SQL_CRC32.format(text="coalesce(doc_id::varchar, '') || ':' || run")} AS h FROM runs
+), v AS (
+  SELECT word, sum(c)::bigint AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cut AS (SELECT word, n, length(word) AS m, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM v)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.m = b.m AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, cut.word, cut.n FROM v JOIN cut ON cut.rest = v.word
+  UNION SELECT cut.word, v.word, v.n FROM v JOIN cut ON cut.rest = v.word
+), best AS (
+  SELECT a, n_near, b, n FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS nth FROM pairs) WHERE nth = 1
+), f AS (
+  SELECT word, v.n, coalesce(n_near, 0)::bigint AS n_near, CASE WHEN best.n >= 2 * v.n THEN b END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN best ON a = word
+), walk AS (
+  WITH RECURSIVE steps AS (SELECT word, word AS at FROM f UNION ALL SELECT steps.word, f.form FROM steps JOIN f ON f.word = at WHERE f.form IS NOT NULL)
+  SELECT steps.word, at FROM steps JOIN f ON f.word = at WHERE f.form IS NULL
+)
+SELECT f.word, f.n, n_near, form, form_n, walk.at AS root FROM f JOIN walk USING (word)
+""")
+def op12_bitslice_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with its most frequent neighbour and the root of its spelling variants."""
+    return spelling_groups(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+VECTOR_CODE = VectorCode()
+
+
+def _code_sql(code: VectorCode) -> str:
+    """The rounds of k-means one after another, each a query over the parts and the codebook before."""
+    steps = [f"""
+k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({code.scale} * x::double)::bigint) AS v, len(embedding) // {code.parts} AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT vec_id, label, part, v[part * w + 1 : (part + 1) * w] AS x FROM k, range({code.parts}) t(part)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {code.entries})
+)"""]
+    gap = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    for r in range(code.rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, part, any_value(label) AS label, any_value(x) AS x, min(d * {code.entries} + e) AS best FROM (
+    SELECT p.vec_id, p.part, p.label, p.x, c.e, {gap} AS d FROM p JOIN c{r} c ON c.part = p.part) GROUP BY vec_id, part
+)""")
+        if r < code.rounds:
+            steps.append(f"""m{r} AS (
+  SELECT part, e, list(floor(total / n)::bigint ORDER BY i) AS x FROM (
+    SELECT part, best % {code.entries} AS e, i, sum(x[i])::double AS total, count(*) AS n FROM (
+      SELECT part, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL) GROUP BY part, e
+), c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.e = c.e
+)""")
+    last = code.rounds
+    return f"""
+WITH {", ".join(steps)}, coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', (best % {code.entries})::int), '' ORDER BY part) AS code,
+    sum(best // {code.entries})::bigint AS error FROM a{last} GROUP BY vec_id
+), book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS h FROM c{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, h AS codebooks_sha256 FROM coded, book
+"""
+
+
+@register(_code_sql(VECTOR_CODE))
+def op13_gnat_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product codes of all vectors under codebooks trained on all of them."""
+    coded = code_vectors(table(spark, folder, "embeddings"), VECTOR_CODE)
+    digits = F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0")))
+    return coded.select("vec_id", F.concat_ws("", digits).alias("code"), "error", "label_error", "codebooks_sha256")
