@@ -285,7 +285,7 @@ def op11_run_index(spark: SparkSession, folder: str) -> DataFrame:
 @register(f"""
 WITH runs AS (
   SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
-  WHERE length(run) >= 5 GROUP BY doc_id, run
+  GROUP BY doc_id, run HAVING length(run) >= 5
 ), summed AS (SELECT run, c, {SQL_CRC32.format(text="coalesce(doc_id::varchar, '') || ':' || run")} AS h FROM runs
 ), v AS (
   SELECT word, sum(c)::bigint AS n FROM (
@@ -302,10 +302,10 @@ WITH runs AS (
   SELECT word, v.n, coalesce(n_near, 0)::bigint AS n_near, CASE WHEN best.n >= 2 * v.n THEN b END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
   FROM v LEFT JOIN best ON a = word
 ), walk AS (
-  WITH RECURSIVE steps AS (SELECT word, word AS at FROM f UNION ALL SELECT steps.word, f.form FROM steps JOIN f ON f.word = at WHERE f.form IS NOT NULL)
-  SELECT steps.word, at FROM steps JOIN f ON f.word = at WHERE f.form IS NULL
+  WITH RECURSIVE steps AS (SELECT word, word AS top FROM f UNION ALL SELECT steps.word, f.form FROM steps JOIN f ON f.word = top WHERE f.form IS NOT NULL)
+  SELECT steps.word, top FROM steps JOIN f ON f.word = top WHERE f.form IS NULL
 )
-SELECT f.word, f.n, n_near, form, form_n, walk.at AS root FROM f JOIN walk USING (word)
+SELECT f.word, f.n, n_near, form, form_n, walk.top AS root FROM f JOIN walk USING (word)
 """)
 def op12_bitslice_spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of the documents with its most frequent neighbour and the root of its spelling variants."""
