@@ -417,7 +417,7 @@ def repeat_spans(docs: DataFrame, rule: RepeatRule = RepeatRule(), id_col: str =
         .groupBy("doc", "text_hash")
         .agg(F.collect_list(F.struct("trigger", "start", "size", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
     )
-    texts = rows.join(broadcast_if_small(wanted), ["doc", "text_hash"]).select("doc", "text_hash", "text", "wanted")
+    texts = rows.join(wanted.hint("shuffle_hash"), ["doc", "text_hash"]).select("doc", "text_hash", "text", "wanted")
     indexed = _resolve(_deal_texts(texts, rule, max(1, -(-total // rule.index_bytes))), rule)
     repeats = found.union(indexed).filter("repeat")
     return repeats.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
@@ -467,7 +467,7 @@ def strip_repeats(docs: DataFrame, rule: RepeatRule = RepeatRule(), id_col: str
     """Per row: id, ``n_bytes``, ``spans`` (removed runs: start and end in bytes) and ``kept``, the remaining bytes."""
     found = repeat_spans(docs, rule, id_col, text_col)
     rows = _keyed(docs, id_col, text_col)
-    joined = rows.join(found, ["doc", "text_hash"], "left").withColumn("cut", _cut("text", "spans"))
+    joined = rows.join(found.hint("shuffle_hash"), ["doc", "text_hash"], "left").withColumn("cut", _cut("text", "spans"))
     return joined.select(
         F.col("id").alias(id_col), F.octet_length("text").cast("bigint").alias("n_bytes"),
         F.coalesce("cut.spans", F.array().cast(T.ArrayType(_SPAN))).alias("spans"), F.coalesce("cut.kept", F.col("text").cast("binary")).alias("kept"),
