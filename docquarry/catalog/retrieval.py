@@ -10,9 +10,11 @@ from docquarry.catalog.vectors import D_SQL, DIMENSIONS, Q_SQL, query_vectors
 from docquarry.functions.text import query_prompt, rerank_prompt
 from docquarry.operators import fusion
 from docquarry.operators.embedding import hash_embed
+from docquarry.operators.ivf import build_ivf
 from docquarry.operators.knn import knn_exact
 from docquarry.operators.lexical import bm25_search, write_index
 from docquarry.operators.rerank import rerank
+from docquarry.params import IvfParams
 from docquarry.plans import retrieve as plan
 from docquarry.session import materialise, scratch_path, spread
 
@@ -163,6 +165,27 @@ def retrieve_filtered(spark, folder):
     return tidy(hits).select("query_id", "rank", "doc_id", "source", "score", "content")
 
 
+@query(f"""
+WITH {bm25_over(_EN)}, {VECTOR_SQL.replace('FROM documents', 'FROM (' + _EN + ')')}, {FUSED_SQL}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, source, score, text AS content
+FROM fused JOIN documents USING (doc_id) QUALIFY rank <= 10
+""")
+def retrieve_cells(spark, folder):
+    """The same with a cluster index that is partitioned by language: the vector half reads the cells of one language."""
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("lang",))
+    vectors = materialise(hash_embed(documents, "text", dimensions=DIMENSIONS), "document-vectors")
+    cells = build_ivf(
+        vectors.select("doc_id", "embedding", "lang"), scratch_path(spark, "ivf"), "doc_id", params=IvfParams(nlist=32), partition_by=("lang",)
+    )
+    queries = benchmark_queries(spark, folder).join(query_vectors(spark, folder), "query_id")
+    hits = plan.retrieve(
+        queries, index, vectors.withColumnRenamed("text", "content"), reranked=False, fuzzy=False, cells=cells, part=F.col("lang") == "en",
+        fields=("source",),
+    )
+    return tidy(hits).select("query_id", "rank", "doc_id", "source", "score", "content")
+
+
 @query("""
 SELECT conv_id, turn // 2 AS piece, count(*) AS n_turns,
     string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt

@@ -10,7 +10,7 @@ from docquarry.functions import vectors as V
 from docquarry.functions.payload import decode_embedding_payloads, encode_embedding_payloads
 from docquarry.operators import embedding, ivf, knn
 from docquarry.params import IvfParams
-from docquarry.session import scratch_path, spread
+from docquarry.session import materialise, scratch_path, spread
 
 DIMENSIONS = 64
 
@@ -79,15 +79,15 @@ def knn_filtered(spark, folder):
     return search(spark, folder, "cosine", where=F.col("label") == 3)
 
 
-def _index(spark, folder, nlist=64):
+def _index(spark, folder, nlist=64, partition_by=()):
     vectors = table(spark, folder, "embeddings")
-    return ivf.build_ivf(vectors, scratch_path(spark, "ivf"), "vec_id", params=IvfParams(nlist=nlist))
+    return ivf.build_ivf(vectors, scratch_path(spark, "ivf"), "vec_id", params=IvfParams(nlist=nlist), partition_by=partition_by)
 
 
-@query()
+@query(knn_sql("list_cosine_similarity(vec, e)"))
 def ivf_search(spark, folder):
-    """Build the cluster index and search the ten nearest cells of each query."""
-    return tidy(ivf.knn_ivf(query_vectors(spark, folder), _index(spark, folder)))
+    """Cells are read until no other can hold a better hit."""
+    return tidy(ivf.knn_ivf(query_vectors(spark, folder), _index(spark, folder), exact=True))
 
 
 @query(knn_sql("list_cosine_similarity(vec, e)"))
@@ -97,12 +97,38 @@ def ivf_all_cells(spark, folder):
     return tidy(ivf.knn_ivf(query_vectors(spark, folder), index, nprobe=len(index.centroids)))
 
 
+@query(knn_sql("list_cosine_similarity(vec, e)", where="label = 3 AND vec_id % 7 <> 0"))
+def ivf_filtered(spark, folder):
+    """One partition of an index that is partitioned by label and cell, and a condition on its rows."""
+    index = _index(spark, folder, nlist=16, partition_by=("label",))
+    hits = ivf.knn_ivf(query_vectors(spark, folder), index, exact=True, part=F.col("label") == 3, where=F.col("vec_id") % 7 != 0)
+    return tidy(hits)
+
+
+@query("""
+SELECT label, count(*) AS vectors, round(min(norm), 6) AS norm_low, round(max(norm), 6) AS norm_high
+FROM (SELECT label, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) AS norm FROM embeddings) GROUP BY label
+""")
+def ivf_bounds(spark, folder):
+    """What the cells' bounds say of every partition of the index."""
+    cells = _index(spark, folder, nlist=16, partition_by=("label",)).cells
+    return cells.groupBy("label").agg(
+        F.sum("n").alias("vectors"), F.round(F.min("cell_norm_low"), 6).alias("norm_low"), F.round(F.max("cell_norm_high"), 6).alias("norm_high")
+    )
+
+
 @query()
 def ivf_recall(spark, folder):
-    queries = query_vectors(spark, folder)
-    found = ivf.knn_ivf(queries, _index(spark, folder))
-    exact = knn.knn_exact(queries, table(spark, folder, "embeddings"), id_col="vec_id")
-    return ivf.recall(found, exact, "vec_id")
+    """Share of the exact hits with the number of probes tuned for 0.9 on half of the queries, and the cells read."""
+    queries = query_vectors(spark, folder).withColumn("tuning", F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0)
+    vectors = materialise(queries, "query-vectors")
+    index = ivf.tune_nprobe(vectors.filter("tuning"), _index(spark, folder), target=0.9)
+    found = ivf.probe_ivf(vectors, index)
+    exact = knn.knn_exact(vectors, table(spark, folder, "embeddings"), id_col="vec_id")
+    shares = ivf.recall(found.hits, exact, "vec_id")
+    return shares.join(found.effort, "query_id").join(vectors.select("query_id", "tuning"), "query_id").withColumn(
+        "cells_of", F.lit(len(index.centroids)).cast("long")
+    )
 
 
 def _elements(df: DataFrame, column: str) -> DataFrame:

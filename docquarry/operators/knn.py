@@ -98,7 +98,9 @@ def knn_exact(
     if where is not None:
         vectors = vectors.filter(where)
     queries = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
-    vectors = vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull())
+    # Null vectors are left out inside the search: a filter here would be pushed below an exchange and compute the
+    # vectors of a UDF a second time.
+    vectors = vectors.select(id_col, vector_col)
     rows = bounded_rows(queries, query_vector)
     if rows is not None:
         found = _scan(rows, queries, vectors, k, metric, query_id, query_vector, id_col, vector_col)
@@ -129,6 +131,7 @@ def _scan(rows, queries, vectors, k, metric, query_id, query_vector, id_col, vec
             return
         best = None
         for batch in batches:
+            batch = batch[batch[vector_col].notna()]
             scores = pair_scores(_matrix(batch[vector_col], matrix.shape[1]), matrix, metric)
             found = best_pairs(batch[id_col], scores, query_ids, k, descending)
             best = found if best is None else merge_pairs([best, found], k, descending)
@@ -181,6 +184,7 @@ def block_search(
     right = numbered(vectors, "v", id_col, "q")
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        v = v[v[vector_col].notna()]
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         dimensions = len(q[query_vector].iloc[0])

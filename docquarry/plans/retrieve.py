@@ -20,7 +20,8 @@ from docquarry.session import BROADCAST_MAX_ROWS, fits_broadcast
 def retrieve(
     queries: DataFrame, index: TextIndex, chunks: DataFrame, k: int = LEXICAL_TOP_K, top_n: int = LEXICAL_TOP_K,
     reranked: bool = True, score: Column | None = None, fuzzy: bool = True, where: Column | None = None,
-    cells: IvfIndex | None = None, fields: tuple[str, ...] = (),
+    cells: IvfIndex | None = None, exact_cells: bool = True, part: Column | None = None,
+    fields: tuple[str, ...] = (),
 ) -> DataFrame:
     """``queries`` has (query_id, text, query_vector); ``chunks`` has the index's id, content, embedding.
 
@@ -28,15 +29,17 @@ def retrieve(
     ``reranked`` put in the order of the pair score; ``fields`` are further columns of ``chunks``. Query
     terms match near terms too (``fuzzy``). ``where`` restricts both halves by columns that the chunks
     and the text index have in common; nothing outside it is scored, counted or returned. With
-    ``cells``, a cluster index of the vectors, only the cells nearest to a query are searched, unless
-    ``where`` asks for a part of the vectors, which is scanned.
+    ``cells``, a cluster index of the vectors, the hits are found in its cells (``exact_cells``: read until no
+    other can hold a better hit; else the nearest ones only). ``part`` restricts like ``where``, by columns that
+    the cluster index is partitioned by: folders outside it are not read.
     """
     id_col = index.id_col
-    if where is not None:
-        chunks = chunks.filter(where)
-    lexical = bm25_search(queries, index, k, fuzzy=fuzzy, where=where)
-    if cells is not None and where is None:
-        vector = knn_ivf(queries, cells, k)
+    both = where if part is None else part if where is None else part & where
+    if both is not None:
+        chunks = chunks.filter(both)
+    lexical = bm25_search(queries, index, k, fuzzy=fuzzy, where=both)
+    if cells is not None:
+        vector = knn_ivf(queries, cells, k, exact=exact_cells, part=part, where=where)
     else:
         vector = knn_exact(queries, chunks, k, id_col=id_col)
     fused = fuse_rrf(lexical, vector, id_col, top_n=2 * k)

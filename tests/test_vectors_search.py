@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.operators import ivf, knn
 from docquarry.operators.embedding import embed, hash_embed
@@ -137,3 +138,85 @@ def test_plug_in_encoder(spark):
     assert got == {1: [0.6, 0.8, 0.0], 2: [0.0, 0.0, 0.0], 3: [0.6, 0.8, 0.0]}
     cut = {len(r.embedding) for r in embed(df, encoder, instruction="I", dimensions=2).collect()}
     assert cut == {2}
+
+
+# --- exact stopping and partitions of the cluster index
+
+
+def clustered(seed, n, groups=12, width=8):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(groups, width)) * 3
+    return centers[rng.integers(0, groups, n)] + rng.normal(size=(n, width)) * 0.15
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    points = np.concatenate([clustered(5, 400), np.zeros((3, 8)), clustered(5, 20)])
+    rows = [(i, v.tolist(), f"0{i % 3}") for i, v in enumerate(points)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, collection string")
+    asked = np.concatenate([clustered(5, 12), np.random.default_rng(6).normal(size=(6, 8)), np.zeros((1, 8))])
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, query_vector array<double>")
+    indexes = {
+        metric: ivf.build_ivf(vectors, str(tmp_path_factory.mktemp(metric)), params=IvfParams(metric, 24, 2), partition_by=("collection",))
+        for metric in ("cosine", "ip", "l2")
+    }
+    return vectors, queries, indexes
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+@pytest.mark.parametrize("few", [True, False])
+def test_exact_stopping_equals_a_full_scan(stored, metric, few, monkeypatch):
+    vectors, queries, indexes = stored
+    if not few:
+        monkeypatch.setattr(knn, "BROADCAST_VALUES", 8)
+        monkeypatch.setattr(knn.block_search, "__defaults__", (4, 50))
+    index = indexes[metric]
+    assert found(ivf.knn_ivf(queries, index, 5, exact=True)) == found(knn_exact(queries, vectors, 5, metric))
+    one = vectors.filter("collection = '01' AND chunk_id % 5 > 0")
+    part = ivf.knn_ivf(queries, index, 5, exact=True, part=F.col("collection") == "01", where=F.col("chunk_id") % 5 > 0)
+    assert found(part) == found(knn_exact(queries, one, 5, metric))
+    assert ivf.knn_ivf(queries, index, 5, exact=True, part=F.col("collection") == "none").count() == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_far_cells_are_not_read(stored, few, monkeypatch):
+    _, queries, indexes = stored
+    if not few:
+        monkeypatch.setattr(knn, "BROADCAST_VALUES", 8)
+    near = queries.filter("query_id < 12")
+    effort = {r.query_id: r.cells for r in ivf.probe_ivf(near, indexes["cosine"], 3, exact=True).effort.collect()}
+    assert len(effort) == 12 and all(2 <= n < 24 for n in effort.values()) and sum(effort.values()) < 12 * 16
+    fixed = ivf.probe_ivf(near, indexes["cosine"], 3).effort.collect()
+    assert {r.cells for r in fixed} == {2}
+
+
+def test_both_levels_of_folders_are_pruned(stored):
+    _, queries, indexes = stored
+    hits = ivf.knn_ivf(queries.filter("query_id < 3"), indexes["cosine"], 3, nprobe=2, part=F.col("collection") == "01")
+    plan = hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "collection" in filters and "cell" in filters.split("collection", 1)[1]
+    assert indexes["cosine"].rows.schema["collection"].dataType.simpleString() == "string"
+    assert {r.collection for r in indexes["cosine"].rows.select("collection").distinct().collect()} == {"00", "01", "02"}
+
+
+def test_tuned_probes_reach_the_share_asked_for(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 6)))], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 6)))], "query_id long, query_vector array<double>")
+    index = ivf.build_ivf(vectors, str(tmp_path / "ivf"), params=IvfParams(nlist=40, nprobe=1))
+    tuned = ivf.tune_nprobe(asked.filter("query_id < 30"), index, 5, 0.9)
+    assert 1 < tuned.params.nprobe < 40
+    held = asked.filter("query_id >= 30")
+    shares = [r.recall for r in ivf.recall(ivf.knn_ivf(held, tuned, 5), knn_exact(held, vectors, 5), "chunk_id").collect()]
+    poor = [r.recall for r in ivf.recall(ivf.knn_ivf(held, index, 5), knn_exact(held, vectors, 5), "chunk_id").collect()]
+    assert np.mean(shares) > 0.85 > np.mean(poor)
+
+
+def test_vectors_of_a_udf_are_computed_once(spark):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "chunk_id long, content string").repartition(3)
+    embedded = embed(texts, lambda: lambda batch: np.array([[1.0, len(t)] for t in batch]))
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    hits = knn_exact(queries, embedded, 2)
+    plan = hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "simple")
+    assert plan.count("ArrowEvalPython") == 1
