@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import utf8
+from docquarry.llm.common import text_slices, utf8
 from docquarry.llm.run_index import SEPARATOR, RunIndex
 from docquarry.session import broadcast_if_small, materialise
 
 BLOCK_BYTES = 1 << 19
-BATCH_PHRASES = 1 << 20
+BATCH_PHRASES = 1 << 19
 NULL_ID = -(1 << 63)
 HOT_LIST = 1_000_000
 
@@ -58,9 +58,9 @@ class RepeatRule:
     length: int = 100
     trigger: int = 32
     shard_bytes: int = 16 << 20
-    index_bytes: int = 2 << 20
+    index_bytes: int = 1 << 20
     hot_phrases: int = 50_000
-    index_phrases: int = 8_000
+    index_phrases: int = 4_000
 
     def __post_init__(self) -> None:
         if not 8 <= self.trigger < self.length:
@@ -89,6 +89,10 @@ class Phrases:
     def pack(self) -> bytes:
         return b"".join(c.astype(kind).tobytes() for c, kind in zip(self.columns(), self.KINDS))
 
+    @staticmethod
+    def joined(parts: list[Phrases]) -> Phrases:
+        return Phrases(*(np.concatenate(c) for c in zip(*(p.columns() for p in parts))))
+
     @staticmethod
     def unpack(blobs: list[bytes]) -> Phrases:
         width = sum(np.dtype(k).itemsize for k in Phrases.KINDS)
@@ -221,10 +225,9 @@ def _parse(texts: list[bytes], rule: RepeatRule, hot: np.ndarray | None) -> Iter
         yield trigger, mark, rows[piece], first - begins[piece] + bases[piece], size
 
 
-def _firsts(p: Phrases, ordered: bool = False) -> tuple[Phrases, Phrases]:
-    """Of equal phrases the earliest, and all later ones. ``ordered``: the rows come by document and place."""
-    keys = (p.mark, p.trigger) if ordered else (p.start, p.text, p.doc, p.mark, p.trigger)
-    p = p.take(np.lexsort(keys))
+def _firsts(p: Phrases) -> tuple[Phrases, Phrases]:
+    """Of equal phrases the earliest, and all later ones."""
+    p = p.take(np.lexsort((p.start, p.text, p.doc, p.mark, p.trigger)))
     new = np.ones(len(p.mark), bool)
     new[1:] = (p.mark[1:] != p.mark[:-1]) | (p.trigger[1:] != p.trigger[:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -255,7 +258,7 @@ def _dealt(kind: int, shard: np.ndarray, pack) -> Iterator[pa.RecordBatch]:
 
 
 def _deal_phrases(p: Phrases, shards: int) -> Iterator[pa.RecordBatch]:
-    first, later = _firsts(p, ordered=True)
+    first, later = _firsts(p)
     yield from _dealt(ENTRIES, _shard(first.trigger, shards), lambda rows: first.take(rows).pack())
     if len(later.doc):
         blank = np.zeros(len(later.doc), np.uint64)
@@ -264,19 +267,19 @@ def _deal_phrases(p: Phrases, shards: int) -> Iterator[pa.RecordBatch]:
 
 
 def _phrase_batches(batches, rule: RepeatRule, hot: np.ndarray) -> Iterator[Phrases]:
-    """Phrases of record batches (id, hash of the text, text), at most about BATCH_PHRASES at a time, by id and place."""
+    """Phrases of record batches (id, hash of the text, text), about BATCH_PHRASES at a time, in no order."""
     for batch in batches:
-        doc, text = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        turn = np.lexsort((text, doc))
-        doc, text, held, count = doc[turn], text[turn], [], 0
-        for trigger, mark, row, start, size in _parse(utf8(batch.column(2).take(pa.array(turn))), rule, hot):
-            held.append(Phrases(trigger, mark, doc[row], text[row], start, size))
-            count += len(row)
-            if count >= BATCH_PHRASES:
-                yield Phrases(*(np.concatenate(c) for c in zip(*(h.columns() for h in held))))
-                held, count = [], 0
+        held, count = [], 0
+        for part in text_slices(batch, 2):
+            doc, text = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for trigger, mark, row, start, size in _parse(utf8(part.column(2)), rule, hot):
+                held.append(Phrases(trigger, mark, doc[row], text[row], start, size))
+                count += len(row)
+                if count >= BATCH_PHRASES:
+                    yield Phrases.joined(held)
+                    held, count = [], 0
         if held:
-            yield Phrases(*(np.concatenate(c) for c in zip(*(h.columns() for h in held))))
+            yield Phrases.joined(held)
 
 
 def _hot_triggers(rows: DataFrame, rule: RepeatRule) -> np.ndarray:
@@ -284,7 +287,7 @@ def _hot_triggers(rows: DataFrame, rule: RepeatRule) -> np.ndarray:
 
     def count(batches):
         for p in _phrase_batches(batches, rule, np.zeros(0, np.uint64)):
-            first, _ = _firsts(p, ordered=True)
+            first, _ = _firsts(p)
             begins = np.flatnonzero(np.diff(first.trigger, prepend=first.trigger[:1] + np.uint64(1)))
             several = np.diff(np.append(begins, len(first.trigger)))
             many = several > 1
@@ -387,7 +390,6 @@ def _deal_texts(phrases: DataFrame, rule: RepeatRule, shards: int) -> DataFrame:
                 for key, mark, among, place, width in _parse([cut[i] for i in big.tolist()], rule, None):
                     of = p.take(big[among])
                     strings = Phrases(key, mark, of.doc, of.text, of.start + place, width)
-                    strings = strings.take(np.lexsort((strings.start, strings.text, strings.doc)))
                     yield from _deal_phrases(strings, shards)
 
     return phrases.mapInArrow(deal, _DEALT)
