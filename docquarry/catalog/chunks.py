@@ -13,6 +13,7 @@ from docquarry.operators.validate import validate_lengths
 from docquarry.plans.ingest import Store, ingest
 from docquarry.session import scratch_path, spread
 from docquarry.sources.chunks import delete_chunks, scan_index, upsert_chunks, write_chunks
+from docquarry.sources.registry import read_registry
 
 
 def fixed(spark, folder, *columns):
@@ -134,3 +135,19 @@ def ingest_documents(spark, folder):
     documents = table(spark, folder, "documents")
     sources = spread(documents.select(F.concat(F.lit("docs/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text"))
     return ingest(spark, sources, Store(scratch_path(spark, "store")), 1, "handbook", dimensions=64)
+
+
+@query(f"""
+WITH {CHUNKS_SQL}, kept AS (SELECT doc_id, source, count(*) AS n FROM chunk GROUP BY ALL)
+SELECT doc_id || '.txt' AS file_name, n AS written, 0 AS errors FROM kept
+""")
+def ingest_fixed(spark, folder):
+    """Whole ingest with fixed windows: rows written and refused per file, from both stores and the registry."""
+    documents = table(spark, folder, "documents")
+    sources = spread(documents.select(F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("path"), "text"))
+    store = Store(scratch_path(spark, "store"))
+    report = ingest(spark, sources, store, 1, "handbook", dimensions=64, splitter=chunking.chunk_fixed)
+    files = read_registry(spark, store.registry, "file").select("file_id", "file_name")
+    return report.join(files, "file_id").select(
+        "file_name", *[F.col(c).cast("long").alias(c) for c in ("written", "errors")]
+    )

@@ -210,3 +210,63 @@ def test_stream_windows_and_repeats(spark, tmp_path, rows):
     streaming.count_stream(stream(), "ts", ["event_type"], str(tmp_path / "w"), str(tmp_path / "s2")).awaitTermination()
     final = streaming.read_counts(spark, str(tmp_path / "w"), ["window_start", "event_type"])
     assert sum(r.n for r in final.collect()) == 34 and final.count() == 9
+
+
+def test_repeats_in_state_and_late_rows_aside(spark, tmp_path):
+    """Three batches out of order: keys in state are bounded by the delay, later rows are stored aside and merged."""
+    source, target = str(tmp_path / "events"), str(tmp_path / "once")
+    schema = "event_id long, ts timestamp, event_type string"
+
+    def write(rows):
+        df = spark.createDataFrame([(i, f"2024-01-{d:02d} 00:00:00", "view") for i, d in rows], "event_id long, ts string, event_type string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+
+    write([(i, 1 + i // 100) for i in range(1000)])  # ten days
+    write([(i, 10 + i // 100) for i in range(900, 1500)] + [(i, 1) for i in range(50)])  # repeats in time, and long after it
+    write([(i, 2) for i in range(2000, 2100)] * 2 + [(1499, 24)])  # only late rows, twice, and a repeat
+    write([(i, 25) for i in range(3000, 3003)])
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = streaming.dedup_stream(stream, ["event_id"], target, str(tmp_path / "s"), ["event_id", "event_type"], "ts", "2 days")
+        query.awaitTermination(300)
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert not held or held[-1] < 700  # keys of ten days and more have left the state
+    kept = streaming.read_first(spark, target, ["event_id"])
+    assert sorted(r.event_id for r in kept.collect()) == [*range(1500), *range(2000, 2100), *range(3000, 3003)]
+    assert spark.read.parquet(target).filter("late AND event_id >= 2000").count() >= 200
+
+
+def test_broken_off_stream_fills_both_stores_once(spark, tmp_path, monkeypatch):
+    from docquarry.streaming import stores
+
+    source, root = str(tmp_path / "src"), str(tmp_path / "store")
+    store = Store(root)
+    schema = "path string, text string"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stores.store_stream(stream, store, 7, "manual", str(tmp_path / "state"), dimensions=8).awaitTermination(300)
+
+    arrive([("a.txt", "one fox"), ("b.txt", "two foxes " * 30)])
+    whole = stores.index_files
+    monkeypatch.setattr(stores, "index_files", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(Exception, match="killed"):
+        run()
+    written = sorted(r.chunk_id for r in scan_index(spark, store.chunks).collect())
+    assert written
+    monkeypatch.setattr(stores, "index_files", whole)
+    replaced = []
+    monkeypatch.setattr(stores, "replace_files", lambda *a: replaced.append(a))
+    run()
+    assert not replaced  # the chunk table had the batch
+    monkeypatch.undo()
+    arrive([("a.txt", "one hedgehog"), ("c.txt", "")])
+    run()
+    run()
+    rows = scan_index(spark, store.chunks).collect()
+    assert {r.content for r in rows if r.file_path == "a.txt"} == {"one hedgehog"}
+    assert sorted(r.chunk_id for r in rows) == sorted(r.chunk_id for r in load_text_index(spark, store).forward.collect())
+    assert {len(r.embedding) for r in rows} == {8}
