@@ -75,7 +75,7 @@ def bm25_stored_index(spark, folder):
 def bm25_by_collection(spark, folder):
     """Search inside one collection of a stored index: counts and lengths are the collection's own."""
     documents = spread(table(spark, folder, "documents"))
-    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("source", "lang"))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("source", "lang"), partition_by=("source",))
     return tidy(bm25_search(benchmark_queries(spark, folder), index, where=F.col("source") == "src3"))
 
 

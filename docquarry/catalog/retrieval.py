@@ -155,7 +155,7 @@ FROM fused JOIN documents USING (doc_id) QUALIFY rank <= 10
 def retrieve_filtered(spark, folder):
     """Both searches restricted to one language, fused; nothing of other languages is scored, counted or returned."""
     documents = spread(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"))
-    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("lang",))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("lang",), partition_by=("lang",))
     vectors = materialise(hash_embed(documents, "text", dimensions=DIMENSIONS), "document-vectors")
     queries = benchmark_queries(spark, folder).join(query_vectors(spark, folder), "query_id")
     hits = plan.retrieve(
@@ -173,7 +173,7 @@ FROM fused JOIN documents USING (doc_id) QUALIFY rank <= 10
 def retrieve_cells(spark, folder):
     """The same with a cluster index that is partitioned by language: the vector half reads the cells of one language."""
     documents = spread(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"))
-    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("lang",))
+    index = write_index(documents, "doc_id", "text", scratch_path(spark, "text-index"), keep=("lang",), partition_by=("lang",))
     vectors = materialise(hash_embed(documents, "text", dimensions=DIMENSIONS), "document-vectors")
     cells = build_ivf(
         vectors.select("doc_id", "embedding", "lang"), scratch_path(spark, "ivf"), "doc_id", params=IvfParams(nlist=32), partition_by=("lang",)

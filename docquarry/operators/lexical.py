@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from docquarry.functions.text import term_counts, tokenize
 from docquarry.operators.common import SCORE_DIGITS, rounded, top_k
@@ -101,63 +101,97 @@ def restrict(index: TextIndex, where: Column) -> TextIndex:
 
 # --- the stored index ------------------------------------------------------------------------
 #
-# Every change is a step. Its rows lie in partitions ``step=...`` of forward, postings, terms,
-# collection and tombstones; a line in ``commits``, written last, makes them valid, so a step that
-# broke off is never seen. Counts are stored per step and added up when the index is opened, those of
-# removed documents negative: no step rewrites what others wrote.
+# Plain tables: forward (a document's terms in one row), postings (a row per document and term), terms (df) and sizes
+# (documents and their length), all partitioned by the columns the caller names and by a bucket of the id. A change
+# rewrites the partitions it touches by dynamic overwrite, from forward, which is written last: a change that broke off
+# is made whole by repeating it. Every rewritten partition holds a row without id or term, so that one that has lost
+# all its rows is overwritten too; such rows are left out when the index is opened.
 
-_TABLES = ("forward", "postings", "terms", "collection", "tombstones")
+BUCKETS = 8
+_TABLES = ("postings", "terms", "sizes", "forward")
 
 
-def _write_step(
-    spark: SparkSession, path: str, id_col: str, docs: DataFrame | None, dead: DataFrame | None, mode: str = "append"
-) -> None:
-    """``docs``: forward rows to add. ``dead``: (id, born, dl, counts) of rows to remove."""
-    step = f"s{uuid.uuid4().hex}"
-
-    def put(rows: DataFrame, table: str) -> None:
-        rows.write.mode("append").parquet(f"{path}/{table}/step={step}")
-
-    counts, sizes, removed = [], [], 0
+@dataclass(frozen=True)
+class _Layout:
+    """How an index is stored: schema of ``forward`` (without the bucket), partition columns, number of buckets."""
+
+    schema: StructType
+    partition_by: tuple[str, ...]
+    buckets: int
+
+    @property
+    def folders(self) -> list[str]:
+        return [*self.partition_by, "bucket"]
+
+    def bucketed(self, rows: DataFrame, id_col: str) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(self.buckets)).cast("int"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = (self.schema.json(), list(self.partition_by), self.buckets)
+        kept = spark.createDataFrame([row], "schema string, partition_by array<string>, buckets int")
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> _Layout:
+        row = spark.read.parquet(f"{path}/layout").first()
+        return _Layout(StructType.fromJson(json.loads(row.schema)), tuple(row.partition_by), row.buckets)
+
+
+def _stored(spark: SparkSession, path: str, layout: _Layout, table: str) -> DataFrame:
+    """A table of the index with declared types; partition columns keep theirs whatever the folders are called."""
+    fields = {f.name: f for f in [*layout.schema.fields, StructField("bucket", IntegerType())]}
+    own = {
+        "forward": [*layout.schema.fieldNames()],
+        "postings": [*[c for c in layout.schema.fieldNames() if c != "counts"], "term", "tf"],
+        "terms": [*layout.partition_by, "term", "df"],
+        "sizes": [*layout.partition_by, "n_docs", "n_terms"],
+    }[table]
+    added = {"term": StringType(), "tf": IntegerType(), "df": LongType(), "n_docs": LongType(), "n_terms": LongType()}
+    schema = StructType([fields.get(c) or StructField(c, added[c]) for c in [*own, "bucket"]])
+    return spark.read.schema(schema).parquet(f"{path}/{table}")
+
+
+def _write_tables(spark: SparkSession, path: str, id_col: str, layout: _Layout, rows: DataFrame, blank: DataFrame | None, mode: str) -> None:
+    """Write all tables from ``rows`` (forward rows with bucket, stored). ``blank``: the partitions that are rewritten, one row each."""
     length = F.nullif("dl", F.lit(0))
-    if docs is not None:
-        # Tokenise once: sampling the range bounds, writing and counting all start from the stored rows.
-        put(docs, "forward")
-        rows = spark.read.schema(docs.schema).parquet(f"{path}/forward/step={step}")
-        posted = rows.select(*[c for c in rows.columns if c != "counts"], F.inline("counts"))
-        put(posted.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col), "postings")
-        counts.append(posted.select("term", F.lit(1).alias("df")))
-        sizes.append(rows.agg(F.count(length).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_terms")))
-    if dead is not None:
-        dead = materialise(dead, "removed-documents")
-        removed = dead.count()
-        put(dead.select(id_col, "born"), "tombstones")
-        counts.append(dead.select(F.inline("counts")).select("term", F.lit(-1).alias("df")))
-        sizes.append(dead.agg((-F.count(length)).alias("n_docs"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("n_terms")))
-    put(reduce(DataFrame.unionByName, counts).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"), "terms")
-    put(reduce(DataFrame.unionByName, sizes), "collection")
-    commit = spark.createDataFrame([(step, removed)], "step string, removed long").coalesce(1)
-    commit.write.mode(mode).parquet(f"{path}/commits")
-
-
-def _steps(spark: SparkSession, path: str) -> dict[str, int]:
-    """Valid steps and how many rows each removed; one line per change ever made."""
-    return {r["step"]: r["removed"] for r in spark.read.parquet(f"{path}/commits").collect()}
-
-
-def _table(spark: SparkSession, path: str, table: str, steps: dict[str, int]) -> DataFrame:
-    return spark.read.option("basePath", f"{path}/{table}").parquet(*[f"{path}/{table}/step={s}" for s in steps])
-
-
-def _live(spark: SparkSession, path: str, id_col: str, table: str, steps: dict[str, int]) -> DataFrame:
-    """Rows of forward or postings that no later step removed, with the step they were ``born`` in."""
-    added = {s: 0 for s in steps if has_files(spark, f"{path}/{table}/step={s}")}
-    rows = _table(spark, path, table, added).withColumnRenamed("step", "born")
-    removals = {s: n for s, n in steps.items() if n}
-    if not removals:
-        return rows
-    gone = _table(spark, path, "tombstones", removals).select(id_col, "born")
-    return rows.join(broadcast_if_small(gone), [id_col, "born"], "left_anti")
+    posted = rows.select(*[c for c in rows.columns if c != "counts"], F.inline("counts"))
+    tables = {
+        "postings": posted,
+        "terms": posted.groupBy(*layout.folders, "term").agg(F.count("*").alias("df")),
+        "sizes": rows.groupBy(*layout.folders).agg(F.count(length).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_terms")),
+        "forward": rows,
+    }
+    for table in _TABLES:
+        content = tables[table]
+        if blank is not None:
+            content = content.unionByName(blank, allowMissingColumns=True)
+        # Rebalancing splits a hot partition over several write tasks and puts small ones together. Sorted by term, a
+        # search reads only the row groups of its terms.
+        content = content.hint("rebalance", *layout.folders)
+        if table == "postings":
+            content = content.sortWithinPartitions(*layout.folders, "term", id_col)
+        writer = content.write.mode(mode).partitionBy(*layout.folders)
+        (writer.option("partitionOverwriteMode", "dynamic") if blank is not None else writer).parquet(f"{path}/{table}")
+
+
+def _change(spark: SparkSession, path: str, id_col: str, fresh: DataFrame | None, dead: DataFrame | None) -> None:
+    """Put ``fresh`` (forward rows) in place of what the index holds of their ids, and remove the ids in ``dead``."""
+    layout = _Layout.load(spark, path)
+    held = _stored(spark, path, layout, "forward").filter(F.col(id_col).isNotNull())
+    parts = [f.select(id_col) for f in (fresh, dead) if f is not None]
+    ids = broadcast_if_small(layout.bucketed(reduce(DataFrame.union, parts).distinct(), id_col))
+    new = None if fresh is None else layout.bucketed(fresh, id_col)
+    # An id may be held in another partition than the new row's: both are rewritten.
+    places = held.join(ids, [id_col, "bucket"], "left_semi").select(*layout.folders)
+    if new is not None:
+        places = places.union(new.select(*layout.folders))
+    touched = materialise(places.distinct(), "touched-partitions")
+    if touched.isEmpty():
+        return
+    on = reduce(lambda x, y: x & y, [F.col(f"held.{c}").eqNullSafe(F.col(f"touched.{c}")) for c in layout.folders])
+    kept = held.alias("held").join(broadcast_if_small(touched).alias("touched"), on, "left_semi").join(ids, [id_col, "bucket"], "left_anti")
+    rows = kept if new is None else kept.unionByName(new)
+    _write_tables(spark, path, id_col, layout, materialise(rows, "index-rows"), touched, "overwrite")
 
 
 def _stored_params(spark: SparkSession, path: str, params: Bm25Params | None) -> Bm25Params:
@@ -167,70 +201,65 @@ def _stored_params(spark: SparkSession, path: str, params: Bm25Params | None) ->
     return stored
 
 
+def has_index(spark: SparkSession, path: str) -> bool:
+    return has_files(spark, f"{path}/forward/_SUCCESS")
+
+
 def write_index(
     docs: DataFrame, id_col: str, text_col: str, path: str, params: Bm25Params | None = None, mode: str = "overwrite",
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), buckets: int = BUCKETS, remove: DataFrame | None = None,
 ) -> TextIndex:
     """Store documents in the index and open it.
 
     ``overwrite`` starts anew, ``append`` adds documents whose id the index does not hold, ``upsert`` also
-    replaces those it holds. The parameters, the analyzer among them, are set by the first write; later writes
-    use them and refuse others. Repeating a step changes nothing.
+    replaces those it holds, and removes the ids in ``remove`` in the same write. The parameters, the analyzer among them,
+    and the layout are set by the first write; later writes use them and refuse other parameters. Repeating a
+    change changes nothing.
 
-    Postings are range-partitioned and sorted by (term, id): a search reads only the row groups
-    of its terms, and a term of very many documents is spread over several files.
+    ``partition_by`` (some of ``keep``) are folders: a search restricted by them reads no others. ``buckets`` of the id
+    below them bound what a change rewrites; choose them so that a bucket is some hundred megabytes.
     """
     spark = docs.sparkSession
     if mode not in ("append", "overwrite", "upsert"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "overwrite":
-        old = _steps(spark, path) if has_files(spark, f"{path}/commits") else {}
+        if not set(partition_by) <= set(keep):
+            raise ValueError("partition columns must be kept")
         write_params(spark, params or Bm25Params(), f"{path}/params")
-        _write_step(spark, path, id_col, forward_rows(docs, id_col, text_col, params or Bm25Params(), keep), None, "overwrite")
-        for step in old:
-            for table in _TABLES:
-                target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/step={step}")
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        rows = forward_rows(docs, id_col, text_col, params or Bm25Params(), keep).filter(F.col(id_col).isNotNull())
+        layout = _Layout(rows.schema, tuple(partition_by), buckets)
+        layout.save(spark, path)
+        # Tokenise once: all tables are written from the stored rows.
+        staged = materialise(layout.bucketed(rows, id_col), "index-rows")
+        _write_tables(spark, path, id_col, layout, staged, None, "overwrite")
         return open_index(spark, path, id_col)
     params = _stored_params(spark, path, params)
-    held = _live(spark, path, id_col, "forward", _steps(spark, path))
-    fresh = forward_rows(docs, id_col, text_col, params, keep)
+    layout = _Layout.load(spark, path)
+    fresh = forward_rows(docs, id_col, text_col, params, keep).filter(F.col(id_col).isNotNull())
     if mode == "append":
-        _write_step(spark, path, id_col, fresh.join(held.select(id_col), id_col, "left_anti"), None)
-    else:
-        fresh = materialise(fresh, "indexed-documents")
-        same = fresh.select(id_col, *keep, "dl", "counts").exceptAll(held.select(id_col, *keep, "dl", "counts"))
-        changed = materialise(same.select(id_col).distinct(), "changed-ids")
-        if not changed.isEmpty():
-            ids = broadcast_if_small(changed)
-            _write_step(
-                spark, path, id_col, fresh.join(ids, id_col, "left_semi"),
-                held.join(ids, id_col, "left_semi").select(id_col, "born", "dl", "counts"),
-            )
+        held = _stored(spark, path, layout, "forward").select(id_col, "bucket")
+        fresh = layout.bucketed(fresh, id_col).join(held, [id_col, "bucket"], "left_anti").drop("bucket")
+    _change(spark, path, id_col, materialise(fresh, "indexed-documents"), remove)
     return open_index(spark, path, id_col)
 
 
 def delete_from_index(ids: DataFrame, path: str, id_col: str) -> TextIndex:
     """Remove documents by id; unknown ids do no harm."""
-    spark = ids.sparkSession
-    held = _live(spark, path, id_col, "forward", _steps(spark, path))
-    dead = held.join(broadcast_if_small(ids.select(id_col).distinct()), id_col, "left_semi")
-    dead = materialise(dead.select(id_col, "born", "dl", "counts"), "removed-documents")
-    if not dead.isEmpty():
-        _write_step(spark, path, id_col, None, dead)
-    return open_index(spark, path, id_col)
+    _change(ids.sparkSession, path, id_col, None, ids)
+    return open_index(ids.sparkSession, path, id_col)
 
 
 def open_index(spark: SparkSession, path: str, id_col: str) -> TextIndex:
-    steps = _steps(spark, path)
-    sums = _table(spark, path, "collection", steps).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_terms").alias("n_terms"))
+    layout = _Layout.load(spark, path)
+    tables = {t: _stored(spark, path, layout, t).drop("bucket") for t in _TABLES}
+    sums = tables["sizes"].agg(F.sum("n_docs").alias("n_docs"), F.sum("n_terms").alias("n_terms"))
     return TextIndex(
-        postings=_live(spark, path, id_col, "postings", steps).drop("born"),
-        terms=_table(spark, path, "terms", steps).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"),
-        collection=sums.select("n_docs", F.try_divide("n_terms", "n_docs").alias("avg_dl")),
+        postings=tables["postings"].filter("term IS NOT NULL"),
+        terms=tables["terms"].filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")),
+        collection=sums.select(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.try_divide("n_terms", "n_docs").alias("avg_dl")),
         id_col=id_col,
         params=read_params(spark, Bm25Params, f"{path}/params"),
-        forward=_live(spark, path, id_col, "forward", steps).drop("born"),
+        forward=tables["forward"].filter(F.col(id_col).isNotNull()),
         stored=True,
     )
 

@@ -228,3 +228,36 @@ def test_fuzzy_search_finds_misspelt(spark):
     index = lexical.index_of(docs, "doc_id", "text")
     assert lexical.bm25_search(queries, index).count() == 0
     assert [r.doc_id for r in lexical.bm25_search(queries, index, fuzzy=True, transpositions=True).collect()] == [5]
+
+
+def test_one_collection_is_read_and_a_change_may_move_or_empty_partitions(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs, queries = frames(spark)
+    docs = docs.selectExpr("*", "CASE WHEN doc_id IN (3, 6, 7) THEN '01' ELSE '1' END AS base")
+    index = lexical.write_index(docs, "doc_id", "text", path, keep=("base",), partition_by=("base",), buckets=2)
+    hits = lexical.bm25_search(queries, index, 3, where=F.col("base") == "01")
+    assert found(hits) == brute_bm25([d for d in DOCS if d[0] in (3, 6, 7)], QUERIES, 3)
+    scan = index.postings.filter("base = '01'")
+    plan = scan._sc._jvm.PythonSQLUtils.explainString(scan._jdf.queryExecution(), "formatted")
+    assert "base" in next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    # A document moves to the other part; the rest of its old part is removed in the same write.
+    moved = docs.filter("doc_id = 3").withColumn("base", F.lit("1"))
+    for _ in range(2):
+        index = lexical.write_index(moved, "doc_id", "text", path, mode="upsert", keep=("base",), remove=spark.createDataFrame([(6,), (7,)], "doc_id long"))
+        assert {(r.doc_id, r.base) for r in index.forward.collect()} == {(d, "1") for d, _ in DOCS if d not in (6, 7)}
+        assert index.postings.filter("base = '01'").count() == 0
+        assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25([d for d in DOCS if d[0] not in (6, 7)], QUERIES, 3)
+    with pytest.raises(ValueError):
+        lexical.write_index(docs, "doc_id", "text", path, partition_by=("base",))
+
+
+def test_a_change_that_broke_off_is_made_whole_by_repeating_it(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    docs, queries = frames(spark)
+    lexical.write_index(docs.filter("doc_id <= 3"), "doc_id", "text", path)
+    monkeypatch.setattr(lexical, "_TABLES", ("postings", "terms"))  # broken off before sizes and forward
+    with pytest.raises(KeyError):
+        lexical.write_index(docs, "doc_id", "text", path, mode="append")
+    monkeypatch.undo()
+    index = lexical.write_index(docs, "doc_id", "text", path, mode="append")
+    assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(DOCS, QUERIES, 3)
