@@ -133,6 +133,21 @@ def box_reading_order(spark, folder):
     return ordered.select("page_id", "box_id", "line_no", "read_pos")
 
 
+@query(f"""
+WITH {_BOX_SQL},
+pages_of AS (SELECT page_id, list([{{'y': y1, 'x': x1, 'box': box_id}}] ORDER BY y1, x1, box_id) AS items FROM clean GROUP BY page_id),
+done AS (SELECT page_id, list_reduce(items, lambda done, b: done[1:coalesce(list_max(list_transform(done,
+        lambda e, i: CASE WHEN abs(b[1].y - e.y) < 10 AND b[1].x < e.x THEN 0 ELSE i END)), 0)] || b
+    || done[coalesce(list_max(list_transform(done, lambda e, i: CASE WHEN abs(b[1].y - e.y) < 10 AND b[1].x < e.x THEN 0 ELSE i END)), 0) + 1:]) AS items
+    FROM pages_of)
+SELECT page_id, items[i].box AS box_id, i - 1 AS read_pos FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i FROM done)
+""")
+def box_insertion_order(spark, folder):
+    """Reading order by insertion of each box into those above it; the SQL does it page by page, uncut."""
+    raw = boxes(spark, folder)
+    return B.insertion_order(B.clean_boxes(raw, WIDTH, HEIGHT), probe=raw)
+
+
 @query(f"""
 WITH {_BOX_SQL} SELECT page_id, line_no::bigint AS line_no, read_pos, box_id, text, score FROM ordered WHERE score >= 0.5
 """)

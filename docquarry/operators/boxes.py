@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions.common import let
 from docquarry.functions.geometry import clip_points, order_corners, side_length
 from docquarry.operators.segments import MAX_GROUP_ROWS, Ordered
 from docquarry.params import DROP_SCORE
@@ -28,6 +29,17 @@ def clean_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.select(*keep, F.explode(large).alias("points"))
 
 
+def _lines(boxes: DataFrame, page: str, box: str, tolerance: float, max_group_rows: int, probe: DataFrame | None) -> DataFrame:
+    """Adds ``line_no``: a box that is ``tolerance`` or more below the one before opens a line; and ``__x``, ``__y``."""
+    corner = F.get("points", F.lit(0))
+    placed = boxes.withColumn("__x", corner["x"]).withColumn("__y", corner["y"])
+    down = Ordered.of(placed, [page], ["__y", "__x", box], max_group_rows, probe).previous("__y", "__above")
+    breaks = F.col("__above").isNull() | (F.col("__y") - F.col("__above") >= tolerance)
+    opened = Ordered(down.df.withColumn("__new", breaks.cast("long")), down.by, down.order, down.split)
+    lines = opened.running_sum("__new", "line_no").result()
+    return lines.withColumn("line_no", F.col("line_no") - 1).drop("__above", "__new")
+
+
 def reading_order(
     boxes: DataFrame, page: str = "page_id", box: str = "box_id", tolerance: float = LINE_TOLERANCE,
     max_group_rows: int = MAX_GROUP_ROWS, probe: DataFrame | None = None,
@@ -36,16 +48,40 @@ def reading_order(
 
     Going down the page a box closer than ``tolerance`` to the one before stays on its line.
     """
-    corner = F.get("points", F.lit(0))
-    placed = boxes.withColumn("__x", corner["x"]).withColumn("__y", corner["y"])
-    down = Ordered.of(placed, [page], ["__y", "__x", box], max_group_rows, probe).previous("__y", "__above")
-    breaks = F.col("__above").isNull() | (F.col("__y") - F.col("__above") >= tolerance)
-    opened = Ordered(down.df.withColumn("__new", breaks.cast("long")), down.by, down.order, down.split)
-    lines = opened.running_sum("__new", "line_no").result()
-    lines = lines.withColumn("line_no", F.col("line_no") - 1)
+    lines = _lines(boxes, page, box, tolerance, max_group_rows, probe)
     across = Ordered.of(lines, [page], ["line_no", "__x", box], max_group_rows, boxes if probe is None else probe)
-    across = across.position("read_pos")
-    return across.result().drop("__x", "__y", "__above", "__new")
+    return across.position("read_pos").result().drop("__x", "__y")
+
+
+def insertion_order(
+    boxes: DataFrame, page: str = "page_id", box: str = "box_id", tolerance: float = LINE_TOLERANCE,
+    max_group_rows: int = MAX_GROUP_ROWS, probe: DataFrame | None = None,
+) -> DataFrame:
+    """``(page, box, read_pos)`` by insertion: from top to bottom, each box moves left past boxes that are less than
+    ``tolerance`` away in height and begin further right, until one is not.
+
+    Differs from ``reading_order`` where heights drift along a line. A box never moves past a gap of ``tolerance`` in
+    height, so a page is cut there and its stretches are ordered apart; only a box's number, place and height are gathered.
+    """
+    lines = _lines(boxes, page, box, tolerance, max_group_rows, probe)
+    item = F.struct(F.col("__y").alias("y"), F.col("__x").alias("x"), F.col(box).alias("box"))
+    stretches = lines.groupBy(page, "line_no").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def insert(done, new):
+        stays = F.transform(
+            done, lambda e, i: F.when((F.abs(new["y"] - e["y"]) < tolerance) & (new["x"] < e["x"]), F.lit(0)).otherwise(i + 1)
+        )
+        return let(
+            F.coalesce(F.array_max(stays), F.lit(0)),
+            lambda at: F.concat(F.slice(done, F.lit(1), at), F.array(new), F.slice(done, at + 1, F.size(done) - at)),
+        )
+
+    empty = F.filter("items", lambda _: F.lit(False))
+    placed = stretches.select(page, "line_no", F.aggregate("items", empty, insert).alias("items"), F.size("items").cast("long").alias("n"))
+    through = Ordered.of(placed, [page], ["line_no"], max_group_rows).running_sum("n", "through").result()
+    return through.select(page, (F.col("through") - F.col("n")).alias("before"), F.posexplode("items").alias("at", "item")).select(
+        page, F.col("item.box").alias(box), (F.col("before") + F.col("at")).alias("read_pos")
+    )
 
 
 def box_text(

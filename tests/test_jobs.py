@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import payload
 from docquarry.operators import blocks
 from docquarry.operators.chunking import chunk_fixed
-from docquarry.operators.steps import run_steps
+from docquarry.operators.steps import run_steps, run_values
 from docquarry.plans.ingest import Store, ingest, load_text_index
 from docquarry.operators.lexical import bm25_search
 from docquarry.sources.chunks import scan_index
@@ -270,3 +270,14 @@ def test_broken_off_stream_fills_both_stores_once(spark, tmp_path, monkeypatch):
     assert {r.content for r in rows if r.file_path == "a.txt"} == {"one hedgehog"}
     assert sorted(r.chunk_id for r in rows) == sorted(r.chunk_id for r in load_text_index(spark, store).forward.collect())
     assert {len(r.embedding) for r in rows} == {8}
+
+
+def test_a_row_stops_where_a_step_yields_nothing(spark):
+    rows = [(1, "<p>Long enough</p>"), (2, "<b>x</b>"), (3, None), (4, "<i>no 12345 here</i>")]
+    df = spark.createDataFrame(rows, "id int, html string")
+    got = {r.id: (r.value, r.stopped_at) for r in run_values(df, [
+        {"strip_markup": None}, {"squeeze_space": {}}, {"at_least": {"n": 5}}, {"without": {"pattern": "[0-9]{5}"}}, {"extract": {"pattern": "[A-Z]\\w+"}},
+    ], "html").collect()}
+    assert got == {1: ("Long", None), 2: (None, "3 at_least"), 3: (None, "0 input"), 4: (None, "4 without")}
+    with pytest.raises(ValueError):
+        run_values(df, [{"eval": None}], "html")

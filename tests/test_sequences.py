@@ -113,3 +113,25 @@ def test_hot_page_reads_the_same(spark, rows, bound):
 def test_min_score_is_inclusive(spark):
     df = spark.createDataFrame([(0.5,), (0.4999,), (None,)], "score double")
     assert [r.score for r in boxes.min_score(df).collect()] == [0.5]
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 5])
+def test_insertion_order_equals_the_pairwise_rule(spark, bound):
+    random.seed(11)
+    items, want = [], {}
+    for page in range(12):
+        drawn = [(random.choice([0, 1, 5]) * random.random() * 12 + 7 * (i // 3), random.randint(0, 60)) for i in range(random.randint(1, 40))]
+        rows = sorted((float(round(y)), float(x), page * 100 + i) for i, (y, x) in enumerate(drawn))
+        items += [(page, b, y, x) for y, x, b in rows]
+        for i in range(len(rows) - 1):
+            for j in range(i, -1, -1):
+                if abs(rows[j + 1][0] - rows[j][0]) < 10 and rows[j + 1][1] < rows[j][1]:
+                    rows[j], rows[j + 1] = rows[j + 1], rows[j]
+                else:
+                    break
+        want.update({b: at for at, (_, _, b) in enumerate(rows)})
+    frame = spark.createDataFrame(items, "page_id long, box_id long, y double, x double").selectExpr(
+        "page_id", "box_id", "array(named_struct('x', x, 'y', y)) AS points"
+    )
+    got = {r.box_id: r.read_pos for r in boxes.insertion_order(frame, max_group_rows=bound).collect()}
+    assert got == want
