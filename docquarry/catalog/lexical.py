@@ -10,6 +10,7 @@ from docquarry.functions.text import tokenize
 from docquarry.operators.lexical import (
     bm25_search, corpus_stats as collection_stats, delete_from_index, expand_terms, index_of, merge_hits, postings, write_index,
 )
+from docquarry.operators.segmentation import segment_words
 from docquarry.params import Bm25Params
 from docquarry.session import materialise, scratch_path, spread
 
@@ -137,6 +138,22 @@ def bm25_han(spark, folder):
     return tidy(bm25_search(benchmark_queries(spark, folder).withColumn("text", text), index))
 
 
+@query()
+def han_words(spark, folder):
+    """Documents written in Han characters without blanks, cut into words by the benchmark's words as dictionary."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    written = lambda text: F.regexp_replace(F.translate(F.lower(text), letters, HAN_LETTERS), "[^一-鿿 ]", "")
+    known = table(spark, folder, "benchmark").select(F.explode(F.split(written("text"), " ")).alias("word"))
+    dictionary = known.groupBy("word").agg(F.count("*").alias("n"))
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    unspaced = documents.select("doc_id", F.replace(written("text"), F.lit(" "), F.lit("")).alias("text"))
+    words = segment_words(unspaced, "text", dictionary).select("doc_id", F.array_remove(F.split("text", " "), "").alias("words"))
+    return words.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.size(F.filter("words", lambda w: F.length(w) > 1)).cast("long").alias("n_known"),
+        F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"),
+    )
+
+
 @query(f"""
 WITH {TOKENS_SQL}, {BM25_SQL}
 SELECT doc_id, query_id, rank, score FROM lexical

@@ -386,7 +386,7 @@ def _scan_scores(index: TextIndex, wanted: DataFrame, k: int) -> DataFrame | Non
         best = None
         for batch in batches:
             lists = batch.column("terms")
-            sizes = np.asarray(lists.value_lengths())
+            sizes = np.asarray(pc.fill_null(lists.value_lengths(), 0))  # a null text has no terms
             found = pc.index_in(lists.flatten(), lookup)
             hit = np.asarray(found.is_valid())
             term = np.asarray(found.drop_null())
