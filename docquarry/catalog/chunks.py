@@ -13,6 +13,7 @@ from docquarry.operators.validate import validate_lengths
 from docquarry.plans.ingest import Store, ingest
 from docquarry.session import scratch_path, spread
 from docquarry.sources.chunks import delete_chunks, scan_index, upsert_chunks, write_chunks
+from docquarry.sources.files import file_manifest, read_documents
 from docquarry.sources.registry import read_registry
 
 
@@ -151,3 +152,20 @@ def ingest_fixed(spark, folder):
     return report.join(files, "file_id").select(
         "file_name", *[F.col(c).cast("long").alias(c) for c in ("written", "errors")]
     )
+
+
+@query("""
+SELECT source, lang, count(*) AS n_rows, sum(strlen(text) + 1)::bigint AS n_bytes, sum(length(text) + 1)::bigint AS n_chars
+FROM documents WHERE text IS NOT NULL GROUP BY ALL
+""")
+def raw_files(spark, folder):
+    """Documents written as text files, then found again: bytes by the manifest, characters by reading whole files."""
+    documents = table(spark, folder, "documents").select("source", "lang", "text").filter("text IS NOT NULL")
+    path = scratch_path(spark, "raw-files")
+    documents.write.option("maxRecordsPerFile", 500).partitionBy("source", "lang").text(path)
+    place = lambda c: [F.regexp_extract(c, f"/{name}=([^/]*)/", 1).alias(name) for name in ("source", "lang")]
+    by = ["source", "lang"]
+    sizes = file_manifest(spark, path).select(*place("path"), "n_bytes").groupBy(*by).agg(F.sum("n_bytes").alias("n_bytes"))
+    read = read_documents(spark, path).select(*place("path"), F.length("text").alias("n"))
+    rows = documents.groupBy(*by).agg(F.count("*").alias("n_rows"))
+    return rows.join(sizes, by).join(read.groupBy(*by).agg(F.sum("n").cast("long").alias("n_chars")), by)

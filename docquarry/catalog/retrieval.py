@@ -10,6 +10,7 @@ from docquarry.catalog.vectors import D_SQL, DIMENSIONS, Q_SQL, query_vectors
 from docquarry.functions.text import query_prompt, rerank_prompt
 from docquarry.operators import fusion
 from docquarry.operators.embedding import hash_embed
+from docquarry.operators.generation import generate
 from docquarry.operators.ivf import build_ivf
 from docquarry.operators.knn import knn_exact
 from docquarry.operators.lexical import bm25_search, write_index
@@ -210,3 +211,23 @@ def prompt_templates(spark, folder):
         "conv_id", "turn", rerank_prompt("role", "text", instruction).alias("pair_prompt"),
         query_prompt("text", instruction).alias("query_prompt"),
     )
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN text LIKE '%e%e%e%e%e%' THEN NULL ELSE upper(substr(text, 1, 30)) END AS response,
+    CASE WHEN text LIKE '%e%e%e%e%e%' THEN 'ValueError: refused' END AS error
+FROM conversations
+""")
+def generate_answers(spark, folder):
+    """Batches of turns sent to a callable that refuses some of them: the others of the batch have their answer."""
+
+    def generator():
+        def answer(prompts, temperature):
+            if any(p.count("e") >= 5 for p in prompts):
+                raise ValueError("refused")
+            return [p[:30].upper() for p in prompts]
+
+        return answer
+
+    turns = spread(table(spark, folder, "conversations").select("conv_id", "turn", "text"))
+    return generate(turns, generator, "text", error="error", budget=256).drop("text")

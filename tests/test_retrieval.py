@@ -94,3 +94,27 @@ def test_retrieve_end_to_end(spark, tmp_path):
     assert clustered == best
     contexts = {r.query_id: r.context for r in retrieve_context(queries, index, chunks, top_n=1, k=3).collect()}
     assert contexts == {1: texts[0], 2: texts[1]}
+
+
+def test_generation_keeps_order_and_fails_by_row(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 13)) + f" {i}") for i in range(40)] + [(40, None), (41, ""), (42, "slow")]
+    df = spark.createDataFrame(rows, "id int, prompt string").repartition(3)
+
+    def generator():
+        import time
+
+        def answer(prompts, temperature):
+            assert len(prompts) * max(len(p.split()) for p in prompts) <= 24 or len(prompts) == 1
+            if "slow" in prompts:
+                time.sleep(3)
+            if any(p.endswith(" 7") or p.endswith(" 20") for p in prompts):
+                raise ValueError("no")
+            return [p[::-1] for p in prompts]
+
+        return answer
+
+    got = {r.id: (r.response, r.error) for r in generate(df, generator, error="error", budget=24, timeout=1.0).collect()}
+    want = {i: (None, "ValueError: no") if i in (7, 20) else (p[::-1], None) for i, p in rows if p is not None}
+    assert got == {**want, 40: (None, None), 42: (None, "timeout")}
+    with pytest.raises(Exception, match="ValueError: no"):
+        generate(df, generator, budget=24).collect()

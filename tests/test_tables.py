@@ -131,3 +131,18 @@ def test_validation(spark):
     assert [r.error_code for r in checked.collect()] == ["x_too_long", "y_too_long", "x_too_long", "ok"]
     report = reports.ingest_report(checked.withColumn("file_id", F.lit(1))).first()
     assert (report.written, report.errors) == (1, 3)
+
+
+def test_registry_over_jdbc(spark):
+    """The driver's own Derby, in memory: written, appended, read back in partitions."""
+    from docquarry.sources.files import read_jdbc, write_jdbc
+
+    url = "jdbc:derby:memory:registry;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    users = spark.createDataFrame([(i, f"user{i}", i % 2) for i in range(20)], "user_id long, user_name string, user_status int")
+    write_jdbc(users.filter("user_id < 15"), url, "registry_user", "overwrite", **options)
+    write_jdbc(users.filter("user_id >= 15"), url, "registry_user", **options)
+    bounds = {"partitionColumn": "user_id", "lowerBound": "0", "upperBound": "20", "numPartitions": "4"}
+    back = read_jdbc(spark, url, "registry_user", **options, **bounds)
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in users.collect())
