@@ -40,7 +40,7 @@ from docquarry.llm.common import text_slices, utf8
 from docquarry.llm.run_index import SEPARATOR, RunIndex
 from docquarry.session import broadcast_if_small, materialise
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 BATCH_PHRASES = 1 << 19
 NULL_ID = -(1 << 63)
 HOT_LIST = 1_000_000
