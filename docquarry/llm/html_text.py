@@ -8,8 +8,8 @@ smoothed with a Gaussian, and fused by multiplication; blocks whose fused ratio
 deepest one that holds nearly all text of content blocks, or the article around it; its blocks, content
 blocks elsewhere and headings right before them are the text, so that headings and short paragraphs of
 an article come along. Blocks in elements that by their tag or role are
-navigation, headers, footers, asides, forms or scripts never count. Words of class and id that name such
-things (comments, adverts, notices) are only a mark, which is weighed against the text: a marked element
+navigation, headers, footers, asides, controls or scripts never count. Forms, and words of class and id that name such
+things (comments, adverts, notices), are only a mark, which is weighed against the text: a marked element
 counts after all when its ratio is far above that of the text with fewer marks, or when it holds most of
 the page's text by ratio and no article, main element or heading is outside. Inside an article, words
 that sections are also called by count for little.
@@ -51,9 +51,11 @@ ENDS_P = frozenset(
 
 # Tags, roles and words of class and id attributes that mark what is not the article.
 ASIDE_TAGS = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea input iframe object svg canvas menu dialog "
-    "audio video label fieldset".split()
+    "head script style noscript template nav footer aside button select option textarea input iframe object svg canvas menu dialog "
+    "audio video".split()
 )
+# Marked like words of class and id: a whole page may lie in one form.
+FORM_TAGS = frozenset("form label fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -76,7 +78,7 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_PAIR = re.compile(r"""([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SMOOTHING = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 MARKED_RATIO, SECTION_RATIO = 10.0, 0.5  # times the ratio of the other text, for a marked element to count
@@ -107,25 +109,34 @@ class _Block:
         self.owner, self.text, self.linked = owner, text, linked
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _PAIR.findall(rest):
+        found.setdefault(name.lower(), next((v for v in values if v), ""))
+    return found
+
+
 def _marks(tag: str, rest: str, within: _Element | None) -> tuple[str, bool, float, frozenset[str]]:
     """The element's label in paths, whether it is beside the article, what its class and id ask of its ratio, and why."""
     aside, label, least, why = tag in ASIDE_TAGS, tag, 0.0, frozenset()
     inside = within is not None and bool({"article", "main"} & set(within.path.split("/")))
     if tag == "header":
         aside = not inside  # the head of an article holds its title
-    for name, *values in _NAMED.findall(rest) if rest.strip() else ():
-        name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
+    if tag in FORM_TAGS:
+        least, why = MARKED_RATIO, frozenset((tag,))
+    named = _attributes(rest) if rest.strip() else {}
+    for name in ("class", "id"):
+        words = {w.lower() for w in _WORDS.findall(named.get(name, ""))}
+        if name in named:
             label += "." + ".".join(sorted(words)[:3])
-            beside = words & ASIDE_WORDS
-            if (beside - {"header"} or beside and not inside) and tag not in ("html", "body", "article", "main"):
-                least = max(least, SECTION_RATIO if inside and not beside - SECTION_WORDS - {"header"} else MARKED_RATIO)
-                why |= beside
-        elif name == "role":
-            aside = aside or value.strip().lower() in ASIDE_ROLES
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            aside = aside or tag not in ("html", "body")
+        beside = words & ASIDE_WORDS
+        if (beside - {"header"} or beside and not inside) and tag not in ("html", "body", "article", "main"):
+            least = max(least, SECTION_RATIO if inside and not beside - SECTION_WORDS - {"header"} else MARKED_RATIO)
+            why |= beside
+    aside = aside or named.get("role", "").strip().lower() in ASIDE_ROLES
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true":
+        aside = aside or tag not in ("html", "body")
     return label, aside, least, why
 
 
@@ -287,7 +298,8 @@ def main_text(html: str | None) -> str:
     blocks = _unmarked([b for b in blocks_of(html or "") if not b.owner.aside])
     content = _content(blocks) if blocks else []
     if not content:
-        return ""
+        # Nothing but links: those of an article are its text.
+        return " ".join(b.text for b in blocks if any(e.tag in ("article", "main") for e in _around(b.owner)))
     held: dict[int, int] = defaultdict(int)
     elements: dict[int, _Element] = {}
     for b in content:

@@ -185,3 +185,22 @@ def test_parts_of_runs_outside_base_spans():
     text = f"{key}/0123456789abcdef0123/{key} x password={key}"
     base = secrets.base_spans(text)
     assert [c[2] for c in secrets.candidates(text, base, 12)] == [key + "/", "/" + key]
+
+
+STORY = "<p>This is the first paragraph, with several words, and commas.</p><p>The second goes on, and on, until the end.</p>"
+TOLD = "This is the first paragraph, with several words, and commas. The second goes on, and on, until the end."
+
+
+@pytest.mark.parametrize("page", [
+    '<div style="overflow:hidden"><article>{}</article></div>', '<article><div style="overflow:hidden">{}</div></article>',
+    '<article title="the hidden cost">{}</article>', '<article data-hidden="false">{}</article>', '<article data-role="dialog">{}</article>',
+    '<form id="aspnetForm" method="post"><input type="hidden" name="x"><div>{}</div></form>',
+    '<article>{}</article><form action="/find"><label>Your name, please, now.</label><input></form>',
+    "<article>{}</article><p hidden>Not shown, at all, to anybody.</p><div role=dialog>Accept, please, all of it.</div>",
+])
+def test_attributes_are_told_by_their_exact_names(page):
+    assert html_text.main_text(page.format(STORY)) == TOLD
+
+
+def test_an_article_of_links_has_their_text():
+    assert html_text.main_text('<nav>a</nav><article><p><a href="x">Only a link here</a></p></article>') == "Only a link here"
