@@ -19,7 +19,7 @@ from docquarry.functions.text import term_counts, tokenize
 from docquarry.operators.common import SCORE_DIGITS, rounded, top_k
 from docquarry.operators.knn import merge_pairs
 from docquarry.params import LEXICAL_TOP_K, Bm25Params, read_params, write_params
-from docquarry.session import broadcast_if_small, fits_broadcast, has_files, materialise, spread
+from docquarry.session import broadcast_if_small, fits_broadcast, has_files, materialise, release_scratch, scratch_mark, spread
 
 
 # A search that scans documents broadcasts a weight per query and term; larger tables are joined.
@@ -176,7 +176,7 @@ def _write_tables(spark: SparkSession, path: str, id_col: str, layout: _Layout,
 
 def _change(spark: SparkSession, path: str, id_col: str, fresh: DataFrame | None, dead: DataFrame | None) -> None:
     """Put ``fresh`` (forward rows) in place of what the index holds of their ids, and remove the ids in ``dead``."""
-    layout = _Layout.load(spark, path)
+    mark, layout = scratch_mark(), _Layout.load(spark, path)
     held = _stored(spark, path, layout, "forward").filter(F.col(id_col).isNotNull())
     parts = [f.select(id_col) for f in (fresh, dead) if f is not None]
     ids = broadcast_if_small(layout.bucketed(reduce(DataFrame.union, parts).distinct(), id_col))
@@ -187,11 +187,13 @@ def _change(spark: SparkSession, path: str, id_col: str, fresh: DataFrame | None
         places = places.union(new.select(*layout.folders))
     touched = materialise(places.distinct(), "touched-partitions")
     if touched.isEmpty():
+        release_scratch(spark, mark)
         return
     on = reduce(lambda x, y: x & y, [F.col(f"held.{c}").eqNullSafe(F.col(f"touched.{c}")) for c in layout.folders])
     kept = held.alias("held").join(broadcast_if_small(touched).alias("touched"), on, "left_semi").join(ids, [id_col, "bucket"], "left_anti")
     rows = kept if new is None else kept.unionByName(new)
     _write_tables(spark, path, id_col, layout, materialise(rows, "index-rows"), touched, "overwrite")
+    release_scratch(spark, mark)
 
 
 def _stored_params(spark: SparkSession, path: str, params: Bm25Params | None) -> Bm25Params:
@@ -230,8 +232,10 @@ def write_index(
         layout = _Layout(rows.schema, tuple(partition_by), buckets)
         layout.save(spark, path)
         # Tokenise once: all tables are written from the stored rows.
+        mark = scratch_mark()
         staged = materialise(layout.bucketed(rows, id_col), "index-rows")
         _write_tables(spark, path, id_col, layout, staged, None, "overwrite")
+        release_scratch(spark, mark)
         return open_index(spark, path, id_col)
     params = _stored_params(spark, path, params)
     layout = _Layout.load(spark, path)
@@ -239,7 +243,9 @@ def write_index(
     if mode == "append":
         held = _stored(spark, path, layout, "forward").select(id_col, "bucket")
         fresh = layout.bucketed(fresh, id_col).join(held, [id_col, "bucket"], "left_anti").drop("bucket")
+    mark = scratch_mark()
     _change(spark, path, id_col, materialise(fresh, "indexed-documents"), remove)
+    release_scratch(spark, mark)
     return open_index(spark, path, id_col)
 
 
