@@ -151,8 +151,8 @@ def _stored(spark: SparkSession, path: str, layout: _Layout, table: str) -> Data
     return spark.read.schema(schema).parquet(f"{path}/{table}")
 
 
-def _write_tables(spark: SparkSession, path: str, id_col: str, layout: _Layout, rows: DataFrame, blank: DataFrame | None, mode: str) -> None:
-    """Write all tables from ``rows`` (forward rows with bucket, stored). ``blank``: the partitions that are rewritten, one row each."""
+def _write_tables(spark: SparkSession, path: str, id_col: str, layout: _Layout, rows: DataFrame, blank: DataFrame | None, mode: str, which: tuple[str, ...] | None = None) -> None:
+    """Write all tables, or those named, from ``rows`` (forward rows with bucket, stored). ``blank``: the partitions that are rewritten, one row each."""
     length = F.nullif("dl", F.lit(0))
     posted = rows.select(*[c for c in rows.columns if c != "counts"], F.inline("counts"))
     tables = {
@@ -161,7 +161,7 @@ def _write_tables(spark: SparkSession, path: str, id_col: str, layout: _Layout,
         "sizes": rows.groupBy(*layout.folders).agg(F.count(length).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_terms")),
         "forward": rows,
     }
-    for table in _TABLES:
+    for table in which or _TABLES:
         content = tables[table]
         if blank is not None:
             content = content.unionByName(blank, allowMissingColumns=True)
@@ -231,11 +231,10 @@ def write_index(
         rows = forward_rows(docs, id_col, text_col, params or Bm25Params(), keep).filter(F.col(id_col).isNotNull())
         layout = _Layout(rows.schema, tuple(partition_by), buckets)
         layout.save(spark, path)
-        # Tokenise once: all tables are written from the stored rows.
-        mark = scratch_mark()
-        staged = materialise(layout.bucketed(rows, id_col), "index-rows")
-        _write_tables(spark, path, id_col, layout, staged, None, "overwrite")
-        release_scratch(spark, mark)
+        # Tokenise once: forward is written first here, and the other tables from it.
+        fresh = layout.bucketed(rows, id_col)
+        _write_tables(spark, path, id_col, layout, fresh, None, "overwrite", ("forward",))
+        _write_tables(spark, path, id_col, layout, _stored(spark, path, layout, "forward"), None, "overwrite", ("postings", "terms", "sizes"))
         return open_index(spark, path, id_col)
     params = _stored_params(spark, path, params)
     layout = _Layout.load(spark, path)
