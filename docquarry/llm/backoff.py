@@ -4,16 +4,19 @@ S(v | u) = C(u v) / C(u) where the bigram was seen in training, else ``alpha`` *
 a document has C(v) / N; a document's score is the sum of the natural logarithms over its words. All
 counts cover all training texts.
 
-Work is dealt by the hash of the n-gram: for every bucket the occurrences in training make the count
-table, the occurrences in the scored documents are joined to it inside the bucket, and only sums per
-document leave it. Bigrams that the table lacks come back with their places, and their words are scored
-by the next order, together with the context words of the others, in the same way.
+Without ``train`` the scored documents are the training texts too. A text is then scored under the counts of the
+other folds alone, or every bigram would have been seen in the text itself. A text's fold follows from the MD5 of
+its characters, so that exact copies share a fold and never vouch for each other.
 
-Words that make up at least one in ``HOT_SHARE`` of all words (so at most ``HOT_SHARE`` of them) are set
-apart: counts of n-grams made of such words alone are added up before the shuffle, at most
-``HOT_SHARE`` + ``HOT_SHARE`` ** 2 numbers, and handed to all tasks, which apply them in the scan. What is
-shuffled therefore holds no n-gram with more than that share of the text, and buckets hold about
-``BUCKET_ENTRIES`` occurrences, their number growing with the text.
+Work is dealt by the hash of the n-gram: occurrences (context, word, document, fold) go to the bucket of their
+context, which therefore holds all that is needed for C(u v) and C(u); only sums per document leave it. A word whose
+bigram the other folds lack is joined to the table of word counts instead, and backs off.
+
+Words that make up at least one in ``HOT_SHARE`` of all words (so at most ``HOT_SHARE`` of them) are set apart: their
+counts are handed to all tasks, their occurrences as context are dealt by the next word, and by both words where that
+is hot too. The pairs of such words that reach the same share (again at most ``HOT_SHARE``) are counted before the
+shuffle and scored in the scan. No bucket holds more than that share of the text for one key; otherwise buckets hold
+about ``BUCKET_ENTRIES`` occurrences, their number growing with the text.
 
 Defined results: null and blank texts have no words and score 0; a word that training lacks counts
 as seen once; rows that share an id are scored together, one result row per id (null is an id of its
@@ -38,8 +41,26 @@ ALPHA = 0.4
 HOT_SHARE = 1000
 BUCKET_ENTRIES = 2_000_000
 PART_ROWS = 20_000
+MISSING_IN_ROW = 50_000
+
+# Fold of a text: its MD5's first hexadecimal digit modulo FOLDS. Texts that only train are in fold FOLDS, texts that
+# are only scored in fold APART.
+FOLDS = 4
+APART = -1
+FOLD = f"cast(instr('0123456789abcdef', substr(md5(coalesce(text, '')), 1, 1)) % {FOLDS} AS int)"
+
+NO_WORD = np.uint64(0)
+_NULL_ID = -(1 << 63)
 
-_ENTRIES = "bucket int, grams array<bigint>, rows array<bigint>, places array<int>, signs array<tinyint>"
+_ENTRIES = (
+    "bucket int, contexts array<bigint>, words array<bigint>, rows array<bigint>, folds array<tinyint>, "
+    "done array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>"
+)
+_PARTS = (
+    "part int, rows array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>, "
+    "words array<bigint>, lacking array<bigint>, folds array<tinyint>"
+)
+_KINDS = {"totals": pa.float64(), "folds": pa.int8()}
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,74 +73,77 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
 
 
-def _bigrams(words: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next."""
-    mixed = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[1:] + np.uint64(0x632BE59BD9B4E019))
+def _bigrams(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    mixed = (contexts * np.uint64(0x9E3779B97F4A7C15)) ^ (words + np.uint64(0x632BE59BD9B4E019))
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def _same_text(sizes: np.ndarray) -> np.ndarray:
-    """For each word but the last of the batch: whether the next one is in the same text."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return owner[1:] == owner[:-1]
+class _Counts:
+    """Counts per fold of a bounded set of n-grams."""
 
+    def __init__(self, rows: list):
+        keys = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.by_fold = np.array([r["by_fold"] for r in rows], np.int64).reshape(len(rows), FOLDS + 1)[order]
 
-def _counts(batches, grams_of):
-    """Partial counts, one row per slice and n-gram."""
-    for batch in _sliced(batches):
-        grams, counts = np.unique(grams_of(*_words(batch.column(0))), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Place of each n-gram, -1 where it is not in the set."""
+        if not len(self.keys):
+            return np.full(len(grams), -1)
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        return np.where(self.keys[at] == grams, at, -1)
 
+    def held(self, at: np.ndarray, folds: np.ndarray) -> np.ndarray:
+        return _others(self.by_fold, at, folds)
 
-def _sliced(batches):
-    for batch in batches:
-        yield from text_slices(batch)
 
+def _others(by_fold: np.ndarray, at: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """Counts outside the given folds."""
+    own = np.where(folds == APART, 0, by_fold[at, np.maximum(folds, 0)])
+    return by_fold.sum(1)[at] - own
 
-def _lookup(table: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
-    """Counts from a sorted table, 0 where it lacks the n-gram."""
-    keys, counts = table
-    if not len(keys):
-        return np.zeros(len(grams), np.int64)
-    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-    return np.where(keys[at] == grams, counts[at], 0)
 
+def _counted(keys: np.ndarray, counts: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """For each entry how often its key occurs, among the entries that count, in other folds than its own."""
+    kinds, at = np.unique(keys, return_inverse=True)
+    cells = at[counts] * (FOLDS + 1) + folds[counts]
+    by_fold = np.bincount(cells, minlength=len(kinds) * (FOLDS + 1)).reshape(len(kinds), FOLDS + 1)
+    return _others(by_fold, at, folds)
 
-def _sorted_table(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
 
+def _pairs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, text) of every word and of the end of every text that has words; a text starts without context."""
+    blocks = sizes + (sizes > 0)
+    at = np.arange(len(words)) + np.repeat(np.cumsum(sizes > 0) - (sizes > 0), sizes)
+    contexts, nexts = np.zeros(blocks.sum(), np.uint64), np.zeros(blocks.sum(), np.uint64)
+    nexts[at], contexts[at + 1] = words, words
+    return contexts, nexts, np.repeat(np.arange(len(sizes)), blocks)
 
-def _dealt(grams, rows, places, signs, buckets: int, first_bucket: int = 0):
-    """One output row per bucket with the entries that fall into it, in document order."""
-    bucket = (grams % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    sizes = np.bincount(bucket, minlength=buckets)
-    used = np.flatnonzero(sizes)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array((used + first_bucket).astype(np.int32)), lists(grams[order].view(np.int64), sizes[used], pa.int64()),
-            lists(rows[order], sizes[used], pa.int64()), lists(places[order].astype(np.int32), sizes[used], pa.int32()),
-            lists(signs[order].astype(np.int8), sizes[used], pa.int8()),
-        ],
-        ["bucket", "grams", "rows", "places", "signs"],
-    )
 
+def _sliced(batches):
+    for batch in batches:
+        yield from text_slices(batch)
 
-def _sums(sums: dict[int, float]):
-    """Sums per document that need no shuffled join, as a row without bucket."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array([None], pa.int32()), lists(np.array(list(sums.values()), np.float64).view(np.int64), [len(sums)], pa.int64()),
-         lists(np.array(list(sums), np.int64), [len(sums)], pa.int64()), lists(np.zeros(0, np.int32), [0], pa.int32()),
-         lists(np.zeros(0, np.int8), [0], pa.int8())],
-        ["bucket", "grams", "rows", "places", "signs"],
-    )
+
+def _per_fold(grams: np.ndarray, folds: np.ndarray):
+    """Partial counts: one row per n-gram and fold."""
+    for fold in np.unique(folds):
+        kinds, counts = np.unique(grams[folds == fold], return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kinds.view(np.int64)), pa.array(np.full(len(kinds), fold), pa.int32()), pa.array(counts, pa.int64())],
+            ["gram", "fold", "n"],
+        )
+
+
+def _summed(partial: DataFrame) -> DataFrame:
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)) for k in range(FOLDS + 1)]
+    return partial.groupBy("gram").agg(F.sum("n").alias("n"), F.array(*by_fold).alias("by_fold"))
 
 
-_PARTS = "part int, rows array<bigint>, totals array<double>, lacking array<bigint>, places array<int>"
+def _column(batch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _flat(frame: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -128,181 +152,165 @@ def _flat(frame: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
 
 
-def _in_parts(rows: np.ndarray, totals: np.ndarray, lacking: np.ndarray, places: np.ndarray, parts: int) -> pa.Table:
-    """Sums and missing places dealt by document: one output row per part."""
-
-    def dealt(keys: np.ndarray, values: np.ndarray, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
-        part = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % parts
-        order, sizes = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
-        return lists(keys[order], sizes, pa.int64()), lists(values[order], sizes, kind)
+def _grouped(key: np.ndarray, columns: dict[str, np.ndarray], count: int) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Lists of the columns, one row for each key that occurs."""
+    order, sizes = np.argsort(key, kind="stable"), np.bincount(key, minlength=count)
+    used = np.flatnonzero(sizes)
+    return used, {c: lists(v[order], sizes[used], _KINDS.get(c, pa.int64())) for c, v in columns.items()}
 
-    sums, missing = dealt(rows, totals, pa.float64()), dealt(lacking, places, pa.int32())
-    return pa.table([pa.array(np.arange(parts), pa.int32()), *sums, *missing], ["part", "rows", "totals", "lacking", "places"])
 
+def _record(schema: str, key: np.ndarray | list, columns: dict[str, pa.Array]) -> pa.Table:
+    """Rows with the given lists, the other lists of the schema empty."""
+    first, *names = [field.split()[0] for field in schema.split(", ")]
+    empty = np.zeros(len(key), np.int64)
+    arrays = [columns.get(c, lists(empty[:0], empty, _KINDS.get(c, pa.int64()))) for c in names]
+    return pa.table([pa.array(key, pa.int32()), *arrays], [first, *names])
 
-def _join_bucket(frame: pa.Table, backoff: bool, parts: int) -> pa.Table:
-    """Join the entries of one bucket to its count table.
 
-    Signs: 0 counts in training only, +1 and -1 add or subtract the logarithm of the count; entries with sign
-    5 or 6 do both, 5 counting and adding, 6 counting and subtracting. Returns sums and places not found, by part.
-    """
-    grams, signs = _flat(frame, "grams", np.int64), _flat(frame, "signs", np.int8)
-    table = np.unique(grams[(signs == 0) | (signs >= 5)], return_counts=True)
-    asked = signs != 0
-    counts = _lookup(table, grams[asked])
-    rows, places, signs = _flat(frame, "rows", np.int64)[asked], _flat(frame, "places", np.int32)[asked], signs[asked]
-    weight = np.where((signs == 1) | (signs == 5), 1.0, -1.0)
-    known = counts > 0 if backoff else np.ones(len(counts), bool)
-    part = np.where(known, weight * np.log(np.maximum(counts, 1)), 0.0)
+def _per_row(rows: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums of the values per document."""
     ids, place = np.unique(rows, return_inverse=True)
-    totals = np.bincount(place, weights=part, minlength=len(ids))
-    return _in_parts(ids, totals, rows[~known], places[~known], parts)
+    sums = {c: np.bincount(place, weights=v, minlength=len(ids)) for c, v in values.items()}
+    return {"rows": ids, **{c: v if c == "totals" else v.astype(np.int64) for c, v in sums.items()}}
+
+
+def _join_bucket(frame: pa.Table, hot: _Counts, totals: np.ndarray, alpha: float, parts: int) -> pa.Table:
+    """Join the occurrences of a bucket to their counts: sums by part of the documents, and words to be joined to word counts."""
+    contexts, words = (_flat(frame, c, np.int64).view(np.uint64) for c in ("contexts", "words"))
+    rows, folds = _flat(frame, "rows", np.int64), _flat(frame, "folds", np.int64)
+    first, end, counts = contexts == NO_WORD, words == NO_WORD, folds != APART
+    pair = _counted(_bigrams(contexts, words), counts, folds)
+    context = _counted(contexts, counts, folds)
+    known = hot.find(contexts)
+    context[known >= 0] = hot.held(known, folds)[known >= 0] if len(hot.keys) else 0
+
+    asked = ~end & (folds != FOLDS)
+    seen = asked & ~first & (pair > 0)
+    back = asked & ~seen
+    score = np.zeros(len(rows))
+    score[seen] = np.log(pair[seen]) - np.log(context[seen])
+    common = hot.find(words)
+    score[back] = np.where(first[back], 0.0, log(alpha)) - np.log(np.maximum(_others(totals, np.zeros(back.sum(), int), folds[back]), 1))
+    plain = back & (common >= 0)
+    if plain.any():
+        score[plain] += np.log(np.maximum(hot.held(common[plain], folds[plain]), 1))
+    lacking = back & (common < 0)
+
+    sums = _per_row(
+        np.concatenate([rows[asked], _flat(frame, "done", np.int64)]),
+        totals=np.concatenate([score[asked], _flat(frame, "totals", np.float64)]),
+        backed=np.concatenate([(back & ~first)[asked], _flat(frame, "backed", np.int64)]),
+        n=np.concatenate([np.zeros(asked.sum(), np.int64), _flat(frame, "n", np.int64)]),
+    )
+    part = (sums["rows"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % parts
+    used, columns = _grouped(part, sums, parts)
+    missing = {"words": words[lacking].view(np.int64), "lacking": rows[lacking], "folds": folds[lacking].astype(np.int8)}
+    block, lists_of = _grouped(np.arange(lacking.sum()) // MISSING_IN_ROW, missing, 1)
+    return pa.concat_tables([_record(_PARTS, used, columns), _record(_PARTS, [None] * len(block), lists_of)])
 
 
 def _add_part(frame: pa.Table) -> pa.Table:
-    """(row, total, missing) of the documents of one part."""
-    rows, lacking, places = _flat(frame, "rows", np.int64), _flat(frame, "lacking", np.int64), _flat(frame, "places", np.int32)
-    ids, place = np.unique(rows, return_inverse=True)
-    totals = np.bincount(place, weights=_flat(frame, "totals", np.float64), minlength=len(ids))
-    order = np.argsort(lacking, kind="stable")
-    sizes = np.bincount(np.searchsorted(ids, lacking), minlength=len(ids))
-    return pa.table({"row": pa.array(ids, pa.int64()), "total": pa.array(totals), "missing": lists(places[order], sizes, pa.int32())})
-
-
-def _joined(entries: DataFrame, backoff: bool, parts: int) -> DataFrame:
-    """Sums per row: (row, total, missing). Buckets hand their sums on in parts of the documents, not row by row."""
-
-    def local(batches):
-        for b in batches:
-            frame = pa.Table.from_batches([b])
-            totals, none = _flat(frame, "grams", np.int64).view(np.float64), np.zeros(0, np.int64)
-            yield from _in_parts(_flat(frame, "rows", np.int64), totals, none, none.astype(np.int32), parts).to_batches()
-
-    dealt = entries.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda t: _join_bucket(t, backoff, parts), _PARTS)
-    both = dealt.union(entries.filter("bucket IS NULL").mapInArrow(local, _PARTS))
-    return both.groupBy("part").applyInArrow(_add_part, "row bigint, total double, missing array<int>")
-
-
-def _merge(sums: dict[int, float], rows: np.ndarray, part: np.ndarray) -> None:
-    ids, place = np.unique(rows, return_inverse=True)
-    for i, total in zip(ids.tolist(), np.bincount(place, weights=part, minlength=len(ids)).tolist()):
-        sums[i] = sums.get(i, 0.0) + total
+    """(row, total, backed, n) of the documents of one part."""
+    values = {"totals": _flat(frame, "totals", np.float64), **{c: _flat(frame, c, np.int64) for c in ("backed", "n")}}
+    sums = _per_row(_flat(frame, "rows", np.int64), **values)
+    return pa.table({"row": sums["rows"], "total": sums["totals"], "backed": sums["backed"], "n": sums["n"]})
 
 
 def backoff_scores(
     docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA,
     bucket_entries: int = BUCKET_ENTRIES,
 ) -> DataFrame:
-    """Per id: ``n_words``, ``score`` (sum of logarithms). ``train`` (default: ``docs`` themselves) gives the counts."""
-    same = train is None
-    train_texts = (docs if same else train).select(F.col(text_col).alias("text"))
-    keyed = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("row"))
+    """Per id: ``n_words``, ``n_backoff`` (words scored by back-off), ``score`` (sum of logarithms).
 
-    def counted(batches):
-        yield from _counts(batches, lambda words, sizes: words)
-
-    words = train_texts.mapInArrow(counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    words = materialise(words, "word-counts")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    hot_words = _sorted_table(words.filter(F.col("n") * HOT_SHARE >= total).select("gram", "n").collect())
+    ``train`` gives the counts; without it they come from the documents of the other folds.
+    """
+    row = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID))
+    scored = docs.select(F.col(text_col).alias("text"), row.alias("row"))
+    if train is None:
+        texts = trained = scored.withColumn("fold", F.expr(FOLD))
+    else:
+        trained = train.select(F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("row"), F.lit(FOLDS).alias("fold"))
+        texts = scored.withColumn("fold", F.lit(APART)).union(trained)
+
+    def word_counts(batches):
+        for batch in _sliced(batches):
+            words, sizes = _words(batch.column(0))
+            yield from _per_fold(words, np.repeat(_column(batch, "fold"), sizes))
 
-    def both_hot(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        hot = _lookup(hot_words, words) > 0
-        return hot[:-1] & hot[1:] & _same_text(sizes)
+    counts = materialise(_summed(trained.mapInArrow(word_counts, "gram bigint, fold int, n bigint")), "word-counts")
+    sums = counts.agg(*[F.sum(F.get("by_fold", F.lit(k))) for k in range(FOLDS + 1)]).first()
+    totals = np.array([[n or 0 for n in sums]], np.int64)
+    total = int(totals.sum())
+    frequent = F.col("n") * HOT_SHARE >= total
+    hot = _Counts(counts.filter(frequent).collect())  # at most HOT_SHARE rows
 
-    def hot_counted(batches):
-        yield from _counts(batches, lambda words, sizes: _bigrams(words)[both_hot(words, sizes)])
+    def pair_counts(batches):
+        for batch in _sliced(batches):
+            contexts, words, text = _pairs(*_words(batch.column(0)))
+            both = (hot.find(contexts) >= 0) & (hot.find(words) >= 0)
+            yield from _per_fold(_bigrams(contexts, words)[both], _column(batch, "fold")[text[both]])
 
-    hot_pairs = train_texts.mapInArrow(hot_counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    hot_bigrams = _sorted_table(hot_pairs.collect())  # at most HOT_SHARE ** 2 rows
+    pairs = _summed(trained.mapInArrow(pair_counts, "gram bigint, fold int, n bigint"))
+    hot_pairs = _Counts(pairs.filter(frequent).collect())  # at most HOT_SHARE rows
     buckets = max(1, ceil(total / bucket_entries))
     parts = max(1, ceil(docs.count() / PART_ROWS))
 
-    def train_entries(words, sizes, order: int):
-        if order == 2:
-            grams = _bigrams(words)[_same_text(sizes) & ~both_hot(words, sizes)]
-        else:
-            grams = words[_lookup(hot_words, words) == 0]
-        zeros = np.zeros(len(grams), np.int64)
-        return _dealt(grams, zeros, zeros, zeros, buckets)
-
-    def bigram_entries(batches):
-        sums: dict[int, float] = {}
+    def entries(batches):
         for batch in _sliced(batches):
             words, sizes = _words(batch.column(0))
-            row = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)[:-1]
-            place = (np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[1:]  # of the bigram's second word
-            grams, within, hot = _bigrams(words), _same_text(sizes), both_hot(words, sizes)
-            counts = _lookup(hot_bigrams, grams)
-            found = hot & (counts > 0)  # a hot pair that training lacks goes to its bucket to be missed there
-            _merge(sums, row[found], np.log(counts[found]))
-            rest = within & ~found
-            yield _dealt(grams[rest], row[rest], place[rest], np.full(int(rest.sum()), 5 if same else 1), buckets)
-        if sums:
-            yield _sums(sums)
-
-    def word_entries(batches):
-        """Contexts of found bigrams are subtracted; first words and second words of missing ones added."""
-        sums: dict[int, float] = {}
-        for batch in _sliced(batches):
-            words, sizes = _words(batch.column(0))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(words) else np.zeros(0, bool)
-            starts = np.cumsum(sizes) - sizes
-            lacking = np.zeros(len(words) + 1, bool)
-            missing = batch.column(2)
-            held = missing.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            lacking[np.repeat(starts, np.diff(missing.offsets.to_numpy())) + held] = True
-            lacking = lacking[: len(words)]
-            added = first | lacking  # scored by C(v) / N
-            context = np.concatenate([~added[1:], [False]]) if len(words) else added  # the next word is scored by its bigram
-            row = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            counts = _lookup(hot_words, words)
-            hot = counts > 0
-            part = np.where(hot, np.log(np.maximum(counts, 1)) * (added.astype(float) - context), 0.0)
-            part += np.where(added, -log(max(total, 1)), 0.0) + np.where(lacking, log(alpha), 0.0)
-            _merge(sums, row, part)
-            more, less = added & ~hot, context & ~hot
-            if same:  # every occurrence counts once, whatever it adds
-                neither = ~hot & ~more & ~less
-                doubled = more & less
-                pick = [more, less & ~doubled, doubled, neither]
-                signs = [5, 6, -1, 0]
-            else:
-                pick, signs = [more, less], [1, -1]
-            at = np.concatenate([np.flatnonzero(p) for p in pick])
-            sign = np.concatenate([np.full(int(p.sum()), s) for p, s in zip(pick, signs)])
-            order = np.argsort(at, kind="stable")
-            at, sign = at[order], sign[order]
-            yield _dealt(words[at], row[at], np.zeros(len(at), np.int64), sign, buckets)
-        if sums:
-            yield _sums(sums)
-
-    def training(order: int):
-        def entries(batches):
-            for batch in _sliced(batches):
-                yield train_entries(*_words(batch.column(0)), order)
-        return entries
-
-    id_null = F.col("row").isNull()
-    known = keyed.withColumn("row", F.when(id_null, F.lit(-(1 << 63))).otherwise(F.col("row")))
-    dealt = known.mapInArrow(bigram_entries, _ENTRIES)
-    if not same:
-        dealt = dealt.union(train_texts.mapInArrow(training(2), _ENTRIES))
-    bigrams = materialise(_joined(dealt, True, parts), "bigram-sums")
-    gaps = bigrams.filter(F.size("missing") > 0).select("row", "missing")
-    seen = known.withColumn("missing", F.array().cast("array<int>")) if gaps.isEmpty() else (
-        known.join(gaps, "row", "left").select("text", "row", F.coalesce("missing", F.array().cast("array<int>")).alias("missing"))
-    )
-    dealt = seen.select("text", "row", "missing").mapInArrow(word_entries, _ENTRIES)
-    if not same:
-        dealt = dealt.union(train_texts.mapInArrow(training(1), _ENTRIES))
-    sums = bigrams.select("row", "total").union(_joined(dealt, False, parts).select("row", "total"))
-    length = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    lengths = known.select("row", length.alias("n"))
-    both = sums.select("row", "total", F.lit(0).cast("long").alias("n")).union(lengths.select("row", F.lit(0.0).alias("total"), "n"))
-    scores = both.groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("total").alias("score"))
-    return scores.select(
-        F.when(F.col("row") == F.lit(-(1 << 63)), None).otherwise(F.col("row")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "score"
-    )
-
+            ids, fold_of = _column(batch, "row"), _column(batch, "fold")
+            contexts, words, text = _pairs(words, sizes)
+            rows, folds = ids[text], fold_of[text]
+            u, v = hot.find(contexts), hot.find(words)
+            first, end, asks = contexts == NO_WORD, words == NO_WORD, folds != FOLDS
+            bigrams = _bigrams(contexts, words)
+            pair = np.where((u >= 0) & (v >= 0), hot_pairs.find(bigrams), -1)
+            # Scored here: pairs that are hot themselves, and hot words at the start of a text.
+            here = (pair >= 0) | (first & (v >= 0))
+            pick = np.flatnonzero(here & asks)
+            start, fold = first[pick], folds[pick]
+            held = np.zeros(len(pick), np.int64)
+            if len(hot_pairs.keys):
+                held[~start] = hot_pairs.held(pair[pick][~start], fold[~start])
+            score, seen = np.zeros(len(pick)), held > 0
+            if len(pick):
+                score = np.log(np.maximum(hot.held(v[pick], fold), 1)) - np.log(np.maximum(_others(totals, fold * 0, fold), 1))
+                score += np.where(start, 0.0, log(alpha))
+                score[seen] = np.log(held[seen]) - np.log(hot.held(u[pick][seen], fold[seen]))
+            counted = fold_of != FOLDS
+            done = _per_row(
+                np.concatenate([rows[pick], ids[counted]]), totals=np.concatenate([score, np.zeros(counted.sum())]),
+                backed=np.concatenate([~seen & ~start, np.zeros(counted.sum(), bool)]),
+                n=np.concatenate([np.zeros(len(pick), np.int64), sizes[counted]]),
+            )
+            done["done"] = done.pop("rows")
+            if len(done["done"]):
+                columns = {c: lists(x, [len(x)], _KINDS.get(c, pa.int64())) for c, x in done.items()}
+                yield from _record(_ENTRIES, [int(done["done"][0]) % buckets], columns).to_batches()
+            # The end of a text counts for its last word as context, which hot words do not need.
+            left = np.flatnonzero(~here & ~(end & (u >= 0)) & ~(first & ~asks))
+            key = np.where((u < 0) & ~first, contexts, np.where(v < 0, words, bigrams))[left]
+            used, columns = _grouped(
+                (key % np.uint64(buckets)).astype(np.int64),
+                {"contexts": contexts[left].view(np.int64), "words": words[left].view(np.int64), "rows": rows[left],
+                 "folds": folds[left].astype(np.int8)}, buckets,
+            )
+            yield from _record(_ENTRIES, used, columns).to_batches()
+
+    def joined(frame: pa.Table) -> pa.Table:
+        return _join_bucket(frame, hot, totals, alpha, parts)
+
+    dealt = texts.select("text", "row", "fold").mapInArrow(entries, _ENTRIES)
+    found = materialise(dealt.groupBy("bucket").applyInArrow(joined, _PARTS), "bigram-scores")
+    by_part = found.filter("part IS NOT NULL").select("part", "rows", "totals", "backed", "n")
+    sums = by_part.groupBy("part").applyInArrow(_add_part, "row bigint, total double, backed bigint, n bigint")
+    missing = found.filter("part IS NULL").select(F.inline(F.arrays_zip("words", "lacking", "folds")))
+    # Sorted on both sides at every size: words that are asked for can be many more than the counts.
+    asked = missing.join(counts.hint("merge"), missing.words == counts.gram, "left")
+    own = F.coalesce(F.get("by_fold", F.col("folds").cast("int")), F.lit(0))
+    held = F.greatest(F.coalesce(F.col("n"), F.lit(0)) - own, F.lit(1))
+    backed_off = asked.groupBy(F.col("lacking").alias("row")).agg(F.sum(F.log(held)).alias("total"))
+    both = sums.union(backed_off.select("row", "total", F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
+    scores = both.groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("backed").alias("n_backoff"), F.sum("total").alias("score"))
+    row_id = F.when(F.col("row") != _NULL_ID, F.col("row")).cast(docs.schema[id_col].dataType)
+    return scores.select(row_id.alias(id_col), "n_words", "n_backoff", "score")

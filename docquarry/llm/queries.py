@@ -215,24 +215,32 @@ def op7_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(f"""
-WITH w AS (SELECT doc_id, {SQL_WORDS.format(text=_LOWER)} AS w FROM documents
-), t AS (SELECT doc_id, i, w[i] AS v, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)
-), c1 AS (SELECT v, count(*) AS n FROM t GROUP BY v
-), c2 AS (SELECT u, v, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY u, v
+WITH w AS (SELECT doc_id, instr('0123456789abcdef', substr(md5(coalesce(text, '')), 1, 1)) % 4 AS fold, {SQL_WORDS.format(text=_LOWER)} AS w
+  FROM documents
+), t AS (SELECT doc_id, fold, i, w[i] AS v, CASE WHEN i > 1 THEN w[i - 1] END AS u
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)
+), f1 AS (SELECT v, fold, count(*) AS n FROM t GROUP BY ALL
+), f2 AS (SELECT u, v, fold, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY ALL
+), c1 AS (SELECT v, fold, sum(n) OVER (PARTITION BY v) - n AS n FROM f1
+), c2 AS (SELECT u, v, fold, sum(n) OVER (PARTITION BY u, v) - n AS n FROM f2
+), total AS (SELECT fold, greatest(sum(sum(n)) OVER () - sum(n), 1) AS n FROM f1 GROUP BY fold
 ), s AS (
-  SELECT doc_id, sum(CASE WHEN t.u IS NULL THEN ln(c1.n) - ln(total) WHEN c2.n IS NULL THEN ln(0.4) + ln(c1.n) - ln(total) ELSE ln(c2.n) - ln(cu.n) END) AS score
-  FROM t JOIN c1 ON c1.v = t.v LEFT JOIN c1 cu ON cu.v = t.u LEFT JOIN c2 ON c2.u = t.u AND c2.v = t.v, (SELECT sum(n) AS total FROM c1)
+  SELECT doc_id, count(*) FILTER (t.u IS NOT NULL AND c2.n = 0) AS n_backoff,
+    sum(CASE WHEN c2.n > 0 THEN ln(c2.n) - ln(cu.n)
+      ELSE CASE WHEN t.u IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(c1.n, 1)) - ln(total.n) END) AS score
+  FROM t JOIN c1 ON c1.v = t.v AND c1.fold = t.fold JOIN total ON total.fold = t.fold
+    LEFT JOIN c1 cu ON cu.v = t.u AND cu.fold = t.fold LEFT JOIN c2 ON c2.u = t.u AND c2.v = t.v AND c2.fold = t.fold
   GROUP BY doc_id
 )
-SELECT doc_id, len(w)::bigint AS n_words, round(coalesce(score, 0), 4) + 0.0 AS score,
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(score, 0), 4) + 0.0 AS score,
   round(coalesce(score, 0) / greatest(len(w), 1), 5) + 0.0 AS score_per_word
 FROM w LEFT JOIN s USING (doc_id)
 """)
 def op8_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Score of every document under the bigram counts of all documents."""
+    """Score of every document under the bigram counts of the documents in the other folds, with the words that backed off."""
     scores = backoff_scores(table(spark, folder, "documents"))
     return scores.select(
-        "doc_id", "n_words", (F.round("score", 4) + 0.0).alias("score"),
+        "doc_id", "n_words", "n_backoff", (F.round("score", 4) + 0.0).alias("score"),
         (F.round(F.col("score") / F.greatest("n_words", F.lit(1)), 5) + 0.0).alias("score_per_word"),
     )
 

@@ -222,21 +222,33 @@ def test_articles_of_the_pages(spark):
 # --- stupid backoff
 
 
+def fold_of(text):
+    return ("0123456789abcdef".index(hashlib.md5((text or "").encode()).hexdigest()[0]) + 1) % backoff.FOLDS
+
+
 def brute_scores(docs, train):
-    one, two = Counter(), Counter()
-    for t in train:
-        w = words(t)
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total, out = sum(one.values()), {}
+    """Scores under the counts of ``train``, or of the documents in other folds where it is None."""
+
+    def count(texts):
+        one, two = Counter(), Counter()
+        for t in texts:
+            w = words(t)
+            one.update(w)
+            two.update(zip(w, w[1:]))
+        return one, two
+
+    folds = {f: count([t for _, t in docs if fold_of(t) != f] if train is None else train) for f in range(backoff.FOLDS)}
+    out = {}
     for i, t in docs:
-        w, score = words(t), 0.0
+        one, two = folds[fold_of(t)]
+        total, w, score, backed = max(sum(one.values()), 1), words(t), 0.0, 0
         for k, v in enumerate(w):
             if k and two[w[k - 1], v]:
                 score += math.log(two[w[k - 1], v] / one[w[k - 1]])
             else:
                 score += math.log(max(one[v], 1) / total) + (math.log(0.4) if k else 0)
-        out[i] = (len(w), score)
+                backed += k > 0
+        out[i] = (len(w), backed, score)
     return out
 
 
@@ -245,13 +257,25 @@ def brute_scores(docs, train):
 def test_backoff_equals_brute_force(spark, documents, monkeypatch, own, share):
     monkeypatch.setattr(backoff, "HOT_SHARE", share)
     rows = [(r.doc_id, r.text) for r in documents.collect()] + [(-1, "a"), (-2, "the the the"), (-3, "unseen words only"), (-4, "")]
+    rows += [(-10 - i, "same same copy " * 400) for i in range(20)]
     train = [t for i, t in rows if i % 2 == 0]
     docs = table(spark, rows)
     got = backoff.backoff_scores(docs, None if own else table(spark, list(enumerate(train))), bucket_entries=5000).collect()
-    want = brute_scores(rows, [t for _, t in rows] if own else train)
-    assert len(got) == len(want)
+    want = brute_scores(rows, None if own else train)
+    assert len(got) == len(want) and sum(r.n_backoff for r in got) > 0
     for r in got:
-        assert r.n_words == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-6 * max(1, abs(r.score))
+        n, backed, score = want[r.doc_id]
+        assert (r.n_words, r.n_backoff) == (n, backed) and abs(r.score - score) < 1e-6 * max(1, abs(r.score))
+
+
+def test_backoff_ranks_junk_below_prose(spark, documents):
+    """Words that occur nowhere else, in one text or in many copies of it, score below every document."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    junk = [(-1, "ENSCHACH!! SCHUNG!! zzq"), (-2, "Orrex Orrex Orrex Orrex")] + [(-3 - i, "qqa wwb eec rrd tte") for i in range(30)]
+    got = {r.doc_id: r.score / max(r.n_words, 1) for r in backoff.backoff_scores(table(spark, rows + junk)).collect()}
+    # Very short texts are mostly their first word; prose starts at ten words here.
+    prose = [got[i] for i, t in rows if len(words(t)) >= 10]
+    assert max(got[i] for i, _ in junk) < sorted(prose)[len(prose) // 20]
 
 
 # --- Jaccard join
