@@ -30,6 +30,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +53,20 @@ FOLD = f"cast(instr('0123456789abcdef', substr(md5(coalesce(text, '')), 1, 1)) %
 NO_WORD = np.uint64(0)
 _NULL_ID = -(1 << 63)
 
+# Texts of one slice, so that a 16-bit number names one.
+SLICE_ROWS = 30_000
+
+# Occurrences of a slice in one bucket: runs of one word (``keys``) with the words beside it (``others``), which follow it,
+# or precede it where the run's length is negative; texts by their place in ``rows``.
 _ENTRIES = (
-    "bucket int, contexts array<bigint>, words array<bigint>, rows array<bigint>, folds array<tinyint>, "
-    "done array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>"
+    "bucket int, keys array<bigint>, runs array<int>, others array<bigint>, texts array<smallint>, rows array<bigint>, "
+    "folds array<tinyint>, done array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>"
 )
 _PARTS = (
     "part int, rows array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>, "
     "words array<bigint>, lacking array<bigint>, folds array<tinyint>"
 )
-_KINDS = {"totals": pa.float64(), "folds": pa.int8()}
+_KINDS = {"totals": pa.float64(), "folds": pa.int8(), "runs": pa.int32(), "texts": pa.int16()}
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +130,8 @@ def _pairs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _sliced(batches):
     for batch in batches:
-        yield from text_slices(batch)
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield from text_slices(batch.slice(start, SLICE_ROWS))
 
 
 def _per_fold(grams: np.ndarray, folds: np.ndarray):
@@ -167,6 +174,42 @@ def _record(schema: str, key: np.ndarray | list, columns: dict[str, pa.Array]) -
     return pa.table([pa.array(key, pa.int32()), *arrays], [first, *names])
 
 
+def _packed(key: np.ndarray, contexts: np.ndarray, words: np.ndarray, after: np.ndarray, text: np.ndarray, ids: np.ndarray,
+            folds: np.ndarray, buckets: int) -> pa.Table:
+    """The occurrences dealt by key, a row per bucket. ``after``: the run is of the context and words follow it."""
+    order = np.argsort(key)
+    key, text, after = key[order], text[order], after[order]
+    mine, others = np.where(after, contexts[order], words[order]), np.where(after, words[order], contexts[order])
+    # Monotone in the key, so equal keys and equal buckets lie together.
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    turn = np.ones(len(key), bool)
+    turn[1:] = (mine[1:] != mine[:-1]) | (after[1:] != after[:-1]) | (bucket[1:] != bucket[:-1])
+    starts = np.flatnonzero(turn)
+    runs = np.diff(starts, append=len(key)) * np.where(after[starts], 1, -1)
+    used, rank = np.unique(bucket, return_inverse=True)
+    named, place = np.unique(rank * len(ids) + text, return_inverse=True)
+    holder, name = named // max(len(ids), 1), named % max(len(ids), 1)
+    of_entries, of_runs, of_texts = (np.bincount(x, minlength=len(used)) for x in (rank, rank[starts], holder))
+    place = place - np.repeat(np.cumsum(of_texts) - of_texts, of_entries)
+    lengths = {"keys": of_runs, "runs": of_runs, "others": of_entries, "texts": of_entries, "rows": of_texts, "folds": of_texts}
+    columns = {
+        "keys": mine[starts].view(np.int64), "runs": runs.astype(np.int32), "others": others.view(np.int64),
+        "texts": place.astype(np.int16), "rows": ids[name], "folds": folds[name].astype(np.int8),
+    }
+    return _record(_ENTRIES, used, {c: lists(x, lengths[c], _KINDS.get(c, pa.int64())) for c, x in columns.items()})
+
+
+def _unpacked(frame: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, row, fold) of all occurrences of a bucket."""
+    runs = _flat(frame, "runs", np.int64)
+    mine, after = np.repeat(_flat(frame, "keys", np.int64).view(np.uint64), np.abs(runs)), np.repeat(runs > 0, np.abs(runs))
+    others = _flat(frame, "others", np.int64).view(np.uint64)
+    sizes, named = (pc.list_value_length(frame.column(c)).to_numpy() for c in ("others", "rows"))
+    at = _flat(frame, "texts", np.int64) + np.repeat(np.cumsum(named) - named, sizes)
+    rows, folds = _flat(frame, "rows", np.int64)[at], _flat(frame, "folds", np.int64)[at]
+    return np.where(after, mine, others), np.where(after, others, mine), rows, folds
+
+
 def _per_row(rows: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
     """Sums of the values per document."""
     ids, place = np.unique(rows, return_inverse=True)
@@ -176,8 +219,7 @@ def _per_row(rows: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
 
 def _join_bucket(frame: pa.Table, hot: _Counts, totals: np.ndarray, alpha: float, parts: int) -> pa.Table:
     """Join the occurrences of a bucket to their counts: sums by part of the documents, and words to be joined to word counts."""
-    contexts, words = (_flat(frame, c, np.int64).view(np.uint64) for c in ("contexts", "words"))
-    rows, folds = _flat(frame, "rows", np.int64), _flat(frame, "folds", np.int64)
+    contexts, words, rows, folds = _unpacked(frame)
     first, end, counts = contexts == NO_WORD, words == NO_WORD, folds != APART
     pair = _counted(_bigrams(contexts, words), counts, folds)
     context = _counted(contexts, counts, folds)
@@ -289,13 +331,10 @@ def backoff_scores(
                 yield from _record(_ENTRIES, [int(done["done"][0]) % buckets], columns).to_batches()
             # The end of a text counts for its last word as context, which hot words do not need.
             left = np.flatnonzero(~here & ~(end & (u >= 0)) & ~(first & ~asks))
-            key = np.where((u < 0) & ~first, contexts, np.where(v < 0, words, bigrams))[left]
-            used, columns = _grouped(
-                (key % np.uint64(buckets)).astype(np.int64),
-                {"contexts": contexts[left].view(np.int64), "words": words[left].view(np.int64), "rows": rows[left],
-                 "folds": folds[left].astype(np.int8)}, buckets,
-            )
-            yield from _record(_ENTRIES, used, columns).to_batches()
+            after = (u < 0) & ~first | (u >= 0) & (v >= 0)
+            key = np.where((u < 0) & ~first, contexts, np.where(v < 0, words, bigrams))
+            packed = _packed(key[left], contexts[left], words[left], after[left], text[left], ids, fold_of, buckets)
+            yield from packed.to_batches()
 
     def joined(frame: pa.Table) -> pa.Table:
         return _join_bucket(frame, hot, totals, alpha, parts)
