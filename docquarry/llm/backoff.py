@@ -40,7 +40,7 @@ from docquarry.session import materialise
 
 ALPHA = 0.4
 HOT_SHARE = 1000
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_000_000
 PART_ROWS = 20_000
 MISSING_IN_ROW = 50_000
 
