@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docquarry.catalog.base import query, sql_fixed_chunks, table
@@ -12,9 +14,10 @@ from docquarry.operators.maintenance import list_indexes as index_list
 from docquarry.operators.validate import validate_lengths
 from docquarry.plans.ingest import Store, ingest
 from docquarry.session import scratch_path, spread
-from docquarry.sources.chunks import delete_chunks, scan_index, upsert_chunks, write_chunks
+from docquarry.sources.chunks import PARTITIONS, delete_chunks, scan_index, upsert_chunks, write_chunks
 from docquarry.sources.files import file_manifest, read_documents
 from docquarry.sources.registry import read_registry
+from docquarry.sources.tables import create_table, drop_partitions, insert_chunks, list_partitions
 
 
 def fixed(spark, folder, *columns):
@@ -50,6 +53,51 @@ def chunk_recursive(spark, folder):
     return chunking.chunk_recursive(documents)
 
 
+# What the splitter strips from the ends of a chunk.
+SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"""
+SELECT doc_id, 0::bigint AS n_long, md5(body) AS cover
+FROM (SELECT doc_id, regexp_replace(text, '{SPACES}', '', 'g') AS body FROM documents) WHERE body <> ''
+""")
+def chunk_table_function(spark, folder):
+    """The recursive splitter as a table function in SQL, without overlap: all chunks of a document hold its whole text."""
+    chunking.register_chunker(spark)
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    chunks = spark.sql(
+        "SELECT d.doc_id, c.chunk_pos, c.content FROM {documents} d, LATERAL recursive_chunks(d.text, 100, 0) c", documents=documents
+    )
+    held = chunks.groupBy("doc_id").agg(
+        F.count_if(F.length("content") > 100).alias("n_long"), F.array_sort(F.collect_list(F.struct("chunk_pos", "content"))).alias("parts")
+    )
+    whole = F.array_join(F.transform("parts", lambda p: p["content"]), "")
+    return held.select("doc_id", "n_long", F.md5(F.regexp_replace(whole, SPACES, "")).alias("cover"))
+
+
+@query(f"""
+WITH {CHUNKS_SQL}
+SELECT source AS collection, lang AS partition_name, count(*) AS n_chunks, sum(length(content))::bigint AS n_chars
+FROM chunk WHERE source <> (SELECT min(source) FROM documents) GROUP BY ALL
+""")
+def catalog_partitions(spark, folder):
+    """Chunk table in the catalog: created, filled, one collection dropped by DDL, the others listed by the catalog and counted."""
+    rows = fixed(spark, folder, "source", "lang").select(
+        F.col("source").alias("collection"), F.col("lang").alias("partition_name"), F.col("doc_id").alias("file_id"),
+        "chunk_pos", "content", chunk_key("source", "lang", "doc_id", "chunk_pos").alias("chunk_id"),
+    )
+    name = f"chunks_{uuid.uuid4().hex}"
+    create_table(spark, name, scratch_path(spark, "catalog-chunks"))
+    insert_chunks(rows, name)
+    first = table(spark, folder, "documents").agg(F.min("source")).first()[0]
+    if first is not None:
+        drop_partitions(spark, name, first)
+    counts = spark.table(name).groupBy(*PARTITIONS).agg(
+        F.count("*").alias("n_chunks"), F.sum(F.length("content")).cast("long").alias("n_chars")
+    )
+    return list_partitions(spark, name).join(counts, PARTITIONS)
+
+
 @query(f"""
 WITH {CHUNKS_SQL}
 SELECT source AS collection, lang AS partition_name, count(*) AS n_chunks, count(*) AS n_keys FROM chunk GROUP BY ALL

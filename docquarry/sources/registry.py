@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators.maintenance import insert_if_absent
@@ -51,6 +51,6 @@ def add_absent(df: DataFrame, root: str, name: str, key: list[str]) -> int:
     existing = read_registry(df.sparkSession, root, name)
     version = [c for c in typed.columns if c not in (*key, "create_time", "update_time")] or key
     fresh = insert_if_absent(existing, typed, key, version)
-    before = existing.count()
-    fresh.write.mode("append").parquet(table_path(root, name))
-    return read_registry(df.sparkSession, root, name).count() - before
+    added = Observation()
+    fresh.observe(added, F.count("*").alias("n")).write.mode("append").parquet(table_path(root, name))
+    return added.get["n"]

@@ -146,3 +146,25 @@ def test_registry_over_jdbc(spark):
     back = read_jdbc(spark, url, "registry_user", **options, **bounds)
     assert back.rdd.getNumPartitions() == 4
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in users.collect())
+
+
+def test_catalog_table(spark, tmp_path, rows):
+    from docquarry.sources.tables import create_table, drop_partitions, drop_table, insert_chunks, list_partitions, table_exists
+
+    chunks = spark.createDataFrame(
+        [("a b", "x/1", 1, "one"), ("a b", "p+q", 2, "two"), ("it's", "100%", 3, "three"), ("c", "x", 4, "four")],
+        "collection string, partition_name string, chunk_id long, content string",
+    )
+    create_table(spark, "chunk_table", str(tmp_path / "chunks"))
+    create_table(spark, "chunk_table")
+    assert list_partitions(spark, "chunk_table").count() == 0
+    insert_chunks(chunks, "chunk_table")
+    assert rows(list_partitions(spark, "chunk_table")) == [("a b", "p+q"), ("a b", "x/1"), ("c", "x"), ("it's", "100%")]
+    insert_chunks(chunks.filter("chunk_id = 4").withColumn("content", F.lit("new")), "chunk_table", overwrite=True)
+    assert rows(spark.table("chunk_table"), "content") == [("new",), ("one",), ("three",), ("two",)]
+    assert drop_partitions(spark, "chunk_table", "a b", "p+q") == 1 and drop_partitions(spark, "chunk_table", "it's") == 1
+    assert drop_partitions(spark, "chunk_table", "unknown") == 0
+    assert rows(list_partitions(spark, "chunk_table")) == [("a b", "x/1"), ("c", "x")]
+    assert rows(spark.table("chunk_table"), "content") == [("new",), ("one",)]
+    drop_table(spark, "chunk_table")
+    assert not table_exists(spark, "chunk_table")
