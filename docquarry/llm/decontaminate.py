@@ -8,11 +8,14 @@ texts are laid on each other and compared word by word; the stretch with the bes
 word counts 1, another word costs ``penalty``) is the overlap, and it counts when it has enough
 matching words. With a penalty of 3 an overlap holds fewer than one replaced word in four.
 
+Items too short for every mask are hashed as whole word sequences, and documents are hashed at those lengths
+too where such items exist; an item of less than ``min_matched`` words must stand in a document as it is.
+
 The benchmark's hashes are broadcast when counted and found small, else joined by a shuffle. What
 leaves a task is one row per document, item and shift.
 
-Defined results: null and blank texts have no words; items and documents shorter than all masks have
-no seeds and are never reported; repeated rows are reported once; rows without id are never reported;
+Defined results: null and blank texts have no words; items of fewer than ``min_item_words`` words name no
+passage and are never reported; repeated rows are reported once; rows without id are never reported;
 empty tables give an empty result; words are compared in lower case (A-Z).
 """
 
@@ -33,27 +36,30 @@ MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 6, 7))
 
 @dataclass(frozen=True)
 class SeedRules:
+    """``min_matched``: matching words of an overlap, at most those of the item. ``min_item_words``: the shortest items looked for."""
+
     masks: tuple[tuple[int, ...], ...] = MASKS
     min_matched: int = 10
     penalty: int = 3
+    min_item_words: int = 5
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def seed_hashes(words: Column, rules: SeedRules) -> Column:
+def seed_hashes(words: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
     """Hashes of all masks at every word, one mask after the other per word. Past the end words are missing."""
 
     def at_each_word(hashed: Column) -> Column:
-        seeds = [lambda i, m=m, mask=mask: F.xxhash64(F.lit(m), *[F.get(hashed, i + o) for o in mask]) for m, mask in enumerate(rules.masks)]
+        seeds = [lambda i, m=m, mask=mask: F.xxhash64(F.lit(m), *[F.get(hashed, i + o) for o in mask]) for m, mask in enumerate(masks)]
         return F.flatten(F.transform(hashed, lambda _, i: F.array(*[seed(i) for seed in seeds])))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), at_each_word)
 
 
-def _seeds(words: Column, rules: SeedRules) -> list[Column]:
-    return [F.posexplode(seed_hashes(words, rules)).alias("at", "seed")]
+def _seeds(words: Column, masks: tuple[tuple[int, ...], ...]) -> list[Column]:
+    return [F.posexplode(seed_hashes(words, masks)).alias("at", "seed")]
 
 
 def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -61,16 +67,24 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return rows.filter(F.col("item_id").isNotNull()).withColumn("length", F.size("item_words"))
 
 
+def _whole_masks(items: DataFrame, rules: SeedRules) -> tuple[tuple[int, ...], ...]:
+    """A mask without gaps for every length of items below the span of all masks (so at most a few lengths)."""
+    shortest = min(max(mask) + 1 for mask in rules.masks)
+    short = items.filter(F.col("length").between(max(1, rules.min_item_words), shortest - 1))
+    return tuple(tuple(range(r["length"])) for r in short.select("length").distinct().orderBy("length").collect())
+
+
 def seed_hits(docs: DataFrame, items: DataFrame, rules: SeedRules) -> DataFrame:
     """Distinct (id, item_id, shift, length): the item's first word would lie at word ``shift`` of the document."""
-    count = len(rules.masks)
-    spans = F.array(*[F.lit(max(mask) + 1) for mask in rules.masks])
-    known = items.select("item_id", "length", *_seeds(F.col("item_words"), rules))
+    masks = rules.masks + _whole_masks(items, rules)
+    count = len(masks)
+    span = F.get(F.array(*[F.lit(max(mask) + 1) for mask in masks]), F.col("mask"))
+    known = items.select("item_id", "length", *_seeds(F.col("item_words"), masks))
     known = known.select(
         "item_id", "length", "seed", F.floor(F.col("at") / count).cast("int").alias("item_at"), (F.col("at") % count).alias("mask")
-    ).filter(F.col("item_at") + F.get(spans, F.col("mask")) <= F.col("length")).drop("mask")
-    known = materialise(known, "item-seeds")
-    placed = docs.select("id", *_seeds(words_of(F.col("text")), rules))
+    ).filter((F.col("item_at") + span <= F.col("length")) & ((F.col("mask") < len(rules.masks)) | (span == F.col("length"))))
+    known = materialise(known.drop("mask"), "item-seeds")
+    placed = docs.select("id", *_seeds(words_of(F.col("text")), masks))
     met = placed.join(broadcast_if_small(known), "seed")
     shift = F.floor(F.col("at") / count).cast("int") - F.col("item_at")
     return met.select("id", "item_id", "length", shift.alias("shift")).distinct()
@@ -112,7 +126,8 @@ def contaminated(
     )))).alias("hit")).select("id", "hit.*")
     compared = laid.join(broadcast_if_small(items.select("item_id", "item_words")), "item_id")
     same = F.zip_with("under", "item_words", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    stretch = compared.select("id", "item_id", "shift", _best_stretch(same, rules).alias("s")).filter(F.col("s.matched") >= rules.min_matched)
+    needed = F.least(F.lit(rules.min_matched), F.size("item_words"))
+    stretch = compared.select("id", "item_id", "shift", needed.alias("needed"), _best_stretch(same, rules).alias("s")).filter("s.matched >= needed")
     best = F.max(F.struct(
         F.col("s.matched").alias("n_matched"), (-F.col("s.span")).alias("span"), (-F.col("shift") - F.col("s.first")).alias("start")
     )).alias("best")

@@ -174,6 +174,8 @@ b AS (SELECT item_id, {SQL_WORDS.format(text=_LOWER)} AS v FROM benchmark),
 hits AS (
   SELECT DISTINCT doc_id, item_id, x.i - y.i AS shift FROM ({_seed_sql('doc_id', 'w', 'd', False)}) x
   JOIN ({_seed_sql('item_id', 'v', 'b', True)}) y USING (mask, seed)
+  UNION SELECT doc_id, item_id, i - 1 FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)
+  JOIN (SELECT * FROM b WHERE len(v) BETWEEN 5 AND 7) s ON w[i : i + len(v) - 1] = v
 ), same AS (
   SELECT doc_id, item_id, shift, j, CASE WHEN shift + j >= 1 AND w[shift + j] = v[j] THEN 1 ELSE 0 END AS hit
   FROM (SELECT doc_id, item_id, shift, w, v, unnest(range(1, len(v) + 1)) AS j FROM hits JOIN d USING (doc_id) JOIN b USING (item_id))
@@ -188,7 +190,7 @@ hits AS (
   FROM edges e JOIN edges s ON e.doc_id = s.doc_id AND e.item_id = s.item_id AND e.shift = s.shift AND s.j < e.j
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, span, shift + first) AS best
-  FROM stretch WHERE rank = 1 AND matched >= 10
+  FROM stretch JOIN (SELECT item_id, max(len(v)) AS n FROM b GROUP BY item_id) USING (item_id) WHERE rank = 1 AND matched >= least(10, n)
 )
 SELECT doc_id, item_id, matched::bigint AS n_matched, span::bigint AS n_span, (shift + first)::bigint AS start FROM ranked WHERE best = 1
 """)
