@@ -1,8 +1,9 @@
 """Secret scan by inferred grammars.
 
 Credentials that fixed patterns find with certainty are labelled examples. Their characters are mapped
-to a few classes, and for every kind of credential a prefix tree with counts is built from a bounded
-sample of distinct examples. States whose outgoing and ending frequencies do not differ significantly
+to a few classes. A bounded sample of distinct examples is grouped by form, since one key name stands before
+many formats: alphabet, signs between, leading word, and length where many examples have it. For every form a
+prefix tree with counts is built. States whose outgoing and ending frequencies do not differ significantly
 (Hoeffding bound, down to all common descendants) are merged, breadth first, into a probabilistic
 automaton: the grammar of the format. Every other candidate (a run of credential characters of enough
 length, or a part of it between such examples) is scored by the logarithm of its likelihood under the
@@ -26,7 +27,7 @@ from dataclasses import dataclass, field
 from math import log, log2, sqrt
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +52,12 @@ _ORDINARY = re.compile(r"[+/=_.-]*(?:(?:[a-z]++|[A-Z][a-z]++|[A-Z]++|[0-9]++)(?:
 class SecretRules:
     """``max_labels``: distinct examples per kind an automaton is inferred from (those with the smallest hashes).
 
+    ``min_form``: examples that make a form of their own; rarer ones are put together with the rest of their kind.
     ``alpha``: error level of the merge test. ``min_bits``, ``min_bits_per_char``: required log2 ratio to the background.
     """
 
     max_labels: int = 1000
+    min_form: int = 10
     alpha: float = 0.05
     min_length: int = 12
     min_bits: float = 24.0
@@ -62,7 +65,8 @@ class SecretRules:
 
 
 _CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"),
-            **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U"), **dict.fromkeys("+/=", "+"), **dict.fromkeys("_-", "-"), ".": "."}
+            **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U"),
+            **dict.fromkeys("+/=", "+"), **dict.fromkeys("_-", "-"), ".": "."}
 _TO_CLASS = str.maketrans(_CLASSES)
 SYMBOLS = sorted(set(_CLASSES.values()))
 _UNSEEN = 0.01  # pseudo-count of symbols a state has not seen
@@ -200,6 +204,8 @@ class Automaton:
 
 @dataclass(frozen=True)
 class SecretModel:
+    """Automata, one per form, and the background."""
+
     automata: tuple[Automaton, ...]
     background: dict[str, int]  # counts of class pairs; "^" begins and "$" ends a candidate
 
@@ -220,7 +226,7 @@ class SecretModel:
 
     def is_credential(self, run: str, rules: SecretRules) -> bool:
         word = run.translate(_TO_CLASS)
-        if not self.automata or "d" not in word or not ({"h", "l", "U"} & set(word)):
+        if not self.automata or "d" not in word or not ({"h", "l", "H", "U"} & set(word)):
             return False
         gain = self.gain(word)
         return gain >= rules.min_bits and gain >= rules.min_bits_per_char * len(word)
@@ -252,19 +258,67 @@ def scanned(text: Column, rules: SecretRules = SecretRules()) -> Column:
     return scan(text)
 
 
+def form_of(secret: str) -> tuple:
+    """Alphabet, signs between letters and digits, and the leading word before the first sign, for credentials of one make."""
+    classes = set(secret.translate(_TO_CLASS))
+    lower = "all" if "l" in classes else "hex" if "h" in classes else ""
+    upper = "all" if "U" in classes else "hex" if "H" in classes else ""
+    lead = re.match(r"[A-Za-z]{2,8}(?=[_-])", secret)
+    return lower, upper, "d" in classes, "".join(sorted(classes - set("dhlHU"))), lead[0] if lead else ""
+
+
+def by_form(secrets: Iterable[str], least: int) -> list[list[str]]:
+    """Examples of one kind grouped by form, then by length where ``least`` of a form have it; rarer ones make one group."""
+    forms: dict[tuple, list[str]] = {}
+    for secret in secrets:
+        forms.setdefault(form_of(secret), []).append(secret)
+    groups, rest = [], []
+    for form in sorted(forms):
+        lengths = Counter(map(len, forms[form]))
+        own = sorted(n for n, count in lengths.items() if count >= least)
+        groups += [[s for s in forms[form] if len(s) == n] for n in own]
+        others = [s for s in forms[form] if len(s) not in own]
+        if len(others) >= least:
+            groups.append(others)
+        else:
+            rest += others
+    return groups + [rest] if rest else groups
+
+
+def label_sample(found: DataFrame, rules: SecretRules = SecretRules()) -> dict[int, list[str]]:
+    """Per kind the ``max_labels`` distinct labelled secrets with the smallest hashes.
+
+    The share of the hashes that holds them is estimated from the number of secrets, ten deviations above what is needed,
+    so a little more than the sample comes to the driver however many tasks there are, and no task ranks a kind.
+    """
+    labels = found.select(F.explode("base").alias("b")).select("b.kind", "b.secret").distinct()
+    labels = materialise(labels.withColumn("hash", F.xxhash64("secret")), "secret-labels")
+    sizes = {r["kind"]: r["n"] for r in labels.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    wanted, sample = rules.max_labels + 10 * sqrt(rules.max_labels) + 100, {}
+    while sizes:
+        share = {kind: min(1.0, wanted / n) for kind, n in sizes.items()}
+        near = F.lit(False)
+        for kind, part in share.items():
+            limit = (1 << 63) - 1 if part >= 1 else int(part * 2.0**64) - (1 << 63)
+            near = near | ((F.col("kind") == kind) & (F.col("hash") <= limit))
+        for kind, secret, key in labels.filter(near).select("kind", "secret", "hash").collect():
+            sample.setdefault(kind, []).append((key, secret))
+        short = {kind for kind in sizes if share[kind] < 1 and len(sample.get(kind, ())) < rules.max_labels}
+        for kind in short:
+            sample.pop(kind, None)
+        sizes, wanted = {kind: sizes[kind] for kind in short}, 2 * wanted
+    return {kind: [s for _, s in sorted(found)[: rules.max_labels]] for kind, found in sample.items()}
+
+
 def learn(found: DataFrame, rules: SecretRules = SecretRules()) -> SecretModel:
     """Automata from a bounded sample of the labelled secrets, the background from all distinct candidates.
 
-    ``found`` has the columns ``base`` and ``rest`` of ``scanned``. To the driver come ``max_labels`` strings per kind
+    ``found`` has the columns ``base`` and ``rest`` of ``scanned``. To the driver come a bounded number of strings per kind
     and one count per pair of classes.
     """
-    labels = found.select(F.explode("base").alias("b")).select("b.kind", "b.secret").distinct()
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("secret"), "secret")
-    sample = labels.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rules.max_labels)
-    words: dict[int, list[str]] = {}
-    for kind, secret in sample.select("kind", "secret").orderBy("kind", "rank").collect():
-        words.setdefault(kind, []).append(secret.translate(_TO_CLASS))
-    automata = tuple(Automaton.infer(words[kind], rules.alpha) for kind in sorted(words))
+    sample = label_sample(found, rules)
+    groups = [group for kind in sorted(sample) for group in by_form(sample[kind], rules.min_form)]
+    automata = tuple(Automaton.infer([s.translate(_TO_CLASS) for s in group], rules.alpha) for group in groups)
 
     runs = materialise(found.select(F.explode("rest.run").alias("run")).distinct(), "secret-runs")
 
