@@ -88,6 +88,30 @@ def test_replaced_words_are_tolerated(spark):
     assert all(50 <= r.start <= 75 for r in got)
 
 
+def test_short_items_stand_whole_or_are_no_leak(spark):
+    random.seed(4)
+    pool = [f"v{i}" for i in range(300)]
+    items = {n: [f"item{n}word{k}" for k in range(n)] for n in (1, 4, 5, 6, 7, 8, 9, 10)}
+    items[20] = items[6] + ["longer"] * 3 + items[7]
+    rows, want = [], set()
+    for i in range(120):
+        body = [random.choice(pool) for _ in range(random.choice([0, 3, 60]))]
+        n = random.choice(sorted(items))
+        item, at = list(items[n]), random.choice([0, len(body)])
+        if i % 3 == 0 and n != 20:
+            item[random.randrange(n)] = "other"
+        else:
+            want |= {(i, n)} if n >= 5 else set()
+        body[at:at] = [w.upper() for w in item]
+        rows.append((i, "  ".join(body)))
+        text = f" {' '.join(body).lower()} "
+        want |= {(i, k) for k, w in items.items() if 5 <= k <= 10 and f" {' '.join(w)} " in text}
+    bench = table(spark, [(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    got = decontaminate.contaminated(table(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {n for _, n in want} == {5, 6, 7, 8, 9, 10, 20}
+    assert all(r.n_matched == r.item_id == r.n_span for r in got if r.item_id <= 10)
+
+
 # --- WARC
 
 
@@ -358,6 +382,52 @@ def test_formats_on_held_out_credentials(spark):
     assert found >= 360 and wrong == 0
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def made(form):
+    """An invented credential of the form: a code of letters and digits, a prefixed key, upper-case groups, or three parts of a token."""
+    def draw(letters, n):
+        return "".join(random.choice(letters) for _ in range(n))
+
+    if form == "prefixed":
+        return "xkp_" + draw(BASE62, 36)
+    if form == "live":
+        return "sk_live_" + draw(BASE62, 24)
+    if form == "groups":
+        return "-".join(draw("0123456789ABCDEF", n) for n in (8, 4, 4, 4, 12))
+    return ".".join(["eyJ" + draw(BASE62, 33), "eyJ" + draw(BASE62 + "_-", 60), draw(BASE62 + "_-", 43)])
+
+
+def test_forms_are_learned_apart(spark):
+    """Labels of four forms under one key name beside many of hexadecimal digits; held-out ones of each form are found in prose."""
+    random.seed(11)
+    forms = ("prefixed", "live", "groups", "parts")
+    plain = [
+        "internationally", "understanding,", "straightforward", "10.200.30.4", "mail-2024.example.com", "chapter-12-section-3", "2024-05-01T10:00:00",
+        "see/docs/v2/index.html", "ISBN-978-3-16-148410-0", "B2B-Marketing-2025", "Release_2024_Notes.pdf", "covid-19-vaccination", "1234567890123",
+        "iPhone15ProMax256GB", "https://example.com/a/b2/page3.html", "ABC-2024-0001-REV2", "user_name_42@host", "MP3-Player-Zubehoer-4GB",
+    ]
+    label = ["".join(random.choice("0123456789abcdef") for _ in range(40)) for _ in range(400)] + [made(f) for f in forms for _ in range(60)]
+    rows = [(i, f"token = {s} " + " ".join(random.choices(plain, k=30))) for i, s in enumerate(label)]
+    held = [(1000 + i, made(forms[i % 4])) for i in range(400)]
+    rows += [(i, f"here is {s} and " + " ".join(random.choices(plain, k=30))) for i, s in held]
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == 3} for r in secrets.secret_spans(table(spark, rows)).collect()}
+    right = {i: (8, 8 + len(s)) for i, s in held}
+    hits = {f: sum(right[i] in got[i] for i, _ in held if forms[i % 4] == f) for f in forms}
+    spans = sum(map(len, got.values()))
+    assert min(hits.values()) >= 90, hits
+    assert sum(hits.values()) >= 0.95 * spans, (hits, spans)
+
+
+def test_label_sample_is_the_smallest_hashes(spark):
+    rows = [(i, " ".join(f"token = secretvalue{i * 7 + k % 5:08d}" for k in range(8))) for i in range(700)]
+    found = table(spark, rows).select(secrets.scanned(F.col("text")).alias("f")).select("f.*")
+    every = found.select(F.explode("base.secret").alias("s")).distinct().select(F.xxhash64("s").alias("h"), "s")
+    want = [r.s for r in every.orderBy("h", "s").limit(50).collect()]
+    assert secrets.label_sample(found, secrets.SecretRules(max_labels=50)) == {0: want}
+
+
 def test_merging_finds_a_loop():
     random.seed(3)
     machine = secrets.Automaton.infer(["dh" * (1 + next(k for k in range(99) if random.random() < 0.3)) for _ in range(500)], 0.05)
