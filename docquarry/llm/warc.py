@@ -4,11 +4,13 @@ Every response record yields two records. The metadata record carries the source
 headers, its digests, the title and the links as JSON; the conversion record carries the page's text,
 one line per block. Both name the response in WARC-Refers-To and keep its target, date and payload
 digest, and have a digest of their own block. Record ids are derived from the source id and the kind, so
-a repeated run gives the same records.
+a repeated run gives the same records; a response's own id follows from target, date and payload. Digests are
+of the bytes as stored; title, links and text are read from the body without its transfer and content encoding.
 
 Defined results: null or empty pages become responses without payload; a null target is left out;
 records of other types yield nothing; a record that cannot be read (no WARC header, wrong length, no
-blank line) yields one row of kind ``rejected`` with the reason; repeated records are derived each.
+blank line) yields one row of kind ``rejected`` with the reason; repeated records are derived each; a body that is
+not encoded as its headers say, or in an unknown way, is read as it is.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import hashlib
 import json
 import re
 import uuid
+import zlib
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +31,16 @@ from pyspark.sql import types as T
 from docquarry.llm.html_text import blocks_of
 
 VERSION = "WARC/1.0"
-SPLIT = "\r\n\r\n" + VERSION
+SERIES = "WARC/1."  # of versions that are read
+SPLIT = "\r\n\r\n" + SERIES
 UNDATED = "1970-01-01T00:00:00Z"
-_LINK = re.compile(r"""<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+# The first href or src of a tag, past other attributes and their values.
+_LINK = re.compile(
+    r"""<(a|link|img|script|iframe)(?:[\s/]+(?!(?:href|src)[\s=])[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?)*+"""
+    r"""[\s/]+(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""",
+    re.IGNORECASE,
+)
+_NO_TAGS = re.compile(r"<!--.*?(?:-->|\Z)|(<(script|style|textarea)\b[^>]*>).*?(?=</\2|\Z)", re.IGNORECASE | re.DOTALL)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
 
 
@@ -52,7 +63,8 @@ def response_record(url: str | None, html: str | None, date: str | None) -> byte
     payload = (html or "").encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     digest = sha1_digest(payload)
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", url or "", digest)), ("WARC-Date", date or UNDATED)]
+    own_id = record_id("response", url or "", *([date] if date else []), digest)
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", own_id), ("WARC-Date", date or UNDATED)]
     if url is not None:
         headers.append(("WARC-Target-URI", url))
     headers += [("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
@@ -85,6 +97,55 @@ def parse_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return headers, block[: int(length)]
 
 
+def _unchunked(data: bytes) -> bytes:
+    """The body that was sent in chunks; data without a chunk at its start is none."""
+    parts, at = [], 0
+    while at < len(data):
+        end = data.find(b"\r\n", at)
+        size = data[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return b"".join(parts) if parts else data
+        length = int(size, 16)
+        if not length:
+            break
+        parts.append(data[end + 2 : end + 2 + length])
+        at = end + 2 + length + 2
+    return b"".join(parts)
+
+
+def _inflated(data: bytes) -> bytes:
+    """Contents of gzip members or a zlib or raw deflate stream, as far as they go; other data as it is."""
+    for wbits in (47, -15):
+        parts, rest = [], data
+        try:
+            while rest:
+                stream = zlib.decompressobj(wbits)
+                parts += [stream.decompress(rest), stream.flush()]
+                rest = stream.unused_data if wbits > 0 else b""
+        except zlib.error:
+            if not any(parts):
+                continue
+        return b"".join(parts)
+    return data
+
+
+def body_of(payload: bytes, http: list[tuple[str, str]]) -> bytes:
+    """The payload without the encodings that its HTTP headers name."""
+    named = {n.lower(): v.lower() for n, v in reversed(http)}
+    if "chunked" in named.get("transfer-encoding", ""):
+        payload = _unchunked(payload)
+    for coding in reversed(named.get("content-encoding", "").split(",")):
+        if coding.strip() in ("gzip", "x-gzip", "deflate"):
+            payload = _inflated(payload)
+    return payload
+
+
+def links_of(html: str) -> list[dict[str, str]]:
+    """Targets of the tags outside comments and scripts, character references decoded."""
+    tags = _NO_TAGS.sub(r"\1", html)
+    return [{"path": f"{m[1].lower()}@/{m[2].lower()}", "url": unescape(m[3] or m[4] or m[5] or "")} for m in _LINK.finditer(tags)]
+
+
 def derive(data: bytes) -> list[tuple]:
     """(kind, record id, refers to, target, date, payload digest, block digest, block length, record, problem) per derivative."""
     try:
@@ -103,10 +164,11 @@ def derive(data: bytes) -> list[tuple]:
     status, _, lines = head.partition(b"\r\n")
     http = _header_lines(lines)
     charset = next((m[1] for n, v in http if n.lower() == "content-type" and (m := re.search(r"charset=[\"']?([\w-]+)", v, re.I))), "utf-8")
+    body = body_of(payload, http)
     try:
-        html = payload.decode(charset, "replace")
+        html = body.decode(charset, "replace")
     except LookupError:
-        html = payload.decode("utf-8", "replace")
+        html = body.decode("utf-8", "replace")
     digest = named.get("warc-payload-digest") or sha1_digest(payload)
     target, date = named.get("warc-target-uri"), named.get("warc-date")
     title = _TITLE.search(html)
@@ -119,7 +181,7 @@ def derive(data: bytes) -> list[tuple]:
                     "Status-Line": status.decode("utf-8", "replace"), "Headers": [list(h) for h in http], "Payload-Length": len(payload),
                     "HTML-Metadata": {
                         "Title": " ".join(title[1].split()) if title else None,
-                        "Links": [{"path": f"{m[1].lower()}@/{m[2].lower()}", "url": m[3] or m[4] or m[5] or ""} for m in _LINK.finditer(html)],
+                        "Links": links_of(html),
                     },
                 },
             },
@@ -173,10 +235,10 @@ def write_records(records: DataFrame, path: str, record: str = "record", compres
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, cut by Spark's text reader where a version line follows a blank line.
+    """Records of WARC files of any version of the series, cut by Spark's text reader where a version line follows a blank line.
 
     A block that holds such a line itself is cut too; its parts come out as rejected, not as wrong records.
     """
     cut = spark.read.option("lineSep", SPLIT).text(path).filter("value <> ''")
-    whole = F.when(F.col("value").startswith("WARC/"), F.col("value")).otherwise(F.concat(F.lit(VERSION), F.col("value")))
+    whole = F.when(F.col("value").startswith("WARC/"), F.col("value")).otherwise(F.concat(F.lit(SERIES), F.col("value")))
     return cut.select(whole.cast("binary").alias("record"))

@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names, for every operator."""
 
+import gzip
 import hashlib
 import random
+import zlib
 
 import public_tokenizers
 import pytest
@@ -66,6 +68,52 @@ def test_warc(spark):
     assert [r.problem for r in warc.derivatives(bad).collect()] == ["no WARC version", "wrong length"]
 
 
+def crawled(body, *http, version="WARC/1.1", date="2024-05-01T00:00:00Z"):
+    head = "".join(f"{h}\r\n" for h in ("HTTP/1.1 200 OK", "Content-Type: text/html", *http)).encode()
+    block = head + b"\r\n" + body
+    lines = f"WARC-Type: response\r\nWARC-Record-ID: <urn:x:{len(block)}>\r\nWARC-Date: {date}\r\nContent-Length: {len(block)}\r\n"
+    return f"{version}\r\n{lines}\r\n".encode() + block
+
+
+def conversion(record):
+    return {d[0]: warc.parse_record(d[8])[1].decode() for d in warc.derive(record)}
+
+
+def test_warc_files_of_both_versions(spark, tmp_path):
+    records = [crawled(f"<p>text {i * 'x'}".encode(), version=f"WARC/1.{i % 2}") for i in range(5)]
+    (tmp_path / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in records))
+    again = warc.read_records(spark, str(tmp_path))
+    assert sorted(bytes(r.record).rstrip(b"\r\n") for r in again.collect()) == sorted(records)
+    got = warc.derivatives(again).collect()
+    assert len(got) == 10 and {r.kind for r in got} == {"metadata", "conversion"}
+
+
+def test_warc_bodies_are_decoded():
+    page = b"<title>T</title><p>One paragraph, with words.</p>" * 3
+    chunked = b"".join(b"%x;n=1\r\n%s\r\n" % (len(page[i : i + 20]), page[i : i + 20]) for i in range(0, len(page), 20)) + b"0\r\n\r\n"
+    want = conversion(crawled(page))["conversion"]
+    assert want.count("One paragraph") == 3
+    raw = zlib.compressobj(wbits=-15)
+    for body, http in (
+        (chunked, ["Transfer-Encoding: chunked"]), (gzip.compress(page), ["Content-Encoding: gzip"]), (zlib.compress(page), ["Content-Encoding: deflate"]),
+        (raw.compress(page) + raw.flush(), ["Content-Encoding: deflate"]), (gzip.compress(page[:50]) + gzip.compress(page[50:]), ["Content-Encoding: gzip"]),
+        (page, ["Transfer-Encoding: chunked", "Content-Encoding: gzip"]), (page, ["Content-Encoding: br"]),
+    ):
+        assert conversion(crawled(body, *http))["conversion"] == want, http
+
+
+def test_warc_links_and_ids():
+    page = (
+        '<a data-href="no" title="an href=no" href="/a?x=1&amp;y=2">a</a><!-- <a href="no"> --><script src=s.js>"<a href=no>"</script>'
+        "<img alt='5\" screen' src='i.png'/><a title=don't href=b>b</a><abbr href=no><a name=x>"
+    )
+    assert warc.links_of(page) == [
+        {"path": "a@/href", "url": "/a?x=1&y=2"}, {"path": "script@/src", "url": "s.js"}, {"path": "img@/src", "url": "i.png"}, {"path": "a@/href", "url": "b"},
+    ]
+    ids = [dict(warc.parse_record(warc.response_record("http://x", "same", d))[0])["WARC-Record-ID"] for d in ("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", None)]
+    assert len(set(ids)) == 3
+
+
 def test_token_counts(odd, none):
     got = document_token_counts(odd, PATH, 50256).collect()
     assert len(got) == 9 and all(r.closed for r in got)
