@@ -203,7 +203,9 @@ def op2_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 def op10_secret_grammar(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of credentials in every document: those of the base patterns and those the inferred formats add."""
     spans = secrets.secret_spans(table(spark, folder, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    # A second parameter of the function given to filter() would be the position in the array, not a kind.
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    count = [number(kind).alias(f"n_{name}") for kind, name in enumerate(secrets.KINDS[:3])]
     return spans.select(
         "doc_id", *count, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
     )
