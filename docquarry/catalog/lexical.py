@@ -147,10 +147,12 @@ def han_words(spark, folder):
     dictionary = known.groupBy("word").agg(F.count("*").alias("n"))
     documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
     unspaced = documents.select("doc_id", F.replace(written("text"), F.lit(" "), F.lit("")).alias("text"))
-    words = segment_words(unspaced, "text", dictionary).select("doc_id", F.array_remove(F.split("text", " "), "").alias("words"))
+    # Nothing but Han characters is left, so one blank stands between two words; counting blanks spares a list of the words.
+    words = segment_words(unspaced, "text", dictionary).select("doc_id", F.trim("text").alias("words"))
+    blanks = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
     return words.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), F.size(F.filter("words", lambda w: F.length(w) > 1)).cast("long").alias("n_known"),
-        F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"),
+        "doc_id", F.when(F.col("words") == "", 0).otherwise(blanks + 1).cast("long").alias("n_words"),
+        F.regexp_count("words", F.lit("[^ ]{2,}")).cast("long").alias("n_known"), F.md5(F.col("words").cast("binary")).alias("words_md5"),
     )
 
 

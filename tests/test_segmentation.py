@@ -36,6 +36,28 @@ def test_best_path_equals_all_ways():
             assert "".join(got) == run and cost(got)[:2] == min(map(cost, all_cuts(run)))[:2]
 
 
+@pytest.mark.parametrize("longest, slice_chars", [(1, 10), (7, 1), (300, 100_000)])
+def test_stretches_side_by_side_equal_one_path(monkeypatch, longest, slice_chars):
+    """Many texts cut at once have the words that the path through every single run has."""
+    monkeypatch.setattr(segmentation, "_LONGEST", longest)
+    monkeypatch.setattr(segmentation, "_SLICE_CHARS", slice_chars)
+    random.seed(2)
+    for size in (0, 6, 14):
+        words = ["".join(random.choice(LETTERS + "x") for _ in range(random.randint(1, 5))) for _ in range(size)]
+        book = Dictionary([(w, random.randint(1, 50)) for w in dict.fromkeys(words)])
+        runs = [["".join(random.choice(LETTERS + "日") for _ in range(random.randint(1, 30))) for _ in range(3)] for _ in range(40)]
+
+        def one_by_one(run):
+            ends, at = book._cut(run), 0
+            while at < len(run):
+                yield run[at : ends[at]]
+                at = ends[at]
+
+        want = [f" {' '.join(one_by_one(a))} x1 {' '.join(one_by_one(b))} \n {' '.join(one_by_one(c))} " for a, b, c in runs]
+        got = book.spaced_all([None, "", *[f"{a}x1{b}\n{c}" for a, b, c in runs], "no Han"])
+        assert got == [None, "", *want, "no Han"]
+
+
 def test_search_by_words(spark):
     book = spark.createDataFrame([("北京", 50), ("天气", 40), ("今天", 60), ("北京大学", 20), ("大学", 30)], "word string, n long")
     docs = spark.createDataFrame([(1, "今天天气很好"), (2, "北京大学 in 北京"), (3, None), (4, "大学天")], "doc_id long, text string")
