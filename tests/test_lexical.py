@@ -145,6 +145,22 @@ def test_search_beyond_the_bounds(spark, monkeypatch):
     assert found(lexical.bm25_search(queries, lexical.index_of(docs, "doc_id", "text"), 3)) == brute_bm25(DOCS, QUERIES, 3)
 
 
+def test_many_weights_are_scanned_for_in_groups_of_queries(spark, monkeypatch):
+    """Weights beyond a broadcast join, and beyond one scan, still shuffle no row per query and posting."""
+    def refused(*_):
+        raise AssertionError("joined")
+
+    want = brute_bm25(DOCS, QUERIES, 4)
+    monkeypatch.setattr(lexical, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(lexical, "_join_scores", refused)
+    for most, terms in ((2_000_000, 1), (5, 3)):
+        monkeypatch.setattr(lexical, "SCAN_MAX_WEIGHTS", most)
+        monkeypatch.setattr(lexical, "_SLICE_TERMS", terms)
+        docs, queries = frames(spark)
+        got = lexical.bm25_search(queries, lexical.index_of(docs, "doc_id", "text"), 4)
+        assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got.collect()) == want
+
+
 def test_small_score_blocks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "_BLOCK_VALUES", 1)
     corpus = random_corpus(2)
