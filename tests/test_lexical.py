@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from dataclasses import replace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,16 @@ def test_a_change_that_broke_off_is_made_whole_by_repeating_it(spark, tmp_path,
     monkeypatch.undo()
     index = lexical.write_index(docs, "doc_id", "text", path, mode="append")
     assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(DOCS, QUERIES, 3)
+
+
+def test_posting_files_are_sorted_by_term(spark, tmp_path):
+    """Also with more folders in a task than it keeps open; the setting is put back."""
+    docs, _ = frames(spark, *random_corpus())
+    before = spark.conf.get(lexical._OPEN_FILES)
+    lexical.write_index(docs, "doc_id", "text", str(tmp_path / "index"))
+    assert spark.conf.get(lexical._OPEN_FILES) == before
+    files = list((tmp_path / "index" / "postings").rglob("*.parquet"))
+    assert len({f.parent.name for f in files}) == lexical.BUCKETS
+    for file in files:
+        terms = pq.read_table(file).column("term").to_pylist()
+        assert terms == sorted(terms)
