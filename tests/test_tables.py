@@ -168,3 +168,23 @@ def test_catalog_table(spark, tmp_path, rows):
     assert rows(spark.table("chunk_table"), "content") == [("new",), ("one",)]
     drop_table(spark, "chunk_table")
     assert not table_exists(spark, "chunk_table")
+
+
+def test_new_files_leave_what_is_stored_alone(spark, tmp_path):
+    """Chunks of files the table does not hold are added; the stored files of the same partition are not written again."""
+    path = str(tmp_path / "chunks")
+
+    def rows(*files):
+        values = [("c", "p", f, 10 * f + i, f"text {f} {i}") for f in files for i in range(2)]
+        return spark.createDataFrame(values, "collection string, partition_name string, file_id long, chunk_id long, content string")
+
+    def stored():
+        return {f.name for f in (tmp_path / "chunks").rglob("*.parquet")}
+
+    store.replace_files(rows(1, 2), path)
+    before = stored()
+    store.replace_files(rows(3), path)
+    assert before < stored()
+    store.replace_files(rows(3), path)
+    held = store.scan_index(spark, path).groupBy("file_id").count().collect()
+    assert sorted((r.file_id, r["count"]) for r in held) == [(1, 2), (2, 2), (3, 2)]
