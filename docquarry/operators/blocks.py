@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ BLOCK_TYPES = {
 TEXT_LAYER_CHARS = 100
 
 _BLOCKS = "array<struct<block_type:string, text:string>>"
+# Bytes of markup that are Python objects at a time (one page at least), whatever the length of an Arrow batch.
+SLICE_BYTES = 2_000_000
 _MARKUP = r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<[^>]*>"
 
 
@@ -70,15 +74,37 @@ class _BlockReader(HTMLParser):
         return self.blocks
 
 
+def _read_pages(pages: list[str | None]) -> pa.Array:
+    """Blocks of some pages as one Arrow array."""
+    found = [_BlockReader().read(html or "") for html in pages]
+    flat = [block for blocks in found for block in blocks]
+    parts = [pa.array([block[i] for block in flat], pa.string()) for i in (0, 1)]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["block_type", "text"]))
+
+
+def _page_slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive pages of a batch with about ``SLICE_BYTES`` of markup."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch), 0), dtype=np.int64))
+    first = done = 0
+    while first < len(ends):
+        stop = max(int(np.searchsorted(ends, done + SLICE_BYTES, side="right")), first + 1)
+        yield batch.slice(first, stop - first)
+        first, done = stop, int(ends[stop - 1])
+
+
+def read_batch(batch: pa.Array) -> pa.Array:
+    """Blocks of a batch of pages. Each slice becomes Arrow before the next: the objects of a batch never lie there together."""
+    return pa.concat_arrays([_read_pages([]), *(_read_pages(part.to_pylist()) for part in _page_slices(batch))])
+
+
 def page_blocks(html: str | Column) -> Column:
     """Blocks of a page as an array in document order. Only the markup goes to Python."""
 
-    @F.pandas_udf(_BLOCKS)
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_BLOCKS)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(
-                lambda h: [{"block_type": t, "text": s} for t, s in _BlockReader().read(h or "")]
-            )
+            yield read_batch(batch)
 
     return read(F.col(html) if isinstance(html, str) else html)
 

@@ -1,5 +1,7 @@
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,19 @@ def test_page_blocks(spark):
     assert routes == {1: "txt", 2: "ocr", 3: "ocr"}
 
 
+def test_page_blocks_hold_a_slice_of_a_batch_as_objects(monkeypatch):
+    monkeypatch.setattr(blocks, "SLICE_BYTES", 50_000)
+    pages = [HTML + f"<p>page {i}</p>" * 20 for i in range(1_000)] + [None, ""]
+    batch = pa.array(pages)
+    tracemalloc.start()
+    got = blocks.read_batch(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6  # all blocks of the batch as objects take over 4 MB
+    assert len(got) == len(pages) and got[-2:].to_pylist() == [[], []]
+    assert got[432].as_py() == [{"block_type": t, "text": s} for t, s in blocks._BlockReader().read(pages[432])]
+
+
 def test_steps(spark):
     df = spark.createDataFrame([("x" * 150, 0.9), ("y", 0.1)], "text string, score double")
     got = run_steps(df, [{"min_score": None}, {"chunk_fixed": {"size": 100, "overlap": 10}}])
