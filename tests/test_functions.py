@@ -1,8 +1,11 @@
+import hashlib
 import math
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docquarry.functions import geometry, keys, names, text, vectors
+from docquarry.operators import embedding
 
 
 def one(spark, expression, **values):
@@ -115,3 +118,17 @@ def test_keys_are_stable(spark):
     keyed = df.select(keys.chunk_key("c", "p", "f", "i").alias("k"))
     assert keyed.distinct().count() == 1000
     assert keyed.subtract(df.repartition(7).select(keys.chunk_key("c", "p", "f", "i"))).count() == 0
+
+
+def test_lists_are_cut_into_bounded_slices():
+    lists = pa.array([["b", "a", "b"], None, [], ["ü", "a"], ["z"] * 3])
+    assert [list(range(5))[part] for part in text.list_slices(lists, 4)] == [[0, 1, 2], [3], [4]]
+
+
+def test_hashed_tokens_of_a_task_are_remembered_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(embedding, "KNOWN_TOKENS", 2)
+    known = {}
+    got = embedding._bucket_counts(pa.array([["a", "b", "c", "a"], None, ["b"]]), 8, False, known)
+    bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8
+    want = [[sum(bucket(t) == b for t in tokens) for b in range(8)] for tokens in (["a", "b", "c", "a"], [], ["b"])]
+    assert got.tolist() == want and len(known) <= 2

@@ -174,7 +174,7 @@ def test_page_blocks_hold_a_slice_of_a_batch_as_objects(monkeypatch):
     got = blocks.read_batch(batch)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 2e6  # all blocks of the batch as objects take over 4 MB
+    assert peak < 2e6
     assert len(got) == len(pages) and got[-2:].to_pylist() == [[], []]
     assert got[432].as_py() == [{"block_type": t, "text": s} for t, s in blocks._BlockReader().read(pages[432])]
 

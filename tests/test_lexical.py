@@ -162,6 +162,14 @@ def test_many_weights_are_scanned_for_in_groups_of_queries(spark, monkeypatch):
         assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got.collect()) == want
 
 
+def test_a_search_without_stored_index_counts_only_the_wanted_terms(spark, monkeypatch):
+    docs, queries = frames(spark)
+    index = lexical.index_of(docs, "doc_id", "text")
+    uncounted = index.forward.select("doc_id", F.raise_error(F.lit("all terms were counted")).cast("int").alias("dl"), "counts")
+    got = lexical.bm25_search(queries, replace(index, forward=uncounted), 4)
+    assert found(got) == brute_bm25(DOCS, QUERIES, 4)
+
+
 def test_small_score_blocks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "_BLOCK_VALUES", 1)
     corpus = random_corpus(2)
