@@ -117,6 +117,16 @@ def test_uploads_pair_by_key(spark, rows):
     assert rows(failed, "file_key") == [(2,)]
 
 
+def test_uploads_of_a_large_table_are_dealt_to_more_tasks(spark, rows, monkeypatch):
+    monkeypatch.setattr(maintenance, "TASK_ROWS", 10, raising=False)
+    keys = spark.range(200).select(F.col("id").alias("file_key"))
+    side = lambda name, step: keys.filter(F.col("file_key") % step == 0).withColumn(name, F.lit(name))
+    done, failed = maintenance.align_uploads(side("file_name", 1), side("file_url", 2), side("file_path", 3))
+    assert [k for k, *_ in rows(done)] == list(range(0, 200, 6)) and failed.count() == 166
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and "], 20" in plan
+
+
 def test_validation(spark):
     users = spark.createDataFrame(
         [(1, "abc", 1), (1, "ab", 1), (1, "x" * 21, 1), (1, "abcd", 2), (0, "abcd", 0), (1, None, 1), (None, "abcd", 1)],
