@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import maintenance, reports, validate
 from docquarry.schemas import CHUNK
+from docquarry.session import materialise
 from docquarry.sources import chunks as store
 from docquarry.sources import registry
 
@@ -58,6 +59,33 @@ def test_delete_leaves_rest_and_empties_partitions(spark, table, rows):
         assert rows(store.scan_index(spark, table), *COLUMNS) == [("c1", "p/1", 2, "b"), ("c1", "p2", 3, "c")]
 
 
+def test_changes_of_many_rows_leave_contents_where_they_are(spark, tmp_path, rows, monkeypatch):
+    """Several files with more rows than a bitmap covers, and a folder of null that no change names."""
+    staged, path = [], str(tmp_path / "chunks")
+    monkeypatch.setattr(store, "materialise", lambda df, *rest: staged.append(df.columns) or materialise(df, *rest))
+    wide = lambda a, b: spark.range(a, b, 1, 2).select(
+        F.lit("c").alias("collection"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("p"), F.col("id") % 2)).alias("partition_name"),
+        F.col("id").alias("chunk_id"), (F.col("id") % 100).alias("file_id"), F.col("id").cast("string").alias("content"),
+    )
+    store.write_chunks(wide(0, 100_000), path)
+    store.write_chunks(wide(100_000, 110_000), path)
+    held = {r.chunk_id: (r.partition_name, r.content) for r in wide(0, 110_000).collect()}
+    found = lambda: {r.chunk_id: (r.partition_name, r.content) for r in store.scan_index(spark, path).collect()}
+
+    sent = wide(50, 120_000).filter("partition_name = 'p1' and chunk_id % 3 = 0").withColumn("content", F.lit("new"))
+    store.upsert_chunks(sent, path)
+    held |= {i: ("p1", "new") for i in range(50, 120_000) if i % 7 and i % 2 and i % 3 == 0}
+    assert found() == held
+    store.delete_chunks(spark.range(0, 200_000).filter("id % 5 = 0 and id % 7 > 0").withColumnRenamed("id", "chunk_id"), path)
+    held = {i: x for i, x in held.items() if i % 5 or i % 7 == 0}
+    assert found() == held
+    store.replace_files(wide(1, 90).filter("chunk_id % 7 != 0").limit(30), path)
+    files = {(r.partition_name, r.file_id): r for r in wide(1, 90).filter("chunk_id % 7 != 0").limit(30).collect()}
+    held = {i: x for i, x in held.items() if (x[0], i % 100) not in files} | {r.chunk_id: (p, r.content) for (p, _), r in files.items()}
+    assert found() == held
+    assert staged and not any("content" in columns for columns in staged)
+
+
 def test_drop_and_ensure(spark, table, tmp_path, rows):
     assert store.drop_partition(spark, table, "c1", "p/1")
     assert not store.drop_partition(spark, table, "c1", "p/1")
