@@ -19,6 +19,11 @@ MAX_GROUP_ROWS = 1_000_000
 _SEGMENT = "__segment"
 
 
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 @dataclass(frozen=True)
 class Ordered:
     df: DataFrame
@@ -29,14 +34,15 @@ class Ordered:
     @staticmethod
     def of(
         df: DataFrame, by: list[str], order: list[str], max_group_rows: int = MAX_GROUP_ROWS,
-        probe: DataFrame | None = None,
+        probe: DataFrame | None = None, largest: int | None = None,
     ) -> Ordered:
         """``order`` must be unique inside a group (end it with an id).
 
-        ``probe`` is a cheaper frame with at least as many rows in every group, to count instead of ``df``.
+        ``probe`` is a cheaper frame with at least as many rows in every group, to count instead of ``df``;
+        ``largest`` a bound of the rows of a group that is known already.
         """
-        sizes = (df if probe is None else probe).groupBy(*by).agg(F.count("*").alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0] or 0
+        if largest is None:
+            largest = largest_group(df if probe is None else probe, by)
         if largest <= max_group_rows:
             return Ordered(df, tuple(by), tuple(order), False)
         # The bounds of a range partitioning are sampled anew in every job: store the result,

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions import geometry
 from docquarry.operators import boxes, runs
 from docquarry.operators.segments import Ordered
 
@@ -135,3 +136,29 @@ def test_insertion_order_equals_the_pairwise_rule(spark, bound):
     )
     got = {r.box_id: r.read_pos for r in boxes.insertion_order(frame, max_group_rows=bound).collect()}
     assert got == want
+
+
+def test_boxes_are_compiled_and_equal_the_rule_by_expressions(spark, rows):
+    random.seed(5)
+    value = lambda: random.choice([None, -3.0, 0.0, 4.4, 9.0, random.uniform(-20, 90)])
+    items = [(i, [(value(), value()) for _ in range(random.choice([4, 4, 4, 3]))]) for i in range(600)]
+    frame = spark.createDataFrame(items, "box_id long, points array<struct<x: double, y: double>>")
+    got = boxes.clean_boxes(frame, 60, 40)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    by_rule = frame.select("box_id", geometry.clip_points(geometry.order_corners("points"), 60, 40).alias("points"))
+    want = by_rule.filter((geometry.side_length("points", 0, 1) > 3) & (geometry.side_length("points", 0, 3) > 3))
+    assert rows(got, "box_id", "points") == rows(want, "box_id", "points") and 100 < got.count() < 600
+
+
+def test_insertion_order_makes_boxes_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(40).selectExpr("id % 4 AS page_id", "id AS box_id", "array(named_struct('x', id * 1.0D, 'y', id % 30 * 1.0D)) AS points")
+    ordered = boxes.insertion_order(frame.mapInArrow(counted, frame.schema), probe=frame)
+    assert made.value == 0
+    assert ordered.count() == 40 and made.value == 40
