@@ -56,17 +56,20 @@ _NULL_ID = -(1 << 63)
 # Texts of one slice, so that a 16-bit number names one.
 SLICE_ROWS = 30_000
 
-# Occurrences of a slice in one bucket: runs of one word (``keys``) with the words beside it (``others``), which follow it,
-# or precede it where the run's length is negative; texts by their place in ``rows``.
+# Occurrences of a slice in one bucket: each word (``keys``) with the words beside it, first those that follow it (as many as
+# ``runs`` says), then those before it (``backs``); texts by their place in ``rows``. The word beside is a number (``codes``):
+# none, the place of a hot word, or that it is the next one of ``others``.
 _ENTRIES = (
-    "bucket int, keys array<bigint>, runs array<int>, others array<bigint>, texts array<smallint>, rows array<bigint>, "
-    "folds array<tinyint>, done array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>"
+    "bucket int, keys array<bigint>, runs array<int>, backs array<int>, codes array<smallint>, others array<bigint>, "
+    "texts array<smallint>, rows array<bigint>, folds array<tinyint>, done array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>"
 )
+_NONE, _RARE, _HOT = 0, 1, 2
+_MAX_CODE = 32_767
 _PARTS = (
     "part int, rows array<bigint>, totals array<double>, backed array<bigint>, n array<bigint>, "
     "words array<bigint>, lacking array<bigint>, folds array<tinyint>"
 )
-_KINDS = {"totals": pa.float64(), "folds": pa.int8(), "runs": pa.int32(), "texts": pa.int16()}
+_KINDS = {"totals": pa.float64(), "folds": pa.int8(), "runs": pa.int32(), "backs": pa.int32(), "codes": pa.int16(), "texts": pa.int16()}
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,36 +178,47 @@ def _record(schema: str, key: np.ndarray | list, columns: dict[str, pa.Array]) -
 
 
 def _packed(key: np.ndarray, contexts: np.ndarray, words: np.ndarray, after: np.ndarray, text: np.ndarray, ids: np.ndarray,
-            folds: np.ndarray, buckets: int) -> pa.Table:
-    """The occurrences dealt by key, a row per bucket. ``after``: the run is of the context and words follow it."""
-    order = np.argsort(key)
+            folds: np.ndarray, buckets: int, hot: _Counts) -> pa.Table:
+    """The occurrences dealt by key, a row per bucket. ``after``: the key's word is the context."""
+    order = np.lexsort((~after, key))
     key, text, after = key[order], text[order], after[order]
     mine, others = np.where(after, contexts[order], words[order]), np.where(after, words[order], contexts[order])
+    place = hot.find(others)
+    codes = np.where((place >= 0) & (place <= _MAX_CODE - _HOT), place + _HOT, np.where(others == NO_WORD, _NONE, _RARE))
+    rare = codes == _RARE
     # Monotone in the key, so equal keys and equal buckets lie together.
     bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     turn = np.ones(len(key), bool)
-    turn[1:] = (mine[1:] != mine[:-1]) | (after[1:] != after[:-1]) | (bucket[1:] != bucket[:-1])
+    turn[1:] = (mine[1:] != mine[:-1]) | (bucket[1:] != bucket[:-1])
     starts = np.flatnonzero(turn)
-    runs = np.diff(starts, append=len(key)) * np.where(after[starts], 1, -1)
+    follow = np.bincount(np.cumsum(turn)[after] - 1, minlength=len(starts))
+    before = np.diff(starts, append=len(key)) - follow
     used, rank = np.unique(bucket, return_inverse=True)
     named, place = np.unique(rank * len(ids) + text, return_inverse=True)
     holder, name = named // max(len(ids), 1), named % max(len(ids), 1)
-    of_entries, of_runs, of_texts = (np.bincount(x, minlength=len(used)) for x in (rank, rank[starts], holder))
+    of_entries, of_runs, of_texts, of_rare = (np.bincount(x, minlength=len(used)) for x in (rank, rank[starts], holder, rank[rare]))
     place = place - np.repeat(np.cumsum(of_texts) - of_texts, of_entries)
-    lengths = {"keys": of_runs, "runs": of_runs, "others": of_entries, "texts": of_entries, "rows": of_texts, "folds": of_texts}
+    lengths = {
+        "keys": of_runs, "runs": of_runs, "backs": of_runs, "codes": of_entries, "others": of_rare, "texts": of_entries,
+        "rows": of_texts, "folds": of_texts,
+    }
     columns = {
-        "keys": mine[starts].view(np.int64), "runs": runs.astype(np.int32), "others": others.view(np.int64),
-        "texts": place.astype(np.int16), "rows": ids[name], "folds": folds[name].astype(np.int8),
+        "keys": mine[starts].view(np.int64), "runs": follow.astype(np.int32), "backs": before.astype(np.int32),
+        "codes": codes.astype(np.int16), "others": others[rare].view(np.int64), "texts": place.astype(np.int16), "rows": ids[name], "folds": folds[name].astype(np.int8),
     }
     return _record(_ENTRIES, used, {c: lists(x, lengths[c], _KINDS.get(c, pa.int64())) for c, x in columns.items()})
 
 
-def _unpacked(frame: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(frame: pa.Table, hot: _Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, word, row, fold) of all occurrences of a bucket."""
-    runs = _flat(frame, "runs", np.int64)
-    mine, after = np.repeat(_flat(frame, "keys", np.int64).view(np.uint64), np.abs(runs)), np.repeat(runs > 0, np.abs(runs))
-    others = _flat(frame, "others", np.int64).view(np.uint64)
-    sizes, named = (pc.list_value_length(frame.column(c)).to_numpy() for c in ("others", "rows"))
+    sides = np.stack([_flat(frame, "runs", np.int64), _flat(frame, "backs", np.int64)], 1)
+    mine = np.repeat(_flat(frame, "keys", np.int64).view(np.uint64), sides.sum(1))
+    after = np.repeat(np.tile([True, False], len(sides)), sides.ravel())
+    codes = _flat(frame, "codes", np.int64)
+    others = np.full(len(codes), NO_WORD)
+    others[codes == _RARE] = _flat(frame, "others", np.int64).view(np.uint64)
+    others[codes >= _HOT] = hot.keys[codes[codes >= _HOT] - _HOT]
+    sizes, named = (pc.list_value_length(frame.column(c)).to_numpy() for c in ("codes", "rows"))
     at = _flat(frame, "texts", np.int64) + np.repeat(np.cumsum(named) - named, sizes)
     rows, folds = _flat(frame, "rows", np.int64)[at], _flat(frame, "folds", np.int64)[at]
     return np.where(after, mine, others), np.where(after, others, mine), rows, folds
@@ -219,7 +233,7 @@ def _per_row(rows: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
 
 def _join_bucket(frame: pa.Table, hot: _Counts, totals: np.ndarray, alpha: float, parts: int) -> pa.Table:
     """Join the occurrences of a bucket to their counts: sums by part of the documents, and words to be joined to word counts."""
-    contexts, words, rows, folds = _unpacked(frame)
+    contexts, words, rows, folds = _unpacked(frame, hot)
     first, end, counts = contexts == NO_WORD, words == NO_WORD, folds != APART
     pair = _counted(_bigrams(contexts, words), counts, folds)
     context = _counted(contexts, counts, folds)
@@ -246,8 +260,11 @@ def _join_bucket(frame: pa.Table, hot: _Counts, totals: np.ndarray, alpha: float
     )
     part = (sums["rows"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % parts
     used, columns = _grouped(part, sums, parts)
+    # In the order of the words, so that equal ones take little room where they are written and sent.
+    lacking = np.flatnonzero(lacking)
+    lacking = lacking[np.argsort(words[lacking], kind="stable")]
     missing = {"words": words[lacking].view(np.int64), "lacking": rows[lacking], "folds": folds[lacking].astype(np.int8)}
-    block, lists_of = _grouped(np.arange(lacking.sum()) // MISSING_IN_ROW, missing, 1)
+    block, lists_of = _grouped(np.arange(len(lacking)) // MISSING_IN_ROW, missing, 1)
     return pa.concat_tables([_record(_PARTS, used, columns), _record(_PARTS, [None] * len(block), lists_of)])
 
 
@@ -333,7 +350,7 @@ def backoff_scores(
             left = np.flatnonzero(~here & ~(end & (u >= 0)) & ~(first & ~asks))
             after = (u < 0) & ~first | (u >= 0) & (v >= 0)
             key = np.where((u < 0) & ~first, contexts, np.where(v < 0, words, bigrams))
-            packed = _packed(key[left], contexts[left], words[left], after[left], text[left], ids, fold_of, buckets)
+            packed = _packed(key[left], contexts[left], words[left], after[left], text[left], ids, fold_of, buckets, hot)
             yield from packed.to_batches()
 
     def joined(frame: pa.Table) -> pa.Table:
@@ -344,10 +361,12 @@ def backoff_scores(
     by_part = found.filter("part IS NOT NULL").select("part", "rows", "totals", "backed", "n")
     sums = by_part.groupBy("part").applyInArrow(_add_part, "row bigint, total double, backed bigint, n bigint")
     missing = found.filter("part IS NULL").select(F.inline(F.arrays_zip("words", "lacking", "folds")))
-    # Sorted on both sides at every size: words that are asked for can be many more than the counts.
-    asked = missing.join(counts.hint("merge"), missing.words == counts.gram, "left")
+    # Sorted on both sides at every size: words that are asked for can be many more than the counts. Words found once or
+    # never elsewhere count as seen once, whose logarithm adds nothing; a text's own fold has the word at least once.
+    several = counts.filter(F.col("n") > (2 if train is None else 1))
+    asked = missing.join(several.hint("merge"), missing.words == several.gram)
     own = F.coalesce(F.get("by_fold", F.col("folds").cast("int")), F.lit(0))
-    held = F.greatest(F.coalesce(F.col("n"), F.lit(0)) - own, F.lit(1))
+    held = F.greatest(F.col("n") - own, F.lit(1))
     backed_off = asked.groupBy(F.col("lacking").alias("row")).agg(F.sum(F.log(held)).alias("total"))
     both = sums.union(backed_off.select("row", "total", F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
     scores = both.groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("backed").alias("n_backoff"), F.sum("total").alias("score"))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -293,6 +294,29 @@ def test_backoff_equals_brute_force(spark, documents, monkeypatch, own, share):
         assert (r.n_words, r.n_backoff) == (n, backed) and abs(r.score - score) < 1e-6 * max(1, abs(r.score))
 
 
+def test_backoff_occurrences_are_dealt_whole_and_small():
+    """Every occurrence comes back from its bucket; a hot neighbour takes two bytes, a word is named once in a bucket's row."""
+    draw = np.random.default_rng(3)
+    vocabulary = np.unique(draw.integers(1, 2**63, 3000).astype(np.uint64))
+    hot = backoff._Counts([{"gram": int(w), "by_fold": [1] * (backoff.FOLDS + 1)} for w in vocabulary[:40]])
+    sizes = draw.integers(0, 60, 500)
+    drawn = np.where(draw.random(sizes.sum()) < 0.6, draw.integers(0, 40, sizes.sum()), draw.integers(40, 400, sizes.sum()))
+    contexts, words, text = backoff._pairs(vocabulary[drawn], sizes)
+    u, v = hot.find(contexts), hot.find(words)
+    cold = (u < 0) & (contexts > 0)
+    key = np.where(cold, contexts, np.where(v < 0, words, backoff._bigrams(contexts, words)))
+    left = ~((words == 0) & (u >= 0)) & ~((contexts == 0) & (v >= 0))
+    of = [x[left] for x in (key, contexts, words, cold | (u >= 0) & (v >= 0), text)]
+    ids, folds = draw.permutation(500) + 10**12, draw.integers(0, backoff.FOLDS, 500)
+    packed = backoff._packed(*of, ids, folds, 7, hot)
+    got = sorted(zip(*[x.tolist() for x in backoff._unpacked(packed, hot)]))
+    assert got == sorted(zip(contexts[left].tolist(), words[left].tolist(), ids[text[left]].tolist(), folds[text[left]].tolist()))
+    assert packed.num_rows == 7 and 0 < left.sum() < len(left)
+    assert not np.isin(backoff._flat(packed, "others", np.int64).view(np.uint64), hot.keys).any()
+    named = [k for row in packed.column("keys").to_pylist() for k in row if k not in set(hot.keys.tolist())]
+    assert len(named) == len(set(named)) and packed.select(["keys", "codes", "others", "texts"]).nbytes < 13 * left.sum()
+
+
 def test_backoff_ranks_junk_below_prose(spark, documents):
     """Words that occur nowhere else, in one text or in many copies of it, score below every document."""
     rows = [(r.doc_id, r.text) for r in documents.collect()]
