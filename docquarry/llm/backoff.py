@@ -357,7 +357,7 @@ def backoff_scores(
         return _join_bucket(frame, hot, totals, alpha, parts)
 
     dealt = texts.select("text", "row", "fold").mapInArrow(entries, _ENTRIES)
-    found = materialise(dealt.groupBy("bucket").applyInArrow(joined, _PARTS), "bigram-scores")
+    found = materialise(dealt.groupBy("bucket").applyInArrow(joined, _PARTS), "bigram-scores", compression="zstd")
     by_part = found.filter("part IS NOT NULL").select("part", "rows", "totals", "backed", "n")
     sums = by_part.groupBy("part").applyInArrow(_add_part, "row bigint, total double, backed bigint, n bigint")
     missing = found.filter("part IS NULL").select(F.inline(F.arrays_zip("words", "lacking", "folds")))

@@ -99,15 +99,15 @@ def has_files(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
-def materialise(df: DataFrame, purpose: str, release_since: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, purpose: str, release_since: int | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
     With ``release_since`` (a ``scratch_mark``) the scratch paths made from there on, from which ``df`` was
-    derived, are deleted once it is written.
+    derived, are deleted once it is written. ``compression`` names another codec than the session's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if release_since is not None:
         own = _scratch.pop()
         release_scratch(spark, release_since)
