@@ -13,7 +13,7 @@ from docquarry.operators.maintenance import by_file
 from docquarry.operators.maintenance import list_indexes as index_list
 from docquarry.operators.validate import validate_lengths
 from docquarry.plans.ingest import Store, ingest
-from docquarry.session import scratch_path, spread
+from docquarry.session import broadcast_if_small, scratch_path, spread
 from docquarry.sources.chunks import PARTITIONS, delete_chunks, scan_index, upsert_chunks, write_chunks
 from docquarry.sources.files import file_manifest, read_documents
 from docquarry.sources.registry import read_registry
@@ -158,11 +158,12 @@ def store_maintenance(spark, folder):
         "chunk_pos", "content", chunk_key("source", "lang", "doc_id", "chunk_pos").alias("chunk_id"),
     )
     labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "file_id")
+    labelled, toxic = (broadcast_if_small(part.select("file_id").distinct()) for part in (labels, labels.filter("toxic = 1")))
     path = scratch_path(spark, "chunks")
     write_chunks(rows, path)
-    changed = rows.join(labels.select("file_id").distinct(), "file_id", "left_semi")
+    changed = rows.join(labelled, "file_id", "left_semi")
     upsert_chunks(changed.withColumn("content", F.concat(F.lit("v2 "), "content")), path)
-    delete_chunks(rows.join(labels.filter("toxic = 1"), "file_id", "left_semi").select("chunk_id"), path)
+    delete_chunks(rows.join(toxic, "file_id", "left_semi").select("chunk_id"), path)
     return scan_index(spark, path).select(
         "collection", "partition_name", "file_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), "content"
     )
