@@ -132,3 +132,13 @@ def test_hashed_tokens_of_a_task_are_remembered_up_to_a_bound(monkeypatch):
     bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8
     want = [[sum(bucket(t) == b for t in tokens) for b in range(8)] for tokens in (["a", "b", "c", "a"], [], ["b"])]
     assert got.tolist() == want and len(known) <= 2
+
+
+def test_terms_counted_in_arrow_equal_those_counted_in_the_row(spark, monkeypatch):
+    from docquarry.functions import text
+
+    monkeypatch.setattr(text, "SLICE_TOKENS", 5)
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, ["é", "z", "東", "z", "𐐷", "ﬀ"]), (4, ["a"] * 12), (5, [])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>").coalesce(1)
+    got = df.select("id", text.counted_terms()(F.col("tokens")).alias("a"), text.term_counts(F.col("tokens")).alias("b")).collect()
+    assert len(got) == 5 and all(r.a == r.b for r in got)

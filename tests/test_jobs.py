@@ -1,12 +1,16 @@
 import json
+import os
+import time
 import tracemalloc
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry import session
 from docquarry.functions import payload
-from docquarry.operators import blocks
+from docquarry.operators import blocks, lexical
 from docquarry.operators.chunking import chunk_fixed
 from docquarry.operators.steps import run_steps, run_values
 from docquarry.plans.ingest import Store, ingest, load_text_index
@@ -296,3 +300,50 @@ def test_a_row_stops_where_a_step_yields_nothing(spark):
     assert got == {1: ("Long", None), 2: (None, "3 at_least"), 3: (None, "0 input"), 4: (None, "4 without")}
     with pytest.raises(ValueError):
         run_values(df, [{"eval": None}], "html")
+
+
+@pytest.mark.parametrize("split", ["fixed"])
+def test_ingest_stores_a_chunk_once(spark, tmp_path, monkeypatch, split):
+    """Staged chunks have no vectors and go before postings are written; postings name a document by its number."""
+    from docquarry.operators.chunking import chunk_recursive
+    from docquarry.plans import ingest as plan
+
+    staged, at_postings = {}, []
+    whole = plan.materialise
+    monkeypatch.setattr(plan, "materialise", lambda df, purpose, **o: staged.setdefault(purpose, whole(df, purpose, **o)))
+    stored = lexical._posted
+    monkeypatch.setattr(lexical, "_posted", lambda *a: at_postings.append(os.path.exists(place)) or stored(*a))
+    files = spark.createDataFrame([(f"{i}.txt", f"some words {i} " * 40) for i in range(30)] + [("x" * 700, "refused")], "path string, text string")
+    place = ""
+
+    def release(self, own=plan.Checked.release):
+        nonlocal place
+        place = staged["checked-chunks"].inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(place)
+        own(self)
+
+    monkeypatch.setattr(plan.Checked, "release", release)
+    store = Store(str(tmp_path / "store"))
+    report = ingest(spark, files, store, 1, "kb", dimensions=8, splitter=chunk_fixed if split == "fixed" else chunk_recursive)
+    assert "embedding" not in staged["checked-chunks"].columns and at_postings == [False]
+    rows = scan_index(spark, store.chunks)
+    assert {len(r.embedding) for r in rows.collect()} == {8} and rows.select("file_id").distinct().count() == 30
+    assert [r.errors for r in report.filter("errors > 0").collect()] == [1] and report.count() == 31
+    refused = spark.read.parquet(store.quarantine)
+    assert [(r.error_code, len(r.embedding)) for r in refused.collect()] == [("file_path_too_long", 8)]
+    for file in (tmp_path / "store" / "text_index" / "postings").rglob("*.parquet"):
+        assert pq.read_schema(file).names == ["doc", "term", "tf"]
+    index = load_text_index(spark, store)
+    assert {r.chunk_id for r in index.postings.collect()} == {r.chunk_id for r in rows.collect()}
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for n in manager.getAllFiles().mkString(" ").split() if "/shuffle_" in n}
+    before = shuffles()
+    kept = session.materialise(spark.range(1000).repartition(3, "id"), "test-shuffle")
+    assert len(kept.collect()) == 1000
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not shuffles() - before
