@@ -347,3 +347,15 @@ def test_a_write_leaves_no_shuffle_files(spark):
     while shuffles() - before and time.time() < until:  # they are deleted in the background
         time.sleep(0.2)
     assert not shuffles() - before
+
+
+def test_arriving_files_of_finished_batches_are_deleted(spark, tmp_path, monkeypatch):
+    from docquarry.catalog import streams
+
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, purpose: str(tmp_path / purpose))
+    rows = [(f"d{i}", f"words of {i} " * 30) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = streams.stream_stores(spark, str(tmp_path)).collect()
+    assert len(got) == 60 and all(r.chunks == r.embedded == r.indexed for r in got)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "arriving").glob("*.parquet"))) <= 2 * cores

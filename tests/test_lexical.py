@@ -299,3 +299,44 @@ def test_posting_files_are_sorted_by_term(spark, tmp_path):
     for file in files:
         terms = pq.read_table(file).column("term").to_pylist()
         assert terms == sorted(terms)
+
+
+def _files(path):
+    return {f for f in path.rglob("*.parquet") if f.parent.name.startswith("bucket=")}
+
+
+def test_new_documents_leave_stored_files_alone(spark, tmp_path):
+    docs, queries = frames(spark)
+    lexical.write_index(docs.filter("doc_id <= 3"), "doc_id", "text", str(tmp_path / "index"))
+    before = _files(tmp_path / "index")
+    for mode in ("append",):
+        index = lexical.write_index(docs.filter("doc_id > 3"), "doc_id", "text", str(tmp_path / "index"), mode=mode)
+        assert before < _files(tmp_path / "index")
+        assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(DOCS, QUERIES, 3)
+
+
+def test_many_writes_are_put_together(spark, tmp_path, monkeypatch):
+    """Null folders, moved and removed documents over more writes than are kept apart; postings stay sorted, by scan and by join."""
+    monkeypatch.setattr(lexical, "MAX_WRITES", 2)
+    path = str(tmp_path / "index")
+    corpus, asked = random_corpus(3, 60)
+    docs, queries = frames(spark, corpus, asked)
+    docs = docs.withColumn("base", F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 3).cast("string")))
+    lexical.write_index(docs.filter("doc_id < 20"), "doc_id", "text", path, keep=("base",), partition_by=("base",), buckets=2)
+    left = dict(corpus[:20])
+    for step in range(5):
+        lexical.write_index(docs.filter(f"doc_id < {30 + 5 * step}"), "doc_id", "text", path, mode="append", keep=("base",))
+        moved = docs.filter(f"doc_id % 7 = {step}").withColumn("text", F.concat("text", F.lit(" w1 new"))).withColumn("base", F.lit("1"))
+        lexical.write_index(moved, "doc_id", "text", path, mode="upsert", keep=("base",))
+        left = dict(corpus[:30 + 5 * step]) | left | {i: t + " w1 new" for i, t in corpus if i % 7 == step}
+        left.pop(40 + step, None)
+        index = lexical.delete_from_index(spark.createDataFrame([(40 + step,)], "doc_id long"), path, "doc_id")
+    assert sorted(r.doc_id for r in index.forward.collect()) == sorted(left)
+    now = sorted(left.items())
+    for share in (0.0, 1e9):
+        monkeypatch.setattr(lexical, "SELECTIVE_SHARE", share)
+        assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(now, asked, 3)
+    assert len({f.parent.name for f in _files(tmp_path / "index" / "forward")}) <= 2 * (2 + 1)
+    for file in (tmp_path / "index" / "postings").rglob("*.parquet"):
+        terms = [t for t in pq.ParquetFile(file).read().column("term").to_pylist() if t is not None]
+        assert terms == sorted(terms)
