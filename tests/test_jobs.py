@@ -302,7 +302,7 @@ def test_a_row_stops_where_a_step_yields_nothing(spark):
         run_values(df, [{"eval": None}], "html")
 
 
-@pytest.mark.parametrize("split", ["fixed"])
+@pytest.mark.parametrize("split", ["fixed", "recursive"])
 def test_ingest_stores_a_chunk_once(spark, tmp_path, monkeypatch, split):
     """Staged chunks have no vectors and go before postings are written; postings name a document by its number."""
     from docquarry.operators.chunking import chunk_recursive
