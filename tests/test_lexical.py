@@ -309,15 +309,32 @@ def test_new_documents_leave_stored_files_alone(spark, tmp_path):
     docs, queries = frames(spark)
     lexical.write_index(docs.filter("doc_id <= 3"), "doc_id", "text", str(tmp_path / "index"))
     before = _files(tmp_path / "index")
-    for mode in ("append",):
+    for mode in ("append", "upsert"):
         index = lexical.write_index(docs.filter("doc_id > 3"), "doc_id", "text", str(tmp_path / "index"), mode=mode)
         assert before < _files(tmp_path / "index")
         assert found(lexical.bm25_search(queries, index, 3)) == brute_bm25(DOCS, QUERIES, 3)
 
 
-def test_many_writes_are_put_together(spark, tmp_path, monkeypatch):
+def test_a_change_sent_again_writes_nothing(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs, _ = frames(spark, *random_corpus())
+    lexical.write_index(docs, "doc_id", "text", path)
+    changed = docs.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" more")))
+    files = set()
+    for _ in range(2):
+        lexical.write_index(docs, "doc_id", "text", path, mode="append")
+        lexical.write_index(changed, "doc_id", "text", path, mode="upsert")
+        lexical.delete_from_index(docs.filter("doc_id % 5 = 0").select("doc_id"), path, "doc_id")
+        docs, changed = docs.filter("doc_id % 5 != 0"), changed.filter("doc_id % 5 != 0")
+        files, last = _files(tmp_path / "index"), files
+    assert files == last
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_many_writes_are_put_together(spark, tmp_path, monkeypatch, few):
     """Null folders, moved and removed documents over more writes than are kept apart; postings stay sorted, by scan and by join."""
     monkeypatch.setattr(lexical, "MAX_WRITES", 2)
+    monkeypatch.setattr(lexical, "fits_broadcast", lambda df: few)
     path = str(tmp_path / "index")
     corpus, asked = random_corpus(3, 60)
     docs, queries = frames(spark, corpus, asked)
