@@ -12,7 +12,7 @@ from docquarry.operators.lexical import (
 )
 from docquarry.operators.segmentation import segment_words
 from docquarry.params import Bm25Params
-from docquarry.session import materialise, scratch_path, spread
+from docquarry.session import broadcast_if_small, materialise, scratch_path, spread
 
 
 def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,9 +105,9 @@ def text_index_maintenance(spark, folder):
     labels = table(spark, folder, "labels")
     path = scratch_path(spark, "text-index")
     write_index(documents.filter("doc_id % 2 = 0"), "doc_id", "text", path)
-    changed = documents.join(labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    good, toxic = (broadcast_if_small(labels.filter(which).select("doc_id").distinct()) for which in ("quality = 1", "toxic = 1"))
+    changed = documents.join(good, "doc_id", "left_semi")
     changed = changed.withColumn("text", F.concat_ws(" ", "text", "lang"))
-    toxic = labels.filter("toxic = 1").select("doc_id")
     for _ in range(2):
         write_index(documents, "doc_id", "text", path, mode="append")
         write_index(changed, "doc_id", "text", path, mode="upsert")
